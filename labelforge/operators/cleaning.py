@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import MAX_TOKENS, MIN_PARAGRAPH_WORDS, MIN_TOKENS, clean_text, count_tokens, last_part
@@ -18,9 +18,18 @@ RELAXED_STANCE = {
 }
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a one-row generator.
+
+    A filter on a projected column is pushed below the projection, where the expression is evaluated again for every
+    mention. Nothing is pushed through a generator that makes the column.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``clean_text`` and ``token_counts``."""
-    return df.withColumn("clean_text", clean_text(text)).withColumn("token_counts", count_tokens("clean_text"))
+    return computed_once(computed_once(df, "clean_text", clean_text(text)), "token_counts", count_tokens("clean_text"))
 
 
 def length_filter(df: DataFrame, low: int = MIN_TOKENS, high: int = MAX_TOKENS, drop: bool = True) -> DataFrame:

@@ -161,7 +161,8 @@ def edit_distance_pairs(
         .select("*", numbered)
         .withColumn("at", start(F.col("i"), F.col("len")))
         .withColumn("size", start(F.col("i") + 1, F.col("len")) - F.col("at"))
-        .withColumn("at", F.col("at") + shifts)
+        .withColumn("shift", shifts)
+        .withColumn("at", F.col("at") + F.col("shift"))
         .filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("own")))
         .select("g", F.col("id").alias("long"), "len", "i", piece)
         .distinct()

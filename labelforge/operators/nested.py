@@ -74,9 +74,11 @@ def page_queries(documents: DataFrame) -> DataFrame:
     return collect_labels(evidence_rows(documents), ["document_id", "page_idx"], "query")
 
 
-def collect_labels(df: DataFrame, keys: Sequence[str], value: str, name: str = "label") -> DataFrame:
-    """Labels per key as a sorted list, repeats kept."""
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
+def collect_labels(df: DataFrame, keys: Sequence[str], value: str, name: str = "label", repeats: bool = True) -> DataFrame:
+    """Labels per key as a sorted list. Without ``repeats`` a key holds at most the label vocabulary, so that a text
+    with very many copies stays small."""
+    values = F.collect_list(value) if repeats else F.collect_set(value)
+    return df.groupBy(*keys).agg(F.array_sort(values).alias(name))
 
 
 def labelled_pages(documents: DataFrame) -> DataFrame:
