@@ -233,6 +233,16 @@ def _multinomial_cells(cells: DataFrame, total: int, draws: int, seed: int | str
     return draw_table(cells, draws).mapInPandas(resample, "draw bigint, y_true string, y_pred string, n bigint")
 
 
+def poisson_steps(n: int = 12) -> list[float]:
+    """P(X <= k) of a Poisson(1) variable for k = 0..n-1: the variable is the number of steps at or below a uniform."""
+    steps, term, total = [], float(np.exp(-1.0)), 0.0
+    for k in range(n):
+        total += term
+        steps.append(total)
+        term /= k + 1
+    return steps
+
+
 def bootstrap_multilabel_f1(
     df: DataFrame, key: str, draws: int = N_DRAWS_MULTILABEL, confidence: float = CONFIDENCE, y_true: str = "y_true",
     y_pred: str = "y_pred", seed: int | str = DEFAULT_SEED,
@@ -243,14 +253,9 @@ def bootstrap_multilabel_f1(
     grows; so a draw needs no row numbers. Weights come from the hash of (draw, key).
     """
     t, p = F.array_sort(F.array_distinct(y_true)), F.array_sort(F.array_distinct(y_pred))
-    # Rows with the same two lists are alike; only their number matters per draw.
-    weight = F.lit(0)
     u = hash_int("draw", key, seed=seed) / F.lit(float(2**32))
-    tail, term = 0.0, float(np.exp(-1.0))
-    for k in range(1, 12):
-        tail += term
-        weight = F.when(u >= tail, k).otherwise(weight)
-        term /= k
+    weight = F.size(F.filter(F.array(*[F.lit(x) for x in poisson_steps()]), lambda x: x <= u))
+    # Rows with the same two lists are alike; only their number matters per draw.
     rows = df.select(key, t.alias("t"), p.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     kinds = rows.withColumn("w", weight).filter("w > 0").groupBy("draw", "t", "p").agg(F.sum("w").alias("w"))
     one = kinds.select("draw", "w", "t", "p", F.explode(F.array_union("t", "p")).alias("label"))

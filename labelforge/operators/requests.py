@@ -59,13 +59,13 @@ def label_blocks(catalogue: DataFrame) -> DataFrame:
     return blocks.select("task", F.concat(head, "lines").alias("block"))
 
 
-def lint_prompts(prompts: DataFrame, pair_tasks: list[str]) -> DataFrame:
-    """(task, problem): the first thing wrong with a prompt; prompts in order are left out."""
+def lint_prompts(prompts: DataFrame, is_pair: Column) -> DataFrame:
+    """(task, problem): the first thing wrong with a prompt; prompts in order are left out. ``is_pair`` marks pair tasks."""
     p = F.col("prompt")
     problem = (
         F.when(~p.rlike(ANSWER_PATTERN), "answer format")
         .when(~F.contains(p, F.lit(TEXT_SLOT)), "no text slot")
-        .when(F.col("task").isin(*pair_tasks) & ~F.contains(p, F.lit(QUERY_SLOT)), "no query slot")
+        .when(is_pair & ~F.contains(p, F.lit(QUERY_SLOT)), "no query slot")
     )
     return prompts.select("task", problem.alias("problem")).filter(F.col("problem").isNotNull())
 
@@ -118,10 +118,11 @@ def audit(df: DataFrame, readable: DataFrame, content: str = "content", gold: st
 
 
 def transcript_answers(df: DataFrame, value: str = "value") -> DataFrame:
-    """(task, position, content) of a JSON object task -> list of conversations; the answer is the third message."""
-    parsed = df.select(F.explode(F.from_json(value, TRANSCRIPT_TYPE)).alias("task", "talks"))
-    talks = parsed.select("task", F.posexplode("talks").alias("position", "messages"))
-    return talks.select("task", "position", F.get("messages", F.lit(2))["content"].alias("content"))
+    """Other columns, task, position and content of a JSON object task -> conversations; the answer is the third message."""
+    rest = [c for c in df.columns if c != value]
+    parsed = df.select(*rest, F.explode(F.from_json(value, TRANSCRIPT_TYPE)).alias("task", "talks"))
+    talks = parsed.select(*rest, "task", F.posexplode("talks").alias("position", "messages"))
+    return talks.select(*rest, "task", "position", F.get("messages", F.lit(2))["content"].alias("content"))
 
 
 def chat_messages(system: Column, user: Column) -> Column:

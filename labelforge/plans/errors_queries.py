@@ -26,7 +26,7 @@ _TAGS = lambda c: f"list_transform(string_split(string_split({c}, ':')[1], ','),
 
 
 @query("tag_counts", f"""with g as (select dataset, doc_id, unnest(list_distinct({_TAGS('comment')})) as tag from v_sheets), t as (select dataset, count(*) as total from v_sheets group by 1)
-select g.dataset, tag, count(*) as n, total, round(count(*) / total, 6) as share from g join t on g.dataset = t.dataset group by all""", ("v_sheets",))
+select g.dataset, tag, count(*) as n, total, round(count(*) / total, 6) as share from g join t on g.dataset = t.dataset group by g.dataset, tag, total""", ("v_sheets",))
 def tag_counts(t):
     return op.tag_counts(t.v_sheets, ["dataset"]).withColumn("share", F.round("share", 6))
 

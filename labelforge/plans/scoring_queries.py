@@ -145,7 +145,11 @@ def bootstrap_f1_multinomial(t):
     return rounded(op.bootstrap_f1(t.v_pred, method="multinomial"), "lower", "upper")
 
 
-@query("bootstrap_multilabel_f1")
+@query("bootstrap_multilabel_f1", f"""with w as (select y_true as t, y_pred as p, draw, len(list_filter({op.poisson_steps()}::DOUBLE[], lambda x: x <= {sql_hash_int('draw', 'doc_id')} / 4294967296.0::DOUBLE)) as w
+ from v_multi_pred cross join range({op.N_DRAWS_MULTILABEL}) r(draw)), l as (select draw, w, t, p, unnest(list_distinct(list_concat(t, p))) as label from w where w > 0),
+m as (select draw, label, sum(case when list_contains(t, label) and list_contains(p, label) then w else 0 end) as tp, sum(case when list_contains(t, label) then w else 0 end) as support, sum(case when list_contains(p, label) then w else 0 end) as predicted from l group by all),
+f as (select draw, avg(2 * tp / (support + predicted)::DOUBLE) as f from m where support > 0 group by draw)
+select round(quantile_cont(f, 0.025), 6) as lower, round(quantile_cont(f, 0.975), 6) as upper, count(*) as draws from f""", ("v_multi_pred",))
 def bootstrap_multilabel_f1(t):
     return rounded(op.bootstrap_multilabel_f1(t.v_multi_pred, "doc_id"), "lower", "upper")
 
