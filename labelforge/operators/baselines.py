@@ -12,6 +12,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from labelforge.functions.arrays import argmax, softmax
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
 from labelforge.functions.text import WORD_PATTERN, ascii_fold, word_tokens
-from labelforge.operators.attach import attach_small
+from labelforge.operators.attach import attach_small, small_table
 from labelforge.operators.stats import class_weights, most_frequent
 
 MAX_ITER = 1000  # fixed value: iteration cap of the logistic regression
+TOLERANCE = 1e-4
 VOCABULARY = 1 << 18
 
 
@@ -33,13 +35,27 @@ def tfidf_weights(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = df.agg(F.count(F.lit(1)).alias("__n"))
-    idf = F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1
-    weighted = attach_small(tf, frequency, ["term"]).crossJoin(F.broadcast(rows)).withColumn("w", F.col("tf") * idf)
+    n = df.count()
+    idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+    weighted = _with_frequency(tf, frequency, n).withColumn("w", F.col("tf") * idf)
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
     return weighted.select(key, "term", "tf", "df", (F.col("w") / length).alias("weight"))
 
 
+def _with_frequency(tf: DataFrame, frequency: DataFrame, n: int, share: float = 1e-3) -> DataFrame:
+    """Join term rows with document frequencies.
+
+    Terms in more than ``share`` of the documents are at most (terms per document) / share, whatever the corpus: they
+    are broadcast after a check. No other term has more than ``share`` of the documents, so that the shuffle join of
+    the rest has no hot key.
+    """
+    common = small_table(frequency.filter(F.col("df") > n * share))
+    if common is None:
+        return tf.join(frequency, "term")
+    rare = tf.join(F.broadcast(common.select("term")), "term", "left_anti").join(frequency, "term")
+    return tf.join(F.broadcast(common), "term").unionByName(rare)
+
+
 def fit_tfidf(df: DataFrame, text: str, out: str, vocabulary: int = VOCABULARY) -> PipelineModel:
     """The same weights as a vector column. The vocabulary, the only thing that reaches the driver, is bounded."""
     folded, words, counts, scaled = f"{out}_folded", f"{out}_words", f"{out}_counts", f"{out}_scaled"
@@ -82,7 +98,7 @@ class Baseline:
 
 def fit_baseline(
     train: DataFrame, label: str = "label", text: str = "text", query: str | None = None, query_kind: str = "tfidf",
-    vocabulary: int = VOCABULARY, max_iter: int = MAX_ITER,
+    vocabulary: int = VOCABULARY, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE,
 ) -> Baseline:
     """Balanced multinomial logistic regression on the text, with an optional query.
 
@@ -110,25 +126,27 @@ def fit_baseline(
     weights = class_weights(named, "__y").select("__y", F.col("weight").alias("__w"))
     weighted = attach_small(indexer.transform(named), weights, ["__y"])
     shell = Baseline(inputs, features, None, list(indexer.labels))
-    ready = shell.featurise(weighted).select("features", "y_index", "__w")
+    ready = shell.featurise(weighted).select("features", "y_index", "__w").persist(StorageLevel.MEMORY_AND_DISK)
     rows = ready.count()
     fitted = LogisticRegression(
         featuresCol="features", labelCol="y_index", weightCol="__w", maxIter=max_iter, regParam=1.0 / max(rows, 1),
-        elasticNetParam=0.0, standardization=False,
+        elasticNetParam=0.0, standardization=False, tol=tolerance,
     ).fit(ready)
+    ready.unpersist()
     shell.classifier = fitted
     return shell
 
 
 def predict_multilabel(
     train: DataFrame, test: DataFrame, key: str, labels: Sequence[str] | None = None, label: str = "label",
-    text: str = "text", vocabulary: int = VOCABULARY, max_iter: int = MAX_ITER,
+    text: str = "text", vocabulary: int = VOCABULARY, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(key, y_pred list): one balanced binary regression per train label over shared TF-IDF features."""
     if labels is None:
         labels = [r[0] for r in train.select(F.explode(label)).distinct().orderBy("col").limit(1000).collect()]
     features = fit_tfidf(train, text, "features", vocabulary)
     ready = features.transform(with_folded(train, text, "features_folded")).select("features", label)
+    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     scored = features.transform(with_folded(test, text, "features_folded")).select(key, "features")
     hits = []
     for name in labels:
@@ -139,11 +157,12 @@ def predict_multilabel(
         else:
             weighted = binary.withColumn("w", F.when(F.col("y") == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones))))
             model = LogisticRegression(
-                labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / n, standardization=False,
+                labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / n, standardization=False, tol=tolerance,
                 predictionCol=f"__{name}", rawPredictionCol=f"__raw_{name}", probabilityCol=f"__p_{name}",
             ).fit(weighted)
             scored = model.transform(scored).drop(f"__raw_{name}", f"__p_{name}")
         hits.append(F.when(F.col(f"__{name}") == 1, F.lit(name)))
+    ready.unpersist()
     return scored.select(key, F.array_compact(F.array(*hits)).alias("y_pred"))
 
 

@@ -34,84 +34,102 @@ def flatten(documents: DataFrame) -> DataFrame:
 def evidence_tuples(flat: DataFrame, facet: Sequence[str]) -> DataFrame:
     """Distinct tuples after masking: (document_id, query, stance, pages as a sorted set). No pages is an error."""
     mask = lambda c: F.col(c) if c in facet else F.lit("_")
-    pages = F.when(
-        F.size("pages") > 0, F.array_sort(F.array_distinct("pages"))
-    ).otherwise(F.raise_error(F.concat(F.lit("no page in "), F.col("document_id").cast("string"))).cast("array<int>"))
-    return flat.select("document_id", mask("query").alias("query"), mask("stance").alias("stance"), pages.alias("pages")).distinct()
+    return _checked(flat).select("document_id", mask("query").alias("query"), mask("stance").alias("stance"), "pages").distinct()
 
 
-def _weights(side: DataFrame, other: DataFrame) -> DataFrame:
-    """Per tuple of ``side``: the largest share of its pages that some matching document tuple covers.
+def _masked(flat: DataFrame) -> DataFrame:
+    """Tuples of all overlap facets in one pass: (facet, document_id, query, stance, pages, id)."""
+    mask = lambda c, facet: F.col(c) if c in facet else F.lit("_")
+    facets = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("facet"), mask("query", columns).alias("query"), mask("stance", columns).alias("stance"))
+        for name, columns in OVERLAP_FACETS.items()
+    ])).alias("m")
+    tuples = _checked(flat).select("document_id", "pages", facets).select(
+        "m.facet", "document_id", "m.query", "m.stance", "pages"
+    ).distinct()
+    # Within a document 64 bits tell its tuples apart.
+    return tuples.withColumn("id", F.xxhash64("query", "stance", "pages"))
 
-    A tuple counts when a tuple with its query and stance shares a page; the share is then taken over all tuples
-    of the document.
+
+def _checked(flat: DataFrame) -> DataFrame:
+    """Pages as a sorted set; an evidence without pages is an error."""
+    failure = F.raise_error(F.concat(F.lit("no page in "), F.col("document_id").cast("string"))).cast("array<int>")
+    return flat.withColumn("pages", F.when(F.size("pages") > 0, F.array_sort(F.array_distinct("pages"))).otherwise(failure))
+
+
+def _best(shared: DataFrame, own: str) -> DataFrame:
+    """Per facet: the summed weights of one side's tuples.
+
+    A tuple counts when a tuple with its query and stance shares a page; its weight is the largest share of its pages
+    that any tuple of the document covers.
+    """
+    weight = F.max(F.col("common") / F.col(f"n_{own}"))
+    best = shared.groupBy("facet", "document_id", own).agg(F.max("same").alias("hit"), weight.alias("w"))
+    return best.groupBy("facet").agg(F.sum(F.when(F.col("hit") == 1, F.col("w"))).alias(f"w_{own}"))
+
+
+def overlap_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Weighted precision, recall and F1 for the page, query and stance facets.
+
+    One join on (facet, document, page) gives the common pages of every pair of tuples that have any; both directions
+    are aggregates of it.
     """
-    mine = side.withColumn("id", F.struct("document_id", "query", "stance", "pages")).withColumn("n", F.size("pages"))
-    a = mine.select("document_id", "id", "query", "stance", "n", F.explode("pages").alias("page"))
-    b = other.select(
-        "document_id", F.struct("query", "stance", "pages").alias("other"), F.explode("pages").alias("page")
+    g, s = _masked(gold), _masked(pred)
+    a = s.select("facet", "document_id", F.col("id").alias("s"), F.size("pages").alias("n_s"), F.col("query").alias("qs"), F.col("stance").alias("ss"), F.explode("pages").alias("page"))
+    b = g.select("facet", "document_id", F.col("id").alias("g"), F.size("pages").alias("n_g"), F.col("query").alias("qg"), F.col("stance").alias("sg"), F.explode("pages").alias("page"))
+    same = ((F.col("qs") == F.col("qg")) & (F.col("ss") == F.col("sg"))).cast("int")
+    shared = a.join(b, ["facet", "document_id", "page"]).groupBy("facet", "document_id", "s", "g").agg(
+        F.count(F.lit(1)).alias("common"), F.max("n_s").alias("n_s"), F.max("n_g").alias("n_g"), F.max(same).alias("same")
     )
-    shared = a.join(b, ["document_id", "page"]).groupBy("id", "query", "stance", "n", "other").agg(
-        F.count(F.lit(1)).alias("common")
+    sizes = g.select("facet", F.lit(1).alias("is_g")).unionByName(s.select("facet", F.lit(0).alias("is_g"))).groupBy("facet").agg(
+        F.sum("is_g").alias("g"), F.sum(1 - F.col("is_g")).alias("s")
     )
-    same = (F.col("query") == F.col("other.query")) & (F.col("stance") == F.col("other.stance"))
-    best = shared.groupBy("id").agg(F.bool_or(same).alias("hit"), F.max(F.col("common") / F.col("n")).alias("w"))
-    return best.agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("w"))), F.lit(0.0)).alias("weight"))
+    one = sizes.join(_best(shared, "s"), "facet", "left").join(_best(shared, "g"), "facet", "left").fillna(0.0, ["w_s", "w_g"])
+    p = F.col("w_s") / (F.col("s") + F.lit(EPSILON))
+    r = F.col("w_g") / (F.col("g") + F.lit(EPSILON))
+    return _scored(one.select("facet", "g", "s", p.alias("p"), r.alias("r")), "overlap")
 
 
-def overlap_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Weighted precision, recall and F1 for the page, query and stance facets."""
-    parts = []
-    for facet, columns in OVERLAP_FACETS.items():
-        g, s = evidence_tuples(gold, columns), evidence_tuples(pred, columns)
-        one = (
-            _weights(s, g).withColumnRenamed("weight", "wp")
-            .crossJoin(_weights(g, s).withColumnRenamed("weight", "wr"))
-            .crossJoin(s.agg(F.count(F.lit(1)).alias("s")))
-            .crossJoin(g.agg(F.count(F.lit(1)).alias("g")))
-        )
-        p = F.col("wp") / (F.col("s") + F.lit(EPSILON))
-        r = F.col("wr") / (F.col("g") + F.lit(EPSILON))
-        parts.append(_scored(one.select("g", "s", p.alias("p"), r.alias("r")), "overlap", facet))
-    return _union(parts)
-
-
-def _scored(df: DataFrame, metric: str, facet: str) -> DataFrame:
+def _scored(df: DataFrame, metric: str) -> DataFrame:
     f = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
     c = F.col("c") if "c" in df.columns else F.lit(None)
     return df.select(
-        F.lit(metric).alias("metric"), F.lit(facet).alias("facet"), "g", "s", c.cast("bigint").alias("c"),
+        F.lit(metric).alias("metric"), "facet", "g", "s", c.cast("bigint").alias("c"),
         process_score(F.col("p")).alias("p"), process_score(F.col("r")).alias("r"), process_score(f).alias("f"),
     )
 
 
-def _set_scores(gold: DataFrame, pred: DataFrame, facets: dict, metric: str) -> DataFrame:
-    """Sizes of two sets and of their intersection per facet: one aggregation over both sides together."""
+def _set_scores(gold: DataFrame, pred: DataFrame, facets: dict, parts: Sequence[str], metric: str) -> DataFrame:
+    """Sizes of two sets and of their intersection, for all facets and both sides in one aggregation.
+
+    A part a facet does not compare is null in its key.
+    """
     both = gold.withColumn("side", F.lit(1)).unionByName(pred.withColumn("side", F.lit(2)))
-    parts = []
-    for facet, columns in facets.items():
-        sides = both.groupBy("document_id", *columns).agg(
-            F.max((F.col("side") == 1).cast("int")).alias("in_g"), F.max((F.col("side") == 2).cast("int")).alias("in_s")
-        )
-        sums = sides.agg(
-            F.coalesce(F.sum("in_g"), F.lit(0)).alias("g"), F.coalesce(F.sum("in_s"), F.lit(0)).alias("s"),
-            F.coalesce(F.sum(F.col("in_g") * F.col("in_s")), F.lit(0)).alias("c"),
-        )
-        ratio = lambda n: F.when(F.col(n) > 0, F.col("c") / F.col(n)).otherwise(0.0)
-        parts.append(_scored(sums.withColumn("p", ratio("s")).withColumn("r", ratio("g")), metric, facet))
-    return _union(parts)
+    keys = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("facet"), *[(F.col(p) if p in columns else F.lit(None)).alias(p) for p in parts])
+        for name, columns in facets.items()
+    ])).alias("k")
+    rows = both.select("document_id", "side", keys).select("document_id", "side", "k.*")
+    sides = rows.groupBy("facet", "document_id", *parts).agg(
+        F.max((F.col("side") == 1).cast("int")).alias("in_g"), F.max((F.col("side") == 2).cast("int")).alias("in_s")
+    )
+    sums = sides.groupBy("facet").agg(
+        F.sum("in_g").alias("g"), F.sum("in_s").alias("s"), F.sum(F.col("in_g") * F.col("in_s")).alias("c")
+    )
+    ratio = lambda n: F.when(F.col(n) > 0, F.col("c") / F.col(n)).otherwise(0.0)
+    return _scored(sums.withColumn("p", ratio("s")).withColumn("r", ratio("g")), metric)
 
 
 def document_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Set scores on (document, page), (document, query), (document, stance); tuples without pages do not count."""
     flat = lambda df: df.select("document_id", "query", "stance", F.explode("pages").alias("page"))
-    return _set_scores(flat(gold), flat(pred), DOCUMENT_FACETS, "document")
+    return _set_scores(flat(gold), flat(pred), DOCUMENT_FACETS, ("page", "query", "stance"), "document")
 
 
 def strict_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Set scores with the whole sorted page list (repeats kept) as part of the key."""
     flat = lambda df: df.withColumn("pages", F.array_sort("pages"))
-    return _set_scores(flat(gold), flat(pred), STRICT_FACETS, "strict")
+    return _set_scores(flat(gold), flat(pred), STRICT_FACETS, ("pages", "query", "stance"), "strict")
 
 
 def all_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:

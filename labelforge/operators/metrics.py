@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -200,6 +200,13 @@ def draw_table(df: DataFrame, draws: int) -> DataFrame:
     return spark.range(draws, numPartitions=min(draws, spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "draw")
 
 
+def steps_below(value: Column, ends: Sequence[float]) -> Column:
+    """How many of the ascending ``ends`` are at most ``value``: a few comparisons are compiled, many are looped over."""
+    if len(ends) <= 64:
+        return sum((F.when(value >= e, 1).otherwise(0) for e in ends), F.lit(0))
+    return F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= value))
+
+
 def _resampled_cells(cells: DataFrame, total: int, draws: int, seed: int | str) -> DataFrame:
     rows = cells.orderBy("y_true", "y_pred").collect()  # at most labels x labels, checked by the caller
     upper, ends = 0, []
@@ -209,8 +216,7 @@ def _resampled_cells(cells: DataFrame, total: int, draws: int, seed: int | str)
     table = draw_table(cells, draws).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))))
     row = F.pmod(hash_int("draw", "i", seed=seed), F.lit(total))
     # The cell is the first one whose running total is over the row number.
-    bounds = F.array(*[F.lit(e) for e in ends])
-    cell = F.size(F.filter(bounds, lambda e: e <= F.col("row")))
+    cell = steps_below(F.col("row"), ends)
     picked = table.withColumn("row", row).groupBy("draw", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     names = cells.sparkSession.createDataFrame(
         [(i, r["y_true"], r["y_pred"]) for i, r in enumerate(rows)], "cell int, y_true string, y_pred string"
@@ -254,9 +260,11 @@ def bootstrap_multilabel_f1(
     """
     t, p = F.array_sort(F.array_distinct(y_true)), F.array_sort(F.array_distinct(y_pred))
     u = hash_int("draw", key, seed=seed) / F.lit(float(2**32))
-    weight = F.size(F.filter(F.array(*[F.lit(x) for x in poisson_steps()]), lambda x: x <= u))
+    weight = steps_below(u, poisson_steps())
     # Rows with the same two lists are alike; only their number matters per draw.
-    rows = df.select(key, t.alias("t"), p.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    # The lists are made before the rows are repeated: in one projection they would be made again for every draw.
+    rows = df.select(key, t.alias("t"), p.alias("p"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     kinds = rows.withColumn("w", weight).filter("w > 0").groupBy("draw", "t", "p").agg(F.sum("w").alias("w"))
     one = kinds.select("draw", "w", "t", "p", F.explode(F.array_union("t", "p")).alias("label"))
     in_t = F.array_contains("t", F.col("label")).cast("bigint") * F.col("w")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
 from labelforge.operators.attach import attach_small, small_table
-from labelforge.operators.metrics import CONFIDENCE, MAX_RESAMPLED, N_DRAWS, _interval, draw_table
+from labelforge.operators.metrics import CONFIDENCE, MAX_RESAMPLED, N_DRAWS, _interval, draw_table, steps_below
 
 
 def score_grid(examples: DataFrame, queries: DataFrame) -> DataFrame:
@@ -71,9 +71,8 @@ def bootstrap_mrr(
         ends = np.cumsum([r["n"] for r in rows]).tolist()
         table = draw_table(ranks, draws).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))))
         row = F.pmod(hash_int("draw", "i", seed=seed), F.lit(total))
-        bounds = F.array(*[F.lit(e) for e in ends])
         values = F.array(*[F.lit(1.0 / r["rank"]) if r["rank"] > 0 else F.lit(None).cast("double") for r in rows])
-        cell = F.size(F.filter(bounds, lambda e: e <= F.col("row")))
+        cell = steps_below(F.col("row"), ends)
         scores = table.withColumn("row", row).groupBy("draw").agg(F.avg(F.get(values, cell)).alias("mrr"))
     else:
         shares = np.array([r["n"] for r in rows]) / max(total, 1)

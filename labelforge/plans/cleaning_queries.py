@@ -36,7 +36,7 @@ def prepared_label_shares(t):
 
 @query("clean_and_count", f"select doc_id, clean_text, {sql_tokens('clean_text')} as token_counts from (select doc_id, {sql_clean('text')} as clean_text from documents)")
 def clean_and_count(t):
-    return op.measure(t.documents.select("doc_id", "text")).select("doc_id", "clean_text", "token_counts")
+    return op.measure(t.texts.select("doc_id", "text")).select("doc_id", "clean_text", "token_counts")
 
 
 CONTACTS = " see https://a.example.org/x?y=1&z=2 or WWW.Example.net, mail a.b+c@mail.example.com; call +1 555-123-4567 or (555) 123 4567"
@@ -44,7 +44,7 @@ CONTACTS = " see https://a.example.org/x?y=1&z=2 or WWW.Example.net, mail a.b+c@
 
 @query("mask_contacts", f"select doc_id, {sql_clean(f'(text || {sql_text(CONTACTS)})')} as masked from documents")
 def mask_contacts(t):
-    return t.documents.select("doc_id", tx.clean_text(F.concat("text", F.lit(CONTACTS))).alias("masked"))
+    return t.texts.select("doc_id", tx.clean_text(F.concat("text", F.lit(CONTACTS))).alias("masked"))
 
 
 @query("length_filter", f"select doc_id, clean_text as text, label from ({MEASURED}) where token_counts >= 40 and token_counts < 400", ("v_task",))
@@ -70,13 +70,13 @@ _PHRASE = "string_split(text, ' ')[1]"
 
 @query("remove_row_phrase", f"""select doc_id, {sql_strip(f"regexp_replace(text, '(?i)' || regexp_replace({_PHRASE}, '([^A-Za-z0-9 ])', '\\\\\\1', 'g'), '', 'g')")} as text from documents where {sql_fold('text')} = text and length({_PHRASE}) > 0""")
 def remove_row_phrase(t):
-    ascii_only = t.documents.filter(tx.ascii_fold("text") == F.col("text")).withColumn("phrase", F.element_at(F.split("text", " "), 1))
+    ascii_only = t.texts.filter(tx.ascii_fold("text") == F.col("text")).withColumn("phrase", F.element_at(F.split("text", " "), 1))
     return ascii_only.filter(F.length("phrase") > 0).select("doc_id", tx.remove_phrase("text", "phrase").alias("text"))
 
 
 @query("normalise_hard", f"select doc_id, {sql_normal(sql_fold('text'))} as text from documents")
 def normalise_hard(t):
-    return t.documents.select("doc_id", tx.normalise_hard(tx.ascii_fold("text")).alias("text"))
+    return t.texts.select("doc_id", tx.normalise_hard(tx.ascii_fold("text")).alias("text"))
 
 
 def _table(t, pairs):
@@ -153,7 +153,7 @@ prof as (select gram, lang, ln((n + 1) / (sum(n) over (partition by lang) + coun
 
 @query("language_profiles", f"with {_GRAMS} select gram, lang, round(score, 6) as score from prof")
 def language_profiles(t):
-    return language.fit_profiles(t.documents).select("gram", "lang", F.round("score", 6).alias("score"))
+    return language.fit_profiles(t.texts).select("gram", "lang", F.round("score", 6).alias("score"))
 
 
 @query("detect_language", f"""with {_GRAMS},
@@ -164,5 +164,5 @@ b as (select doc_id, max(score) as score, arg_max(lang, score) as language from
 select d.doc_id, b.language, case when coalesce(length(regexp_replace(d.text, '[^\\p{{L}}\\s]', '', 'g')) / greatest(length(d.text), 1), 0) < 0.5 then 'noise'
  when coalesce(b.score, -12.0) < -9.5 then 'word salad' else 'clean' end as gibberish from documents d left join b using (doc_id)""")
 def detect_language(t):
-    docs = t.documents.select("doc_id", "text", "lang")
+    docs = t.texts.select("doc_id", "text", "lang")
     return language.detect(docs.select("doc_id", "text"), language.fit_profiles(docs), "doc_id").select("doc_id", "language", "gibberish")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from labelforge.functions.hashing import hash_int
 from labelforge.functions.text import ascii_fold, clean_text, normalise_hard
 from labelforge.operators import dedup as op
 from labelforge.operators.cleaning import computed_once
@@ -39,8 +40,8 @@ def drop_conflicting_negatives(t):
 g as (select 'text' as definition, count(*) as n from k group by a union all select 'clean_text', count(*) from k group by b union all select 'clean_text+label', count(*) from k group by b, label)
 select definition, sum(n)::BIGINT as n_rows, coalesce(sum(n) filter (n > 1), 0)::BIGINT as with_copy, sum(n - 1)::BIGINT as surplus from g group by 1""", ("v_dup",))
 def duplicate_counts(t):
-    clean = op.digest(clean_text("text"))
-    return op.duplicate_counts(t.v_dup, {"text": [op.digest("text")], "clean_text": [clean], "clean_text+label": [clean, F.col("label")]})
+    df = t.texts.select(op.digest("text").alias("raw"), op.digest(clean_text("text")).alias("clean"), (hash_int("doc_id", seed="d") % 2).alias("label"))
+    return op.duplicate_counts(df, {"text": [F.col("raw")], "clean_text": [F.col("clean")], "clean_text+label": [F.col("clean"), F.col("label")]})
 
 
 @query("entity_blind_copies", f"""with k as (select doc_id, {sql_normal(r"case when w = '' then f else regexp_replace(f, '(?i)' || regexp_replace(w, '([^A-Za-z0-9 ])', '\\\1', 'g'), '', 'g') end")} as x
@@ -48,7 +49,7 @@ def duplicate_counts(t):
 select doc_id, count(*) over (partition by x) as n_copies from k qualify n_copies > 1""")
 def entity_blind_copies(t):
     """Copies once every occurrence of a text's own first word is taken out."""
-    df = computed_once(t.documents.select("doc_id", "text"), "folded", ascii_fold("text"))
+    df = computed_once(t.texts.select("doc_id", "text"), "folded", ascii_fold("text"))
     return op.entity_blind_copies(df.withColumn("phrase", F.element_at(F.split("folded", " "), 1)), "folded", "phrase", "doc_id")
 
 
@@ -59,7 +60,7 @@ _SPLIT = f"""s as (select doc_id, text, case when u < 0.8::DOUBLE then 'train' w
 @query("leakage_matrix", f"""with {_SPLIT}, n as (select text, split, count(*) as n from s group by all)
 select a.split as split_a, b.split as split_b, count(*) as texts, sum(a.n * b.n)::BIGINT as row_pairs from n a join n b on a.text = b.text and a.split < b.split group by all""")
 def leakage_matrix(t):
-    return op.leakage_matrix(hash_bucket_split(t.documents.select("doc_id", "text"), "doc_id"))
+    return op.leakage_matrix(hash_bucket_split(t.texts.select("doc_id", "text"), "doc_id"))
 
 
 @query("leaking_rows", f"with {_SPLIT} select b.doc_id, a.n as n_copies from s b join (select text, count(*) as n from s where split = 'train' group by 1) a using (text) where b.split = 'test'")
@@ -72,7 +73,7 @@ _LINES = lambda table, key: f"select distinct {key}, line from (select {key}, {s
 
 @query("benchmark_contamination", f"select doc_id, item_id, count(*) as lines from ({_LINES('documents', 'doc_id')}) a join ({_LINES('benchmark', 'item_id')}) b using (line) group by all")
 def benchmark_contamination(t):
-    docs = t.documents.select("doc_id", ascii_fold("text").alias("text"))
+    docs = t.texts.select("doc_id", ascii_fold("text").alias("text"))
     return op.contamination(docs, t.benchmark.select("item_id", ascii_fold("text").alias("text")), "doc_id", "item_id")
 
 

@@ -5,6 +5,7 @@ Every view exists twice, as a DataFrame and as SQL; derived labels come from the
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ RING = {"de": "en", "en": "es", "es": "fr", "fr": "de"}
 STANCES = ["strongly_supporting", "supporting", "no_position_or_mixed_position", "not_supporting", "opposing"]
 READABLE = {"de": "Group A, German", "en": "Group A, English", "es": "Group B, Spanish", "fr": "Group B, French"}
 N_WORKERS = 8
+SMALL_FILE = 128 << 20
 
 
 def next_label(c: Column) -> Column:
@@ -52,10 +54,21 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """``documents`` for queries that work hard on every text.
+
+        A test table is one file with one row group, which one task reads. Such a small table is spread over the
+        cores first; a large one has row groups for all of them and is not shuffled.
+        """
+        path = f"{self.folder}/documents.parquet"
+        small = os.path.isfile(path) and os.path.getsize(path) < SMALL_FILE
+        return self.documents.repartition(self.spark.sparkContext.defaultParallelism) if small else self.documents
+
     @cached_property
     def v_task(self) -> DataFrame:
         labels = self.labels.select("doc_id", F.col("quality").cast("string").alias("label"))
-        return self.documents.select("doc_id", "text", "lang", "source").join(labels, "doc_id")
+        return self.texts.select("doc_id", "text", "lang", "source").join(labels, "doc_id")
 
     @cached_property
     def v_lang(self) -> DataFrame:
@@ -98,7 +111,7 @@ class Tables:
 
     @cached_property
     def v_para(self) -> DataFrame:
-        lines = self.documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        lines = self.texts.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
         kind = F.when(hash_int("doc_id", "pos", seed="t") % 10 < 8, "NarrativeText").otherwise("Title")
         words = F.size(F.split(F.trim("text"), " +"))
         return lines.select(
