@@ -57,15 +57,20 @@ def _checked(flat: DataFrame) -> DataFrame:
     return flat.withColumn("pages", F.when(F.size("pages") > 0, F.array_sort(F.array_distinct("pages"))).otherwise(failure))
 
 
-def _best(shared: DataFrame, own: str) -> DataFrame:
-    """Per facet: the summed weights of one side's tuples.
+def _weights(shared: DataFrame) -> DataFrame:
+    """Per facet: the summed weights of both sides' tuples, in one pass over the pairs.
 
     A tuple counts when a tuple with its query and stance shares a page; its weight is the largest share of its pages
     that any tuple of the document covers.
     """
-    weight = F.max(F.col("common") / F.col(f"n_{own}"))
-    best = shared.groupBy("facet", "document_id", own).agg(F.max("same").alias("hit"), weight.alias("w"))
-    return best.groupBy("facet").agg(F.sum(F.when(F.col("hit") == 1, F.col("w"))).alias(f"w_{own}"))
+    ends = F.explode(F.array(*[
+        F.struct(F.lit(x).alias("side"), F.col(x).alias("id"), (F.col("common") / F.col(f"n_{x}")).alias("w")) for x in ("s", "g")
+    ])).alias("e")
+    rows = shared.select("facet", "document_id", "same", ends).select("facet", "document_id", "same", "e.*")
+    best = rows.groupBy("facet", "document_id", "side", "id").agg(F.max("same").alias("hit"), F.max("w").alias("w"))
+    counted = best.filter("hit = 1")
+    total = lambda x: F.sum(F.when(F.col("side") == x, F.col("w"))).alias(f"w_{x}")
+    return counted.groupBy("facet").agg(total("s"), total("g"))
 
 
 def overlap_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -84,7 +89,7 @@ def overlap_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     sizes = g.select("facet", F.lit(1).alias("is_g")).unionByName(s.select("facet", F.lit(0).alias("is_g"))).groupBy("facet").agg(
         F.sum("is_g").alias("g"), F.sum(1 - F.col("is_g")).alias("s")
     )
-    one = sizes.join(_best(shared, "s"), "facet", "left").join(_best(shared, "g"), "facet", "left").fillna(0.0, ["w_s", "w_g"])
+    one = sizes.join(_weights(shared), "facet", "left").fillna(0.0, ["w_s", "w_g"])
     p = F.col("w_s") / (F.col("s") + F.lit(EPSILON))
     r = F.col("w_g") / (F.col("g") + F.lit(EPSILON))
     return _scored(one.select("facet", "g", "s", p.alias("p"), r.alias("r")), "overlap")

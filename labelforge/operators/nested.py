@@ -7,18 +7,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The separator between blocks of a rebuilt page is a backslash and an n, not a line feed.
 BLOCK_SEPARATOR = "\\n"
 
-DOCUMENT_SCHEMA = T.StructType.fromDDL(
+DOCUMENT_SCHEMA = (
     "document_id string,"
     "sentences array<struct<page_idx:int,sentence_id:string,block_idx:int,block_sentence_idx:int,text:string>>,"
     "evidences array<struct<query:string,stance:string,page_indices:array<int>,comment:string>>,"
     "meta struct<evidences:array<array<struct<sentence_ids:array<string>>>>>"
 )
-CLAIM_SCHEMA = T.StructType.fromDDL(
+CLAIM_SCHEMA = (
     "claim_id string, claim string, claim_label string,"
     "evidences array<struct<article:string,entropy:double,evidence:string,evidence_id:string,evidence_label:string,"
     "votes:array<string>>>"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelforge.functions.answers import (
     ANSWER_PATTERN, PAGES_SLOT, QUERY_SLOT, TEXT_SLOT, extract_prompt, parse_explanation, parse_label,
@@ -24,7 +23,7 @@ ANNOTATOR_SYSTEM = (
     "tasks. Please follow the instructions."
 )
 
-RESPONSE_SCHEMA = T.StructType.fromDDL(
+RESPONSE_SCHEMA = (
     "id string, custom_id string, response struct<status_code:int,request_id:string,body:struct<id:string,object:string,"
     "created:bigint,model:string,choices:array<struct<index:int,message:struct<role:string,content:string,refusal:string>,"
     "logprobs:string,finish_reason:string>>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,"
