@@ -108,19 +108,20 @@ def leaking_rows(df: DataFrame, source: str, target: str, key: str, text: str =
 def contamination(
     documents: DataFrame, items: DataFrame, key: str, item_key: str, text: str = "text", item_text: str = "text"
 ) -> DataFrame:
-    """(key, item_key) where a line of the document equals a line of the benchmark item, with the lines shared.
+    """Per document: ``lines`` that also occur in a benchmark item, and ``item_hits``, over these lines the items that
+    have them.
 
-    The lines of the items are the small side in practice, but nothing relies on it: the join is on the digest of
-    the normalised line, and a line that many items share is counted per item first.
+    Lines meet on the digest of their normalised text. The items of a line are counted before the join, so that a
+    line of many documents and many items is not multiplied out.
     """
     def lines(df: DataFrame, k: str, t: str) -> DataFrame:
         parts = df.select(F.col(k), F.explode(F.split(F.col(t), "\n")).alias("line"))
         norm = parts.select(k, normalise_hard("line").alias("line")).filter(F.length("line") > 0)
-        return norm.select(k, digest("line").alias("d")).distinct()
+        return norm.select(k, digest("line").alias("d"))
 
-    a = lines(documents, key, text)
-    b = lines(items, item_key, item_text)
-    return a.join(b, "d").groupBy(key, item_key).agg(F.count(F.lit(1)).alias("lines"))
+    known = lines(items, item_key, item_text).distinct().groupBy("d").agg(F.count(F.lit(1)).alias("n_items"))
+    found = lines(documents, key, text).distinct().join(known, "d")
+    return found.groupBy(key).agg(F.count(F.lit(1)).alias("lines"), F.sum("n_items").alias("item_hits"))
 
 
 def edit_distance_pairs(

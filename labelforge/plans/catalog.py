@@ -118,6 +118,49 @@ POLICY_QUERIES = {
 }
 
 
+# Display names; other names are shown as they are.
+DISPLAY_NAMES = {
+    "climateFEVER_claim": "climateFEVER claim (our split)",
+    "climateFEVER_claim_agg": "climateFEVER claim (ours split, aggregated)",
+    "climateFEVER_claim_climabench_agg": "climateFEVER claim (climabench split, aggregated)",
+    "climateFEVER_evidence_ours": "climateFEVER evidence (our split)",
+    "climateFEVER_evidence_climabench": "climateFEVER evidence (climabench split)",
+    "netzero_reduction_duplicated": "Net-Zero/Reduction (with duplicates)",
+    "netzero_reduction": "Net-Zero/Reduction",
+    "ClimaINS_rebuilt": "ClimaINS (our split)",
+    "climateFEVER_evidence": "climateFEVER evidence",
+    "climateBUG_data": "climateBUG-data",
+    "climate_commitments_actions": "Commitments And Actions",
+    "climate_detection": "ClimateBERT's Climate detection",
+    "climate_specificity": "Climate Specificity",
+    "climate_sentiment": "climate sentiment",
+    "climate_tcfd_recommendations": "Climate TCFD recommendations",
+    "esgbert_category_water": "esgbert Water",
+    "esgbert_category_forest": "esgbert Forest",
+    "esgbert_category_biodiversity": "esgbert Biodiversity",
+    "esgbert_category_nature": "esgbert Nature",
+    "environmental_claims": "Environmental Claims",
+    "green_claims": "Green Claims",
+    "green_claims_3": "Implicit/Explicit Green Claims",
+    "contrarian_claims": "CC-Contrarian Claims",
+    "esgbert_e": "ESGBERT E",
+    "esgbert_s": "ESGBERT S",
+    "esgbert_g": "ESGBERT G",
+    "gw_stance_detection": "Global-Warming Stance (GWSD)",
+    "sustainable_signals_review": "SUSTAINABLESIGNALS reviews",
+    "lobbymap_stance": "LobbyMap (Stance)",
+    "lobbymap_query": "LobbyMap (Query)",
+    "lobbymap_pages": "LobbyMap (Pages)",
+    "lobbymap_query_p": "LobbyMap (Page)",
+    "lobbymap_query_stance": "LobbyMap (Stance)",
+    "climatext": "climatext (Wiki-doc)",
+    "climatext_wiki": "climatext (Wikipedia)",
+    "climatext_10k": "climatext (10k)",
+    "climatext_claim": "climatext (claim)",
+    "esgbert_action500": "ESGBERT action500",
+}
+
+
 @dataclass(frozen=True)
 class TaskSpec:
     """Settings of one task."""
@@ -201,3 +244,8 @@ def stance_labels(spark: SparkSession) -> DataFrame:
     """(task, y_pred, stance)."""
     rows = [(t, k, v) for t, names in STANCES.items() for k, v in names.items()]
     return spark.createDataFrame(rows, "task string, y_pred string, stance string")
+
+
+def display_names(spark: SparkSession) -> DataFrame:
+    """(key, value) for an identity mapping of task names."""
+    return spark.createDataFrame(list(DISPLAY_NAMES.items()), "key string, value string")

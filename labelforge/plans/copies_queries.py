@@ -71,7 +71,7 @@ def leaking_rows(t):
 _LINES = lambda table, key: f"select distinct {key}, line from (select {key}, {sql_normal(sql_fold('l'))} as line from (select {key}, unnest(string_split(text, chr(10))) as l from {table})) where length(line) > 0"
 
 
-@query("benchmark_contamination", f"select doc_id, item_id, count(*) as lines from ({_LINES('documents', 'doc_id')}) a join ({_LINES('benchmark', 'item_id')}) b using (line) group by all")
+@query("benchmark_contamination", f"select doc_id, count(distinct line) as lines, count(*) as item_hits from ({_LINES('documents', 'doc_id')}) a join ({_LINES('benchmark', 'item_id')}) b using (line) group by all")
 def benchmark_contamination(t):
     docs = t.texts.select("doc_id", ascii_fold("text").alias("text"))
     return op.contamination(docs, t.benchmark.select("item_id", ascii_fold("text").alias("text")), "doc_id", "item_id")

@@ -42,9 +42,9 @@ _FINAL = f"select metric, facet, g, s, c, {_PS('p')} as p, {_PS('r')} as r, {_PS
 _VIEWS = ("v_evid_gold", "v_evid_pred")
 
 
-@query("overlap_scores", f"with x as ({_OVERLAP}) {_FINAL}", _VIEWS)
+@query("overlap_scores", f"with x as ({_OVERLAP}) {_FINAL.replace('g, s, c,', 'g, s,')}", _VIEWS)
 def overlap_scores(t):
-    return op.overlap_scores(t.v_evid_gold, t.v_evid_pred)
+    return op.overlap_scores(t.v_evid_gold, t.v_evid_pred).drop("c")
 
 
 @query("document_scores", f"with x as ({_DOCUMENT}) {_FINAL}", _VIEWS)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import clean_text, normalise_hard, remove_phrase
-from labelforge.operators import cleaning, dedup, nested, splits, voting
+from labelforge.operators import baselines, cleaning, dedup, nested, splits, voting
 from labelforge.operators.language import detect
 from labelforge.operators.stats import value_counts
 from labelforge.plans import catalog
@@ -211,21 +211,84 @@ def annotate_and_write(df: DataFrame, dataset: str, key: str, profiles: DataFram
     )
 
 
+def _of(predictions: DataFrame, tasks: Sequence[str], allowed: Sequence[str]) -> DataFrame:
+    voting.check_tasks(tasks, allowed)
+    return predictions.filter(F.col("task").isin(*tasks))
+
+
+def _yes_no(predictions: DataFrame, key: str, tasks: Sequence[str], allowed: Sequence[str], mode: str, name: str) -> DataFrame:
+    rows = _of(predictions, tasks, allowed)
+    return voting.vote(voting.positive_flags(rows, catalog.positives(predictions.sparkSession, tasks)), key, mode, name=name)
+
+
+def climate_related(predictions: DataFrame, key: str, tasks: Sequence[str] = catalog.CLIMATE_TASKS, mode: str = "majority") -> DataFrame:
+    """Is the text about climate? Vote of the climate classifiers."""
+    return _yes_no(predictions, key, tasks, catalog.CLIMATE_TASKS, mode, "climate")
+
+
+def green_claims(predictions: DataFrame, key: str, tasks: Sequence[str] = catalog.CLAIM_TASKS, mode: str = "majority") -> DataFrame:
+    """Does the text make an environmental claim?"""
+    return _yes_no(predictions, key, tasks, catalog.CLAIM_TASKS, mode, "environmental_claim")
+
+
+def topics(predictions: DataFrame, key: str, tasks: Sequence[str] = catalog.TOPIC_TASKS) -> DataFrame:
+    """One readable label column per topic task."""
+    rows = _of(predictions, tasks, catalog.TOPIC_TASKS)
+    return voting.label_columns(rows, key, tasks, catalog.readable_labels(predictions.sparkSession))
+
+
+def characteristics(predictions: DataFrame, key: str, tasks: Sequence[str] = catalog.CHARACTERISTIC_TASKS[:5]) -> DataFrame:
+    """One readable label column per characteristic task."""
+    rows = _of(predictions, tasks, catalog.CHARACTERISTIC_TASKS)
+    return voting.label_columns(rows, key, tasks, catalog.readable_labels(predictions.sparkSession))
+
+
+def stance(predictions: DataFrame, key: str, tasks: Sequence[str] = catalog.STANCE_TASKS, mode: str = "majority") -> DataFrame:
+    """Support, Denies or Neutral."""
+    return voting.stance_vote(_of(predictions, tasks, catalog.STANCE_TASKS), key, catalog.stance_labels(predictions.sparkSession), mode)
+
+
+def single_task(predictions: DataFrame, key: str, task: str) -> DataFrame:
+    """The readable label of one task."""
+    return voting.label_columns(_of(predictions, [task], [task]), key, [task], catalog.readable_labels(predictions.sparkSession))
+
+
+def train_cascade(pages: DataFrame, key: str, **settings) -> dict:
+    """Fits for the page, query and stance steps from (key, text, query, stance) page rows, null query = no evidence.
+
+    Returns the page baseline, a function page rows -> query lists, and the stance baseline.
+    """
+    flagged = pages.groupBy(key, "text").agg(F.bool_or(F.col("query").isNotNull()).cast("string").alias("label"))
+    found = pages.filter(F.col("query").isNotNull())
+    listed = nested.collect_labels(found, [key, "text"], "query", repeats=False)
+    return {
+        "page": baselines.fit_baseline(flagged, **settings),
+        "query": lambda test: baselines.predict_multilabel(listed, test, key, **settings),
+        "stance": baselines.fit_baseline(found, "stance", query="query", query_kind="onehot", **settings),
+    }
+
+
+def run_cascade(models: dict, pages: DataFrame, key: str) -> DataFrame:
+    """Page, queries and stances of unseen (key, text) pages: each step scores only what the one before let through."""
+    flagged = models["page"].predict(pages, "said").select(key, "text", (F.col("said") == "true").alias("hit"))
+    queried = models["query"](flagged.filter("hit").select(key, "text")).withColumnRenamed("y_pred", "queries")
+    pairs = flagged.filter("hit").join(queried, key).select(key, "text", F.explode("queries").alias("query"))
+    stances = models["stance"].predict(pairs, "stance").select(key, "query", "stance")
+    return voting.cascade(flagged.join(queried, key, "left"), key, "hit", "queries", stances)
+
+
 def report_columns(paragraphs: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """Paragraphs with the columns of the report: climate vote, topics, claims, characteristics, stance.
 
     ``predictions(key, task, y_pred)`` holds every classifier's label for every paragraph, of all files at once.
     """
-    spark = paragraphs.sparkSession
-    of = lambda tasks: predictions.filter(F.col("task").isin(*tasks))
-    climate = voting.vote(voting.positive_flags(of(catalog.CLIMATE_TASKS), catalog.positives(spark, catalog.CLIMATE_TASKS)), key, name="climate")
-    claim_tasks = ["environmental_claims"]
-    claim = voting.vote(voting.positive_flags(of(claim_tasks), catalog.positives(spark, claim_tasks)), key, name="environmental_claim")
     named = catalog.TOPIC_TASKS + catalog.CHARACTERISTIC_TASKS[1:5]
-    labels = voting.label_columns(of(named), key, named, catalog.readable_labels(spark))
-    stance = voting.stance_vote(of(catalog.STANCE_TASKS), key, catalog.stance_labels(spark))
+    labels = voting.label_columns(
+        _of(predictions, named, named), key, named, catalog.readable_labels(paragraphs.sparkSession)
+    )
+    parts = (climate_related(predictions, key), green_claims(predictions, key, ["environmental_claims"]), labels, stance(predictions, key))
     out = paragraphs
-    for part in (climate, claim, labels, stance):
+    for part in parts:
         out = out.join(part, key, "left")
     return out
 

@@ -157,9 +157,9 @@ def bootstrap_multilabel_f1(t):
 @query("result_row", f"""with {_cells('v_pred').replace('sides as', 'sides0 as').replace('from sides ', 'from sides0 ').replace('sums as', 'sums0 as').replace('from sums)', 'from sums0)')},
 c as (select * from cells), {_DRAW(100)}, ci as (select quantile_cont(macro_f1, 0.025) as lower, quantile_cont(macro_f1, 0.975) as upper from f)
 select 'documents' as dataset_name, 'noisy' as model_type, round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg(rep.f), 6) as performance, 'f1_score' as performance_type, 4 as n_labels, 42 as seed,
- round(max(upper), 6) as f1_upper, round(max(lower), 6) as f1_lower, null::INTEGER as n_epoch, round(sum(rep.f * support) / sum(support), 6) as weighted_f1, round(sum(tp) / sum(support), 6) as accuracy from rep, ci""", ("v_pred",))
+ round(max(upper), 6) as f1_upper, round(max(lower), 6) as f1_lower, round(sum(rep.f * support) / sum(support), 6) as weighted_f1, round(sum(tp) / sum(support), 6) as accuracy from rep, ci""", ("v_pred",))
 def result_row(t):
-    row = op.result_row(t.v_pred, "documents", "noisy", 4, draws=100)
+    row = op.result_row(t.v_pred, "documents", "noisy", 4, draws=100).drop("n_epoch")
     return rounded(row, "performance", "f1_upper", "f1_lower", "precision", "recall", "weighted_f1", "accuracy")
 
 

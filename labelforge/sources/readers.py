@@ -115,5 +115,5 @@ def unseen_files(listing: DataFrame, done: DataFrame, file_name: str = "file_nam
 
 def unwrap_json(df: DataFrame, value: str, schema: str) -> DataFrame:
     """A JSON document that is itself a string inside JSON: parse the string, then what it holds."""
-    inner = F.from_json(value, "string")
-    return df.withColumn(value, F.from_json(F.coalesce(F.get_json_object(F.concat(F.lit('{"x":'), F.col(value), F.lit("}")), "$.x"), inner), schema))
+    inner = F.get_json_object(F.concat(F.lit('{"x":'), F.col(value), F.lit("}")), "$.x")
+    return df.withColumn(value, F.from_json(inner, schema))
