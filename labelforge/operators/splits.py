@@ -262,7 +262,8 @@ def _ring_round(pool: DataFrame, todo: DataFrame, known: DataFrame, rings: int,
     seats = placed.select(
         "ring", "place", F.col("id").alias("drawn"), F.col("q").alias("drawn_q"), F.col("a").alias("drawn_a")
     )
-    walkers = placed.join(todo.select("id"), "id", "left_semi").select(
+    walking = placed if todo is pool else placed.join(todo.select("id"), "id", "left_semi")
+    walkers = walking.select(
         "id", "q", "a", "ring", "place", "size", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("step")
     )
     walkers = walkers.filter(F.col("step") < F.col("size")).withColumn(
