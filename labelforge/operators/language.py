@@ -11,34 +11,46 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import ascii_fold
+from labelforge.operators.attach import small_table
 
 FLOOR = -12.0  # log probability of a trigram no profile knows
 NOISE_LETTERS = 0.5
 SALAD_SCORE = -9.5
 
 
-def _trigrams(text: str):
-    words = F.regexp_extract_all(F.lower(ascii_fold(text)), F.lit("[a-z]+"), F.lit(0))
-    grams = lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w)), lambda i: F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(3))
-    )
-    return F.flatten(F.transform(words, grams))
+def _words(text: str):
+    return F.regexp_extract_all(F.lower(ascii_fold(text)), F.lit("[a-z]+"), F.lit(0))
+
+
+def _explode_trigrams(df: DataFrame, word: str = "word") -> DataFrame:
+    """One row per trigram of a marked word. Two plain generators are compiled, nested array functions are not."""
+    places = F.explode(F.sequence(F.lit(1), F.length(word))).alias("i")
+    gram = F.substring(F.concat(F.lit("^"), F.col(word), F.lit("$")), F.col("i"), F.lit(3))
+    return df.select("*", places).withColumn("gram", gram).drop("i", word)
 
 
 def fit_profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(gram, lang, score): log of the trigram's share in the language, with one count added to each."""
-    counts = df.select(lang, F.explode(_trigrams(text)).alias("gram")).groupBy(lang, "gram").agg(F.count(F.lit(1)).alias("n"))
-    inside = W.partitionBy(lang)  # at most 28^3 rows
+    """(gram, lang, score): log of the trigram's share in the language, with one count added to each.
+
+    Words are counted first, so that each distinct word is cut once.
+    """
+    words = df.select(F.col(lang).alias("lang"), F.explode(_words(text)).alias("word")).groupBy("lang", "word")
+    grams = _explode_trigrams(words.agg(F.count(F.lit(1)).alias("n")))
+    counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    inside = W.partitionBy("lang")  # at most 28^3 rows
     share = (F.col("n") + 1) / (F.sum("n").over(inside) + F.count(F.lit(1)).over(inside))
-    return counts.select("gram", F.col(lang).alias("lang"), F.log(share).alias("score"))
+    return counts.select("gram", "lang", F.log(share).alias("score"))
 
 
 def detect(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Add ``language``, ``score`` (mean log probability per trigram) and ``gibberish``."""
+    profiles = small_table(profiles)  # bounded by 28^3 trigrams times the languages
+    if profiles is None:
+        raise ValueError("too many languages for a broadcast profile")
     packed = profiles.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "score"))).alias("m"))
     names = [r[0] for r in profiles.select("lang").distinct().orderBy("lang").limit(200).collect()]
     one = packed.select("gram", *[F.coalesce(F.col("m")[n], F.lit(FLOOR)).alias(f"s{i}") for i, n in enumerate(names)])
-    cut = df.select(key, F.explode(_trigrams(text)).alias("gram")).join(F.broadcast(one), "gram", "left")
+    cut = _explode_trigrams(df.select(key, F.explode(_words(text)).alias("word"))).join(F.broadcast(one), "gram", "left")
     sums = cut.groupBy(key).agg(*[F.avg(F.coalesce(F.col(f"s{i}"), F.lit(FLOOR))).alias(f"s{i}") for i in range(len(names))])
     best = F.greatest(*[F.struct(F.col(f"s{i}").alias("score"), F.lit(n).alias("lang")) for i, n in enumerate(names)]) if len(names) > 1 else F.struct(F.col("s0").alias("score"), F.lit(names[0]).alias("lang"))
     scored = sums.select(key, best.alias("b")).select(key, F.col("b.lang").alias("language"), F.col("b.score").alias("score"))
