@@ -206,7 +206,8 @@ def sample_documents_per_query(
     seed: int | str = DEFAULT_SEED,
 ) -> DataFrame:
     """All rows of up to ``n`` documents per query value (null is a value of its own)."""
-    pairs = df.select(query, document).distinct()
+    # The cut reads the pairs three times; they are far smaller than what they come from.
+    pairs = cut_lineage(df.select(query, document).distinct())
     chosen = take_up_to(pairs, [query], document, n, seed).select(document).distinct()
     return df.join(chosen, document, "left_semi")
 
