@@ -25,6 +25,7 @@ from labelforge.operators.stats import class_weights, most_frequent
 
 MAX_ITER = 1000  # fixed value: iteration cap of the logistic regression
 TOLERANCE = 1e-4
+MAX_LABELS = 1000
 VOCABULARY = 1 << 18
 
 
@@ -143,7 +144,10 @@ def predict_multilabel(
 ) -> DataFrame:
     """(key, y_pred list): one balanced binary regression per train label over shared TF-IDF features."""
     if labels is None:
-        labels = [r[0] for r in train.select(F.explode(label)).distinct().orderBy("col").limit(1000).collect()]
+        known = small_table(train.select(F.explode(label).alias("name")).distinct(), MAX_LABELS)
+        if known is None:
+            raise ValueError(f"more than {MAX_LABELS} labels: one regression per label is not the way for them")
+        labels = [r[0] for r in known.orderBy("name").collect()]
     features = fit_tfidf(train, text, "features", vocabulary)
     ready = features.transform(with_folded(train, text, "features_folded")).select("features", label)
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)

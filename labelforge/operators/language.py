@@ -48,7 +48,7 @@ def detect(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") ->
     if profiles is None:
         raise ValueError("too many languages for a broadcast profile")
     packed = profiles.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "score"))).alias("m"))
-    names = [r[0] for r in profiles.select("lang").distinct().orderBy("lang").limit(200).collect()]
+    names = [r[0] for r in profiles.select("lang").distinct().orderBy("lang").collect()]
     one = packed.select("gram", *[F.coalesce(F.col("m")[n], F.lit(FLOOR)).alias(f"s{i}") for i, n in enumerate(names)])
     cut = _explode_trigrams(df.select(key, F.explode(_words(text)).alias("word"))).join(F.broadcast(one), "gram", "left")
     sums = cut.groupBy(key).agg(*[F.avg(F.coalesce(F.col(f"s{i}"), F.lit(FLOOR))).alias(f"s{i}") for i in range(len(names))])
