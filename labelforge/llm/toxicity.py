@@ -27,7 +27,7 @@ SAMPLE = {1: 5000, 0: 10_000}
 ENTRIES = 400
 KINDS = ("w", 4, 5, 6)
 #: An entry's log odds against toxic texts must be this high, and this many toxic sample texts must hold it.
-ODDS, SUPPORT = 3.0, 4
+ODDS, SUPPORT = 3.0, 3
 BANDS = 3
 
 INSULTS = frozenset(
