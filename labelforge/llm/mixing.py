@@ -1,7 +1,7 @@
 """Mixing sources to target weights: exact block quotas, dealt to output shards by a multivariate-hypergeometric splitting tree.
 
 A source's target is met by whole epochs of the source and a remainder. The documents of a source lie in about
-sqrt(count)/2 blocks by hash, the blocks in a permuted order; the remainder takes blocks in that order, and documents of the
+sqrt(count)/4 blocks by hash, the blocks in a permuted order; the remainder takes blocks in that order, and documents of the
 last one in hash order. The blocks that a source gives are its quota. The tree cuts the shards in halves, and draws how
 many blocks of each source go left from the multivariate hypergeometric law (what dealing all blocks at random would
 give) until one shard is left; the quotas stay exact. Every shard then takes the next blocks of each source's order, so that
@@ -68,7 +68,7 @@ def _targets(weights: tuple[float, ...], most_times: float):
         epochs = np.minimum(np.floor(times + 1e-12), most_times).astype(np.int64)
         rows["target"], rows["epochs"] = target, epochs
         rows["remainder"] = np.where(epochs >= most_times, 0.0, np.maximum(target - epochs * sizes, 0.0))
-        rows["blocks"] = np.maximum(1, np.ceil(np.sqrt(rows["n"].to_numpy(float)) / 2)).astype(np.int64)
+        rows["blocks"] = np.maximum(1, np.ceil(np.sqrt(rows["n"].to_numpy(float)) / 4)).astype(np.int64)
         return rows[["source", "source_size", "target", "epochs", "remainder", "blocks"]]
 
     return run
@@ -91,6 +91,27 @@ def _choose(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "block", "epochs", "place", "take", "part"]]
 
 
+def _close(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one block that is taken in part: documents in hash order while they fit, then each that still fits, then the one that brings the sum nearest."""
+    sizes = rows.groupby("lot", sort=True)["size"].sum()  # ties of the lot go together
+    lots, words, left = sizes.index.to_numpy(np.int64), sizes.to_numpy(np.int64), float(rows["part"].iloc[0])
+    whole = int((np.cumsum(words) <= left).sum())
+    left -= float(words[:whole].sum())
+    extra, rest = [], []
+    for lot, size in zip(lots[whole:].tolist(), words[whole:].tolist(), strict=True):
+        if size <= left:
+            extra.append(lot)
+            left -= size
+        else:
+            rest.append((lot, size))
+    best = min(((abs(size - left), lot) for lot, size in rest), default=(left, 0))
+    if best[0] < left:
+        extra.append(best[1])
+    cut = int(lots[whole - 1]) if whole else None
+    out = pd.DataFrame({"source": rows["source"].iloc[:1], "block": rows["block"].iloc[:1]}).reset_index(drop=True)
+    return out.assign(cut=pd.array([cut], "Int64"), extra=[extra])
+
+
 def _deal(shards: int, seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # one row per source
@@ -145,17 +166,8 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], most_times: float, shard_
     # only the one block of each source that the remainder takes in part is ordered; ties of the lot go together
     part = chosen.filter("take = 2").select("source", "block", "part")
     edge = attach_small(rows.select("source", "block", "size", "lot"), part, ["source", "block"], "inner")
-    upto = F.expr("sum(size) over (partition by source, block order by lot range unbounded preceding)")
-    edge = written(edge.withColumn("upto", upto), "edges")
-    fits = F.col("upto") <= F.col("part")
-    cut = edge.groupBy("source", "block").agg(
-        F.max(F.when(fits, F.col("lot"))).alias("cut"), (F.first("part") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))).alias("short")
-    )
-    # one more document of the block, whose size comes nearest to what is short
-    short = attach_small(edge.filter(~fits).select("source", "block", "size", "lot"), cut, ["source", "block"], "inner")
-    short = short.withColumn("miss", F.abs(F.col("size") - F.col("short"))).filter("miss < short")
-    extra = short.groupBy("source", "block").agg(F.min_by("lot", F.struct("miss", "lot")).alias("extra"))
-    placed = attach_small(attach_small(placed.drop("part"), cut.drop("short"), ["source", "block"]), extra, ["source", "block"])
+    closed = edge.groupBy("source", "block").applyInPandas(_close, "source string, block long, cut long, extra array<long>")
+    placed = attach_small(placed.drop("part"), closed, ["source", "block"])
     return plan, written(placed, "draws")
 
 
@@ -167,7 +179,7 @@ def _drawn(rows: DataFrame, plan: DataFrame, placed: DataFrame) -> DataFrame:
     """Rows (source, size, lot, ..) with source_size, target and shards, one entry per copy."""
     rows = attach_small(rows, plan.select("source", "source_size", "target", "blocks"), ["source"], "inner").withColumn("block", _block())
     rows = attach_small(rows, placed, ["source", "block"], "inner")
-    edge = F.coalesce(F.col("lot") <= F.col("cut"), F.lit(False)) | F.coalesce(F.col("lot") == F.col("extra"), F.lit(False))
+    edge = F.coalesce(F.col("lot") <= F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("extra", F.col("lot")), F.lit(False))
     last = (F.col("take") == 1) | ((F.col("take") == 2) & edge)
     every = F.when(last, F.concat("shards", F.array("last_shard"))).otherwise(F.col("shards"))
     return rows.withColumn("shards", every).drop("blocks", "block", "take", "last_shard", "cut", "extra")
