@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import decontaminate, mixing, simhash, tokens, toxicity
+from labelforge.llm import decontaminate, forest, mixing, simhash, tokens, toxicity, warc
 from labelforge.llm.common import crc_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multivariate-hypergeometric splitting tree over block quotas."""
     drawn = mixing.draws(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+
+
+@query
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash-prefix forest; every hundredth vector asks, all vectors answer."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return forest.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ZIP-packaged WARC archives, written and read back."""
+    manifest = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+q as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
+r as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first from q)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from r
+"""
