@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import decontaminate, forest, mixing, simhash, tokens, toxicity, warc
+from labelforge.llm import decontaminate, forest, mixing, pii, quality, simhash, tokens, toxicity, warc
 from labelforge.llm.common import crc_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,20 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 100 and page_id <> first then first end as refers_to
 from r
 """
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention-based multiple-instance learning; labels of the held-out fifth are never read into a model."""
+    docs = table(spark, sf_dir, "documents")
+    net = quality.trained_on(docs, table(spark, sf_dir, "labels"), crc_of("doc_id") % 5 != 0)
+    scored = quality.score(docs.select("doc_id", "text"), net, "text", "score")
+    return scored.select("doc_id", (crc_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-supervision aggregation in DataFrame functions."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.counted(k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
