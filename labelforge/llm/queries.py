@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import decontaminate, forest, mixing, pii, quality, simhash, tokens, toxicity, warc
+from labelforge.llm import decontaminate, forest, lm, mixing, pii, quality, simhash, tokens, toxicity, warc
 from labelforge.llm.common import crc_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.counted(k).alias(f"n_{k}") for k in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+@query
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gated recurrent language model; documents of the held-out seventh are scored, not learned from."""
+    found = lm.score(table(spark, sf_dir, "documents"), crc_of("doc_id") % 7 != 2)
+    return found.withColumn("held_out", crc_of("doc_id") % 7 == 2)
