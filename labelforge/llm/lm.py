@@ -226,7 +226,7 @@ def train(head: Head, docs: list[np.ndarray], epochs: int = EPOCHS, lanes: int =
     rng = np.random.default_rng(seed)
     m, v, step = {}, {}, 0
     total = sum(map(len, docs))
-    lanes = max(1, min(lanes, total // WINDOW))
+    lanes = max(1, min(lanes, total // WINDOW, max(4, total // (40 * WINDOW))))  # at least 40 steps an epoch
     long = total // lanes
     every = epochs * -(-long // WINDOW)
     for _ in range(epochs):
