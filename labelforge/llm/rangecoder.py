@@ -15,11 +15,13 @@ import numpy as np
 
 BLOCK = 4096
 MIX_BITS, ORDER0_BITS = 26, 20
-CONTEXTS = (1 << 10, 1 << 12)
+CONTEXTS = (1 << 9, 1 << 10)
 _U = np.uint64
 _TOTAL = 1 << MIX_BITS
 _LOW_RANGE = _U(1 << 32)
 _NONE = np.uint32(0xFFFFFFFC)
+_TWO, _THREE = np.uint32(2), np.uint32(3)
+_SHIFTS = [np.uint32(33 - c.bit_length()) for c in CONTEXTS]
 
 
 def order0(counts: np.ndarray) -> np.ndarray:
@@ -31,41 +33,67 @@ def order0(counts: np.ndarray) -> np.ndarray:
 
 
 class _Mixer:
-    """Predictions of all lanes and their tables."""
+    """Predictions of all lanes and their tables. Ids, guesses and shares are unsigned 32-bit numbers."""
 
     def __init__(self, lanes: int):
-        self.lanes = lanes
         self.base = [np.arange(lanes, dtype=np.int64) * c for c in CONTEXTS]
         self.guess = [np.full(lanes * c, _NONE, np.uint32) for c in CONTEXTS]
-        self.earned = [np.full(lanes * 4, s, np.int32) for s in (2000, 2000)]
-        self.earned[0].reshape(-1, 4)[:, 1:] = 20_000, 30_000, 45_000
-        self.earned[1].reshape(-1, 4)[:, 1:] = 6000, 12_000, 24_000
-        self.state = np.arange(lanes, dtype=np.int64) * 4
-        self.before = np.zeros(lanes, np.int64)
-        self.last = np.zeros(lanes, np.int64)
+        self.earned = [np.empty((lanes, 4), np.uint32) for _ in CONTEXTS]
+        self.earned[0][:], self.earned[1][:] = (2000, 6000, 12_000, 24_000), (2000, 20_000, 30_000, 45_000)
+        self.earned = [e.ravel() for e in self.earned]
+        self.state = np.arange(lanes, dtype=np.uint32) * np.uint32(4)
+        self.last = np.zeros(lanes, np.uint32)
+        self.mixed = np.zeros(lanes, np.uint32)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Guess of order 2 and of order 1, and their shares of the interval."""
-        last, before = self.last, self.before
-        self.at1 = self.base[0] + (last * 0x9E3779B1 >> 7 & CONTEXTS[0] - 1)
-        self.at2 = self.base[1] + ((last * 0x9E3779B1 + before * 0x85EBCA6B) >> 9 & CONTEXTS[1] - 1)
+        """Guess of order 1 and of order 2, and their shares of the interval."""
+        hashed = self.last * np.uint32(0x9E3779B1)
+        self.at1 = self.base[0] + (hashed >> _SHIFTS[0])
+        self.at2 = self.base[1] + ((hashed + self.mixed) >> _SHIFTS[1])
+        self.mixed = hashed * np.uint32(0x85EBCA6B)
         self.e1, self.e2 = self.guess[0][self.at1], self.guess[1][self.at2]
-        self.c1, self.c2 = self.state + (self.e1 & 3), self.state + (self.e2 & 3)
-        g1, g2 = (self.e1 >> 2).astype(np.int64), (self.e2 >> 2).astype(np.int64)
+        self.c1, self.c2 = self.state + (self.e1 & _THREE), self.state + (self.e2 & _THREE)
+        g1, g2 = self.e1 >> _TWO, self.e2 >> _TWO
         self.w1, self.w2 = self.earned[0][self.c1], self.earned[1][self.c2]
-        a2 = self.w2.astype(np.int64) * (_TOTAL // 65536 * 7 // 8)
-        a1 = ((_TOTAL - a2) * self.w1 >> 16) * 7 >> 3
-        a1[g1 == g2] = 0
+        a2 = self.w2 * np.uint32(_TOTAL // 65536 * 7 // 8)
+        a1 = (((np.uint32(_TOTAL) - a2) >> np.uint32(10)) * self.w1 >> np.uint32(6)) * np.uint32(7) >> np.uint32(3)
+        a1 *= g1 != g2
         return g1, g2, a1, a2
 
     def learn(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
         """Reward or weaken the guesses by the id that came."""
-        new = x.astype(np.uint32) << 2
+        new = x << _TWO
         for k, at, e, hit, c, w in ((0, self.at1, self.e1, hit1, self.c1, self.w1), (1, self.at2, self.e2, hit2, self.c2, self.w2)):
-            sure = e & 3
-            self.guess[k][at] = np.where(hit, e + (sure < 3), np.where((sure > 0) & (e < _NONE), e - 1, new))
-            self.earned[k][c] = w + ((np.where(hit, 65_000, 100) - w) >> 5)
-        self.before, self.last = self.last, x
+            sure = e & _THREE
+            # a guess that failed loses confidence, and at none gives way; _NONE has none
+            self.guess[k][at] = np.where(hit, e + (sure < 3), np.where(sure > 0, e - np.uint32(1), new))
+            self.earned[k][c] = w - (w >> np.uint32(5)) + np.where(hit, np.uint32(2031), np.uint32(3))
+        self.last = x
+
+
+def _settle(low: np.ndarray, span: np.ndarray):
+    """The lanes that must shift 16 bits, again and again until none must; narrows the spans that straddle."""
+    some = None
+    while True:
+        a, b = (low, span) if some is None else (low[some], span[some])
+        alike = (low_high(a, b)) == 0
+        must = alike | (b < _LOW_RANGE)
+        pick = np.flatnonzero(must)
+        if not len(pick):
+            return
+        lone = pick[~alike[pick]]
+        some = pick if some is None else some[pick]
+        if len(lone):
+            lone = lone if a is low else some[np.searchsorted(pick, lone)]
+            span[lone] = (~low[lone] + _U(1)) & (_LOW_RANGE - _U(1))
+        yield some
+        low[some] <<= _U(16)
+        span[some] <<= _U(16)
+
+
+def low_high(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The upper 16 bits in which the ends of the interval differ."""
+    return (low ^ (low + span)) >> _U(48)
 
 
 def _lanes_of(n: int, block: int) -> np.ndarray:
@@ -82,10 +110,10 @@ def encode(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK) -> tuple[list[
     lanes = len(sizes)
     if not lanes:
         return [], np.zeros(0, np.uint32)
-    padded = np.zeros(lanes * block, np.int64)
+    padded = np.zeros(lanes * block, np.uint32)
     padded[: len(ids)] = ids
     padded = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    upto = np.concatenate([[0], np.cumsum(freq)]).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(freq)]).astype(_U)
     mixer = _Mixer(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, _U(0xFFFFFFFFFFFFFFFF))
     out = np.zeros((lanes, 3 * block + 8), ">u2")
@@ -95,32 +123,17 @@ def encode(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK) -> tuple[list[
     for t in range(int(sizes.max())):
         x = padded[t]
         g1, g2, a1, a2 = mixer.predict()
-        hit2 = g2 == x
-        hit1 = (g1 == x) & ~hit2
-        both = a1 + a2
-        rest = _TOTAL - both
-        start = both + (upto[x] * rest >> ORDER0_BITS)
-        end = both + (upto[x + 1] * rest >> ORDER0_BITS)
-        start = np.where(hit2, 0, np.where(hit1, a2, start))
-        size = np.where(hit2, a2, np.where(hit1, a1, end - start))
+        hit1, hit2 = g1 == x, g2 == x
+        start, size = _interval(x, hit1, hit2, a1, a2, upto)
         part = span >> _U(MIX_BITS)
         if t == sizes[-1]:
             ended = place[-1], low[-1]
-        low = low + part * start.astype(_U)
-        span = part * size.astype(_U)
-        while True:
-            alike = (low ^ (low + span)) >> _U(48) == 0
-            tight = span < _LOW_RANGE
-            need = np.flatnonzero(alike | tight)
-            if not len(need):
-                break
-            lone = need[~alike[need]]
-            span[lone] = (~low[lone] + _U(1)) & (_LOW_RANGE - _U(1))
-            out[need, place[need]] = (low[need] >> _U(48)).astype(np.uint16)
+        low += part * start
+        span = part * size
+        for need in _settle(low, span):
+            out[need, place[need]] = low[need] >> _U(48)
             place[need] += 1
-            low[need] <<= _U(16)
-            span[need] <<= _U(16)
-        mixer.learn(x, g1 == x, hit2)
+        mixer.learn(x, hit1, hit2)
     for k in range(4):
         out[row, place + k] = (low >> _U(48 - 16 * k)).astype(np.uint16)
     place += 4
@@ -132,6 +145,20 @@ def encode(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK) -> tuple[list[
     return [out[i, : place[i]].tobytes() for i in range(lanes)], sums
 
 
+def _interval(x, hit1, hit2, a1, a2, upto):
+    """Begin and size of the ids' intervals in the mix: order 2 first, then order 1, then order 0."""
+    both = (a1 + a2).astype(_U)
+    rest = _U(_TOTAL) - both
+    start = upto[x] * rest >> _U(ORDER0_BITS)
+    size = (upto[x + np.uint32(1)] * rest >> _U(ORDER0_BITS)) - start
+    start += both
+    if hit1.any():
+        start, size = np.where(hit1, a2, start), np.where(hit1, a1, size)
+    if hit2.any():
+        start, size = np.where(hit2, _U(0), start), np.where(hit2, a2, size)
+    return start, size
+
+
 def checksums(ids: np.ndarray, block: int) -> np.ndarray:
     """crc32 of each block's ids as little-endian 32-bit integers."""
     raw = ids.astype("<u4")
@@ -143,8 +170,8 @@ def decode(blocks: list[bytes], sizes: np.ndarray, freq: np.ndarray) -> list[np.
     lanes = len(blocks)
     if not lanes:
         return []
-    upto = np.concatenate([[0], np.cumsum(freq)]).astype(np.int64)
-    slot = np.repeat(np.arange(len(freq), dtype=np.int64), freq)
+    upto = np.concatenate([[0], np.cumsum(freq)]).astype(_U)
+    slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
     length = max(map(len, blocks)) // 2 + 8
     data = np.zeros((lanes, length), np.uint16)
     for i, b in enumerate(blocks):
@@ -156,37 +183,24 @@ def decode(blocks: list[bytes], sizes: np.ndarray, freq: np.ndarray) -> list[np.
         code = code << _U(16) | data[:, k].astype(_U)
     place = np.full(lanes, 4, np.int64)
     most = int(np.max(sizes))
-    out = np.zeros((most, lanes), np.int64)
+    out = np.zeros((most, lanes), np.uint32)
+    last = np.uint32(len(freq) - 1)
     for t in range(most):
         g1, g2, a1, a2 = mixer.predict()
-        both = a1 + a2
-        rest = _TOTAL - both
         part = span >> _U(MIX_BITS)
-        v = np.minimum((code - low) // part, _U(_TOTAL - 1)).astype(np.int64)
-        in2 = v < a2
-        in1 = (v < both) & ~in2
-        u = np.maximum(v - both, 0)
-        x = slot[np.minimum(((u + 1 << ORDER0_BITS) - 1) // rest, (1 << ORDER0_BITS) - 1)]
+        v = np.minimum((code - low) // part, _U(_TOTAL - 1))
+        both = (a1 + a2).astype(_U)
+        in2, in1 = v < a2, v < both
+        u = v - np.minimum(v, both)
+        x = slot[np.minimum(((u + _U(1) << _U(ORDER0_BITS)) - _U(1)) // (_U(_TOTAL) - both), _U((1 << ORDER0_BITS) - 1)).astype(np.int64)]
         x = np.where(in2, g2, np.where(in1, g1, x))
-        x = np.minimum(x, len(freq) - 1)  # lanes whose block has ended read anything
-        start = both + (upto[x] * rest >> ORDER0_BITS)
-        end = both + (upto[x + 1] * rest >> ORDER0_BITS)
-        start = np.where(in2, 0, np.where(in1, a2, start))
-        size = np.where(in2, a2, np.where(in1, a1, end - start))
-        low = low + part * start.astype(_U)
-        span = part * size.astype(_U)
-        while True:
-            alike = (low ^ (low + span)) >> _U(48) == 0
-            tight = span < _LOW_RANGE
-            need = np.flatnonzero(alike | tight)
-            if not len(need):
-                break
-            lone = need[~alike[need]]
-            span[lone] = (~low[lone] + _U(1)) & (_LOW_RANGE - _U(1))
-            code[need] = code[need] << _U(16) | data[need, np.minimum(place[need], length - 1)].astype(_U)
+        x = np.minimum(x, last)  # lanes whose block has ended read anything
+        start, size = _interval(x, in1 & ~in2, in2, a1, a2, upto)
+        low += part * start
+        span = part * size
+        for need in _settle(low, span):
+            code[need] = code[need] << _U(16) | data[need, np.minimum(place[need], length - 1)]
             place[need] += 1
-            low[need] <<= _U(16)
-            span[need] <<= _U(16)
-        mixer.learn(x, g1 == x, in2)
+        mixer.learn(x, g1 == x, g2 == x)
         out[t] = x
     return [out[: sizes[i], i] for i in range(lanes)]
