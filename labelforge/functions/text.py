@@ -174,8 +174,17 @@ def last_part(c: Column | str) -> Column:
 
 
 def parse_string_list(c: Column | str) -> Column:
-    """``"['a', 'b']"`` to ``array<string>``; null when it is not a list."""
-    return F.from_json(F.translate(_col(c), "'", '"'), "array<string>")
+    """``"['a', \"don't\"]"`` to ``array<string>``; null when it is not a list. An item may stand in either quote sign and
+    hold the other one, or its own behind a backslash; ``None`` is a null item.
+    """
+    quoted = r"'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\""
+    text = strip(_col(c))
+    whole = rf"(?s)^\[\s*+(?:(?:{quoted}|[^,'\"\[\]\s]++)\s*+(?:,\s*+|(?=\])))*+\]$"
+    items = F.regexp_extract_all(F.substring(text, 2, 1 << 30), F.lit(rf"(?s){quoted}|[^,'\"\[\]\s]++"), F.lit(0))
+    plain = F.transform(
+        items, lambda x: F.when(x.rlike("^['\"]"), F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), r"(?s)\\(.)", "$1")).when(x != "None", x)
+    )
+    return F.when(text.rlike(whole), plain)
 
 
 def parse_votes(c: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """Duplicates, label conflicts and leakage between splits.
 
-Copies are found with aggregates, never by sorting or collecting a group of copies: a text that makes up a third
-of the table leaves one row per task before the shuffle.
+Copies are found with hash aggregates over digests, never by sorting or collecting a group of copies: a text that makes
+up a third of the table leaves one short row per task before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,58 +21,57 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def _one_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Per key: ``__n`` rows, and in ``__row`` the other columns of the row that is first by ``order``."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min_by(F.struct(*rest), F.col(order)).alias("__row")
+def key_digest(columns: Sequence[Column | str]) -> Column:
+    """A digest of several columns, nulls included, so that a long text is no grouping key."""
+    return F.sha2(F.to_json(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(columns)])), 256)
+
+
+def _per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Per key digest: ``__n`` rows and the first ``order``. A hash aggregate of short columns."""
+    return df.select(key_digest(keys).alias("__d"), F.col(order).alias("__o")).groupBy("__d").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__o").alias("__first")
     )
 
 
-def _unpack(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in columns])
+def _rows_of(df: DataFrame, chosen: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The rows whose key and ``order`` are chosen; only here do rows meet with their texts."""
+    marked = df.withColumn("__d", key_digest(keys))
+    match = (F.col("__d") == F.col("__c")) & F.col(order).eqNullSafe(F.col("__first"))
+    return marked.join(chosen.select(F.col("__d").alias("__c"), "__first"), match, "left_semi").drop("__d")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per ``keys``: the first by ``order``."""
-    return _unpack(_one_per_key(df, keys, order), df.columns, keys)
+    """One row per ``keys``: the first by ``order``, which is unique among the rows of a key (an id)."""
+    return _rows_of(df, _per_key(df, keys, order), keys, order)
 
 
 def drop_all_copies(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Only rows whose ``keys`` occur once."""
-    return _unpack(_one_per_key(df, keys, order).filter(F.col("__n") == 1), df.columns, keys)
+    return _rows_of(df, _per_key(df, keys, order).filter("__n = 1"), keys, order)
 
 
 def drop_conflicting_negatives(df: DataFrame, keys: Sequence[str], label: str = "label", order: str = "doc_id") -> DataFrame:
     """For ``keys`` that occur more than once, drop every row with label 0.
 
-    Rows with another label pass through untouched; a label-0 row stays when its key occurs once. So only counts
-    per key are shuffled, plus the label-0 rows.
+    Rows with another label pass through untouched; a label-0 row stays when its key occurs once. Digests of all rows
+    are counted, and of the rows themselves only those with label 0 are shuffled.
     """
     zero = F.coalesce(F.col(label) == 0, F.lit(False))
-    others = df.filter(~zero)
-    single = _unpack(_one_per_key(df, keys, order).filter(F.col("__n") == 1), df.columns, keys)
-    return others.unionByName(single.filter(zero))
+    single = _per_key(df, keys, order).filter("__n = 1")
+    return df.filter(~zero).unionByName(_rows_of(df.filter(zero), single, keys, order))
 
 
 def duplicate_counts(df: DataFrame, definitions: dict[str, Sequence[Column]]) -> DataFrame:
     """Per named key definition: rows, rows that have a copy, copies beyond the first."""
-    parts = []
-    for name, columns in definitions.items():
-        keyed = df.select(*[c.alias(f"k{i}") for i, c in enumerate(columns)])
-        sizes = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(
-            sizes.agg(
-                F.lit(name).alias("definition"),
-                F.sum("n").alias("n_rows"),
-                F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("with_copy"),
-                F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"),
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    named = [F.struct(F.lit(name).alias("definition"), key_digest(columns).alias("d")) for name, columns in definitions.items()]
+    keyed = df.select(F.explode(F.array(*named)).alias("k")).groupBy("k.definition", "k.d").agg(F.count(F.lit(1)).alias("n"))
+    found = keyed.groupBy("definition").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("with_copy"), F.sum(F.col("n") - 1).alias("surplus")
+    )
+    # an empty table has a row of zeros per definition
+    names = df.sparkSession.createDataFrame([(n,) for n in definitions], "definition string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return names.join(found, "definition", "left").select("definition", F.col("n_rows"), zero("with_copy"), zero("surplus"))
 
 
 def entity_blind_copies(df: DataFrame, text: str, phrase: str, key: str) -> DataFrame:

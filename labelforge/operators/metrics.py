@@ -15,14 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
-from labelforge.operators.attach import attach_small, small_table
+from labelforge.operators.attach import attach_small
 from labelforge.operators.stats import most_frequent
 
 UNPARSED = "<unparsed>"
 N_DRAWS = 1000  # fixed value: bootstrap draws
 N_DRAWS_MULTILABEL = 100  # fixed value: draws for multilabel answers of language models
 CONFIDENCE = 0.95  # fixed value
-MAX_RESAMPLED = 200_000_000  # rows x draws up to which every draw hashes every row
+DRAWN_TOGETHER = 1 << 20  # row numbers that one generated row of a draw stands for
 
 
 def confusion_cells(
@@ -82,8 +82,14 @@ def averages(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def multilabel_report(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """Per-label report over label lists; predicted labels that no gold list has are ignored."""
+def multilabel_report(
+    df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", classes: DataFrame | None = None
+) -> DataFrame:
+    """Per-label report over label lists, one row per label of the vocabulary.
+
+    ``classes`` (one column of labels) is the vocabulary, that of the train split: its labels count with F1 0 where
+    neither list has them, and other labels are ignored. Without it the vocabulary is all gold and predicted labels.
+    """
     t, p = F.array_distinct(y_true), F.array_distinct(y_pred)
     one = df.select(t.alias("t"), p.alias("p"), F.explode(F.array_union(t, p)).alias("label"))
     in_t = F.array_contains("t", F.col("label")).cast("bigint")
@@ -91,16 +97,30 @@ def multilabel_report(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pr
     sums = one.groupBy("label").agg(
         F.sum(in_t * in_p).alias("tp"), F.sum(in_t).alias("support"), F.sum(in_p).alias("predicted")
     )
-    return _ratios(sums.filter(F.col("support") > 0))
+    if classes is not None:
+        names = classes.select(F.col(classes.columns[0]).alias("label")).dropna().distinct()
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+        sums = names.join(sums, "label", "left").select("label", *[zero(c) for c in ("tp", "support", "predicted")])
+    return _ratios(sums)
+
 
+def vocabulary_row(df: DataFrame, lists: Sequence[str], classes: DataFrame | None) -> DataFrame:
+    """One row: ``__known``, the distinct labels of ``classes`` or else of the ``lists`` of ``df``."""
+    if classes is not None:
+        names = classes.select(F.col(classes.columns[0]).alias("label"))
+    else:
+        names = df.select(F.explode(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in lists])).alias("label"))
+    return names.dropna().distinct().agg(F.array_sort(F.collect_list("label")).alias("__known"))
 
-def samples_average(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """Mean over rows of precision, recall and F1 of the row's two label lists (known labels only)."""
-    vocabulary = df.select(F.explode(y_true).alias("label")).distinct()
-    known = vocabulary.agg(F.collect_set("label").alias("__known"))  # one row: the label vocabulary
-    t = F.array_distinct(y_true)
+
+def samples_average(
+    df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", classes: DataFrame | None = None
+) -> DataFrame:
+    """Mean over rows of precision, recall and F1 of the row's two label lists; labels outside the vocabulary don't count."""
+    known = vocabulary_row(df, [y_true, y_pred], classes)
+    t = F.array_intersect(F.array_distinct(y_true), F.col("__known"))
     p = F.array_intersect(F.array_distinct(y_pred), F.col("__known"))
-    rows = df.crossJoin(F.broadcast(known)).select(
+    rows = df.crossJoin(known).select(
         F.size(t).alias("t"), F.size(p).alias("p"), F.size(F.array_intersect(t, p)).alias("c")
     )
     over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
@@ -159,21 +179,17 @@ def replace_unknown(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred
 
 def bootstrap_f1(
     df: DataFrame, draws: int = N_DRAWS, confidence: float = CONFIDENCE, y_true: str = "y_true", y_pred: str = "y_pred",
-    seed: int | str = DEFAULT_SEED, method: str = "auto",
+    seed: int | str = DEFAULT_SEED, method: str = "resample",
 ) -> DataFrame:
     """Percentile interval of macro F1 under resampling with replacement.
 
-    F1 depends on a draw only through its confusion cells. ``resample`` lets every draw hash n row numbers, and the
-    cell of a row number follows from the running totals of the cells: no join with the rows. That costs n x draws
-    hashes; past ``MAX_RESAMPLED`` the cell counts of a draw are drawn at once from the multinomial distribution,
-    which is the same thing in law and costs draws x cells whatever n is. Draws with one gold label are left out.
+    F1 depends on a draw only through its confusion cells. ``resample``, at every size, lets every draw hash n row
+    numbers, and the cell of a row number follows from the running totals of the cells: no join with the rows. That
+    costs n x draws hashes, spread over all cores. A caller may ask for ``multinomial``: the cell counts of a draw at
+    once, the same in law, for draws x cells. Draws with one gold label are left out.
     """
-    cells = small_table(confusion_cells(df, (), y_true, y_pred))
-    if cells is None:
-        raise ValueError("too many distinct label pairs for a bootstrap over labels")
+    cells = confusion_cells(df, (), y_true, y_pred)
     total = cells.agg(F.sum("n")).first()[0] or 0
-    if method == "auto":
-        method = "resample" if total * draws <= MAX_RESAMPLED else "multinomial"
     drawn = _resampled_cells if method == "resample" else _multinomial_cells
     return _interval(averages_per_draw(drawn(cells, total, draws, seed)), "macro_f1", confidence)
 
@@ -200,28 +216,47 @@ def draw_table(df: DataFrame, draws: int) -> DataFrame:
     return spark.range(draws, numPartitions=min(draws, spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "draw")
 
 
+def drawn_rows(df: DataFrame, draws: int, total: int, seed: int | str) -> DataFrame:
+    """(draw, row): ``total`` row numbers of every draw, by hash. A draw of many rows is made in parts, by many tasks."""
+    spark = df.sparkSession
+    parts = max(1, -(-total // DRAWN_TOGETHER))
+    table = spark.range(draws * parts, numPartitions=min(draws * parts, max(draws, spark.sparkContext.defaultParallelism)))
+    first = (F.col("id") % parts) * DRAWN_TOGETHER
+    last = F.least(first + DRAWN_TOGETHER, F.lit(total)) - 1
+    table = table.select(F.floor(F.col("id") / parts).alias("draw"), F.explode(F.sequence(first, last)).alias("i")) if total else table.select(F.col("id").alias("draw"), F.col("id").alias("i")).limit(0)
+    return table.select("draw", F.pmod(hash_int("draw", "i", seed=seed), F.lit(total)).alias("row"))
+
+
 def steps_below(value: Column, ends: Sequence[float]) -> Column:
-    """How many of the ascending ``ends`` are at most ``value``: a few comparisons are compiled, many are looped over."""
-    if len(ends) <= 64:
-        return sum((F.when(value >= e, 1).otherwise(0) for e in ends), F.lit(0))
-    return F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= value))
+    """How many of the few ascending ``ends`` are at most ``value``."""
+    return sum((F.when(value >= e, 1).otherwise(0) for e in ends), F.lit(0))
+
+
+def place_of(value: Column, ends: Column, steps: int) -> Column:
+    """How many entries of the ascending array ``ends`` are at most ``value``: a binary search of ``steps`` halvings."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(ends).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = (s["lo"] < s["hi"]) & (F.get(ends, mid) <= value)
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), start, halve, lambda s: s["lo"])
+
+
+def drawn_places(ends: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(draw, place): the first of ``ends`` (one row, the ascending array ``ends``) above each drawn row number."""
+    size = (ends.select(F.size("ends")).first() or [0])[0]
+    return drawn.crossJoin(F.broadcast(ends)).select("draw", place_of(F.col("row"), F.col("ends"), int(size).bit_length() + 1).alias("place"))
 
 
 def _resampled_cells(cells: DataFrame, total: int, draws: int, seed: int | str) -> DataFrame:
-    rows = cells.orderBy("y_true", "y_pred").collect()  # at most labels x labels, checked by the caller
-    upper, ends = 0, []
-    for r in rows:
-        upper += r["n"]
-        ends.append(upper)
-    table = draw_table(cells, draws).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))))
-    row = F.pmod(hash_int("draw", "i", seed=seed), F.lit(total))
-    # The cell is the first one whose running total is over the row number.
-    cell = steps_below(F.col("row"), ends)
-    picked = table.withColumn("row", row).groupBy("draw", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    names = cells.sparkSession.createDataFrame(
-        [(i, r["y_true"], r["y_pred"]) for i, r in enumerate(rows)], "cell int, y_true string, y_pred string"
-    )
-    return picked.join(F.broadcast(names), "cell").drop("cell")
+    # a table of at most labels x labels rows, which the window and the arrays below hold
+    upto = F.sum("n").over(W.orderBy("y_true", "y_pred").rowsBetween(W.unboundedPreceding, 0))
+    numbered = cells.withColumn("end", upto).withColumn("place", F.row_number().over(W.orderBy("y_true", "y_pred")) - 1)
+    ends = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "end"))), lambda x: x["end"]).alias("ends"))
+    picked = drawn_places(ends, drawn_rows(cells, draws, total, seed)).groupBy("draw", "place").agg(F.count(F.lit(1)).alias("n"))
+    return picked.join(numbered.select("place", "y_true", "y_pred"), "place").drop("place")
 
 
 def _multinomial_cells(cells: DataFrame, total: int, draws: int, seed: int | str) -> DataFrame:
@@ -251,14 +286,18 @@ def poisson_steps(n: int = 12) -> list[float]:
 
 def bootstrap_multilabel_f1(
     df: DataFrame, key: str, draws: int = N_DRAWS_MULTILABEL, confidence: float = CONFIDENCE, y_true: str = "y_true",
-    y_pred: str = "y_pred", seed: int | str = DEFAULT_SEED,
+    y_pred: str = "y_pred", seed: int | str = DEFAULT_SEED, classes: DataFrame | None = None,
 ) -> DataFrame:
-    """Interval of the multilabel macro F1.
+    """Interval of the multilabel macro F1: the mean over the whole vocabulary (see ``multilabel_report``), in every draw.
+
+    Draws whose gold lists are all alike are left out.
 
     A row takes part in a draw as often as a Poisson(1) variable says, which is resampling with replacement as n
     grows; so a draw needs no row numbers. Weights come from the hash of (draw, key).
     """
-    t, p = F.array_sort(F.array_distinct(y_true)), F.array_sort(F.array_distinct(y_pred))
+    known = vocabulary_row(df, [y_true, y_pred], classes)
+    df = df.crossJoin(known)
+    t, p = (F.array_sort(F.array_intersect(F.array_distinct(c), F.col("__known"))) for c in (y_true, y_pred))
     u = hash_int("draw", key, seed=seed) / F.lit(float(2**32))
     weight = steps_below(u, poisson_steps())
     # Rows with the same two lists are alike; only their number matters per draw.
@@ -273,7 +312,11 @@ def bootstrap_multilabel_f1(
     sums = one.groupBy("draw", "label").agg(
         F.sum(both).alias("tp"), F.sum(in_t).alias("support"), F.sum(in_p).alias("predicted")
     )
-    scores = _ratios(sums.filter("support > 0")).groupBy("draw").agg(F.avg("f1").alias("macro_f1"))
+    # rows without any label still say that gold lists differ; labels that a draw lacks count 0
+    alike = kinds.groupBy("draw").agg((F.min("t") == F.max("t")).alias("alike"))
+    f1 = _ratios(sums).groupBy("draw").agg(F.sum("f1").alias("f1"))
+    scores = alike.filter("not alike").join(f1, "draw", "left").crossJoin(known)
+    scores = scores.select("draw", (F.coalesce("f1", F.lit(0.0)) / F.size("__known")).alias("macro_f1"))
     return _interval(scores, "macro_f1", confidence)
 
 

@@ -146,14 +146,13 @@ def as_evidence_list(raw: Column | str) -> Column:
     The printed tuples hold no nested parentheses, so each is one match of a pattern.
     """
     c = F.col(raw) if isinstance(raw, str) else raw
-    pattern = r"\(\s*['\"]([^'\"]*)['\"]\s*,\s*['\"]([^'\"]*)['\"]\s*,\s*(\[[^\]]*\]|[0-9]+)\s*\)"
-    bracketed = r"^\s*\[?\s*['\"]([^'\"]*)['\"]\s*,\s*['\"]([^'\"]*)['\"]\s*,\s*(\[[^\]]*\]|[0-9]+)\s*\]?\s*$"
+    quoted = r"(?:'((?:[^'\\]|\\.)*+)'|\"((?:[^\"\\]|\\.)*+)\")"  # in one quote sign, which may hold the other
+    body = rf"\s*{quoted}\s*,\s*{quoted}\s*,\s*(\[[^\]]*\]|[0-9]+)\s*"
+    pattern, bracketed = rf"\({body}\)", rf"^\s*\[?{body}\]?\s*$"
 
     def one(text: Column, pat: str) -> Column:
-        return F.struct(
-            F.regexp_extract(text, pat, 1).alias("query"), F.regexp_extract(text, pat, 2).alias("stance"),
-            as_page_list(F.regexp_extract(text, pat, 3)).alias("page_indices"),
-        )
+        group = lambda i: F.regexp_replace(F.concat(F.regexp_extract(text, pat, i), F.regexp_extract(text, pat, i + 1)), r"\\(.)", "$1")
+        return F.struct(group(1).alias("query"), group(3).alias("stance"), as_page_list(F.regexp_extract(text, pat, 5)).alias("page_indices"))
 
     tuples = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     return F.when(c.rlike(bracketed), F.array(one(c, bracketed))).otherwise(

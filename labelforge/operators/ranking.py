@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
-from labelforge.operators.attach import attach_small, small_table
-from labelforge.operators.metrics import CONFIDENCE, MAX_RESAMPLED, N_DRAWS, _interval, draw_table, steps_below
+from labelforge.operators.attach import attach_small
+from labelforge.operators.metrics import CONFIDENCE, N_DRAWS, _interval, drawn_places, drawn_rows
 
 
 def score_grid(examples: DataFrame, queries: DataFrame) -> DataFrame:
@@ -57,36 +55,15 @@ def random_ranks(test: DataFrame, key: str, query: str = "query", seed: int | st
 
 def bootstrap_mrr(
     ranks: DataFrame, draws: int = N_DRAWS, confidence: float = CONFIDENCE, seed: int | str = DEFAULT_SEED,
-    method: str = "auto",
 ) -> DataFrame:
     """Percentile interval of the mean reciprocal rank, from the histogram of ranks (see ``bootstrap_f1``)."""
-    histogram = small_table(ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n")))
-    if histogram is None:
-        raise ValueError("too many distinct ranks for a bootstrap over the rank histogram")
-    rows = histogram.orderBy("rank").collect()
-    total = sum(r["n"] for r in rows)
-    if method == "auto":
-        method = "resample" if total * draws <= MAX_RESAMPLED else "multinomial"
-    if method == "resample":
-        ends = np.cumsum([r["n"] for r in rows]).tolist()
-        table = draw_table(ranks, draws).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))))
-        row = F.pmod(hash_int("draw", "i", seed=seed), F.lit(total))
-        values = F.array(*[F.lit(1.0 / r["rank"]) if r["rank"] > 0 else F.lit(None).cast("double") for r in rows])
-        cell = steps_below(F.col("row"), ends)
-        scores = table.withColumn("row", row).groupBy("draw").agg(F.avg(F.get(values, cell)).alias("mrr"))
-    else:
-        shares = np.array([r["n"] for r in rows]) / max(total, 1)
-        inverse = np.array([1.0 / r["rank"] if r["rank"] > 0 else np.nan for r in rows])
-        root = int.from_bytes(str(seed).encode(), "little") % (2**63)
-
-        def resample(batches):
-            for batch in batches:
-                out = []
-                for draw in batch["draw"]:
-                    n = np.random.default_rng([root, int(draw)]).multinomial(total, shares)
-                    seen = ~np.isnan(inverse)
-                    out.append((draw, float((n[seen] * inverse[seen]).sum() / max(n[seen].sum(), 1))))
-                yield pd.DataFrame(out, columns=["draw", "mrr"])
-
-        scores = draw_table(ranks, draws).mapInPandas(resample, "draw bigint, mrr double")
+    histogram = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    total = histogram.agg(F.sum("n")).first()[0] or 0
+    # a row per distinct rank, of which there are no more than candidates
+    upto = F.sum("n").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    numbered = histogram.withColumn("end", upto).withColumn("place", F.row_number().over(W.orderBy("rank")) - 1)
+    ends = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "end"))), lambda x: x["end"]).alias("ends"))
+    picked = drawn_places(ends, drawn_rows(ranks, draws, total, seed)).groupBy("draw", "place").agg(F.count(F.lit(1)).alias("n"))
+    joined = picked.join(numbered.select("place", "rank"), "place").filter("rank > 0")
+    scores = joined.groupBy("draw").agg((F.sum(F.col("n") / F.col("rank")) / F.sum("n")).alias("mrr"))
     return _interval(scores, "mrr", confidence)

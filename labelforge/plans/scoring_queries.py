@@ -1,5 +1,7 @@
 """Classification reports, confusion, agreement, bootstrap and ranking queries."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import hash_int
@@ -51,18 +53,20 @@ def report_averages_by_source(t):
     return rounded(op.averages(op.classification_report(t.v_pred, ["source"]), ["source"]), *_MEANS)
 
 
-_MULTI = """l as (select distinct unnest(list_concat(y_true, y_pred)) as label from v_multi_pred),
+_MULTI = """l as (select distinct label from (select unnest(label) as label from v_multi union all select 'never_given')),
 m as (select label, count(*) filter (list_contains(y_true, label) and list_contains(y_pred, label)) as tp, count(*) filter (list_contains(y_true, label)) as support,
  count(*) filter (list_contains(y_pred, label)) as predicted from v_multi_pred cross join l group by label),
-rep as (select *, case when predicted > 0 then tp / predicted else 0 end as p, case when support > 0 then tp / support else 0 end as r, 2 * tp / (support + predicted) as f from m where support > 0)"""
+rep as (select *, case when predicted > 0 then tp / predicted else 0 end as p, case when support > 0 then tp / support else 0 end as r, case when support + predicted > 0 then 2 * tp / (support + predicted) else 0 end as f from m)"""
 
 
-@query("multilabel_report", f"with {_MULTI} select label, tp, support, predicted, {_REPORT_COLUMNS} from rep", ("v_multi_pred",))
+@query("multilabel_report", f"with {_MULTI} select label, tp, support, predicted, {_REPORT_COLUMNS} from rep", ("v_multi", "v_multi_pred"))
 def multilabel_report(t):
-    return rounded(op.multilabel_report(t.v_multi_pred), "precision", "recall", "f1")
+    """Over the labels of the labelled table and one that no row has."""
+    classes = t.v_multi.select(F.explode("label").alias("label")).union(t.spark.createDataFrame([("never_given",)], "label string"))
+    return rounded(op.multilabel_report(t.v_multi_pred, classes=classes), "precision", "recall", "f1")
 
 
-@query("samples_average", """with k as (select list(distinct label) as known from (select unnest(y_true) as label from v_multi_pred)),
+@query("samples_average", """with k as (select list(distinct label) as known from (select unnest(list_concat(y_true, y_pred)) as label from v_multi_pred)),
 s as (select len(y_true) as t, len(list_intersect(y_pred, known)) as p, len(list_intersect(list_intersect(y_pred, known), y_true)) as c from v_multi_pred, k)
 select round(avg(case when p > 0 then c / p else 0 end), 6) as samples_precision, round(avg(case when t > 0 then c / t else 0 end), 6) as samples_recall, round(avg(case when t + p > 0 then 2 * c / (t + p) else 0 end), 6) as samples_f1 from s""", ("v_multi_pred",))
 def samples_average(t):
@@ -78,17 +82,20 @@ def logits_report(t):
     return rounded(op.averages(op.classification_report(last)), *_MEANS)
 
 
-@query("sigmoid_report", """with s as (select doc_id, unnest(['a','b','c','d']) as label, unnest(list_transform(logits, lambda x: 1 / (1 + exp(-(x - 2.5::DOUBLE))) > 0.5::DOUBLE)) as said, ['a','b','c','d'][label + 1] as gold from v_carto where epoch = 0),
-m as (select label, count(*) filter (said and gold = label) as tp, count(*) filter (gold = label) as support, count(*) filter (said) as predicted from s group by label)
-select label, tp, support, predicted, round(case when predicted > 0 then tp / predicted else 0 end, 6) as precision, round(case when support > 0 then tp / support else 0 end, 6) as recall, round(2 * tp / (support + predicted), 6) as f1 from m where support > 0""", ("v_carto",))
+@query("sigmoid_report", """with s as (select doc_id, unnest(['a','b','c','d']) as label, unnest(list_transform(logits, lambda x: 1 / (1 + exp(-(x - 2.5::DOUBLE))) > 0.5::DOUBLE)) as said, ['a','b','c','d'][label + 1] as gold, epoch from v_carto),
+m as (select epoch, label, count(*) filter (said and gold = label) as tp, count(*) filter (gold = label) as support, count(*) filter (said) as predicted from s group by epoch, label)
+select epoch, label, tp, support, predicted, round(case when predicted > 0 then tp / predicted else 0 end, 6) as precision, round(case when support > 0 then tp / support else 0 end, 6) as recall, round(case when support + predicted > 0 then 2 * tp / (support + predicted) else 0 end, 6) as f1 from m""", ("v_carto",))
 def sigmoid_report(t):
     from labelforge.functions.arrays import sigmoid_flags
 
     names = F.array(*[F.lit(x) for x in "abcd"])
     flags = sigmoid_flags(F.transform("logits", lambda x: x - 2.5))
     said = F.transform(F.filter(F.arrays_zip(names.alias("n"), flags.alias("f")), lambda z: z["f"] == 1), lambda z: z["n"])
-    rows = t.v_carto.filter("epoch = 0").select(F.array(F.get(names, F.col("label"))).alias("y_true"), said.alias("y_pred"))
-    return rounded(op.multilabel_report(rows), "precision", "recall", "f1")
+    rows = t.v_carto.select("epoch", F.array(F.get(names, F.col("label"))).alias("y_true"), said.alias("y_pred"))
+    classes = t.spark.createDataFrame([(x,) for x in "abcd"], "label string")
+    epochs = [r[0] for r in rows.select("epoch").distinct().orderBy("epoch").collect()]  # the epochs of one training run
+    parts = [op.multilabel_report(rows.filter(F.col("epoch") == e), classes=classes).withColumn("epoch", F.lit(e)) for e in epochs]
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts), "precision", "recall", "f1")
 
 
 @query("confusion_matrix", f"""with {_cells('v_pred')}, l as (select distinct label from rep) select a.label as y_true, b.label as y_pred, coalesce(n, 0) as n,
@@ -148,7 +155,8 @@ def bootstrap_f1_multinomial(t):
 @query("bootstrap_multilabel_f1", f"""with w as (select y_true as t, y_pred as p, draw, len(list_filter({op.poisson_steps()}::DOUBLE[], lambda x: x <= {sql_hash_int('draw', 'doc_id')} / 4294967296.0::DOUBLE)) as w
  from v_multi_pred cross join range({op.N_DRAWS_MULTILABEL}) r(draw)), l as (select draw, w, t, p, unnest(list_distinct(list_concat(t, p))) as label from w where w > 0),
 m as (select draw, label, sum(case when list_contains(t, label) and list_contains(p, label) then w else 0 end) as tp, sum(case when list_contains(t, label) then w else 0 end) as support, sum(case when list_contains(p, label) then w else 0 end) as predicted from l group by all),
-f as (select draw, avg(2 * tp / (support + predicted)::DOUBLE) as f from m where support > 0 group by draw)
+f as (select draw, sum(2 * tp / (support + predicted)::DOUBLE) / (select count(distinct label) from (select unnest(list_concat(y_true, y_pred)) as label from v_multi_pred)) as f
+ from m where draw in (select draw from w where w > 0 group by draw having count(distinct list_sort(t)::VARCHAR) > 1) group by draw)
 select round(quantile_cont(f, 0.025), 6) as lower, round(quantile_cont(f, 0.975), 6) as upper, count(*) as draws from f""", ("v_multi_pred",))
 def bootstrap_multilabel_f1(t):
     return rounded(op.bootstrap_multilabel_f1(t.v_multi_pred, "doc_id"), "lower", "upper")

@@ -28,12 +28,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``, so that it lies on storage every
-    executor can read and a lost executor costs no recomputation. Only a session without it (a test) gets a
-    local one.
+    executor can read and a lost executor costs no recomputation. Only a local session without it gets one of
+    its own; a cluster without it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="labelforge-ckpt-"))
     return df.checkpoint(eager=True)

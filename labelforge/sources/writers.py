@@ -13,9 +13,13 @@ LOG_COLUMNS = [
 
 
 def write_splits(df: DataFrame, path: str, dataset: str | None = None, mode: str = "overwrite") -> None:
-    """Parquet partitioned by dataset and split. A hot split is written by many tasks: rows are not gathered by split."""
+    """Parquet partitioned by dataset and split. A hot split is written by many tasks: rows are not gathered by split.
+
+    ``overwrite`` replaces the datasets and splits that ``df`` has rows of, and leaves all others under ``path``.
+    """
     table = df if dataset is None else df.withColumn("dataset", F.lit(dataset))
-    table.write.mode(mode).partitionBy("dataset", "split").parquet(path)
+    writer = table.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dataset", "split").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
