@@ -225,64 +225,80 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def negative_answers(
-    df: DataFrame, key: str, question: str = "question", answer: str = "answer", tries: int = 8, rounds: int = 3,
-    rows_per_ring: int = 1000, seed: int | str = DEFAULT_SEED,
+    df: DataFrame, key: str, question: str = "question", answer: str = "answer", buckets: int = 1024,
+    seed: int | str = DEFAULT_SEED,
 ) -> DataFrame:
-    """Add ``false_answer``: another row's answer that is never given to this row's question.
+    """Add ``false_answer``: the answer of a row drawn among all rows whose answer is never given to this row's question.
 
-    Rows lie on rings of about ``rows_per_ring`` rows in hash order, and a row tries the next ``tries`` places of
-    its ring: equi-joins on (ring, place), which are evenly filled whatever the questions look like. Only ids and
-    digests travel; the text of the drawn answer is fetched at the end. Rows without a hit go to the next round
-    on other rings with twice the tries; what is left after the last round keeps a null.
+    The draw is exact and complete: null only where the question's own answers are all there are. Distinct answers lie
+    on a line, each as long as its rows are many. A question's own answers are gaps in it; a row draws a place
+    on what is left, and the gaps before it shift it to its place on the line. Gaps and places meet in order, in
+    ``buckets`` pieces of each question and of the line, whose offsets are running totals over the pieces: no window
+    holds a whole question or answer. Only ids, digests and numbers travel; the drawn text is fetched at the end.
     """
-    rings = max(1, df.count() // rows_per_ring)
-    pool = df.select(F.col(key).alias("id"), digest(question).alias("q"), digest(answer).alias("a"))
-    known = pool.select(F.col("q").alias("known_q"), F.col("a").alias("known_a")).distinct()
-    todo, found = pool, None
-    for turn in range(rounds):
-        salt = f"{seed}" if turn == 0 else f"{seed}-{turn}"
-        hits = _ring_round(pool, todo, known, rings, tries * 2**turn, salt)
-        if turn + 1 < rounds:
-            hits = cut_lineage(hits)
-        found = hits if found is None else found.unionByName(hits)
-        todo = todo.join(hits, "id", "left_anti")
-        if turn + 1 < rounds and todo.isEmpty():
-            break
+    pool = df.select(F.col(key).alias("id"), F.coalesce(digest(question), F.lit("")).alias("q"), digest(answer).alias("a"))
+    pool = cut_lineage(pool)
+    given = pool.filter(F.col("a").isNotNull())
+    answers = given.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("drawn"))
+    answers = answers.withColumn("p", F.substring("a", 1, 4))
+    answers = cut_lineage(_running(answers, [], "p", "n", ["a"], "start").drop("p"))
+    total = answers.agg(F.sum("n")).first()[0] or 0
+    width = max(1, -(-total // buckets))
+
+    known = given.select("q", "a").distinct().join(answers.select("a", "start", "n"), "a")
+    known = known.withColumn("p", F.floor(F.col("start") / width))
+    known = _running(known, ["q"], "p", "n", ["start"], "before").withColumn("v", F.col("start") - F.col("before"))
+    known = cut_lineage(known.select("q", "v", "n"))
+    owned = known.groupBy("q").agg(F.sum("n").alias("owned"))
+    free = (F.lit(total) - F.coalesce("owned", F.lit(0))).alias("free")
+    rows = pool.join(owned, "q", "left").select("id", "q", free).filter("free > 0")
+    place = F.conv(F.substring(hash_hex("id", seed=seed), 1, 15), 16, 10).cast("bigint") % F.col("free")
+    none = F.lit(None).cast(dict(pool.dtypes)["id"])
+    gaps = known.join(owned, "q").select("q", "v", "n", free, none.alias("id"), F.lit(0).alias("kind"))
+    drawn = rows.select("q", place.alias("v"), F.lit(0).cast("bigint").alias("n"), "free", "id", F.lit(1).alias("kind"))
+    both = gaps.unionByName(drawn).withColumn("p", F.floor(F.col("v") / F.greatest(F.ceil(F.col("free") / buckets), F.lit(1))))
+    placed = _running(both, ["q"], "p", "n", ["v", "kind"], "shift").filter("kind = 1")
+    placed = placed.select("id", (F.col("v") + F.col("shift")).alias("v"))
+
+    salts = 16
+    pieces = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n") - 1) / width))).alias("p")
+    line = answers.select(pieces, F.col("start").alias("v"), "drawn")
+    line = line.select("*", none.alias("id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    seek = placed.select(
+        F.floor(F.col("v") / width).alias("p"), "v", F.lit(None).cast(dict(answers.dtypes)["drawn"]).alias("drawn"), "id",
+        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
+    )
+    order = W.partitionBy("p", "salt").orderBy("v", F.col("id").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    found = line.unionByName(seek).withColumn("drawn", F.last("drawn", True).over(order)).filter(F.col("id").isNotNull())
+    found = found.select("id", "drawn")
     texts = df.select(F.col(key).alias("drawn"), F.col(answer).alias("false_answer"))
-    drawn = found.join(texts, "drawn").select("id", "false_answer")
-    return df.join(drawn, df[key] == drawn["id"], "left").drop("id")
+    chosen = found.join(texts, "drawn").select("id", "false_answer")
+    return df.join(chosen, df[key] == chosen["id"], "left").drop("id")
 
 
-def _ring_round(pool: DataFrame, todo: DataFrame, known: DataFrame, rings: int, tries: int, seed: str) -> DataFrame:
-    inside = W.partitionBy("ring")
-    placed = (
-        pool.withColumn("ring", F.pmod(hash_int("id", seed=seed), F.lit(rings)))
-        .withColumn("place", F.row_number().over(inside.orderBy(hash_hex("id", seed=seed), "id")) - 1)
-        .withColumn("size", F.count(F.lit(1)).over(inside))
-    )
-    seats = placed.select(
-        "ring", "place", F.col("id").alias("drawn"), F.col("q").alias("drawn_q"), F.col("a").alias("drawn_a")
-    )
-    walking = placed if todo is pool else placed.join(todo.select("id"), "id", "left_semi")
-    walkers = walking.select(
-        "id", "q", "a", "ring", "place", "size", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("step")
-    )
-    walkers = walkers.filter(F.col("step") < F.col("size")).withColumn(
-        "place", F.pmod(F.col("place") + F.col("step"), F.col("size")).cast("int")
-    )
-    pairs = walkers.join(seats, ["ring", "place"]).filter(
-        (F.col("drawn_a") != F.col("a")) & (F.col("drawn_q") != F.col("q"))
-    )
-    valid = pairs.join(known, (pairs["q"] == known["known_q"]) & (pairs["drawn_a"] == known["known_a"]), "left_anti")
-    return valid.groupBy("id").agg(F.min_by("drawn", "step").alias("drawn"))
+def _running(df: DataFrame, group: list[str], piece: str, n: str, order: list[str], name: str) -> DataFrame:
+    """Sum of ``n`` over the rows before each row by (``piece``, ``order``) in its group.
+
+    Pieces are summed first; their running totals are one row per group and piece, and rows are only ordered inside
+    a piece.
+    """
+    sums = df.groupBy(*group, piece).agg(F.sum(n).alias("__s"))
+    upto = W.partitionBy(*group).orderBy(piece).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*group, piece, F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__o"))
+    inside = W.partitionBy(*group, piece).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = df.join(offsets, [*group, piece])
+    return out.withColumn(name, F.col("__o") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("__o")
 
 
 def stack_answers(df: DataFrame, question: str, answer: str, false_answer: str) -> DataFrame:
-    """(query, text, label): the true answers with 1 and the drawn ones with 0, in one pass."""
+    """(query, text, label): the true answers with 1 and the drawn ones with 0, in one pass; nothing for what wasn't drawn."""
     pair = F.explode(
-        F.array(
-            F.struct(F.col(answer).alias("text"), F.lit(1).alias("label")),
-            F.struct(F.col(false_answer).alias("text"), F.lit(0).alias("label")),
+        F.filter(
+            F.array(
+                F.struct(F.col(answer).alias("text"), F.lit(1).alias("label")),
+                F.struct(F.col(false_answer).alias("text"), F.lit(0).alias("label")),
+            ),
+            lambda p: (p["label"] == 1) | p["text"].isNotNull(),
         )
     ).alias("p")
     return df.select(F.col(question).alias("query"), pair).select("query", "p.text", "p.label")

@@ -136,10 +136,10 @@ def parse_evidence_answers(t):
     return rows.select("document_id", fn.parse_evidences("a").alias("label"), fn.parse_explanation("a").alias("explanation"))
 
 
-@query("split_answers", "select doc_id, array_to_string(list_transform(label, lambda x: upper(x)), '|') as parts, len(label)::INTEGER as n from v_multi where len(label) > 0", ("v_multi",))
+@query("split_answers", "select doc_id, array_to_string(list_transform(label, lambda x: upper(x)), '|') as parts, greatest(len(label), 1)::INTEGER as n from v_multi", ("v_multi",))
 def split_answers(t):
     answer = F.concat(F.lit("  "), F.array_join(F.transform("label", F.upper), " , "), F.lit("\n"))
-    rows = t.v_multi.filter(F.size("label") > 0).select("doc_id", fn.split_answer(answer).alias("l"))
+    rows = t.v_multi.select("doc_id", fn.split_answer(answer).alias("l"))
     return rows.select("doc_id", F.array_join("l", "|").alias("parts"), F.size("l").alias("n"))
 
 

@@ -26,11 +26,12 @@ def policy_documents(t):
     ev = t.v_evid_gold.select(
         "document_id", "query", "stance", F.transform("pages", lambda p: p - 1).alias("page_indices"), F.lit("").alias("comment")
     ).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("query", "stance", "page_indices", "comment"))).alias("evidences"))
-    return body.join(ev, "document_id")
+    none = F.array().cast(dict(ev.dtypes)["evidences"])
+    return body.join(ev, "document_id", "left").withColumn("evidences", F.coalesce("evidences", none))
 
 
 _DOCS = """s as (select doc_id as document_id, pos, page_number as page_idx, pos // 2 as block_idx, text from v_para),
-e as (select document_id, query, stance, unnest(list_transform(pages, lambda p: p - 1)) as page_idx from v_evid_gold where document_id in (select doc_id from documents)),
+e as (select document_id, query, stance, unnest(list_transform(pages, lambda p: p - 1)) as page_idx from v_evid_gold where document_id in (select doc_id from v_para)),
 b as (select document_id, page_idx, block_idx, string_agg(text, '' order by pos) as text from s group by all),
 p as (select document_id, page_idx, string_agg(text, '\\n' order by block_idx) as text from b group by all)"""
 _V = ("v_para", "v_evid_gold")
@@ -62,7 +63,8 @@ def paragraphs_to_pages(t):
     return op.join_ordered(t.v_para.filter("type = 'NarrativeText'"), ["filename", "doc_id", "page_number"], ["pos"], "text", "\n")
 
 
-@query("evidence_pages", """select document_id, array_to_string(list_sort(list(distinct page)), '|') as pages from (select document_id, unnest(pages) - 1 as page from v_evid_gold where document_id in (select doc_id from documents)) group by 1""", _V)
+@query("evidence_pages", """select document_id, array_to_string(list_sort(list(distinct page)), '|') as pages from (select document_id, unnest(pages) - 1 as page from v_evid_gold where document_id in (select doc_id from v_para)) group by 1
+ union all select distinct doc_id, '' from v_para where doc_id not in (select document_id from v_evid_gold)""", _V)
 def evidence_pages(t):
     return policy_documents(t).select("document_id", F.array_join(op.evidence_pages(), "|").alias("pages"))
 
@@ -79,7 +81,7 @@ def page_stances_with_text(t):
     return op.attach_pages(op.evidence_rows(docs).drop("comment"), pages)
 
 
-@query("labelled_pages", f"with {_DOCS} select document_id, page_idx::INTEGER as page_idx, text, (exists (select 1 from e where e.document_id = p.document_id and e.page_idx = p.page_idx))::INTEGER as label from p where document_id in (select document_id from v_evid_gold)", _V)
+@query("labelled_pages", f"with {_DOCS} select document_id, page_idx::INTEGER as page_idx, text, (exists (select 1 from e where e.document_id = p.document_id and e.page_idx = p.page_idx))::INTEGER as label from p", _V)
 def labelled_pages(t):
     docs = policy_documents(t).withColumn("sentences", F.transform("sentences", lambda s: s.dropFields("pos")))
     return op.labelled_pages(docs)
@@ -129,10 +131,14 @@ def melt_binary_tasks(t):
     return op.melt(t.labels, ["doc_id"], ["quality", "toxic"])
 
 
-@query("spread_year_counts", """select year("Date")::INTEGER as year, count(*) filter (label = '1-URGENT') as "1-URGENT", count(*) filter (label = '5-LOW') as "5-LOW" from v_time group by all""", ("v_time",))
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_PRIORITIES_SQL = ", ".join(f"""count(*) filter (label = '{p}') as "{p}\"""" for p in _PRIORITIES)
+
+
+@query("spread_year_counts", f"""select year("Date")::INTEGER as year, {_PRIORITIES_SQL} from v_time group by all""", ("v_time",))
 def spread_year_counts(t):
     dated = t.v_time.withColumn("year", F.year("Date"))
-    return op.spread_counts(dated, "year", "label", ["1-URGENT", "5-LOW"])
+    return op.spread_counts(dated, "year", "label", _PRIORITIES)
 
 
 @query("nest_evidences", """select document_id, string_agg(query || ':' || stance || ':' || array_to_string(pages, ','), ';' order by query, stance) as evidences from v_evid_gold group by 1""", ("v_evid_gold",))

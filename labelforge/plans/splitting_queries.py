@@ -91,25 +91,40 @@ def _split_lang(t):
     return op.stratified_split(t.v_lang.select("doc_id", "label"), "doc_id")
 
 
-@query("truncate_balanced", f"""with {_BASE}, tr as (select * from b where split = 'train'), {_LARGEST('tr', 200)}, r as {_ranked('tr', 'label', 'doc_id')}
-select doc_id, label, split from r join k using (label) where rn <= k.k union all select doc_id, label, split from b where split <> 'train' """, ("v_lang",))
+def _cut(*parts):
+    """Train and dev cut alike, each by its own query, and the other rows as they are."""
+    return " union all ".join([*(f"select * from ({p})" for p in parts), "select doc_id, label, split from b where split not in ('train', 'dev')"])
+
+
+_PART = lambda part: f"one as (select * from b where split = '{part}')"
+
+
+def _balanced(part):
+    return f"with {_PART(part)}, {_LARGEST('one', 60)}, r as {_ranked('one', 'label', 'doc_id')} select doc_id, label, split from r join k using (label) where rn <= k.k"
+
+
+def _random(part):
+    return f"""with {_PART(part)}, u as (select doc_id, label, split from {_ranked('one', 'label', 'doc_id')} r where rn <= (select min(n) from (select count(*) as n from one group by label))),
+{_LARGEST('u', 60)}, r as {_ranked('u', 'label', 'doc_id')} select doc_id, label, split from r join k using (label) where rn <= k.k"""
+
+
+def _weighted(part):
+    return f"with recursive {_PART(part)}, {_WATER('one', 60)}, r as {_ranked('one', 'label', 'doc_id')} select doc_id, label, split from r join w using (label) where rn <= k"
+
+
+@query("truncate_balanced", f"with {_BASE} {_cut(_balanced('train'), _balanced('dev'))}", ("v_lang",))
 def truncate_balanced(t):
-    """Dev holds fewer rows than the cap and stays whole at the scale of the check."""
-    df = _split_lang(t)
-    small = df.filter("split <> 'train'")
-    return op.truncate(df.filter("split = 'train'"), "doc_id", 200).unionByName(small)
+    return op.truncate(_split_lang(t), "doc_id", 60)
 
 
-@query("truncate_random", f"""with {_BASE}, one as (select * from b where split = 'train'), u as (select doc_id, label from {_ranked('one', 'label', 'doc_id')} r where rn <= (select min(n) from (select count(*) as n from one group by label))),
-{_LARGEST('u', 200)}, r as {_ranked('u', 'label', 'doc_id')} select doc_id, label from r join k using (label) where rn <= k.k""", ("v_lang",))
+@query("truncate_random", f"with {_BASE} {_cut(_random('train'), _random('dev'))}", ("v_lang",))
 def truncate_random(t):
-    return op.truncate(_split_lang(t).filter("split = 'train'"), "doc_id", 200, "random").drop("split")
+    return op.truncate(_split_lang(t), "doc_id", 60, "random")
 
 
-@query("truncate_weighted", f"""with recursive {_BASE}, one as (select * from b where split = 'train'), {_WATER('one', 400)}, r as {_ranked('one', 'label', 'doc_id')}
-select doc_id, label from r join w using (label) where rn <= k""", ("v_lang",))
+@query("truncate_weighted", f"with {_BASE} {_cut(_weighted('train'), _weighted('dev'))}", ("v_lang",))
 def truncate_weighted(t):
-    return op.truncate(_split_lang(t).filter("split = 'train'"), "doc_id", 400, "weighted").drop("split")
+    return op.truncate(_split_lang(t), "doc_id", 60, "weighted")
 
 
 @query("downsample_class", f"select o_orderkey, label from (select o_orderkey, label, {sql_rank('label', 'o_orderkey')} as rn from v_claims) where label <> 'NOT_ENOUGH_INFO' or rn <= 1539", ("v_claims",))
@@ -141,21 +156,24 @@ def first_positives(t):
     return op.head(t.v_dup.select("doc_id", "label").filter("label = 1"), 100, "doc_id")
 
 
-_RING = f"""n as (select greatest(1, count(*) // 1000) as rings from v_pairs),
-p as (select pair_id as id, query, text, {sql_hash_int('pair_id')} % rings as ring, {sql_hash('pair_id')} as h from v_pairs, n),
-o as (select *, row_number() over (partition by ring order by h, id) - 1 as place, count(*) over (partition by ring) as size from p),
-c as (select o.id, o.query, o.text, s.step, d.text as drawn from o cross join range(1, 9) s(step) join o d on d.ring = o.ring and d.place = (o.place + s.step) % o.size
- where s.step < o.size and d.text <> o.text and d.query <> o.query and not exists (select 1 from v_pairs k where k.query = o.query and k.text = d.text)),
-f as (select id, arg_min(drawn, step) as false_answer from c group by id)"""
+_DRAWN = f"""p as (select pair_id as id, query, text, sha256(query) as q, sha256(text) as a from v_pairs),
+an as (select a, count(*) as n, min(id) as drawn from p group by a),
+s as (select *, coalesce(sum(n) over (order by a rows between unbounded preceding and 1 preceding), 0) as start from an),
+k as (select q, n, start - coalesce(sum(n) over (partition by q order by start rows between unbounded preceding and 1 preceding), 0) as d from (select distinct q, a from p) join s using (a)),
+o as (select q, (select sum(n) from an) - sum(n) as free from k group by q),
+r as (select id, p.q, ('0x' || substr({sql_hash('id')}, 1, 15))::BIGINT % free::BIGINT as j from p join o using (q) where free > 0),
+h as (select id, j + coalesce(sum(n) filter (d <= j), 0) as pos from r left join k using (q) group by id, j),
+w as (select h.id, s.drawn from h asof join s on h.pos >= s.start),
+f as (select w.id, p.text as false_answer from w join p on p.id = w.drawn)"""
 
 
-@query("negative_answers", f"with {_RING} select pair_id, false_answer from v_pairs left join f on id = pair_id", ("v_pairs",))
+@query("negative_answers", f"with {_DRAWN} select pair_id, false_answer from v_pairs left join f on id = pair_id", ("v_pairs",))
 def negative_answers(t):
     pairs = t.v_pairs.withColumnsRenamed({"query": "question", "text": "answer"})
     return op.negative_answers(pairs, "pair_id").select("pair_id", "false_answer")
 
 
-@query("answer_pairs", f"with {_RING} select query, text, 1 as label from v_pairs union all select v.query, false_answer, 0 from v_pairs v left join f on id = pair_id", ("v_pairs",))
+@query("answer_pairs", f"with {_DRAWN} select query, text, 1 as label from v_pairs union all select v.query, false_answer, 0 from v_pairs v join f on id = pair_id", ("v_pairs",))
 def answer_pairs(t):
     pairs = t.v_pairs.withColumnsRenamed({"query": "question", "text": "answer"})
     return op.stack_answers(op.negative_answers(pairs, "pair_id"), "question", "answer", "false_answer")
