@@ -7,7 +7,6 @@ documents (id, number of ids), the alphabet with its frequencies, and of every b
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,12 +29,18 @@ SEGMENT = 1 << 23
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 600_000
 
-#: A blank between two signs that aren't white space is where the tokenizer's own pattern always cuts.
-_ODD_BLANKS = re.compile(r" \s|\s ")
+#: New pieces that are encoded as one string.
+PIECES = 2000
 
 
 class Encoder:
-    """Ids of whole texts. Pieces between single blanks are encoded once and remembered; other texts go in whole."""
+    """Ids of whole texts. Pieces between single blanks are encoded once and remembered; other texts go in whole.
+
+    The tokenizer's pattern always cuts before a blank that stands alone between two signs that aren't white space, and the
+    blank goes with what follows. So the ids of " piece" don't depend on its neighbours, many new pieces can be encoded as
+    one string, and the ids that begin with a blank say where each piece begins. A piece that is empty or has white space
+    at an end is odd, and a text that holds one is encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,26 +48,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(words.values()) + 1, bool)
+        self.begins[[i for w, i in words.items() if w.startswith("\u0120")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Place 0 is the odd pieces."""
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes, self.used, self.pieces = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 1
 
     def whole(self, items: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
 
+    def learn(self, new: list[str]) -> None:
+        """Remember the ids of " piece" for each."""
+        plain = []
+        for piece in new:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                self.known[piece] = 0
+            else:
+                plain.append(piece)
+        groups = [plain[k : k + PIECES] for k in range(0, len(plain), PIECES)]
+        for group, ids in zip(groups, self.whole(["".join([" " + p for p in g]) for g in groups]), strict=True):
+            ids = np.array(ids, np.uint32)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(group) and at[0] == 0:
+                sizes = np.diff(np.append(at, len(ids)))
+            else:  # a tokenizer of another pattern
+                each = self.whole([" " + p for p in group])
+                ids, sizes = np.array([x for e in each for x in e], np.uint32), np.array(list(map(len, each)))
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.append(self.flat, np.zeros_like(self.flat))
+            while self.pieces + len(group) > len(self.starts):
+                self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
+            self.flat[self.used : self.used + len(ids)] = ids
+            place = slice(self.pieces, self.pieces + len(group))
+            self.starts[place], self.sizes[place] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.known.update(zip(group, range(self.pieces, self.pieces + len(group)), strict=True))
+            self.used, self.pieces = self.used + len(ids), self.pieces + len(group)
+
     def encode(self, items: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
-        pieces: list[list[str]] = []
-        for text in items:
-            text = text or ""
-            cut = [text] if _ODD_BLANKS.search(text) else text.split(" ")
-            pieces.append([cut[0], *[" " + c for c in cut[1:]]])
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(chain.from_iterable(p for p in pieces if len(p) > 1)) - self.known.keys())
-        self.known.update(zip(new, map(tuple, self.whole(new)), strict=True))
-        get = self.known.__getitem__
-        single = [i for i, p in enumerate(pieces) if len(p) == 1]
-        lone = dict(zip(single, self.whole([pieces[i][0] for i in single]), strict=True))
-        return [np.array(lone[i] if i in lone else list(chain.from_iterable(map(get, p))), np.uint32) for i, p in enumerate(pieces)]
+            self.forget()
+        cuts = [(text or "").split(" ") for text in items]
+        heads = [np.array(ids, np.uint32) for ids in self.whole([c[0] for c in cuts])]
+        new: set[str] = set()
+        for c in cuts:
+            del c[0]
+            new.update(c)
+        self.learn(list(new - self.known.keys()))
+        counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64, int(counts.sum()))
+        sizes = self.sizes[place]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[place] - upto[:-1], sizes)]
+        ends = np.cumsum(counts)
+        odd = np.zeros(len(cuts), bool)
+        odd[np.searchsorted(ends, np.flatnonzero(place == 0), side="right")] = True
+        odd |= [bool(c) and bool(t) and t.split(" ", 1)[0][-1:].isspace() for c, t in zip(cuts, items, strict=True)]
+        out = [np.concatenate([h, ids[upto[e - n] : upto[e]]]) for h, e, n in zip(heads, ends.tolist(), counts.tolist(), strict=True)]
+        again = np.flatnonzero(odd).tolist()
+        for i, x in zip(again, self.whole([items[i] for i in again]), strict=True):
+            out[i] = np.array(x, np.uint32)
+        return out
 
 
 def pack_segment(docs: list[int | None], lengths: list[int], ids: np.ndarray, block: int = rangecoder.BLOCK) -> bytes:
