@@ -79,6 +79,13 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that Python objects exist for few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def append_columns(docs: DataFrame, text: str, schema: str, per_batch: Callable[[list[bytes | None]], list[pa.Array]]) -> DataFrame:
     """``docs`` with the columns of ``schema`` ("name type, ..."), which ``per_batch`` makes from the texts of a batch.
 
@@ -86,14 +93,14 @@ def append_columns(docs: DataFrame, text: str, schema: str, per_batch: Callable[
     column of ``docs`` that has the name of a new one must be renamed by the caller (see :func:`free_name`).
     """
     ship(docs.sparkSession)
-    spare = free_name(docs, "__data")
-    wide = docs.withColumn(spare, F.col(text).cast("string").cast("binary"))
+    wide = docs if dict(docs.dtypes)[text] == "string" else docs.withColumn(text, F.col(text).cast("string"))
+    at, docs = docs.columns.index(text), wide
     out = T.StructType(docs.schema.fields + T.StructType.fromDDL(schema).fields)
     names = [f.name for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = per_batch(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
+        for batch in slices(batches):
+            made = per_batch(batch.column(at).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
 
     return wide.mapInArrow(run, out)

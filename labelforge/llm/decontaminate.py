@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelforge.llm.common import free_name, ship
+from labelforge.llm.common import free_name, ship, slices
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass over the documents searches for; a larger benchmark takes more passes.
@@ -135,7 +135,7 @@ def _search_pass(docs: DataFrame, text: str, state: str, tables) -> DataFrame:
 
     def run(batches):
         machine = tables.value
-        for batch in batches:
+        for batch in slices(batches):
             had, data = batch.column(place).to_pylist(), batch.column(at).cast(pa.binary()).to_pylist()
             for k, x in enumerate(data):
                 places, items = machine.search(words_of(x)) if x else ([], ())
@@ -158,7 +158,7 @@ def _digest(docs: DataFrame, text: str, state: str) -> DataFrame:
     names = schema.names
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data, found in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(place).to_pylist(), strict=True):
                 items = sorted({x[1:] for x in found or () if x[0] == "="})

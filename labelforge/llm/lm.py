@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import texts, written
+from labelforge.llm.common import slices, texts, written
 
 #: Words that every task knows. Of these the first OWN are told apart by the network, in classes of EACH.
 HEAD, OWN, EACH = 1 << 18, 1024, 32
@@ -28,7 +28,7 @@ HIDDEN, WINDOW, LANES = 32, 48, 512
 SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
 EPOCHS = 3
 #: Bytes of text that a task scores side by side.
-TOGETHER = 32 << 20
+TOGETHER = 12 << 20
 END = b"\n"
 _LN10 = float(np.log(10))
 
@@ -66,7 +66,9 @@ class Head:
         if bands:
             sums = np.bincount(band[OWN:], weights=self.counts[OWN:], minlength=bands)
             inside[OWN:n] = np.log(self.counts[OWN:] / sums[band[OWN:]])
-        self.inside = inside
+        # small numbers, of which every task has a copy and takes one for each word
+        self.inside = inside.astype(np.float32)
+        self.cls, self.inp = self.cls.astype(np.int16), self.inp.astype(np.int32)
         self.base = np.append(np.log10((self.counts + 1) / (self.total + self.distinct + 1)), 0.0)
         self.start = int(self.inp[self.words.index(END)]) if END in self.words else self.inputs - 1
 
@@ -212,7 +214,7 @@ class Network:
                 where.append(pos)
             pos = np.concatenate(where)
             out[pos] = self.log_probabilities(hs[:used], cls[pos], seq[pos])
-        total = np.add.reduceat(out.astype(np.float64) + inside, begins)
+        total = np.add.reduceat(np.add(out, inside, dtype=np.float64), begins)
         back = np.empty(len(docs))
         back[place] = total
         return back
@@ -260,10 +262,10 @@ def count_words(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for data in batch.column(1).to_pylist():
                 seen.update(tokens_of(data))
-                if len(seen) > 500_000:
+                if len(seen) > 300_000:
                     yield _pairs(seen)
                     seen.clear()
         if seen:
@@ -295,7 +297,7 @@ def _sample(rows: DataFrame, head, size: int, size_bytes: int) -> list[np.ndarra
 
     def run(batches):
         get = head.value.index().get
-        for batch in batches:
+        for batch in slices(batches):
             made = [np.array([get(w, -1) for w in tokens_of(x)], np.int32).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ranks"])
 
@@ -331,8 +333,8 @@ def score(docs: DataFrame, training: Column | None = None, key: str = "doc_id",
                     size += int(sizes[end])
                     end += 1
                 made, tails = [], []
-                for x in data[k:end].to_pylist():
-                    words = tokens_of(x)
+                for x in data[k:end]:
+                    words = tokens_of(x.as_py())
                     ranks = np.array([get(w, -1) for w in words], np.int32)
                     made.append(ranks)
                     tails.append(Counter(words[i] for i in np.flatnonzero(ranks < 0).tolist()))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import append_columns, ship, written
+from labelforge.llm.common import append_columns, ship, slices, written
 
 #: Labelled documents used, at most, of each class (the smallest hashes).
 SAMPLE = 4000
@@ -219,7 +219,7 @@ def fit(labelled: DataFrame, prior: float = 0.5) -> Network:
     ship(labelled.sparkSession)
 
     def bags(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x, owner = encode(batch.column(0).to_pylist())
             parts = np.split(x.astype(np.float16), np.searchsorted(owner, np.arange(1, batch.num_rows))) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary()), batch.column(1)], names=["bag", "quality"])

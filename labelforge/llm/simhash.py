@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import free_name, texts, written
+from labelforge.llm.common import free_name, slices, texts, written
 
 BITS, SEED = 64, 42
 #: Members of a bucket that are compared with each other in one task; a larger bucket is split by further masks.
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
     """doc_id, fp (the fingerprint as a signed bigint) of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
 

@@ -27,7 +27,7 @@ END_ID = 0
 #: Ids of a segment, which bounds the memory of writer and reader. A longer document goes over several segments.
 SEGMENT = 1 << 23
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 #: New pieces that are encoded as one string.
 PIECES = 2000
@@ -210,6 +210,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
                             if held == segment:
                                 flush()
             flush()
+        if encoder:
+            encoder.forget()  # a worker lives on after the task
         if n_docs:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part]), "path": [f"{folder}/{path}"], "bytes": pa.array([size]), "n_docs": pa.array([n_docs]), "n_ids": pa.array([n_ids])})
         else:
@@ -224,7 +226,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker."""
+    """One tokenizer for all tasks of a worker; what it remembers of a task's texts goes with the task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

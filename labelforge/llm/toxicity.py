@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import append_columns, free_name, ship, written
+from labelforge.llm.common import append_columns, free_name, ship, slices, written
 
 #: Labelled rows used, at most, of each class (the smallest hashes).
 SAMPLE = {1: 5000, 0: 10_000}
@@ -167,11 +167,11 @@ def fit(labelled: DataFrame, sample: dict[int, int] | None = None, entries: int
 
     def count(batches):
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for data, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.update((k, e, toxic) for k, e in entries_of(words_of(data)))
                 seen[("", b"", toxic)] += 1
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 yield _counts(seen)
                 seen.clear()
         yield _counts(seen)
@@ -193,7 +193,7 @@ def fit(labelled: DataFrame, sample: dict[int, int] | None = None, entries: int
     model = Model(found, len(KINDS) * BANDS + 1 + len(PATTERNS) + 2)
 
     def vectors(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = [model.features(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c for c, _ in made], pa.list_(pa.int32())), pa.array([d.tolist() for _, d in made], pa.list_(pa.float32())), batch.column(1)],

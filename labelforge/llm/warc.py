@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import new_folder, ship
+from labelforge.llm.common import new_folder, ship, slices
 
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 100
@@ -205,7 +205,7 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
                 made.append((f"{folder}/{name}", len(data), len(archive.index)))
                 archive = _Archive()
 
-        for batch in batches:
+        for batch in slices(batches):
             for page, link, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 archive.add(pack_record(page, link, "response" if refers is None else "revisit", refers, payload, digest), page)
                 if archive.data.tell() >= archive_bytes:
