@@ -25,7 +25,7 @@ TOKEN_PATTERN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
 NEVER = r"\x01\x02\x03\x04\x05\x06"  # a plain run of control signs: skipped over, never found
 NON_ASCII = r"[^\x00-\x7F]"
 WHITESPACE = " \t\n\r\f\x0b"
-WORD_PATTERN = r"[a-z0-9_]{2,}"
+WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"  # word signs of every script
 
 # Letters that fold to more than one ASCII letter, and typographic signs.
 WIDE_FOLDS = {
@@ -151,8 +151,8 @@ def count_tokens(c: Column | str) -> Column:
 
 
 def word_tokens(c: Column | str) -> Column:
-    """Lower-cased words of two and more characters, as the bag-of-words models see them."""
-    return F.regexp_extract_all(F.lower(ascii_fold(c)), F.lit(WORD_PATTERN), F.lit(0))
+    """Lower-cased words of two and more characters of any script, as the bag-of-words models see them."""
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD_PATTERN), F.lit(0))
 
 
 def remove_phrase(text: Column | str, phrase: Column | str) -> Column:

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.arrays import argmax, softmax
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
-from labelforge.functions.text import WORD_PATTERN, ascii_fold, word_tokens
+from labelforge.functions.text import WORD_PATTERN, word_tokens
 from labelforge.operators.attach import attach_small, small_table
 from labelforge.operators.stats import class_weights, most_frequent
 
 MAX_ITER = 1000  # fixed value: iteration cap of the logistic regression
 TOLERANCE = 1e-4
 MAX_LABELS = 1000
-VOCABULARY = 1 << 18
+VOCABULARY = (1 << 31) - 1  # no cut: a train table holds at most splits.TRAIN_CAP rows, and so do its words
 
 
 def tfidf_weights(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -58,10 +58,11 @@ def _with_frequency(tf: DataFrame, frequency: DataFrame, n: int, share: float =
 
 
 def fit_tfidf(df: DataFrame, text: str, out: str, vocabulary: int = VOCABULARY) -> PipelineModel:
-    """The same weights as a vector column. The vocabulary, the only thing that reaches the driver, is bounded."""
-    folded, words, counts, scaled = f"{out}_folded", f"{out}_words", f"{out}_counts", f"{out}_scaled"
-    tokenizer = RegexTokenizer(inputCol=folded, outputCol=words, pattern=WORD_PATTERN, gaps=False)
-    tokens = tokenizer.transform(with_folded(df, text, folded))
+    """The same weights as a vector column. What reaches the driver is the vocabulary of the train table, which ``truncate``
+    bounds; ``vocabulary`` cuts it to the most frequent terms if a caller asks for it."""
+    raw, words, counts, scaled = f"{out}_raw", f"{out}_words", f"{out}_counts", f"{out}_scaled"
+    tokenizer = RegexTokenizer(inputCol=raw, outputCol=words, pattern=WORD_PATTERN, gaps=False)
+    tokens = tokenizer.transform(with_text(df, text, raw))
     counter = CountVectorizer(inputCol=words, outputCol=counts, vocabSize=vocabulary).fit(tokens)
     idf = IDF(inputCol=counts, outputCol=scaled).fit(counter.transform(tokens)).idf.toArray() + 1.0
     return PipelineModel([
@@ -70,9 +71,9 @@ def fit_tfidf(df: DataFrame, text: str, out: str, vocabulary: int = VOCABULARY)
     ])
 
 
-def with_folded(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the ASCII-folded text the tokenizer works on."""
-    return df.withColumn(name, F.coalesce(ascii_fold(text), F.lit("")))
+def with_text(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the text the tokenizer works on; null is empty."""
+    return df.withColumn(name, F.coalesce(text, F.lit("")))
 
 
 @dataclass
@@ -87,7 +88,7 @@ class Baseline:
     def featurise(self, df: DataFrame) -> DataFrame:
         """Add the feature column."""
         for text, name in self.inputs.items():
-            df = with_folded(df, text, name)
+            df = with_text(df, text, name)
         return self.features.transform(df)
 
     def predict(self, df: DataFrame, name: str = "y_pred") -> DataFrame:
@@ -106,11 +107,11 @@ def fit_baseline(
     ``query_kind``: ``tfidf`` (own vocabulary) or ``onehot``. The penalty equals that of an unscaled loss with C = 1:
     balanced weights sum to n, so that the strength is 1/n.
     """
-    inputs = {text: "text_features_folded"}
+    inputs = {text: "text_features_raw"}
     stages = list(fit_tfidf(train, text, "text_features", vocabulary).stages)
     columns = ["text_features"]
     if query is not None and query_kind == "tfidf":
-        inputs[query] = "query_features_folded"
+        inputs[query] = "query_features_raw"
         stages += fit_tfidf(train, query, "query_features", vocabulary).stages
         columns.append("query_features")
     elif query is not None:
@@ -149,9 +150,9 @@ def predict_multilabel(
             raise ValueError(f"more than {MAX_LABELS} labels: one regression per label is not the way for them")
         labels = [r[0] for r in known.orderBy("name").collect()]
     features = fit_tfidf(train, text, "features", vocabulary)
-    ready = features.transform(with_folded(train, text, "features_folded")).select("features", label)
+    ready = features.transform(with_text(train, text, "features_raw")).select("features", label)
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    scored = features.transform(with_folded(test, text, "features_folded")).select(key, "features")
+    scored = features.transform(with_text(test, text, "features_raw")).select(key, "features")
     hits = []
     for name in labels:
         binary = ready.withColumn("y", F.array_contains(label, name).cast("double"))

@@ -1,17 +1,16 @@
 """Language and gibberish labels from letter-trigram profiles learned as a Spark job.
 
-A profile has at most 28^3 trigrams per language, so that it can be broadcast whatever the corpus is. Words are cut
-into trigrams inside the task and counted map-side: one row per document leaves the task.
+Words are runs of letters of any script. Words are cut into trigrams inside the task and counted map-side. Profiles of
+alphabets are small and broadcast after a check; past the bound (many languages, scripts of many signs) they meet the
+trigrams in a salted shuffle join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelforge.functions.text import ascii_fold
-from labelforge.operators.attach import small_table
+from labelforge.operators.attach import attach_small
 
 FLOOR = -12.0  # log probability of a trigram no profile knows
 NOISE_LETTERS = 0.5
@@ -19,7 +18,7 @@ SALAD_SCORE = -9.5
 
 
 def _words(text: str):
-    return F.regexp_extract_all(F.lower(ascii_fold(text)), F.lit("[a-z]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def _explode_trigrams(df: DataFrame, word: str = "word") -> DataFrame:
@@ -37,20 +36,18 @@ def fit_profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     words = df.select(F.col(lang).alias("lang"), F.explode(_words(text)).alias("word")).groupBy("lang", "word")
     grams = _explode_trigrams(words.agg(F.count(F.lit(1)).alias("n")))
     counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    inside = W.partitionBy("lang")  # at most 28^3 rows
-    share = (F.col("n") + 1) / (F.sum("n").over(inside) + F.count(F.lit(1)).over(inside))
-    return counts.select("gram", "lang", F.log(share).alias("score"))
+    sizes = counts.groupBy(F.col("lang").alias("of")).agg((F.sum("n") + F.count(F.lit(1))).alias("size"))  # one row per language
+    scored = counts.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("of")))
+    return scored.select("gram", "lang", F.log((F.col("n") + 1) / F.col("size")).alias("score"))
 
 
 def detect(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Add ``language``, ``score`` (mean log probability per trigram) and ``gibberish``."""
-    profiles = small_table(profiles)  # bounded by 28^3 trigrams times the languages
-    if profiles is None:
-        raise ValueError("too many languages for a broadcast profile")
     packed = profiles.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "score"))).alias("m"))
     names = [r[0] for r in profiles.select("lang").distinct().orderBy("lang").collect()]
     one = packed.select("gram", *[F.coalesce(F.col("m")[n], F.lit(FLOOR)).alias(f"s{i}") for i, n in enumerate(names)])
-    cut = _explode_trigrams(df.select(key, F.explode(_words(text)).alias("word"))).join(F.broadcast(one), "gram", "left")
+    cut = _explode_trigrams(df.select(key, F.explode(_words(text)).alias("word"))).select(key, "gram")
+    cut = attach_small(cut, one, ["gram"])
     sums = cut.groupBy(key).agg(*[F.avg(F.coalesce(F.col(f"s{i}"), F.lit(FLOOR))).alias(f"s{i}") for i in range(len(names))])
     best = F.greatest(*[F.struct(F.col(f"s{i}").alias("score"), F.lit(n).alias("lang")) for i, n in enumerate(names)]) if len(names) > 1 else F.struct(F.col("s0").alias("score"), F.lit(names[0]).alias("lang"))
     scored = sums.select(key, best.alias("b")).select(key, F.col("b.lang").alias("language"), F.col("b.score").alias("score"))

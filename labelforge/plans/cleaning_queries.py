@@ -145,7 +145,7 @@ def orders_by_year(t):
     return t.v_time.groupBy(F.year("Date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_GRAMS = f"""docs as (select doc_id, lang, unnest(regexp_extract_all(lower({sql_fold('text')}), '[a-z]+')) as w from documents),
+_GRAMS = f"""docs as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as w from documents),
 grams as (select doc_id, lang, unnest(list_transform(range(1, len(w) + 1), lambda i: substr('^' || w || '$', i, 3))) as gram from docs),
 counts as (select lang, gram, count(*) as n from grams group by all),
 prof as (select gram, lang, ln((n + 1) / (sum(n) over (partition by lang) + count(*) over (partition by lang))) as score from counts)"""

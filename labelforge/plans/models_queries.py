@@ -8,7 +8,7 @@ from labelforge.operators import baselines as op
 from labelforge.operators import metrics
 from labelforge.operators.scoring import Models, score_with
 from labelforge.operators.splits import hash_bucket_split
-from labelforge.plans.registry import query, sql_fold, sql_hash_int
+from labelforge.plans.registry import query, sql_hash_int
 
 
 # The iteration cap of the operators is 1000; these queries stop earlier, with a bounded vocabulary.
@@ -20,7 +20,7 @@ def _split(t, df):
     return parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split")
 
 
-_TF = f"""w as (select doc_id, unnest(regexp_extract_all(lower({sql_fold('text')}), '[a-z0-9_]{{2,}}')) as term from documents), tf as (select doc_id, term, count(*) as tf from w group by all),
+_TF = f"""w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from documents), tf as (select doc_id, term, count(*) as tf from w group by all),
 d as (select term, count(*) as df from tf group by 1), n as (select count(*) as n from documents),
 x as (select doc_id, term, tf, df, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) as w from tf join d using (term), n)"""
 
@@ -69,7 +69,7 @@ def multilabel_baseline(t):
     train, test = _split(t, df)
     predicted = op.predict_multilabel(train, test, "doc_id", **SMALL)
     both = test.select("doc_id", F.col("label").alias("y_true")).join(predicted, "doc_id")
-    report = metrics.multilabel_report(both)
+    report = metrics.multilabel_report(both, classes=train.select(F.explode("label").alias("label")))
     return report.select("label", "tp", "support", "predicted", F.round("f1", 6).alias("f1"))
 
 

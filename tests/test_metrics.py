@@ -121,7 +121,7 @@ def test_tfidf_forms_agree(spark):
 
     df = spark.createDataFrame([(1, "a cat sat on the mat"), (2, "the cat"), (3, "dogs and the cats, and Çats")], "id int, text string")
     long = baselines.tfidf_weights(df, "id").groupBy("id").agg(F.sort_array(F.collect_list(F.round("weight", 9))).alias("w"))
-    vec = baselines.fit_tfidf(df, "text", "v").transform(baselines.with_folded(df, "text", "v_folded"))
+    vec = baselines.fit_tfidf(df, "text", "v").transform(baselines.with_text(df, "text", "v_raw"))
     wide = vec.select("id", F.sort_array(F.transform(F.filter(vector_to_array("v"), lambda x: x > 0), lambda x: F.round(x, 9))).alias("w"))
     assert rows(long) == rows(wide)
 
