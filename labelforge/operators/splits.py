@@ -272,8 +272,8 @@ def negative_answers(
     found = line.unionByName(seek).withColumn("drawn", F.last("drawn", True).over(order)).filter(F.col("id").isNotNull())
     found = found.select("id", "drawn")
     texts = df.select(F.col(key).alias("drawn"), F.col(answer).alias("false_answer"))
-    chosen = found.join(texts, "drawn").select("id", "false_answer")
-    return df.join(chosen, df[key] == chosen["id"], "left").drop("id")
+    chosen = found.join(texts, "drawn").select(F.col("id").alias("__for"), "false_answer")
+    return df.join(chosen, F.col(key) == F.col("__for"), "left").drop("__for")
 
 
 def _running(df: DataFrame, group: list[str], piece: str, n: str, order: list[str], name: str) -> DataFrame:

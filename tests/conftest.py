@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ from labelforge.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", 4)
+    session = local_session("tests", 4, spark__checkpoint__dir=f"file://{tempfile.mkdtemp(prefix='labelforge-tests-')}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
