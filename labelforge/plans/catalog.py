@@ -17,7 +17,7 @@ SINGLE = [
     "ClimaTOPIC", "climateFEVER_claim", "climateBUG_data", "lobbymap_pages", "sustainable_signals_review", "esgbert_e",
     "esgbert_s", "esgbert_g", "esgbert_action500", "esgbert_category_water", "esgbert_category_forest",
     "esgbert_category_biodiversity", "esgbert_category_nature", "sciDCC", "green_claims", "green_claims_3",
-    "contrarian_claims", "climateStance", "climateEng", "ClimaINS", "ClimaINS_rebuilt", "gw_stance_detection",
+    "contrarian_claims", "climateStance", "climateEng", "ClimaINS", "ClimaINS_ours", "gw_stance_detection",
 ]
 MULTILABEL = ["lobbymap_query", "logicClimate"]
 STANCE = ["lobbymap_stance"]
@@ -94,7 +94,7 @@ ANSWER_ALIASES = {
     "Climate solutions won’t work, One country is negligible": READABLE["contrarian_claims"]["4_2"],
 }
 TASK_ALIASES = {"climate_tcfd_recommendations": {"general": "none"}}
-FIRST_WORD_TASKS = ["ClimaINS_rebuilt"]
+FIRST_WORD_TASKS = ["ClimaINS_ours"]
 ANSWER_DEFAULTS = {
     "netzero_reduction": "none",
     "lobbymap_pages": "The page does not contain evidence about the stance of the company regarding any of the policy",
@@ -127,7 +127,7 @@ DISPLAY_NAMES = {
     "climateFEVER_evidence_climabench": "climateFEVER evidence (climabench split)",
     "netzero_reduction_duplicated": "Net-Zero/Reduction (with duplicates)",
     "netzero_reduction": "Net-Zero/Reduction",
-    "ClimaINS_rebuilt": "ClimaINS (our split)",
+    "ClimaINS_ours": "ClimaINS (our split)",
     "climateFEVER_evidence": "climateFEVER evidence",
     "climateBUG_data": "climateBUG-data",
     "climate_commitments_actions": "Commitments And Actions",

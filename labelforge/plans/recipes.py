@@ -178,7 +178,7 @@ RECIPES: dict[str, Callable] = {
     "sustainable_signals_review": annotators,
     "gw_stance_detection": held_out_annotators,
     "logicClimate": listed_labels,
-    "ClimaINS_rebuilt": rebuilt_single_label,
+    "ClimaINS_ours": rebuilt_single_label,
     "climaQA": question_answers,
     "climaQA_published": conflict_free_pairs,
     "climateEng_Reddit": two_annotators,

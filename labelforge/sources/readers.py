@@ -23,10 +23,14 @@ def _pick(df: DataFrame, columns: Mapping[str, str] | None) -> DataFrame:
 
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str, columns: Mapping[str, str] | None = None,
-    sep: str = ",", encoding: str = "UTF-8",
+    sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header and quoted line breaks; ``columns`` maps file names to table names."""
-    reader = spark.read.schema(_struct(schema)).option("header", True).option("multiLine", True)
+    """CSV with a header and quoted line breaks; ``columns`` maps file names to table names.
+
+    A file with quoted line breaks can only be read by one task. ``multi_line=False`` splits large files, for files whose
+    values hold no line breaks.
+    """
+    reader = spark.read.schema(_struct(schema)).option("header", True).option("multiLine", multi_line)
     reader = reader.option("escape", '"').option("sep", sep).option("encoding", encoding)
     return _pick(reader.csv(path), columns)
 
