@@ -57,8 +57,7 @@ def test_ranks(spark):
     assert rows(ranks) == [(1, 2), (2, 1)]
     assert ranking.mean_reciprocal_rank(ranks).first().mrr == pytest.approx(0.75)
     ci = ranking.bootstrap_mrr(ranks, draws=200).first()
-    other = ranking.bootstrap_mrr(ranks, draws=200, method="multinomial").first()
-    assert ci.lower == other.lower == 0.5 and ci.upper == other.upper == 1.0
+    assert ci.lower == 0.5 and ci.upper == 1.0
 
 
 @pytest.fixture(scope="module")

@@ -95,9 +95,9 @@ def test_negative_answers_are_never_true(spark):
     data = [(i, "hot" if i % 3 == 0 else f"q{i}", f"a{i % 40}") for i in range(600)]
     df = spark.createDataFrame(data, "id int, question string, answer string")
     known = {(q, a) for _, q, a in data}
-    for r in splits.negative_answers(df, "id", rows_per_ring=50).collect():
-        assert r.false_answer is None or (r.question, r.false_answer) not in known
-    assert splits.negative_answers(df, "id", rows_per_ring=50).count() == 600
+    for r in splits.negative_answers(df, "id", buckets=8).collect():
+        assert r.false_answer is not None and (r.question, r.false_answer) not in known
+    assert splits.negative_answers(df, "id", buckets=8).count() == 600
 
 
 def test_attach_beyond_the_bound_is_the_same(skewed, spark):
