@@ -279,12 +279,18 @@ def _pairs(seen: Counter) -> pa.RecordBatch:
 
 
 def head_of(counts: DataFrame, size: int = HEAD) -> Head:
-    """The ``size`` most frequent words (ties to the smaller word) and the sums over all."""
-    top = counts.orderBy(F.desc("c"), "word").limit(size).toArrow()  # bounded by size
+    """The most frequent words, at most ``size``, and the sums over all.
+
+    A histogram of the counts says above which count there are no more than ``size`` words. Words of equal count are
+    in or out together, so that nothing is sorted and only the head's own rows are gathered.
+    """
+    steps = counts.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", F.expr("sum(n) over (order by c desc)"))
+    least = steps.filter(F.col("upto") <= size).agg(F.min("c")).first()[0]
+    top = counts.filter(F.col("c") >= least).toArrow() if least is not None else counts.limit(0).toArrow()  # bounded by size
     all_ = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("int"))).first()
-    words, found = [bytes(w) for w in top["word"].to_pylist()], np.array(top["c"].to_pylist(), np.int64)
-    once = (all_[2] or 0) - int((found == 1).sum())
-    return Head(words, found, all_[0] or 0, all_[1], once if all_[1] > len(words) else int((found == 1).sum()))
+    found = sorted(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    words, n = [bytes(w) for w, _ in found], np.array([c for _, c in found], np.int64)
+    return Head(words, n, all_[0] or 0, all_[1], (all_[2] or 0) - (int((n == 1).sum()) if all_[1] > len(words) else 0))
 
 
 def _sample(rows: DataFrame, head, size: int, size_bytes: int) -> list[np.ndarray]:
