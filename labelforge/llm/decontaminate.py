@@ -172,7 +172,23 @@ def _digest(docs: DataFrame, text: str, state: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without any window of the benchmark, with all their columns, whatever their names."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(text).cast("string").alias("body"))
-    return mark(packed, benchmark, "body").filter(~F.col("contaminated")).select(*[F.col("given").getField(c).alias(c) for c in docs.columns])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The documents without any window of the benchmark, with all their columns, whatever their names.
+
+    Each group of items is one filter over the rows as they are: texts go through a task once, and nothing is added.
+    """
+    spark, at = docs.sparkSession, docs.columns.index(text)
+    ship(spark)
+
+    def without(tables):
+        def run(batches):
+            for batch in slices(batches):
+                data = batch.column(at).cast(pa.binary()).to_pylist()
+                yield batch.filter(pa.array([not (x and tables.value.search(words_of(x))[0]) for x in data], pa.bool_()))
+
+        return run
+
+    out = docs
+    for items in _passes(benchmark, pass_bytes):
+        out = out.mapInArrow(without(spark.sparkContext.broadcast(WuManber(items, size))), docs.schema)
+    return out
