@@ -4,8 +4,10 @@ The vocabulary is every word of the training documents. The HEAD most frequent w
 them have their own classes of the output softmax, the others lie in classes by rank, inside which a word's share is that of
 its count. All further words are one class, whose words share it by their counts in the whole corpus, with the share that
 words seen once have for words never seen; those counts reach the documents by a join, so that the vocabulary may outgrow
-any machine. The network is trained in numpy by truncated backpropagation on a bounded sample of documents, and
-scores every document from its first word to its end, the state carried from window to window.
+any machine. The network is trained on all training documents, in rounds: shards of bounded size, dealt by hash, each start from
+the network of the round before and go through their own documents by truncated backpropagation in numpy; the next
+network is the mean of theirs, weighted by words. It scores every document from its first word to its end, the state carried
+from window to window.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from labelforge.llm.common import slices, texts, written
 #: Words that every task knows. Of these the first OWN are told apart by the network, in classes of EACH.
 HEAD, OWN, EACH = 1 << 18, 1024, 32
 HIDDEN, WINDOW, LANES = 32, 48, 512
-#: Training documents for the network, at most (those of smallest hashes), and bytes of their texts.
-SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
-EPOCHS = 3
+#: Times that the network sees every training document, rounds of each (every document is in one), and words of a shard.
+EPOCHS, ROUNDS, SHARD = 3, 4, 1 << 20
+#: Most tasks that add up the networks of a round, and so most rows that the driver gets of it.
+SUMS = 32
 #: Bytes of text that a task scores side by side.
 TOGETHER = 12 << 20
 END = b"\n"
@@ -71,6 +74,9 @@ class Head:
         self.cls, self.inp = self.cls.astype(np.int16), self.inp.astype(np.int32)
         self.base = np.append(np.log10((self.counts + 1) / (self.total + self.distinct + 1)), 0.0)
         self.start = int(self.inp[self.words.index(END)]) if END in self.words else self.inputs - 1
+        # an input says all that the network learns of a word
+        self.cls_of_input = np.zeros(self.inputs, np.int64)
+        self.cls_of_input[self.inp] = self.cls
 
     def index(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
@@ -93,6 +99,19 @@ class Network:
         self.cb = np.log(np.maximum(mass, 0.5) / max(1.0, mass.sum())).astype(f)
         self.wb = np.log(np.maximum(head.counts[: head.own], 0.5)).astype(f)
 
+    def packed(self) -> np.ndarray:
+        """All weights in one row."""
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
+
+    def unpack(self, row: np.ndarray) -> Network:
+        """Take the weights of :meth:`packed`."""
+        at = 0
+        for k in self.NAMES:
+            old = getattr(self, k)
+            setattr(self, k, row[at : at + old.size].astype(np.float32).reshape(old.shape))
+            at += old.size
+        return self
+
     def step(self, inputs: np.ndarray, h: np.ndarray):
         g, hu = self.x[inputs], h @ self.u
         zr = np.tanh(0.5 * (g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])) * 0.5 + 0.5
@@ -164,7 +183,9 @@ class Network:
             du += before.T @ through
             back = np.where(fresh[t][:, None], np.float32(0), d * z + through @ self.u.T)
         grads["u"], grads["x"] = du, np.zeros_like(self.x)
-        np.add.at(grads["x"], inputs.ravel(), dg.reshape(-1, 3 * HIDDEN))
+        order = np.argsort(inputs.ravel(), kind="stable")
+        seen, at = np.unique(inputs.ravel()[order], return_index=True)
+        grads["x"][seen] = np.add.reduceat(dg.reshape(-1, 3 * HIDDEN)[order], at)
         return -out.mean(), grads, h
 
     def score(self, head: Head, docs: list[np.ndarray]) -> np.ndarray:
@@ -220,38 +241,35 @@ class Network:
         return back
 
 
-def train(head: Head, docs: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 192, seed: int = 11) -> Network:
-    """Truncated backpropagation over documents laid end to end on lanes, by Adam."""
-    net = Network(head, seed)
-    if not docs:
-        return net
+def train(net: Network, head: Head, docs: list[np.ndarray], seed: int, begin: float = 0.0, end: float = 1.0, lanes: int = 192) -> None:
+    """One pass of truncated backpropagation over documents (their inputs) laid end to end on lanes, by Adam.
+
+    ``begin`` and ``end`` say which part of the whole training this is. The lanes are filled up by words from the begin.
+    """
     rng = np.random.default_rng(seed)
-    m, v, step = {}, {}, 0
     total = sum(map(len, docs))
-    lanes = max(1, min(lanes, total // WINDOW, max(4, total // (40 * WINDOW))))  # at least 40 steps an epoch
-    long = total // lanes
-    every = epochs * -(-long // WINDOW)
-    for _ in range(epochs):
-        order = rng.permutation(len(docs))
-        seq = np.concatenate([docs[i] for i in order])
-        inputs = np.concatenate([[head.start], head.inp[seq[:-1]]])
-        fresh = np.zeros(len(seq), bool)
-        fresh[np.cumsum([0, *(len(docs[i]) for i in order[:-1])])] = True
-        inputs[fresh] = head.start
-        cut = [a[: lanes * long].reshape(lanes, long).T for a in (inputs, head.cls[seq], seq, fresh)]
-        h = np.zeros((lanes, HIDDEN), np.float32)
-        for t in range(0, long, WINDOW):
-            _, grads, h = net.learn(*(np.ascontiguousarray(a[t : t + WINDOW]) for a in cut), h)
-            step += 1
-            rate = np.float32(0.01 * (1 - step / (every + 1)) + 2e-4)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            for name, g in grads.items():
-                g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-                m[name] = np.float32(0.9) * m.get(name, 0) + np.float32(0.1) * g
-                v[name] = np.float32(0.99) * v.get(name, 0) + np.float32(0.01) * g * g
-                change = rate * (m[name] / np.float32(1 - 0.9**step)) / (np.sqrt(v[name] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
-                setattr(net, name, getattr(net, name) - change)
-    return net
+    lanes = max(1, min(lanes, total // WINDOW, max(4, total // (40 * WINDOW))))  # at least 40 steps
+    long = -(-total // lanes)
+    order = rng.permutation(len(docs))
+    seq = np.concatenate([docs[i] for i in order]).astype(np.int64)
+    inputs = np.concatenate([[head.start], seq[:-1]])
+    fresh = np.zeros(len(seq), bool)
+    fresh[np.cumsum([0, *(len(docs[i]) for i in order[:-1])])] = True
+    inputs[fresh] = head.start
+    cut = [np.resize(a, lanes * long).reshape(lanes, long).T for a in (inputs, head.cls_of_input[seq], seq, fresh)]
+    h = np.zeros((lanes, HIDDEN), np.float32)
+    m, v, step, every = {}, {}, 0, -(-long // WINDOW)
+    for t in range(0, long, WINDOW):
+        _, grads, h = net.learn(*(np.ascontiguousarray(a[t : t + WINDOW]) for a in cut), h)
+        step += 1
+        rate = np.float32((0.01 * (1 - begin - (end - begin) * step / (every + 1)) + 2e-4) * min(1.0, step / 5))
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        for name, g in grads.items():
+            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            m[name] = np.float32(0.9) * m.get(name, 0) + np.float32(0.1) * g
+            v[name] = np.float32(0.99) * v.get(name, 0) + np.float32(0.01) * g * g
+            change = rate * (m[name] / np.float32(1 - 0.9**step)) / (np.sqrt(v[name] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+            setattr(net, name, getattr(net, name) - change)
 
 
 # --- tables --------------------------------------------------------------------------------------------------------
@@ -293,28 +311,79 @@ def head_of(counts: DataFrame, size: int = HEAD) -> Head:
     return Head(words, n, all_[0] or 0, all_[1], (all_[2] or 0) - (int((n == 1).sum()) if all_[1] > len(words) else 0))
 
 
-def _sample(rows: DataFrame, head, size: int, size_bytes: int) -> list[np.ndarray]:
-    """Ranks of the words of at most ``size`` documents and ``size_bytes`` bytes, those of smallest hashes."""
-    lots = rows.select("doc_id", F.xxhash64("doc_id", "data").alias("lot"), F.octet_length(F.coalesce("data", F.lit(b""))).alias("n"))
-    lots = lots.orderBy("lot", "doc_id").limit(size)
-    lots = lots.withColumn("upto", F.expr("sum(n) over (order by lot rows unbounded preceding)")).filter(F.col("upto") <= size_bytes)
-    chosen = F.broadcast(lots.select(F.col("lot").alias("l")).distinct())  # bounded by size
-    rows = rows.withColumn("lot", F.xxhash64("doc_id", "data")).join(chosen, F.col("lot") == F.col("l"), "left_semi").orderBy("lot")
+def _lessons(rows: DataFrame, head, sample: int | None, shard: int) -> DataFrame:
+    """round, shard, lot, inputs (of the network, int16) of all training documents, or the ``sample`` of smallest hashes.
+
+    Rounds and shards come from hashes, so that neither files nor the cluster change what is learned. A shard has about
+    ``shard`` words of a round.
+    """
 
     def run(batches):
-        get = head.value.index().get
+        known = head.value
+        get, inp = known.index().get, known.inp.astype(np.int16)
         for batch in slices(batches):
-            made = [np.array([get(w, -1) for w in tokens_of(x)], np.int32).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ranks"])
+            made = [inp[np.array([get(w, -1) for w in tokens_of(x)], np.int64)].tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "inputs"])
+
+    shards = max(1, -(-head.value.total // (ROUNDS * shard)))
+    made = rows.mapInArrow(run, "doc_id long, inputs binary").withColumn("lot", F.xxhash64("doc_id", "inputs"))
+    if sample is not None:
+        made = made.orderBy("lot").limit(sample)
+    part = F.pmod(F.xxhash64("lot"), F.lit(ROUNDS * shards))
+    return written(made.select((part % ROUNDS).cast("int").alias("round"), F.floor(part / ROUNDS).cast("int").alias("shard"), "lot", "inputs"), "lessons")
 
-    return [np.frombuffer(b, np.int32) for b in rows.select("doc_id", "data").mapInArrow(run, "ranks binary").toArrow()["ranks"].to_pylist()]
+
+def _lesson(head, before, seed: int, k: int, begin: float, end: float):
+    """The network of one shard after round ``k``, and its number of words."""
+
+    def run(key, table):
+        docs = [np.frombuffer(x.as_buffer(), np.int16) for x in table.sort_by("lot")["inputs"]]
+        net = Network(head.value, seed).unpack(before.value)
+        train(net, head.value, docs, seed + k, begin, end)
+        out = [pa.array([key[0].as_py()], pa.int32()), pa.array([sum(map(len, docs))], pa.int64()), pa.array([net.packed().tobytes()], pa.binary())]
+        return pa.table(out, names=["shard", "n", "net"])
+
+    return run
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """One network of several, weighted by words."""
+    table = table.sort_by("shard")
+    n, row = table["n"].to_numpy(), 0
+    for x, w in zip(table["net"], n, strict=True):
+        row = row + np.frombuffer(x.as_buffer(), np.float32) * (w / n.sum())
+    return pa.table([pa.array([n.sum()], pa.int64()), pa.array([row.astype(np.float32).tobytes()], pa.binary())], names=["n", "net"])
+
+
+def learned(rows: DataFrame, head, epochs: int = EPOCHS, sample: int | None = None, shard: int = SHARD, seed: int = 11) -> Network:
+    """The network of the training ``rows`` (doc_id, data), in ``epochs`` times ROUNDS rounds.
+
+    The driver gets at most SUMS networks a round. No rows: the network as it begins; rows of which nothing was learned are an
+    error.
+    """
+    context = rows.sparkSession.sparkContext
+    net, n_learned = Network(head.value, seed), 0
+    lessons = _lessons(rows, head, sample, shard)
+    for k in range(epochs * ROUNDS):
+        before, span = context.broadcast(net.packed()), (k / (epochs * ROUNDS), (k + 1) / (epochs * ROUNDS))
+
+        each = lessons.filter(F.col("round") == k % ROUNDS).groupBy("shard").applyInArrow(_lesson(head, before, seed, k, *span), "shard int, n long, net binary")
+        got = each.groupBy(F.col("shard") % SUMS).applyInArrow(_mean, "n long, net binary").toArrow().sort_by([("n", "ascending"), ("net", "ascending")])  # bounded by SUMS
+        n = got["n"].to_numpy()
+        if len(n):
+            net.unpack(sum(np.frombuffer(x.as_buffer(), np.float32) * float(w) for x, w in zip(got["net"], n, strict=True)) / n.sum())
+            n_learned += int(n.sum())
+        before.unpersist()
+    if head.value.total and epochs and not n_learned:
+        raise ValueError("there are training rows, but the network has learned from none")
+    return net
 
 
-def score(docs: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", head_size: int = HEAD, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:
+def score(docs: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", head_size: int = HEAD, sample: int | None = None, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 likelihoods of whole texts) of every row.
 
-    ``training`` is a condition on doc_id: the rows whose words are counted and of which some train the network (default:
-    all). The base is the add-one unigram. A null or empty text is just an end. Repeated rows are scored alike (and counted as
+    ``training`` is a condition on doc_id: the rows whose words are counted and which train the network (default: all). A caller
+    may give a ``sample``, the number of documents that train it at most. The base is the add-one unigram. A null or empty text is just an end. Repeated rows are scored alike (and counted as
     often as they come), null ids are kept. No rows: no result.
     """
     spark = docs.sparkSession
@@ -323,7 +392,7 @@ def score(docs: DataFrame, training: Column | None = None, key: str = "doc_id",
     counts = written(count_words(learn), "counts")
     head = head_of(counts, head_size)
     shared = spark.sparkContext.broadcast(head)  # bounded by head_size
-    net = spark.sparkContext.broadcast(train(head, _sample(learn, shared, sample, SAMPLE_BYTES), epochs))
+    net = spark.sparkContext.broadcast(learned(learn, shared, epochs, sample))
 
     def run(batches):
         known, model = shared.value, net.value

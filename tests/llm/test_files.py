@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -202,6 +203,64 @@ def test_base_scores_and_held_out_gain(spark):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def chains(rng, n):
+    """Texts in which each word follows from the one before it."""
+    return [" ".join(f"c{(k + i) % 40}" for i in range(60)) for k in (rng.randrange(40) for _ in range(n))]
+
+
+def lots(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lot = F.xxhash64("doc_id", F.col("text").cast("binary"))
+    return docs, {r.doc_id: r.lot for r in docs.select("doc_id", lot.alias("lot")).collect()}
+
+
+def test_the_network_learns_from_all_training_documents(spark):
+    rng = random.Random(8)
+    _, junk = lots(spark, [(i, f"n{i % 40} n{i % 7}") for i in range(3000)])
+    first = sorted(junk, key=junk.get)[:1600]
+    edge = max(junk[i] for i in first)
+    rows = [(10_000 + i, t) for i, t in enumerate(chains(rng, 400))]
+    _, lot = lots(spark, rows)
+    late = [r for r in rows if lot[r[0]] > edge]
+    docs, _ = lots(spark, [(i, f"n{i % 40} n{i % 7}") for i in first] + late)
+    got = [r for r in lm.score(docs).collect() if r.doc_id >= 10_000]
+    assert len(got) > 100
+    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+
+
+def test_shards_are_averaged_and_none_is_lost(spark):
+    rows = [(i, t) for i, t in enumerate(chains(random.Random(9), 300))]
+    docs = lm.texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    head = spark.sparkContext.broadcast(lm.head_of(lm.count_words(docs)))
+    lessons = lm._lessons(docs, head, None, 500)
+    assert lessons.count() == 300 and lessons.groupBy("round").count().count() == lm.ROUNDS
+    assert lessons.select("shard").distinct().count() > 5
+    nets = [lm.learned(x, head, epochs=1, shard=500).packed() for x in (docs, docs.repartition(7))]
+    assert np.allclose(*nets, atol=1e-5)
+    assert not np.allclose(nets[0], lm.Network(head.value).packed(), atol=1e-2)
+    ranks = [np.array([head.value.index().get(w, -1) for w in lm.tokens_of(t.encode())]) for _, t in rows[:20]]
+    after = lm.Network(head.value).unpack(nets[0]).score(head.value, ranks).sum()
+    assert after > lm.Network(head.value).score(head.value, ranks).sum()
+
+
+def test_a_huge_document_shuts_out_no_other(spark):
+    huge = " ".join([c * (1 << 20) for c in "abcdefghi"])
+    made = spark.createDataFrame([(huge,)], "text string").crossJoin(spark.range(100).selectExpr("id as doc_id"))
+    giant = made.select("doc_id", F.xxhash64("doc_id", F.col("text").cast("binary")).alias("lot")).orderBy("lot").first()
+    rows = [(10_000 + i, t) for i, t in enumerate(chains(random.Random(10), 300))]
+    _, lot = lots(spark, rows)
+    docs, _ = lots(spark, [r for r in rows if lot[r[0]] > giant.lot] + [(giant.doc_id, huge)])
+    got = [r for r in lm.score(docs).collect() if r.doc_id >= 10_000]
+    assert len(got) > 100
+    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+
+
+def test_training_rows_of_which_nothing_is_learned_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        lm.score(docs, sample=0)
+
+
 def test_state_is_carried_and_documents_dont_mix():
     words = [b"a", b"b", b"\n", *(f"w{i}".encode() for i in range(1500))]
     head = lm.Head(words, np.arange(len(words), 0, -1) * 10, 100_000, 5000, 700)
