@@ -18,7 +18,7 @@ from labelforge.llm.common import append_columns, ship, slices, written
 
 #: Labelled documents used, at most, of each class (the smallest hashes).
 SAMPLE = 4000
-#: Bytes of their texts, at most; past it the documents of larger hashes stay out of the sample.
+#: Bytes of their texts, at most. Past it long documents give passages spread over them; each stays in the sample.
 SAMPLE_BYTES = 256 << 20
 #: Bytes at which a line is cut into passages.
 PASSAGE = 512
@@ -211,16 +211,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, keep=None, sample: int =
     return given.join(chosen, "doc_id"), 0.5 if share is None else min(0.999, max(0.001, float(share)))
 
 
-def fit(labelled: DataFrame, prior: float = 0.5) -> Network:
+def share_of(sizes: list[int], most: int) -> int | None:
+    """The bytes that each document may give, so that all together give at most ``most``; none if all fit whole."""
+    left = most
+    for k, size in enumerate(sorted(sizes)):
+        if size > left // (len(sizes) - k):
+            return max(PASSAGE, left // (len(sizes) - k))
+        left -= size
+    return None
+
+
+def spread(data: bytes | None, share: int | None) -> bytes | None:
+    """``data``, or windows of the size of a passage at even distances, of ``share`` bytes together."""
+    if data is None or share is None or len(data) <= share:
+        return data
+    n = max(1, share // (PASSAGE + 1))
+    at = [(len(data) - PASSAGE) * k // max(1, n - 1) for k in range(n)]
+    return b"\n".join(data[k : k + PASSAGE] for k in at)
+
+
+def fit(labelled: DataFrame, prior: float = 0.5, share: int | None = None) -> Network:
     """A network from rows (data, quality 0/1). Features, not texts, come to the driver, of a bounded number of documents.
 
-    Without rows of both classes the network knows only the prior.
+    Of each document count at most ``share`` bytes, spread over it. Without rows of both classes the network knows only the
+    prior.
     """
     ship(labelled.sparkSession)
 
     def bags(batches):
         for batch in slices(batches):
-            x, owner = encode(batch.column(0).to_pylist())
+            x, owner = encode([spread(data, share) for data in batch.column(0).to_pylist()])
             parts = np.split(x.astype(np.float16), np.searchsorted(owner, np.arange(1, batch.num_rows))) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary()), batch.column(1)], names=["bag", "quality"])
 
@@ -237,10 +257,8 @@ def trained_on(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMP
     """The network from the labelled documents that ``keep`` admits."""
     rows, prior = labelled_sample(docs, labels, keep, sample)
     rows = written(rows, "quality-sample")
-    upto = F.expr("sum(octet_length(data)) over (order by xxhash64(doc_id), doc_id range unbounded preceding)")
-    sizes = rows.select("doc_id", F.coalesce("data", F.lit(b"")).alias("data")).select("doc_id", upto.alias("upto"))
-    fits = F.broadcast(sizes.filter(F.col("upto") <= SAMPLE_BYTES).select("doc_id").distinct())  # no more than the sample
-    return fit(rows.join(fits, "doc_id", "left_semi"), prior)
+    sizes = rows.agg(F.sort_array(F.collect_list(F.coalesce(F.octet_length("data"), F.lit(0))))).first()[0]  # bounded by sample
+    return fit(rows, prior, share_of(sizes, SAMPLE_BYTES))
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", name: str = "quality_score") -> DataFrame:

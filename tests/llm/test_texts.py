@@ -233,3 +233,22 @@ def test_gradients_of_the_network():
             down = loss()
             value[at] = old
             assert (up - down) / 2e-6 == pytest.approx(g[at], abs=1e-6)
+
+
+def test_a_long_document_shuts_no_other_out_of_the_sample(spark, monkeypatch):
+    assert quality.share_of([3, 5], 8) is None
+    assert quality.share_of([10, 5000, 10_000], 8010) == 4000
+    long = b"".join(bytes([97 + k % 26]) * 1000 for k in range(100))
+    parts = quality.spread(long, 10_000)
+    assert len(parts) <= 10_000 and parts[0] == long[0] and parts[-1] == long[-1] and len(set(parts)) > 10
+    assert quality.spread(None, 5) is None and quality.spread(b"ab", 5) == b"ab"
+    rows = [(i, ("A plain sentence about rivers.\n" if i % 2 else "BUY!!! $$$ ### |||\n") * (20_000 if i < 2 else 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 60_000)
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda bags, y, prior, f=quality.train: seen.append((len(bags), y.sum())) or f(bags, y, prior))
+    net = quality.trained_on(docs, labels)
+    assert seen == [(60, 30)]
+    scores = net.score([t.encode() for _, t in rows[2:]])
+    assert all((s > 0.5) == (i % 2 == 1) for s, (i, _) in zip(scores, rows[2:], strict=True))
