@@ -24,8 +24,8 @@ from labelforge.llm.common import ship, written
 from labelforge.operators.attach import attach_small
 
 TREES, PROBES, SYMBOLS = 20, 3, 4
-#: Candidates at which a query stops to ascend.
-ENOUGH = 8192
+#: Matches at which a query stops to ascend: so many, and this share of all vectors, at least.
+ENOUGH, SHARE = 8192, 0.16
 #: Vectors of a piece.
 PIECE = 8192
 SEED = 20_240
@@ -143,11 +143,13 @@ def search(
     symbols: int = SYMBOLS,
     enough: int = ENOUGH,
     piece: int = PIECE,
+    share: float = SHARE,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` its ``k`` nearest found rows of ``vectors`` but itself.
 
-    Score is the Euclidean distance in double precision. ``enough`` is where a query stops to ascend, no cap: all vectors
-    of its level are compared. A query for which the forest has fewer than ``k`` ascends to the root and meets every vector.
+    Score is the Euclidean distance in double precision. ``enough`` matches, and ``share`` of all vectors, are where a query
+    stops to ascend, no cap: all vectors of its level are compared. A query for which the forest, where it is cut, has fewer
+    matches or fewer than ``k`` vectors ascends further, a symbol at a time, at last to the root, and there meets every vector.
     See :func:`usable` for rows that take no part. Rows that repeat an id and vector count once; an id with
     several vectors has several. Fewer vectors than ``k``: all of them. Empty tables: no rows.
     """
@@ -161,24 +163,35 @@ def search(
     data = written(data.distinct(), "vectors")
     asked = written(asked.filter(F.size("v") == width).distinct(), "queries")
     n = data.count()
+    enough = max(enough, math.ceil(share * n))
     symbols = min(symbols, int(62 / math.log2(2 * width)))
     # the shortest prefixes that still hold more than enough for a query, all trees together
     depth = min(symbols, max(0, math.floor(math.log(max(1.0, n * trees * probes / enough), 2 * width))))
     if n > enough:
         depth = max(1, depth)
-    found = _level(data, asked, trees if depth else 1, probes if depth else 1, depth, width, symbols, k, enough, piece)
-    if depth:
+    done: list[DataFrame] = []
+    rest = asked
+    while True:
+        matches, found = _level(data, rest, trees if depth else 1, probes if depth else 1, depth, width, symbols, k, enough, piece)
+        if not depth:
+            done.append(found)
+            break
         found = written(found, "neighbours")
-        full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).filter(F.col("n") >= min(k, n - 1))
-        rest = written(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "rest")
-        if not rest.isEmpty():
-            ids = rest.select(F.col("vec_id").alias("query_id")).distinct()
-            found = found.join(ids, "query_id", "left_anti").unionByName(_level(data, rest, 1, 1, 0, width, symbols, k, enough, piece))
+        full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("got")).filter(F.col("got") >= min(k, n - 1))
+        full = written(full.join(matches.filter(F.col("n") >= enough), "query_id").select("query_id"), "full")
+        done.append(found.join(full, "query_id", "left_semi"))
+        rest = written(rest.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        depth -= 1
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
     return _exact(found, data, asked, k)
 
 
-def _level(data, asked, trees, probes, depth, width, symbols, k, enough, piece) -> DataFrame:
-    """Candidates (query_id, vec_id) of the forest cut at ``depth``."""
+def _level(data, asked, trees, probes, depth, width, symbols, k, enough, piece) -> tuple[DataFrame, DataFrame]:
+    """Matches (query_id, n) of all trees and candidates (query_id, vec_id, d) of the forest cut at ``depth``."""
     placed = _routed(data, trees, 1, depth, width, symbols)
     sizes = placed.groupBy("tree", "prefix").agg(F.count("*").alias("n")) if depth else data.agg(F.count("*").alias("n")).select(F.lit(0).alias("tree"), F.lit(0).cast("long").alias("prefix"), "n")
     sizes = written(sizes.select("tree", "prefix", F.ceil(F.col("n") / piece).cast("int").alias("pieces")), "pieces")
@@ -192,7 +205,8 @@ def _level(data, asked, trees, probes, depth, width, symbols, k, enough, piece)
     sums = got.groupBy("query_id", "level").agg(F.sum("n").alias("n"))
     upto = sums.withColumn("upto", F.expr("sum(n) over (partition by query_id order by level desc)"))
     level = upto.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("upto") >= enough, F.col("level"))), F.min("level")).alias("from"))
-    return got.join(level, "query_id").filter(F.col("level") >= F.col("from")).select("query_id", "vec_id", "d").distinct()
+    near = got.join(level, "query_id").filter(F.col("level") >= F.col("from")).select("query_id", "vec_id", "d").distinct()
+    return got.groupBy("query_id").agg(F.sum("n").alias("n")), near
 
 
 def _exact(found: DataFrame, data: DataFrame, asked: DataFrame, k: int) -> DataFrame:

@@ -136,6 +136,19 @@ def test_forest_finds_the_nearest(spark):
             assert abs(s - np.sqrt(((vectors[q] - vectors[v]) ** 2).sum())) < 1e-9
 
 
+@pytest.mark.parametrize(("trees", "probes"), [(20, 3), (1, 1)])
+def test_forest_compares_a_share_of_many_vectors(spark, trees, probes):
+    # with enough = 100 alone the first would be cut at two symbols, and the second would stop with too few matches
+    rng = np.random.default_rng(5)
+    vectors = {i: v.astype(np.float32).astype(float) for i, v in enumerate(rng.normal(size=(3000, 16)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<float>")
+    rows = {}
+    for r in forest.search(df, df.filter("vec_id % 100 = 0"), trees=trees, probes=probes, enough=100, piece=1000).collect():
+        rows.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_neighbours(vectors, range(0, 3000, 100), 10)
+    assert sum(len(rows[q] & {v for _, v in want[q]}) for q in want) / (10 * len(want)) >= 0.9
+
+
 def test_forest_with_odd_vectors(spark):
     rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [1.0, None]),
             (8, [float("nan"), 1.0]), (9, [float("inf"), 1.0]), (10, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (200, None), (2, [1.0, 0.0])]
