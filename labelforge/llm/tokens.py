@@ -47,7 +47,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         words = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(max(words.values()) + 1, bool)
         self.begins[[i for w, i in words.items() if w.startswith("\u0120")]] = True

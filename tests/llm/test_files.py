@@ -68,6 +68,19 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert ids.tolist() == list(want)
 
 
+def test_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.public_tokenizer()
+    parts = ["word", "don't", "12", "é", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "\n", "", " "]
+    rng = random.Random(2)
+    many = TEXTS[1:] + ["<|endoftext|>", " <|endoftext|> ", *(rng.choice([" ", "  ", ""]).join(rng.choices(parts, k=15)) for _ in range(300))]
+    want = Tokenizer.from_file(path).encode_batch(many, add_special_tokens=False)
+    got = tokens.Encoder(path).encode(many)
+    assert [g.tolist() for g in got] == [w.ids for w in want]
+    assert any(50256 in g.tolist() for g in got)
+
+
 def want_tokens(rows):
     encoder, at, out = tokens.Encoder(tokens.public_tokenizer()), 0, []
     for d, t in rows:
