@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import decontaminate, forest, lm, mixing, pii, quality, simhash, tokens, toxicity, warc
+from labelforge.llm import conversations, decontaminate, fingerprints, forest, lm, mixing, negatives, pii, quality, simhash, tokens, toxicity, warc
 from labelforge.llm.common import crc_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,47 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gated recurrent language model; documents of the held-out seventh are scored, not learned from."""
     found = lm.score(table(spark, sf_dir, "documents"), crc_of("doc_id") % 7 != 2)
     return found.withColumn("held_out", crc_of("doc_id") % 7 == 2)
+
+
+@query
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, damaged as the contract says, repaired by iterative-deepening A*."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix polynomial hashes of each text and of the text that ends like the next one begins."""
+    found = fingerprints.compare_next(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment summaries; every seventh row's label is first moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", "embedding", label.alias("label")))
+
+
+ORACLES["op13_hard_negatives"] = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
