@@ -32,7 +32,6 @@ SPAN, SLOTS, DIGITS = 24, 128, 3
 #: Code points whose prefixes are made at once in a sketch; texts compared at once have about ``TOGETHER``.
 CHUNK, TOGETHER = 1 << 15, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
-EMPTY = "-" * DIGITS
 
 
 def code_points(text: str) -> np.ndarray:
@@ -124,7 +123,7 @@ def span_hashes(codes: np.ndarray, span: int = SPAN) -> Iterator[tuple[int, np.n
 
 
 def sketches(items: list[np.ndarray], span: int = SPAN, slots: int = SLOTS) -> np.ndarray:
-    """[text, slot] the least value of each slot, -1 where none; of the code points of each text."""
+    """[text, slot] the least value of each slot, from 1, 0 where none; of the code points of each text."""
     top = np.uint64(1 << 32)
     least = np.full(len(items) * slots, top, np.uint64)
 
@@ -143,24 +142,24 @@ def sketches(items: list[np.ndarray], span: int = SPAN, slots: int = SLOTS) -> n
             deal(owner[fits], hashes[fits])
         for i in np.flatnonzero((sizes > 0) & (sizes < span)).tolist():
             deal(np.array([i]), np.array([whole(items[i])]))
-    return np.where(least == top, -1, (least & np.uint64(16**DIGITS - 1)).astype(np.int64)).reshape(len(items), slots)
+    return np.where(least == top, 0, 1 + (least % np.uint64(16**DIGITS - 1)).astype(np.int64)).reshape(len(items), slots)
 
 
 def written_out(code: int, sketch: np.ndarray) -> str:
-    """A fingerprint: 16 hex digits of the whole text, then ``DIGITS`` for each slot (dashes: none)."""
-    return f"{code:016x}" + "".join([f"{x:0{DIGITS}x}" if x >= 0 else EMPTY for x in sketch.tolist()])
+    """A fingerprint: 16 hex digits of the whole text, then ``DIGITS`` for each slot."""
+    return f"{code:016x}" + "".join([f"{x:0{DIGITS}x}" for x in sketch.tolist()])
 
 
 def parsed(fingerprint: str) -> np.ndarray:
     """The sketch of a fingerprint."""
     body = fingerprint[16:]
-    return np.array([-1 if body[i] == "-" else int(body[i : i + DIGITS], 16) for i in range(0, len(body), DIGITS)], np.int64)
+    return np.array([int(body[i : i + DIGITS], 16) for i in range(0, len(body), DIGITS)], np.int64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal slots of two sketches (last axis), of those that either fills; 1 where neither fills any."""
-    some = ((a >= 0) | (b >= 0)).sum(axis=-1)
-    return np.where(some == 0, 1.0, ((a == b) & (a >= 0)).sum(axis=-1) / np.maximum(some, 1))
+    some = ((a > 0) | (b > 0)).sum(axis=-1)
+    return np.where(some == 0, 1.0, ((a == b) & (a > 0)).sum(axis=-1) / np.maximum(some, 1))
 
 
 def fingerprints_of(items: list[str]) -> tuple[list[str], np.ndarray]:
@@ -183,13 +182,13 @@ def _answers(pairs: list[tuple[str, str]], made: list[tuple[str, np.ndarray]], f
     mine, theirs = (np.stack([s for _, s in f]) for f in (made, following))
     near = likeness(mine, sketch).tolist(), likeness(mine, theirs).tolist()
     hashes = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed]
-    return [(len(a), h, f, e, *n) for (a, _), h, (f, _), e, *n in zip(pairs, hashes, made, names, *near, strict=True)]
+    # half the bytes while they wait in the table
+    return [(len(a), bytes.fromhex(h), bytes.fromhex(f), bytes.fromhex(e), *n) for (a, _), h, (f, _), e, *n in zip(pairs, hashes, made, names, *near, strict=True)]
 
 
-FOUND = "kind string, part int, doc_id long, text binary, copies long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FOUND = "kind string, part int, doc_id long, text binary, copies long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 NAMES = [p.split()[0] for p in FOUND.split(", ")]
-KINDS = [pa.string(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 2, *[pa.string()] * 3, *[pa.float64()] * 2]
-ANSWERS = NAMES[5:]
+KINDS = [pa.string(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 2, *[pa.binary()] * 3, *[pa.float64()] * 2]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -260,4 +259,5 @@ def compare_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     first = found.filter("kind = 'first'").select(F.col("part").alias("after"), F.col("text").alias("next"))
     ends = found.filter("kind = 'last'").select("part", "doc_id", "copies", "text").join(following, "part").join(first, "after")
     both = found.filter("kind = 'row'").union(ends.select("doc_id", "copies", "text", "next").mapInArrow(_ends, FOUND))
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *ANSWERS)
+    answers = [F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in both.dtypes[5:]]
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *answers)
