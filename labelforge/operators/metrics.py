@@ -10,18 +10,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
-from labelforge.operators.attach import attach_small
+from labelforge.operators.attach import MAX_SMALL_ROWS, attach_small
+from labelforge.operators.running import running_totals
 from labelforge.operators.stats import most_frequent
+from labelforge.session import cut_lineage
 
 UNPARSED = "<unparsed>"
 N_DRAWS = 1000  # fixed value: bootstrap draws
 N_DRAWS_MULTILABEL = 100  # fixed value: draws for multilabel answers of language models
 CONFIDENCE = 0.95  # fixed value
+PIECE = 64  # neighbouring row numbers that meet the cells together, where these are too many for an array
 DRAWN_TOGETHER = 1 << 20  # row numbers that one generated row of a draw stands for
 
 
@@ -184,14 +188,16 @@ def bootstrap_f1(
     """Percentile interval of macro F1 under resampling with replacement.
 
     F1 depends on a draw only through its confusion cells. ``resample``, at every size, lets every draw hash n row
-    numbers, and the cell of a row number follows from the running totals of the cells: no join with the rows. That
+    numbers, and the cell of a row number follows from the running totals of the cells (see :func:`drawn_counts`). That
     costs n x draws hashes, spread over all cores. A caller may ask for ``multinomial``: the cell counts of a draw at
     once, the same in law, for draws x cells. Draws with one gold label are left out.
     """
     cells = confusion_cells(df, (), y_true, y_pred)
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    drawn = _resampled_cells if method == "resample" else _multinomial_cells
-    return _interval(averages_per_draw(drawn(cells, total, draws, seed)), "macro_f1", confidence)
+    if method == "resample":
+        drawn = drawn_counts(cells, ["y_true", "y_pred"], draws, seed)
+    else:
+        drawn = _multinomial_cells(cells, cells.agg(F.sum("n")).first()[0] or 0, draws, seed)
+    return _interval(averages_per_draw(drawn), "macro_f1", confidence)
 
 
 def averages_per_draw(cells: DataFrame) -> DataFrame:
@@ -220,7 +226,8 @@ def drawn_rows(df: DataFrame, draws: int, total: int, seed: int | str) -> DataFr
     """(draw, row): ``total`` row numbers of every draw, by hash. A draw of many rows is made in parts, by many tasks."""
     spark = df.sparkSession
     parts = max(1, -(-total // DRAWN_TOGETHER))
-    table = spark.range(draws * parts, numPartitions=min(draws * parts, max(draws, spark.sparkContext.defaultParallelism)))
+    tasks = max(draws * total // DRAWN_TOGETHER, spark.sparkContext.defaultParallelism)
+    table = spark.range(draws * parts, numPartitions=min(draws * parts, tasks))
     first = (F.col("id") % parts) * DRAWN_TOGETHER
     last = F.least(first + DRAWN_TOGETHER, F.lit(total)) - 1
     table = table.select(F.floor(F.col("id") / parts).alias("draw"), F.explode(F.sequence(first, last)).alias("i")) if total else table.select(F.col("id").alias("draw"), F.col("id").alias("i")).limit(0)
@@ -232,31 +239,61 @@ def steps_below(value: Column, ends: Sequence[float]) -> Column:
     return sum((F.when(value >= e, 1).otherwise(0) for e in ends), F.lit(0))
 
 
-def place_of(value: Column, ends: Column, steps: int) -> Column:
-    """How many entries of the ascending array ``ends`` are at most ``value``: a binary search of ``steps`` halvings."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(ends).alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        up = (s["lo"] < s["hi"]) & (F.get(ends, mid) <= value)
-        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), start, halve, lambda s: s["lo"])
+def guide_table(ends: np.ndarray, buckets: int) -> tuple[np.ndarray, int]:
+    """For ``buckets`` equal pieces of 0..ends[-1]-1 the place (entries at most the row) of a piece's first row, and the most
+    places that lie between two rows of one piece."""
+    total = int(ends[-1])
+    begins = np.array([-(-b * total // buckets) for b in range(buckets + 1)], dtype=np.int64)
+    first = np.searchsorted(ends, begins[:-1], side="right")
+    last = np.searchsorted(ends, np.maximum(begins[1:] - 1, begins[:-1]), side="right")
+    return first, int(np.max(last - first, initial=0))
 
 
-def drawn_places(ends: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(draw, place): the first of ``ends`` (one row, the ascending array ``ends``) above each drawn row number."""
-    size = (ends.select(F.size("ends")).first() or [0])[0]
-    return drawn.crossJoin(F.broadcast(ends)).select("draw", place_of(F.col("row"), F.col("ends"), int(size).bit_length() + 1).alias("place"))
+def drawn_counts(cells: DataFrame, order: Sequence[str], draws: int, seed: int | str, most: int = MAX_SMALL_ROWS) -> DataFrame:
+    """(draw, ``order``, n): how often each draw of as many rows as ``cells`` (``order``, n) stand for picks a cell.
 
-
-def _resampled_cells(cells: DataFrame, total: int, draws: int, seed: int | str) -> DataFrame:
-    # a table of at most labels x labels rows, which the window and the arrays below hold
-    upto = F.sum("n").over(W.orderBy("y_true", "y_pred").rowsBetween(W.unboundedPreceding, 0))
-    numbered = cells.withColumn("end", upto).withColumn("place", F.row_number().over(W.orderBy("y_true", "y_pred")) - 1)
-    ends = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "end"))), lambda x: x["end"]).alias("ends"))
-    picked = drawn_places(ends, drawn_rows(cells, draws, total, seed)).groupBy("draw", "place").agg(F.count(F.lit(1)).alias("n"))
-    return picked.join(numbered.select("place", "y_true", "y_pred"), "place").drop("place")
+    The rows of a cell are neighbours in the order of the cells, so that a drawn row number names its cell by the running
+    totals. Up to ``most`` cells these are an array, and a guide table beside it says where a piece of the numbers begins:
+    one access in generated code, and a step more for each doubling of the cells inside one piece. Above it,
+    totals and numbers meet in a join on pieces of ``PIECE`` numbers, which at most as many cells share.
+    """
+    known = cells.select(*order, "n").orderBy(*order).limit(most + 1).toArrow()
+    if known.num_rows > most:
+        return _joined_counts(cells, order, draws, seed)
+    spark, names = cells.sparkSession, known.select(list(order))
+    ends = np.cumsum(known.column("n").to_numpy()) if known.num_rows else np.zeros(0, np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    drawn = drawn_rows(cells, draws, total, seed)
+    if not total:
+        return drawn.select("draw", *[F.lit(None).cast(dict(cells.dtypes)[c]).alias(c) for c in order], F.lit(0).cast("bigint").alias("n"))
+    buckets = min(total, 1 << max(4, (8 * len(ends) - 1).bit_length()))
+    first, most_steps = guide_table(ends, buckets)
+    padded = np.concatenate([ends, np.full(1 << most_steps.bit_length(), total)])
+    tables = spark.createDataFrame([(padded.tolist(), first.tolist())], "__ends array<bigint>, __guide array<int>")
+    found = drawn.crossJoin(F.broadcast(tables))  # one row
+    entry = lambda table, at: F.coalesce(F.get(table, at), F.lit(0))  # never null, so that the join below checks nothing
+    found = found.withColumn("__place", entry("__guide", F.expr(f"cast(row * {buckets} div {total} as int)")))
+    for k in range(most_steps.bit_length() - 1, -1, -1):
+        step = 1 << k
+        up = entry("__ends", F.col("__place") + (step - 1)) <= F.col("row")
+        found = found.withColumn("__place", F.col("__place") + F.when(up, step).otherwise(0))
+    counts = found.groupBy("draw", "__place").agg(F.count(F.lit(1)).alias("n"))
+    places = names.append_column("__place", pa.array(range(known.num_rows), pa.int32()))
+    return counts.join(F.broadcast(spark.createDataFrame(places)), "__place").select("draw", *order, "n")
+
+
+def _joined_counts(cells: DataFrame, order: Sequence[str], draws: int, seed: int | str) -> DataFrame:
+    upto = cut_lineage(running_totals(cells.select(*order, "n"), list(order), end="n"))
+    total = upto.agg(F.max("end")).first()[0] or 0
+    begin = F.col("end") - F.col("n")
+    pieces = F.explode(F.sequence(F.floor(begin / PIECE), F.floor((F.col("end") - 1) / PIECE))).alias("__piece")
+    line = upto.filter("n > 0").select(*order, begin.alias("__begin"), "end", pieces)
+    drawn = drawn_rows(cells, draws, total, seed).withColumn("__piece", F.floor(F.col("row") / PIECE))
+    # counted before the join: a number is drawn by many draws
+    numbers = drawn.groupBy("draw", "__piece", "row").agg(F.count(F.lit(1)).alias("__times"))
+    inside = (F.col("row") >= F.col("__begin")) & (F.col("row") < F.col("end"))
+    found = numbers.join(line, "__piece").filter(inside)
+    return found.groupBy("draw", *order).agg(F.sum("__times").alias("n"))
 
 
 def _multinomial_cells(cells: DataFrame, total: int, draws: int, seed: int | str) -> DataFrame:

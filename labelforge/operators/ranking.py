@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
 from labelforge.operators.attach import attach_small
-from labelforge.operators.metrics import CONFIDENCE, N_DRAWS, _interval, drawn_places, drawn_rows
+from labelforge.operators.metrics import CONFIDENCE, N_DRAWS, _interval, drawn_counts
 
 
 def score_grid(examples: DataFrame, queries: DataFrame) -> DataFrame:
@@ -58,12 +58,6 @@ def bootstrap_mrr(
 ) -> DataFrame:
     """Percentile interval of the mean reciprocal rank, from the histogram of ranks (see ``bootstrap_f1``)."""
     histogram = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-    total = histogram.agg(F.sum("n")).first()[0] or 0
-    # a row per distinct rank, of which there are no more than candidates
-    upto = F.sum("n").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    numbered = histogram.withColumn("end", upto).withColumn("place", F.row_number().over(W.orderBy("rank")) - 1)
-    ends = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "end"))), lambda x: x["end"]).alias("ends"))
-    picked = drawn_places(ends, drawn_rows(ranks, draws, total, seed)).groupBy("draw", "place").agg(F.count(F.lit(1)).alias("n"))
-    joined = picked.join(numbered.select("place", "rank"), "place").filter("rank > 0")
+    joined = drawn_counts(histogram, ["rank"], draws, seed).filter("rank > 0")
     scores = joined.groupBy("draw").agg((F.sum(F.col("n") / F.col("rank")) / F.sum("n")).alias("mrr"))
     return _interval(scores, "mrr", confidence)

@@ -133,3 +133,35 @@ def test_text_baseline_beats_majority(spark):
     lists = df.withColumn("label", F.array("label"))
     got = baselines.predict_multilabel(lists.filter("id < 40"), lists.filter("id >= 40"), "id", max_iter=30)
     assert got.join(lists, "id").filter("label <> y_pred").count() == 0
+
+
+def test_drawn_numbers_find_their_cells(spark):
+    """Array with guide table and join agree with counting rows, whatever the sizes of the cells."""
+    from labelforge.operators import metrics
+
+    for sizes in ([1], [5, 1, 0, 7], [1000] + [1] * 300, [1] * 200 + [5000, 3]):
+        cells = spark.createDataFrame([(f"c{i:04d}", "x", n) for i, n in enumerate(sizes)], "y_true string, y_pred string, n bigint")
+        total = sum(sizes)
+        owner = [i for i, n in enumerate(sizes) for _ in range(n)]
+        drawn = metrics.drawn_rows(cells, 7, total, 3).collect()
+        want = {}
+        for r in drawn:
+            want[r.draw, f"c{owner[r.row]:04d}"] = want.get((r.draw, f"c{owner[r.row]:04d}"), 0) + 1
+        for most in (10**6, 0):
+            got = metrics.drawn_counts(cells, ["y_true", "y_pred"], 7, 3, most).collect()
+            assert {(r.draw, r.y_true): r.n for r in got} == want
+        plan = metrics.drawn_counts(cells, ["y_true", "y_pred"], 7, 3)._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "aggregate(" not in plan
+    assert metrics.drawn_counts(cells.limit(0), ["y_true", "y_pred"], 7, 3).collect() == []
+
+
+def test_running_totals(spark):
+    from labelforge.operators.running import running_totals
+
+    rows = [(i * 7 % 1000, i % 5) for i in range(1000)]
+    got = running_totals(spark.createDataFrame(rows, "k bigint, v bigint").repartition(9), ["k"], upto="v").orderBy("k").collect()
+    total = 0
+    for r in got:
+        total += r.v
+        assert r.upto == total
+    assert running_totals(spark.createDataFrame([], "k bigint, v bigint"), ["k"], upto="v").collect() == []
