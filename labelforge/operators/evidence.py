@@ -1,7 +1,7 @@
 """Scores of predicted evidence tuples (query, stance, pages) against gold ones.
 
-Tables are flat: one row per document, query, stance and page list. Matching goes through (document, page): tuples
-only meet where they share a page, so that a document with very many tuples is spread over its pages.
+Tables are flat: one row per document, query, stance and page list. Pages are bits of 64-bit words: sets of pages meet on
+(document, word), so that a document with very many tuples is spread over its pages.
 """
 
 from __future__ import annotations
@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelforge.session import cut_lineage
+
 # Which parts a facet compares.
 OVERLAP_FACETS = {"page": (), "query": ("query",), "stance": ("stance",)}
 DOCUMENT_FACETS = {"page": ("page",), "query": ("query",), "stance": ("stance",)}
@@ -37,59 +40,67 @@ def evidence_tuples(flat: DataFrame, facet: Sequence[str]) -> DataFrame:
     return _checked(flat).select("document_id", mask("query").alias("query"), mask("stance").alias("stance"), "pages").distinct()
 
 
-def _masked(flat: DataFrame) -> DataFrame:
-    """Tuples of all overlap facets in one pass: (facet, document_id, query, stance, pages, id)."""
-    mask = lambda c, facet: F.col(c) if c in facet else F.lit("_")
-    facets = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("facet"), mask("query", columns).alias("query"), mask("stance", columns).alias("stance"))
-        for name, columns in OVERLAP_FACETS.items()
-    ])).alias("m")
-    tuples = _checked(flat).select("document_id", "pages", facets).select(
-        "m.facet", "document_id", "m.query", "m.stance", "pages"
-    ).distinct()
-    # Within a document 64 bits tell its tuples apart.
-    return tuples.withColumn("id", F.xxhash64("query", "stance", "pages"))
-
-
 def _checked(flat: DataFrame) -> DataFrame:
     """Pages as a sorted set; an evidence without pages is an error."""
     failure = F.raise_error(F.concat(F.lit("no page in "), F.col("document_id").cast("string"))).cast("array<int>")
     return flat.withColumn("pages", F.when(F.size("pages") > 0, F.array_sort(F.array_distinct("pages"))).otherwise(failure))
 
 
-def _weights(shared: DataFrame) -> DataFrame:
-    """Per facet: the summed weights of both sides' tuples, in one pass over the pairs.
+def _page_bits(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Pages of the tuples of all overlap facets and both sides as words of 64 bits, written once.
 
-    A tuple counts when a tuple with its query and stance shares a page; its weight is the largest share of its pages
-    that any tuple of the document covers.
+    (facet, document_id, value, side, pages_id, n, word, bits): a tuple is a masked value and a set of pages, which 64 bits
+    tell apart within a document. Equal tuples fall together while they are counted, before the shuffle.
     """
+    both = _checked(gold).select("document_id", "query", "stance", "pages", F.lit("g").alias("side")).unionByName(
+        _checked(pred).select("document_id", "query", "stance", "pages", F.lit("s").alias("side"))
+    )
+    value = lambda columns: F.to_json(F.struct(*columns)) if len(columns) > 1 else F.col(columns[0]) if columns else F.lit("_")
+    facets = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), value(c).cast("string").alias("value")) for f, c in OVERLAP_FACETS.items()])).alias("m")
+    page = both.select("document_id", "side", F.xxhash64("pages").alias("pages_id"), F.size("pages").alias("n"), facets, "pages")
+    page = page.select("m.facet", "document_id", "m.value", "side", "pages_id", "n", F.explode("pages").alias("page"))
+    bit = F.expr("shiftleft(1L, cast(pmod(page, 64) as int))")
+    return cut_lineage(page.withColumn("word", F.floor(F.col("page") / 64)).groupBy(
+        "facet", "document_id", "value", "side", "pages_id", "n", "word"
+    ).agg(F.bit_or(bit).alias("bits")))
+
+
+def _cover(bits: DataFrame) -> DataFrame:
+    """(document_id, side, pages_id, w): the largest share of a set of pages that a set of the other side covers.
+
+    Only distinct sets of a document meet, by word; their common pages are the bits of the AND.
+    """
+    sets = bits.filter(F.col("facet") == next(f for f, c in OVERLAP_FACETS.items() if not c))
+    one = lambda side: sets.filter(F.col("side") == side).select(
+        "document_id", "word", F.col("pages_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")
+    )
+    common = F.bit_count(F.col("bits_g").bitwiseAND(F.col("bits_s")))
+    pairs = one("g").join(one("s"), ["document_id", "word"]).withColumn("common", common).filter("common > 0")
+    pairs = pairs.groupBy("document_id", "g", "s").agg(F.sum("common").alias("common"), F.max("n_g").alias("n_g"), F.max("n_s").alias("n_s"))
     ends = F.explode(F.array(*[
-        F.struct(F.lit(x).alias("side"), F.col(x).alias("id"), (F.col("common") / F.col(f"n_{x}")).alias("w")) for x in ("s", "g")
+        F.struct(F.lit(x).alias("side"), F.col(x).alias("pages_id"), (F.col("common") / F.col(f"n_{x}")).alias("w")) for x in ("s", "g")
     ])).alias("e")
-    rows = shared.select("facet", "document_id", "same", ends).select("facet", "document_id", "same", "e.*")
-    best = rows.groupBy("facet", "document_id", "side", "id").agg(F.max("same").alias("hit"), F.max("w").alias("w"))
-    counted = best.filter("hit = 1")
-    total = lambda x: F.sum(F.when(F.col("side") == x, F.col("w"))).alias(f"w_{x}")
-    return counted.groupBy("facet").agg(total("s"), total("g"))
+    return pairs.select("document_id", ends).groupBy("document_id", "e.side", "e.pages_id").agg(F.max("e.w").alias("w"))
 
 
 def overlap_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Weighted precision, recall and F1 for the page, query and stance facets.
 
-    One join on (facet, document, page) gives the common pages of every pair of tuples that have any; both directions
-    are aggregates of it.
+    A tuple counts when a tuple of the other side with its query and stance shares a page; its weight is the largest share of
+    its pages that any tuple of the document covers. Whether a page is shared is asked of the union of the other side's pages
+    with that query and stance, word by word, so that tuples of one value are never paired; how many are is asked of the
+    distinct sets of pages, once for all facets.
     """
-    g, s = _masked(gold), _masked(pred)
-    a = s.select("facet", "document_id", F.col("id").alias("s"), F.size("pages").alias("n_s"), F.col("query").alias("qs"), F.col("stance").alias("ss"), F.explode("pages").alias("page"))
-    b = g.select("facet", "document_id", F.col("id").alias("g"), F.size("pages").alias("n_g"), F.col("query").alias("qg"), F.col("stance").alias("sg"), F.explode("pages").alias("page"))
-    same = ((F.col("qs") == F.col("qg")) & (F.col("ss") == F.col("sg"))).cast("int")
-    shared = a.join(b, ["facet", "document_id", "page"]).groupBy("facet", "document_id", "s", "g").agg(
-        F.count(F.lit(1)).alias("common"), F.max("n_s").alias("n_s"), F.max("n_g").alias("n_g"), F.max(same).alias("same")
-    )
-    sizes = g.select("facet", F.lit(1).alias("is_g")).unionByName(s.select("facet", F.lit(0).alias("is_g"))).groupBy("facet").agg(
-        F.sum("is_g").alias("g"), F.sum(1 - F.col("is_g")).alias("s")
-    )
-    one = sizes.join(_weights(shared), "facet", "left").fillna(0.0, ["w_s", "w_g"])
+    bits = _page_bits(gold, pred)
+    same = W.partitionBy("facet", "document_id", "value", "word")
+    union = lambda side: F.bit_or(F.when(F.col("side") == side, F.col("bits"))).over(same)
+    other = F.when(F.col("side") == "g", union("s")).otherwise(union("g"))
+    # a null value equals no other
+    hit = F.col("value").isNotNull() & F.coalesce(F.col("bits").bitwiseAND(other) != 0, F.lit(False))
+    tuples = bits.withColumn("hit", hit).groupBy("facet", "document_id", "value", "side", "pages_id").agg(F.bool_or("hit").alias("hit"))
+    weighted = tuples.join(_cover(bits), ["document_id", "side", "pages_id"], "left")
+    total = lambda side: F.sum(F.when((F.col("side") == side) & F.col("hit"), F.col("w"))).alias(f"w_{side}")
+    one = weighted.groupBy("facet").agg(*[F.count_if(F.col("side") == x).alias(x) for x in ("g", "s")], total("g"), total("s")).fillna(0.0, ["w_s", "w_g"])
     p = F.col("w_s") / (F.col("s") + F.lit(EPSILON))
     r = F.col("w_g") / (F.col("g") + F.lit(EPSILON))
     return _scored(one.select("facet", "g", "s", p.alias("p"), r.alias("r")), "overlap")

@@ -165,3 +165,38 @@ def test_running_totals(spark):
         total += r.v
         assert r.upto == total
     assert running_totals(spark.createDataFrame([], "k bigint, v bigint"), ["k"], upto="v").collect() == []
+
+
+def test_overlap_of_a_document_with_ten_thousand_tuples(spark):
+    """Against a loop over sets; one document holds nearly all tuples, and its pages fill several words."""
+    import random
+
+    from labelforge.operators import evidence
+
+    rng = random.Random(8)
+    def side(n):
+        hot = [("hot", rng.choice(["a", "b", "c", None]), rng.choice(["x", "y"]), sorted(rng.sample(range(300), rng.choice([1, 2, 5])))) for _ in range(n)]
+        return hot + [(f"d{i}", rng.choice(["a", "b"]), rng.choice(["x", "y"]), [i % 3, i % 3, 70]) for i in range(50)]
+
+    gold, pred = side(10_000), side(3000)
+    schema = "document_id string, query string, stance string, pages array<int>"
+    got = {r.facet: r for r in evidence.overlap_scores(spark.createDataFrame(gold, schema), spark.createDataFrame(pred, schema)).collect()}
+    for facet, columns in evidence.OVERLAP_FACETS.items():
+        key = lambda q, s: (q if "query" in columns else "_", s if "stance" in columns else "_")
+        a, b = ({(d, *key(q, s), frozenset(p)) for d, q, s, p in rows} for rows in (gold, pred))
+        def weight(mine, theirs):
+            sets, same = {}, {}
+            for d, q, s, p in theirs:
+                sets.setdefault(d, set()).add(p)
+                same.setdefault((d, q, s), set()).update(p)
+            best = {}
+            total = 0.0
+            for d, q, s, p in mine:
+                if None in (q, s) or not p & same.get((d, q, s), set()):
+                    continue
+                if (d, p) not in best:
+                    best[d, p] = max(len(p & o) / len(p) for o in sets[d])
+                total += best[d, p]
+            return total
+        assert (got[facet].g, got[facet].s) == (len(a), len(b))
+        assert abs(got[facet].r - 100 * weight(a, b) / len(a)) <= 0.1 and abs(got[facet].p - 100 * weight(b, a) / len(b)) <= 0.1
