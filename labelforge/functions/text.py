@@ -157,7 +157,8 @@ def word_tokens(c: Column | str) -> Column:
 
 def remove_phrase(text: Column | str, phrase: Column | str) -> Column:
     """Drop every occurrence of a row's own phrase, ignoring case; regex signs in it are literal."""
-    quoted = F.concat(F.lit("(?i)"), F.regexp_replace(_col(phrase), r"([^A-Za-z0-9 ])", r"\\$1"))
+    # signs beyond ASCII mean themselves; case is that of every script
+    quoted = F.concat(F.lit("(?iu)"), F.regexp_replace(_col(phrase), r"([^A-Za-z0-9 \x{80}-\x{10FFFF}])", r"\\$1"))
     pattern = F.when(F.length(_col(phrase)) > 0, quoted).otherwise(NEVER)
     return strip(F.regexp_replace(_col(text), pattern, F.lit("")))
 

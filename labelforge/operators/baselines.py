@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, IndexToString, Normalizer, OneHotEncoder, RegexTokenizer, StringIndexer,
-    VectorAssembler,
+    IDF, CountVectorizer, ElementwiseProduct, Normalizer, OneHotEncoder, OneHotEncoderModel, RegexTokenizer, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
 from pyspark import StorageLevel
@@ -20,21 +19,23 @@ from pyspark.sql import functions as F
 from labelforge.functions.arrays import argmax, softmax
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
 from labelforge.functions.text import WORD_PATTERN, word_tokens
-from labelforge.operators.attach import attach_small, small_table
+from labelforge.operators.attach import attach_small, small_table, with_catalogue
+from labelforge.operators.linear import Targets, fit_linear, margins, sparse_parts
+from labelforge.operators.running import running_totals
 from labelforge.operators.stats import class_weights, most_frequent
+from labelforge.session import cut_lineage
 
 MAX_ITER = 1000  # fixed value: iteration cap of the logistic regression
 TOLERANCE = 1e-4
-MAX_LABELS = 1000
+ROWS_A_TASK = 2048
 VOCABULARY = (1 << 31) - 1  # no cut: a train table holds at most splits.TRAIN_CAP rows, and so do its words
 
 
 def tfidf_weights(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, tf, df, weight): smoothed idf ln((1+n)/(1+df))+1, rows scaled to length 1."""
-    tf = (
-        df.select(key, F.explode(word_tokens(text)).alias("term")).groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    # texts are dealt out by key once, so that their words are counted where they are, and written once
+    words = df.select(key, text).repartition(key).select(key, F.explode(word_tokens(text)).alias("term"))
+    tf = cut_lineage(words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = df.count()
     idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
@@ -78,11 +79,11 @@ def with_text(df: DataFrame, text: str, name: str) -> DataFrame:
 
 @dataclass
 class Baseline:
-    """A fitted baseline: feature stages, classifier and label names."""
+    """A fitted baseline: feature stages, weights and label names."""
 
     inputs: dict[str, str]
     features: PipelineModel
-    classifier: object
+    weights: np.ndarray
     labels: list[str]
 
     def featurise(self, df: DataFrame) -> DataFrame:
@@ -92,10 +93,11 @@ class Baseline:
         return self.features.transform(df)
 
     def predict(self, df: DataFrame, name: str = "y_pred") -> DataFrame:
-        """Add the predicted label as text."""
-        scored = self.classifier.transform(self.featurise(df))
-        named = IndexToString(inputCol="prediction", outputCol=name, labels=self.labels).transform(scored)
-        return named.select(*df.columns, name)
+        """Add the predicted label as text; of equally likely ones the first."""
+        ready = self.featurise(df).select(*[F.col(f"`{c}`") for c in df.columns], F.struct(*[c.alias(n) for c, n in zip(sparse_parts("features"), "iv", strict=True)]).alias("__f"))
+        scored = margins(ready, F.col("__f.i"), F.col("__f.v"), self.weights, "__m").drop("__f")
+        names = F.array(*map(F.lit, self.labels))
+        return scored.withColumn(name, F.get(names, argmax("__m"))).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def fit_baseline(
@@ -122,53 +124,90 @@ def fit_baseline(
     stages.append(VectorAssembler(inputCols=columns, outputCol="features"))
     features = PipelineModel(stages)
 
-    index = StringIndexer(inputCol="__y", outputCol="y_index", stringOrderType="alphabetAsc")
-    named = train.withColumn("__y", F.col(label).cast("string"))
-    indexer = index.fit(named)
-    weights = class_weights(named, "__y").select("__y", F.col("weight").alias("__w"))
-    weighted = attach_small(indexer.transform(named), weights, ["__y"])
-    shell = Baseline(inputs, features, None, list(indexer.labels))
-    ready = shell.featurise(weighted).select("features", "y_index", "__w").persist(StorageLevel.MEMORY_AND_DISK)
+    named = train.withColumn("__y", F.col(label).cast("string")).filter("__y is not null")
+    counts = class_weights(named, "__y").select("__y", "weight").orderBy("__y").collect()  # one row per class
+    labels = [r["__y"] for r in counts]
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col("__y")) - 1 if labels else F.lit(0)
+    shell = Baseline(inputs, features, np.zeros((1, len(labels))), labels)
+    i, v = sparse_parts("features")
+    ready = shell.featurise(named).select(i.alias("i"), v.alias("v"), F.array(place.cast("int")).alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
     rows = ready.count()
-    fitted = LogisticRegression(
-        featuresCol="features", labelCol="y_index", weightCol="__w", maxIter=max_iter, regParam=1.0 / max(rows, 1),
-        elasticNetParam=0.0, standardization=False, tol=tolerance,
-    ).fit(ready)
+    balanced = np.array([float(r["weight"]) for r in counts])
+    targets = Targets(len(labels), True, balanced, balanced)
+    shell.weights = fit_linear(_few_tasks(ready, rows), feature_count(features), targets, rows, 1.0 / max(rows, 1), max_iter, tolerance)
     ready.unpersist()
-    shell.classifier = fitted
     return shell
 
 
+def feature_count(features: PipelineModel) -> int:
+    """Entries of the feature vector."""
+    return sum(len(s.getScalingVec()) for s in features.stages if isinstance(s, ElementwiseProduct)) + sum(
+        s.categorySizes[0] for s in features.stages if isinstance(s, OneHotEncoderModel)
+    )
+
+
+def _few_tasks(ready: DataFrame, rows: int) -> DataFrame:
+    """The persisted rows in tasks of ``ROWS_A_TASK`` at least: an iteration over few rows is mostly the start of its tasks."""
+    return ready.coalesce(max(1, rows // ROWS_A_TASK))
+
+
 def predict_multilabel(
     train: DataFrame, test: DataFrame, key: str, labels: Sequence[str] | None = None, label: str = "label",
     text: str = "text", vocabulary: int = VOCABULARY, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """(key, y_pred list): one balanced binary regression per train label over shared TF-IDF features."""
-    if labels is None:
-        known = small_table(train.select(F.explode(label).alias("name")).distinct(), MAX_LABELS)
-        if known is None:
-            raise ValueError(f"more than {MAX_LABELS} labels: one regression per label is not the way for them")
-        labels = [r[0] for r in known.orderBy("name").collect()]
+    """(key, y_pred list): balanced binary regressions of all train labels over shared TF-IDF features, in one fit.
+
+    One matrix of weights holds all labels, and one pass over the rows gives all their gradients; the objectives are those of
+    single fits, added up. A label that all or no rows have is answered without a fit. Repeated rows of ``test`` are answered
+    one by one; a null list has no labels.
+    """
+    lists = train.select(text, F.coalesce(F.array_distinct(label), F.array().cast("array<string>")).alias("__l"))
+    names = lists.select(F.explode("__l").alias("name")) if labels is None else train.sparkSession.createDataFrame([(x,) for x in labels], "name string")
+    seen = lists.select(F.explode("__l").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("ones"))
+    # the vocabulary of labels, which a row of the weights holds anyway
+    known = names.distinct().join(seen, "name", "left").fillna(0, ["ones"]).orderBy("name").collect()
+    n = lists.count()
+    always = [r["name"] for r in known if r["ones"] == n]
+    fitted = {r["name"]: r["ones"] for r in known if 0 < r["ones"] < n}
     features = fit_tfidf(train, text, "features", vocabulary)
-    ready = features.transform(with_text(train, text, "features_raw")).select("features", label)
+    i, v = sparse_parts("features")
+    every = F.array(*map(F.lit, fitted)).cast("array<string>")
+    place = F.transform(F.array_intersect("__l", every), lambda x: (F.array_position(every, x) - 1).cast("int"))
+    ready = features.transform(with_text(lists, text, "features_raw")).select(i.alias("i"), v.alias("v"), place.alias("y"))
+    asked = features.transform(with_text(test.select(key, text), text, "features_raw")).select(key, i.alias("i"), v.alias("v"))
+    if not fitted:
+        return asked.select(key, F.array(*map(F.lit, always)).cast("array<string>").alias("y_pred"))
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    scored = features.transform(with_text(test, text, "features_raw")).select(key, "features")
-    hits = []
-    for name in labels:
-        binary = ready.withColumn("y", F.array_contains(label, name).cast("double"))
-        n, ones = binary.agg(F.count(F.lit(1)), F.sum("y")).first()
-        if not ones or ones == n:
-            scored = scored.withColumn(f"__{name}", F.lit(1.0 if ones else 0.0))
-        else:
-            weighted = binary.withColumn("w", F.when(F.col("y") == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones))))
-            model = LogisticRegression(
-                labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / n, standardization=False, tol=tolerance,
-                predictionCol=f"__{name}", rawPredictionCol=f"__raw_{name}", probabilityCol=f"__p_{name}",
-            ).fit(weighted)
-            scored = model.transform(scored).drop(f"__raw_{name}", f"__p_{name}")
-        hits.append(F.when(F.col(f"__{name}") == 1, F.lit(name)))
+    ready.count()
+    ones = np.array(list(fitted.values()), float)
+    targets = Targets(len(fitted), False, n / (2 * ones), n / (2 * (n - ones)))
+    weights = fit_linear(_few_tasks(ready, n), feature_count(features), targets, n, 1.0 / n, max_iter, tolerance)
     ready.unpersist()
-    return scored.select(key, F.array_compact(F.array(*hits)).alias("y_pred"))
+    scored = margins(asked, F.col("i"), F.col("v"), weights, "__m")
+    hits = F.transform(F.filter(F.arrays_zip(every.alias("name"), F.col("__m").alias("m")), lambda x: x["m"] > 0), lambda x: x["name"])
+    return scored.select(key, F.array_sort(F.concat(hits, F.array(*map(F.lit, always)).cast("array<string>"))).alias("y_pred"))
+
+
+def majority_multilabel_dummy(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
+    """Add ``y_pred``: the labels that more than half of the train rows have, for every test row. Null lists are empty."""
+    half = train.agg((F.count(F.lit(1)) / 2).alias("__half"))
+    counts = train.select(F.explode(F.array_distinct(label)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.crossJoin(F.broadcast(half)).filter("n > __half")
+    # a row has few labels on average, and so few labels are in more than half of the rows
+    names = often.agg(F.array_sort(F.collect_list("name")).alias("y_pred"))
+    return test.crossJoin(F.broadcast(names))
+
+
+def uniform_multilabel_dummy(train: DataFrame, test: DataFrame, key: str, label: str = "label", seed: int | str = DEFAULT_SEED) -> DataFrame:
+    """(key, y_pred list): each train label by a hash of key and label, with probability one half; labels that all or no train
+    rows have keep to that."""
+    counts = train.select(F.explode(F.array_distinct(label)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    total = train.agg(F.count(F.lit(1)).alias("__total"))  # one row
+    known = cut_lineage(counts.crossJoin(F.broadcast(total)).select("name", (F.col("n") == F.col("__total")).alias("always")))
+    drawn = with_catalogue(test.select(key), known.select("name"), "name")
+    drawn = attach_small(drawn, known, ["name"], "inner").filter(F.col("always") | (hash_int(key, "name", seed=seed) % 2 == 0))
+    lists = drawn.groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("y_pred"))  # at most the label vocabulary
+    return test.select(key).join(lists, key, "left").select(key, F.coalesce("y_pred", F.array().cast("array<string>")).alias("y_pred"))
 
 
 def majority_dummy(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
@@ -178,9 +217,10 @@ def majority_dummy(train: DataFrame, test: DataFrame, label: str = "label") -> D
 
 def uniform_dummy(train: DataFrame, test: DataFrame, key: str, label: str = "label", seed: int | str = DEFAULT_SEED) -> DataFrame:
     """A train label by hash, all alike likely."""
-    names = train.agg(F.array_sort(F.collect_set(label)).alias("__labels"))
-    place = F.pmod(hash_int(key, seed=seed), F.size("__labels")).cast("int")
-    return test.crossJoin(F.broadcast(names)).withColumn("y_pred", F.get("__labels", place)).drop("__labels")
+    known = train.select(F.col(label).alias("y_pred")).filter(F.col("y_pred").isNotNull()).distinct()
+    known = cut_lineage(running_totals(known.withColumn("__one", F.lit(1)), ["y_pred"], __place="__one")).drop("__one")
+    drawn = test.withColumn("__place", F.pmod(hash_int(key, seed=seed), F.lit(max(1, known.count()))) + 1)
+    return attach_small(drawn, known, ["__place"]).drop("__place")
 
 
 def cartography(epochs: DataFrame, key: str, logits: str = "logits", label: str = "label") -> DataFrame:

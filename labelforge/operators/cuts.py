@@ -60,7 +60,8 @@ def rank_thresholds(
     cum = hist.withColumn("hi", F.sum("n").over(upto))
     if isinstance(ranks, DataFrame):
         names = [c for c in ranks.columns if c not in group]
-        cum = null_safe_join(cum, F.broadcast(ranks), group, "inner")
+        local = small_table(ranks)
+        cum = null_safe_join(cum, ranks if local is None else F.broadcast(local), group, "inner")
     else:
         names = list(ranks)
         cum = cum.withColumn("__n", F.sum("n").over(inside))

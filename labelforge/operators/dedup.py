@@ -7,13 +7,15 @@ up a third of the table leaves one short row per task before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import digest
 from labelforge.functions.text import normalise_hard, remove_phrase
-from labelforge.operators.attach import null_safe_join
+from labelforge.operators.attach import attach_small, null_safe_join, spread_join
+from labelforge.session import cut_lineage
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -76,9 +78,9 @@ def duplicate_counts(df: DataFrame, definitions: dict[str, Sequence[Column]]) ->
 
 def entity_blind_copies(df: DataFrame, text: str, phrase: str, key: str) -> DataFrame:
     """Rows whose text, without the row's own phrase and normalised, occurs more than once: (key, n_copies)."""
-    blind = df.select(F.col(key), digest(normalise_hard(remove_phrase(text, phrase))).alias("__d"))
+    blind = cut_lineage(df.select(F.col(key), digest(normalise_hard(remove_phrase(text, phrase))).alias("__d")).filter("__d is not null"))
     sizes = blind.groupBy("__d").agg(F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
-    return blind.join(sizes, "__d").select(key, "n_copies")
+    return spread_join(blind, sizes, ["__d"], "inner").select(key, "n_copies")
 
 
 def leakage_matrix(df: DataFrame, text: str = "text", split: str = "split") -> DataFrame:
@@ -100,8 +102,8 @@ def leakage_matrix(df: DataFrame, text: str = "text", split: str = "split") -> D
 def leaking_rows(df: DataFrame, source: str, target: str, key: str, text: str = "text", split: str = "split") -> DataFrame:
     """Rows of split ``target`` whose text also occurs in split ``source``, with the number of copies there."""
     theirs = df.filter(F.col(split) == source).groupBy(digest(text).alias("d")).agg(F.count(F.lit(1)).alias("n_copies"))
-    ours = df.filter(F.col(split) == target).select(key, digest(text).alias("d"))
-    return ours.join(theirs, "d").select(key, "n_copies")
+    ours = cut_lineage(df.filter(F.col(split) == target).select(key, digest(text).alias("d")).filter("d is not null"))
+    return spread_join(ours, theirs, ["d"], "inner").select(key, "n_copies")
 
 
 def contamination(
@@ -119,19 +121,91 @@ def contamination(
         return norm.select(k, digest("line").alias("d"))
 
     known = lines(items, item_key, item_text).distinct().groupBy("d").agg(F.count(F.lit(1)).alias("n_items"))
-    found = lines(documents, key, text).distinct().join(known, "d")
+    ours = cut_lineage(lines(documents, key, text).distinct())
+    found = spread_join(ours, known, ["d"], "inner")
     return found.groupBy(key).agg(F.count(F.lit(1)).alias("lines"), F.sum("n_items").alias("item_hits"))
 
 
+#: Letters whose numbers bound the distance: a substitution changes two of them by one, any other edit one.
+COUNTED = "etaoinsr"
+
+
+def _bounds(parts: int, place: Column, length: Column) -> tuple[Column, Column]:
+    """Begin and size of the piece ``place`` of ``parts`` nearly equal ones of a text."""
+    begin = lambda i: F.floor(i * length / F.lit(parts)).cast("int")
+    return begin(place), begin(place + 1) - begin(place)
+
+
+def _piece_keys(texts: DataFrame, parts: int, shared: int) -> DataFrame:
+    """(g, id, len, i, piece, letters) of every choice of ``shared`` of ``parts`` pieces of each text: ``i`` names the choice."""
+    out = texts.select("g", "id", "len", "t", *LETTERS, F.explode(_choices(parts, shared)).alias("i"))
+    pieces = []
+    for c in range(shared):
+        at, size = _bounds(parts, F.get("i", F.lit(c)), F.col("len"))
+        pieces.append(F.substr("t", at + 1, size))
+    return out.withColumn("piece", _piece_hash(pieces)).drop("t")
+
+
+def _piece_hash(pieces: list[Column]) -> Column:
+    return F.xxhash64(*pieces)
+
+
+def _choices(parts: int, shared: int) -> Column:
+    return F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(parts), shared)])
+
+
+def _piece_probes(texts: DataFrame, parts: int, shared: int, k: int) -> DataFrame:
+    """The keys under which texts of the same or a smaller length, within ``k`` edits, may be found."""
+    # A longer text pays for its extra length: with d extra characters the shift lies in [(d-k)/2, (d+k)/2].
+    lengths = F.explode(F.sequence(F.greatest(F.col("own") - k, F.lit(0)), F.col("own"))).alias("len")
+    out = texts.withColumnRenamed("len", "own").select("g", "id", "t", *LETTERS, "own", lengths)
+    extra = F.col("own") - F.col("len")
+    shifts = F.sequence(-F.floor((k - extra) / 2).cast("int"), F.floor((k + extra) / 2).cast("int"))
+    out = out.select("*", F.explode(_choices(parts, shared)).alias("i"))
+    pieces = []
+    for c in range(shared):
+        at, size = _bounds(parts, F.get("i", F.lit(c)), F.col("len"))
+        out = out.withColumn("shift", F.explode(shifts)).withColumn(f"at{c}", at + F.col("shift")).withColumn(f"size{c}", size)
+        out = out.filter((F.col(f"at{c}") >= 0) & (F.col(f"at{c}") + F.col(f"size{c}") <= F.col("own")))
+        pieces.append(F.substr("t", F.col(f"at{c}") + 1, F.col(f"size{c}")))
+    probes = out.withColumn("piece", _piece_hash(pieces))
+    return probes.select("g", "id", "len", "i", "piece", *[F.col(c).alias(f"own_{c}") for c in LETTERS]).distinct()
+
+
+LETTERS = [f"n_{c}" for c in COUNTED]
+PIECE_KEY = ["g", "len", "i", "piece"]
+
+
+def _candidates(probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Pairs (g, a, b) that share a key and whose letters differ by no more than ``k`` edits can make them."""
+    apart = sum((F.abs(F.col(c) - F.col(f"own_{c}")) for c in LETTERS), F.lit(0))
+    keys = [c for c in index.columns if c in (*PIECE_KEY, "__block")]
+    pairs = probes.withColumnRenamed("id", "long").join(index.withColumnRenamed("id", "short"), keys)
+    pairs = pairs.filter((F.col("long") != F.col("short")) & (apart <= 2 * k))
+    return pairs.select("g", F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b"))
+
+
+def _in_blocks(probes: DataFrame, index: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """A key of more than ``most`` texts is dealt out to blocks by their ids, and its probes visit every block."""
+    sizes = index.groupBy(*PIECE_KEY).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__blocks")).filter("__blocks > 1")
+    sizes = cut_lineage(sizes)
+    wide = lambda df: attach_small(df, sizes, PIECE_KEY).withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    index = wide(index).withColumn("__block", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")).drop("__blocks")
+    return wide(probes).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks"), index
+
+
 def edit_distance_pairs(
-    df: DataFrame, group: str, key: str, text: str, max_distance: int, carry: Sequence[str] = ()
+    df: DataFrame, group: str, key: str, text: str, max_distance: int, carry: Sequence[str] = (), hot: int = 256
 ) -> DataFrame:
     """All unordered pairs of different texts of a group within ``max_distance`` edits: exact, without all pairs.
 
     Cut a text into ``max_distance + 1`` pieces: a text within that many edits leaves one piece whole, at a place
     shifted by at most the distance. So candidates come from an equi-join on (group, length, piece number, piece)
-    and only they are measured. Copies of a text are one row here, with their count in ``copies_a``/``copies_b``
-    (distance 0 is the business of the exact operators), so that a group of copies cannot multiply.
+    and only they are measured. A piece of more than ``hot`` texts (a template) is no key: its texts are cut into one piece
+    more, of which two are whole, and meet on both. What then still has more than ``hot`` texts is compared in blocks, so that
+    no task holds all pairs of a key. Before texts are fetched, the numbers of some letters must be near enough. Copies
+    of a text are one row here, with their count in ``copies_a``/``copies_b`` (distance 0 is the business of the exact
+    operators), so that a group of copies cannot multiply. Null texts take no part.
     """
     k = max_distance
     texts = (
@@ -141,43 +215,23 @@ def edit_distance_pairs(
         .select("g", "t", "copies", F.col("row.id").alias("id"), *[F.col(f"row.{c}").alias(c) for c in carry])
         .withColumn("len", F.length("t"))
     )
-    start = lambda i, n: F.floor(i * n / F.lit(k + 1)).cast("int")  # where piece i of a text of length n starts
-    piece = F.xxhash64(F.substr("t", F.col("at") + 1, F.col("size"))).alias("piece")
-    numbered = F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i")
-    index = (
-        texts.select("g", "id", "len", "t", numbered)
-        .withColumn("at", start(F.col("i"), F.col("len")))
-        .withColumn("size", start(F.col("i") + 1, F.col("len")) - F.col("at"))
-        .select("g", F.col("id").alias("short"), "len", "i", piece)
-    )
-    # A longer text pays for its extra length: with d extra characters the shift lies in [(d-k)/2, (d+k)/2].
-    lengths = F.explode(F.sequence(F.greatest(F.col("len") - k, F.lit(0)), F.col("len"))).alias("len")
-    extra = F.col("own") - F.col("len")
-    shifts = F.explode(
-        F.sequence(-F.floor((k - extra) / 2).cast("int"), F.floor((k + extra) / 2).cast("int"))
-    )
-    probes = (
-        texts.select("g", "id", "t", F.col("len").alias("own"), lengths)
-        .select("*", numbered)
-        .withColumn("at", start(F.col("i"), F.col("len")))
-        .withColumn("size", start(F.col("i") + 1, F.col("len")) - F.col("at"))
-        .withColumn("shift", shifts)
-        .withColumn("at", F.col("at") + F.col("shift"))
-        .filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("own")))
-        .select("g", F.col("id").alias("long"), "len", "i", piece)
-        .distinct()
-    )
-    hits = (
-        probes.join(index, ["g", "len", "i", "piece"])
-        .filter(F.col("long") != F.col("short"))
-        .select("g", F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b"))
-        .distinct()
-    )
+    count = lambda c: F.col("len") - F.length(F.replace(F.col("t"), F.lit(c), F.lit("")))
+    texts = cut_lineage(texts.select("*", *[count(c).alias(n) for c, n in zip(COUNTED, LETTERS, strict=True)]))
+    index, probes = _piece_keys(texts, k + 1, 1), _piece_probes(texts, k + 1, 1, k)
+    crowded = cut_lineage(index.groupBy(*PIECE_KEY).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot).drop("__n").withColumn("__hot", F.lit(True)))
+    if crowded.isEmpty():
+        hits = _candidates(probes, index, k)
+    else:
+        index, probes = (attach_small(d, crowded, PIECE_KEY) for d in (index, probes))
+        hits = _candidates(*(d.filter("__hot is null").drop("__hot") for d in (probes, index)), k)
+        once = lambda d: texts.join(d.filter("__hot").select("g", "id").distinct(), ["g", "id"], "left_semi")
+        again = _in_blocks(_piece_probes(once(probes), k + 2, 2, k), _piece_keys(once(index), k + 2, 2), hot)
+        hits = hits.union(_candidates(*again, k))
     side = lambda s: texts.select(
         F.col("g"), F.col("id").alias(s), F.col("t").alias(f"t_{s}"), F.col("copies").alias(f"copies_{s}"),
         *[F.col(c).alias(f"{c}_{s}") for c in carry],
     )
-    measured = hits.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
+    measured = hits.distinct().join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
     measured = measured.withColumn("distance", F.levenshtein("t_a", "t_b", k)).filter(F.col("distance").between(1, k))
     return measured.drop("t_a", "t_b").withColumnRenamed("g", group)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
-from labelforge.operators.attach import MAX_SMALL_ROWS, attach_small
+from labelforge.operators.attach import MAX_SMALL_ROWS, attach_small, with_catalogue
 from labelforge.operators.running import running_totals
 from labelforge.operators.stats import most_frequent
 from labelforge.session import cut_lineage
@@ -139,7 +139,7 @@ def confusion_matrix(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pre
     """Dense matrix in long form over the union of labels: count, and share of the gold label's row."""
     cells = confusion_cells(df, (), y_true, y_pred)
     labels = cells.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
-    dense = labels.withColumnRenamed("label", "y_true").crossJoin(labels.withColumnRenamed("label", "y_pred"))
+    dense = with_catalogue(labels.withColumnRenamed("label", "y_true"), labels.withColumnRenamed("label", "y_pred"), "y_pred")
     full = dense.join(cells, ["y_true", "y_pred"], "left").fillna(0, ["n"])
     row = F.sum("n").over(W.partitionBy("y_true"))
     return full.withColumn("share", F.when(row > 0, F.bround(F.col("n") / row, 2)).otherwise(0.0))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelforge.operators.attach import with_catalogue
+
 # The separator between blocks of a rebuilt page is a backslash and an n, not a line feed.
 BLOCK_SEPARATOR = "\\n"
 
@@ -70,12 +72,12 @@ def evidence_rows(documents: DataFrame) -> DataFrame:
 
 def page_queries(documents: DataFrame) -> DataFrame:
     """(document_id, page_idx, label): the sorted list of queries of a page."""
-    return collect_labels(evidence_rows(documents), ["document_id", "page_idx"], "query")
+    return collect_labels(evidence_rows(documents), ["document_id", "page_idx"], "query", repeats=True)
 
 
-def collect_labels(df: DataFrame, keys: Sequence[str], value: str, name: str = "label", repeats: bool = True) -> DataFrame:
+def collect_labels(df: DataFrame, keys: Sequence[str], value: str, name: str = "label", repeats: bool = False) -> DataFrame:
     """Labels per key as a sorted list. Without ``repeats`` a key holds at most the label vocabulary, so that a text
-    with very many copies stays small."""
+    with very many copies stays small; with them, its list is as long as its rows are many."""
     values = F.collect_list(value) if repeats else F.collect_set(value)
     return df.groupBy(*keys).agg(F.array_sort(values).alias(name))
 
@@ -94,12 +96,17 @@ def attach_pages(rows: DataFrame, pages: DataFrame, page: str = "page_idx") -> D
 
 
 def sentence_membership(documents: DataFrame) -> DataFrame:
-    """Sentences with 1 where the first entry of an evidence lists them."""
+    """Sentences with 1 where the first entry of an evidence lists them.
+
+    Sentences and listed ids meet in a join, so that a document with many of both is not searched once per sentence.
+    """
     ids = F.flatten(F.transform("meta.evidences", lambda e: F.get(e, F.lit(0))["sentence_ids"]))
-    exploded = documents.select("document_id", ids.alias("ids"), F.explode("sentences").alias("s"))
-    return exploded.select(
-        "document_id", F.col("s.page_idx").alias("page_id"), "s.sentence_id", F.col("s.text").alias("sentences"),
-        F.coalesce(F.array_contains("ids", F.col("s.sentence_id")), F.lit(False)).cast("int").alias("y"),
+    listed = documents.select("document_id", F.explode(ids).alias("sentence_id")).distinct().withColumn("y", F.lit(1))
+    sents = documents.select("document_id", F.explode("sentences").alias("s")).select(
+        "document_id", F.col("s.page_idx").alias("page_id"), "s.sentence_id", F.col("s.text").alias("sentences")
+    )
+    return sents.join(listed, ["document_id", "sentence_id"], "left").select(
+        "document_id", "page_id", "sentence_id", "sentences", F.coalesce("y", F.lit(0)).alias("y")
     )
 
 
@@ -163,13 +170,10 @@ def as_evidence_list(raw: Column | str) -> Column:
 def expand_to_queries(df: DataFrame, queries: DataFrame, labels: str = "label") -> DataFrame:
     """Every text with every known query and whether the query is among its labels.
 
-    A Cartesian product by meaning. The query list is the small side: it is one row of one array, exploded in
-    place, so that the texts are not shuffled.
+    A Cartesian product by meaning (see :func:`with_catalogue`). A null list has no labels.
     """
-    catalogue = queries.select("query").distinct().agg(F.array_sort(F.collect_set("query")).alias("__queries"))
-    wide = df.crossJoin(F.broadcast(catalogue)).withColumn("query", F.explode("__queries"))
-    member = F.coalesce(F.array_contains(labels, F.col("query")), F.lit(False))
-    return wide.withColumn("label", member).drop("__queries")
+    wide = with_catalogue(df, queries.select("query"), "query")
+    return wide.withColumn("label", F.coalesce(F.array_contains(labels, F.col("query")), F.lit(False)))
 
 
 def gold_and_first_prediction(df: DataFrame, key: str, gold: str, pred: str, order: str) -> DataFrame:

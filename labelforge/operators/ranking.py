@@ -3,34 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
-from labelforge.operators.attach import attach_small
+from labelforge.operators.attach import attach_small, with_catalogue
 from labelforge.operators.metrics import CONFIDENCE, N_DRAWS, _interval, drawn_counts
+from labelforge.operators.running import running_totals
 
 
 def score_grid(examples: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every example with every candidate query: a Cartesian product by meaning, with the queries in one array."""
-    catalogue = queries.select("query").distinct().agg(F.array_sort(F.collect_set("query")).alias("__q"))
-    return examples.crossJoin(F.broadcast(catalogue)).withColumn("candidate", F.explode("__q")).drop("__q")
+    """Every example with every candidate query: a Cartesian product by meaning (see :func:`with_catalogue`)."""
+    return with_catalogue(examples, queries.select(F.col("query").alias("candidate")), "candidate")
 
 
 def gold_ranks(scored: DataFrame, key: str, gold: str = "query") -> DataFrame:
     """(key, rank) of the gold query by (label desc, score desc, name), the score of a label-0 answer flipped.
 
-    The rank is the number of candidates that are at least as good. The candidates of an example are as many as the
-    (broadcast) query list and leave one task together, so that they are packed before the shuffle.
+    The rank is the number of candidates that are at least as good, counted while they are scanned: the gold query's place
+    is found first, one row per example, and meets the candidates where they are. Counts are added up before the shuffle.
     """
     score = F.when(F.col("label") == 0, 1 - F.col("score")).otherwise(F.col("score"))
     place = F.struct((-F.col("label")).alias("l"), (-score).alias("s"), F.col("candidate").alias("c"))
-    packed = scored.withColumn("place", place).groupBy(key).agg(
-        F.collect_list("place").alias("places"),
-        F.max(F.when(F.col("candidate") == F.col(gold), F.col("place"))).alias("gold_place"),
-    )
-    rank = F.size(F.filter("places", lambda p: p <= F.col("gold_place")))
-    return packed.filter(F.col("gold_place").isNotNull()).select(key, rank.cast("bigint").alias("rank"))
+    golds = scored.filter(F.col("candidate") == F.col(gold)).groupBy(key).agg(F.max(place).alias("gold_place")).filter("gold_place is not null")
+    met = attach_small(scored.select(key, place.alias("place")), golds, [key], "inner")
+    return met.groupBy(key).agg(F.count_if(F.col("place") <= F.col("gold_place")).cast("bigint").alias("rank"))
 
 
 def mean_reciprocal_rank(ranks: DataFrame) -> DataFrame:
@@ -43,7 +39,7 @@ def mean_reciprocal_rank(ranks: DataFrame) -> DataFrame:
 def frequency_ranks(train: DataFrame, test: DataFrame, key: str, query: str = "query") -> DataFrame:
     """(key, rank): place of the row's query in the train frequency order; queries train never saw have no row."""
     counts = train.groupBy(query).agg(F.count(F.lit(1)).alias("n"))
-    order = counts.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("n"), query)))
+    order = running_totals(counts.withColumn("__one", F.lit(1)), [F.desc("n"), query], rank="__one")
     return attach_small(test, order.select(query, "rank"), [query], "inner").select(key, "rank")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -15,19 +16,20 @@ def score_with(df: DataFrame, load: Callable[[], Scorer], inputs: Sequence[str],
     """Add the columns of the DDL string ``output``.
 
     ``load`` builds the scorer, once per task; the scorer maps a batch of the input columns to a frame of the
-    output columns. Works on batch and streaming tables.
+    output columns. Only the inputs go to Python; the other columns stay in the row. Works on batch and streaming tables.
     """
-    added = T.StructType.fromDDL(output)
-    schema = T.StructType(df.schema.fields + added.fields)
-    wanted, names = list(inputs), [f.name for f in added.fields]
+    wanted, names = list(inputs), T.StructType.fromDDL(output).names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(output)
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for batch in batches:
-            scored = scorer(batch[wanted]).reset_index(drop=True)
-            yield pd.concat([batch.reset_index(drop=True), scored[names]], axis=1)
+            yield scorer(batch.set_axis(wanted, axis=1)).reset_index(drop=True)[names]
 
-    return df.mapInPandas(run, schema)
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    one = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(wanted)])
+    made = df.select(*kept, scored(one).alias("__scored"))
+    return made.select(*kept, *[F.col("__scored").getField(n).alias(n) for n in names])
 
 
 class Models:

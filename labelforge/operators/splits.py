@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labelforge.functions.hashing import DEFAULT_SEED, digest, hash_hex, hash_int
 from labelforge.operators.attach import small_table
 from labelforge.operators.cuts import group_counts, order_key, rank_thresholds, take_ranked, with_cuts
+from labelforge.operators.running import running_totals
 from labelforge.session import cut_lineage
 
 # The split shares, sample sizes and the class down-sampled for claim evidence.
@@ -108,24 +109,23 @@ def undersample(df: DataFrame, key: str, label: str = "label", seed: int | str =
 
 
 def water_filling_quotas(counts: DataFrame, label: str, n_samples: int) -> DataFrame:
-    """Quota per class: smallest classes first, each gets an equal share of what is left, at most its size."""
-    ordered = F.array_sort(F.collect_list(F.struct("n", F.col(label).alias("label"))))
-    start = F.struct(
-        F.lit(n_samples).cast("bigint").alias("left"),
-        F.array().cast(f"array<struct<label:{dict(counts.dtypes)[label]},k:bigint>>").alias("quotas"),
-    )
-
-    def pour(acc: Column, cls: Column) -> Column:
-        share = _whole(acc["left"] / (F.col("__m") - F.size(acc["quotas"])))
-        k = F.least(share, cls["n"])
-        return F.struct(
-            (acc["left"] - k).alias("left"),
-            F.concat(acc["quotas"], F.array(F.struct(cls["label"].alias("label"), k.alias("k")))).alias("quotas"),
-        )
+    """Quota per class: smallest classes first, each gets an equal share of what is left (rounded down), at most its size.
 
-    one = counts.agg(ordered.alias("__classes"), F.count(F.lit(1)).alias("__m"))
-    poured = one.select(F.explode(F.aggregate("__classes", start, pour)["quotas"]).alias("q"))
-    return poured.select(F.col("q.label").alias(label), F.col("q.k").alias("k"))
+    The classes stand in order of size and name. Up to the water level they give all their rows; the first one larger than its
+    share sets the level, and all from there on get that share, the last ones one row more until the samples are used up.
+    So one running total over the classes finds every quota, whatever their number.
+    """
+    ordered = running_totals(counts.select(label, "n", F.lit(1).alias("__one")), ["n", label], __rows="n", __place="__one")
+    ordered = cut_lineage(ordered.drop("__one"))
+    m = ordered.count()
+    share = F.expr(f"({n_samples} - (__rows - n)) div ({m} - __place + 1)")
+    level = ordered.filter(F.col("n") > share).agg(F.min(F.struct("__place", F.col("__rows") - F.col("n"))).alias("l")).first()["l"]
+    if level is None:
+        return ordered.select(label, F.col("n").cast("bigint").alias("k"))
+    first, before = level
+    each, more = divmod(max(0, n_samples - before), m - first + 1)
+    k = F.when(F.col("__place") < first, F.col("n")).when(F.col("__place") <= m - more, F.lit(each)).otherwise(each + 1)
+    return ordered.select(label, k.cast("bigint").alias("k"))
 
 
 def water_filling_sample(
@@ -137,15 +137,14 @@ def water_filling_sample(
 
 
 def proportional_quotas(counts: DataFrame, label: str, max_size: int) -> DataFrame:
-    """Shares of ``max_size`` by class size; the rows lost to rounding go to the largest remainders."""
-    total = F.sum("n").over(W.partitionBy(F.lit(1)))
-    exact = F.col("n") * F.lit(max_size) / total
-    base = counts.withColumn("__q", _whole(exact)).withColumn("__rest", F.round(exact - F.floor(exact), 9))
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("__rest"), F.asc(label)))
-    short = F.lit(max_size) - F.sum("__q").over(W.partitionBy(F.lit(1)))
-    capped = base.withColumn("__rank", rank).withColumn("__short", short)
-    k = F.when(F.col("__rank") <= F.col("__short"), F.col("__q") + 1).otherwise(F.col("__q"))
-    return capped.select(label, F.least(k, F.col("n")).cast("bigint").alias("k"))
+    """Shares of ``max_size`` by class size; the rows lost to rounding go to the largest remainders, by a running total."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    exact = F.col("n") * F.lit(max_size) / F.lit(max(total, 1))
+    base = counts.select(label, "n", _whole(exact).alias("__q"), F.round(exact - F.floor(exact), 9).alias("__rest"), F.lit(1).alias("__one"))
+    ranked = running_totals(base, [F.desc("__rest"), F.asc(label)], __rank="__one")
+    short = max_size - (base.agg(F.sum("__q")).first()[0] or 0)
+    k = F.when(F.col("__rank") <= short, F.col("__q") + 1).otherwise(F.col("__q"))
+    return ranked.select(label, F.least(k, F.col("n")).cast("bigint").alias("k"))
 
 
 def resize(
@@ -305,8 +304,7 @@ def stack_answers(df: DataFrame, question: str, answer: str, false_answer: str)
 
 
 def _counts(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Class sizes as a local table. Samplers over more classes than the bound are refused, not made wrong."""
-    local = small_table(group_counts(df, group))
-    if local is None:
-        raise ValueError(f"too many distinct values of {list(group)} for a class sampler")
-    return local
+    """Class sizes, counted once: a local table, or a written one where there are very many classes."""
+    counts = cut_lineage(group_counts(df, group))
+    local = small_table(counts)
+    return counts if local is None else local

@@ -73,7 +73,8 @@ def noise_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count and share per value."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))))
+    total = counts.agg(F.sum("n").alias("__total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("__total")).alias("share"))
 
 
 def labels_by_year(df: DataFrame, date: str = "Date", label: str = "label") -> DataFrame:

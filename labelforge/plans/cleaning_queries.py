@@ -68,10 +68,11 @@ def drop_null_text(t):
 _PHRASE = "string_split(text, ' ')[1]"
 
 
-@query("remove_row_phrase", f"""select doc_id, {sql_strip(f"regexp_replace(text, '(?i)' || regexp_replace({_PHRASE}, '([^A-Za-z0-9 ])', '\\\\\\1', 'g'), '', 'g')")} as text from documents where {sql_fold('text')} = text and length({_PHRASE}) > 0""")
+@query("remove_row_phrase", f"""select doc_id, {sql_strip(f"regexp_replace(text, '(?i)' || regexp_replace({_PHRASE}, '([^A-Za-z0-9 \\x80-\\x{{10FFFF}}])', '\\\\\\1', 'g'), '', 'g')")} as text from documents where length({_PHRASE}) > 0""")
 def remove_row_phrase(t):
-    ascii_only = t.texts.filter(tx.ascii_fold("text") == F.col("text")).withColumn("phrase", F.element_at(F.split("text", " "), 1))
-    return ascii_only.filter(F.length("phrase") > 0).select("doc_id", tx.remove_phrase("text", "phrase").alias("text"))
+    """The first word of every document, of any script, is its phrase."""
+    named = t.texts.withColumn("phrase", F.element_at(F.split("text", " "), 1))
+    return named.filter(F.length("phrase") > 0).select("doc_id", tx.remove_phrase("text", "phrase").alias("text"))
 
 
 @query("normalise_hard", f"select doc_id, {sql_normal(sql_fold('text'))} as text from documents")

@@ -11,9 +11,6 @@ from labelforge.operators.splits import hash_bucket_split
 from labelforge.plans.registry import query, sql_hash_int
 
 
-# The iteration cap of the operators is 1000; these queries stop earlier, with a bounded vocabulary.
-SMALL = {"vocabulary": 1 << 12, "max_iter": 50, "tolerance": 1e-3}
-
 
 def _split(t, df):
     parts = hash_bucket_split(df, "doc_id")
@@ -39,7 +36,7 @@ def _report(df):
 def text_baseline(t):
     """Balanced regression on TF-IDF: language of a document from its text."""
     train, test = _split(t, t.texts.select("doc_id", "text", F.col("lang").alias("y_true")))
-    model = op.fit_baseline(train, "y_true", **SMALL)
+    model = op.fit_baseline(train, "y_true")
     return _report(model.predict(test))
 
 
@@ -48,7 +45,7 @@ def query_onehot_baseline(t):
     """Quality of a document from its text and its source."""
     df = t.v_task.select("doc_id", "text", F.col("source").alias("query"), F.col("label").alias("y_true"))
     train, test = _split(t, df)
-    return _report(op.fit_baseline(train, "y_true", query="query", query_kind="onehot", **SMALL).predict(test))
+    return _report(op.fit_baseline(train, "y_true", query="query", query_kind="onehot").predict(test))
 
 
 @query("pair_baseline")
@@ -59,7 +56,7 @@ def pair_baseline(t):
     pairs = t.v_pairs.withColumnsRenamed({"query": "question", "text": "answer", "pair_id": "doc_id"})
     drawn = hash_bucket_split(negative_answers(pairs, "doc_id"), "doc_id").filter("false_answer is not null")
     stacked = lambda s: stack_answers(drawn.filter(F.col("split") == s), "question", "answer", "false_answer").withColumn("y_true", F.col("label").cast("string")).drop("label")
-    return _report(op.fit_baseline(stacked("train"), "y_true", query="query", **SMALL).predict(stacked("test")))
+    return _report(op.fit_baseline(stacked("train"), "y_true", query="query").predict(stacked("test")))
 
 
 @query("multilabel_baseline")
@@ -67,7 +64,7 @@ def multilabel_baseline(t):
     """Label lists from the text, one regression per label."""
     df = t.texts.select("doc_id", "text").join(t.v_multi, "doc_id")
     train, test = _split(t, df)
-    predicted = op.predict_multilabel(train, test, "doc_id", **SMALL)
+    predicted = op.predict_multilabel(train, test, "doc_id")
     both = test.select("doc_id", F.col("label").alias("y_true")).join(predicted, "doc_id")
     report = metrics.multilabel_report(both, classes=train.select(F.explode("label").alias("label")))
     return report.select("label", "tp", "support", "predicted", F.round("f1", 6).alias("f1"))
@@ -87,6 +84,24 @@ def uniform_dummy(t):
     return op.uniform_dummy(train, test, "doc_id")
 
 
+_MS = f"""s as (select doc_id, label, case when {sql_hash_int('doc_id')} / 4294967296.0::DOUBLE < 0.8::DOUBLE then 'train' when {sql_hash_int('doc_id')} / 4294967296.0::DOUBLE < 0.9::DOUBLE then 'test' else 'dev' end as split from v_multi),
+tr as (select * from s where split = 'train'), n as (select count(*) as total from tr),
+l as (select name, count(*) as n from (select doc_id, unnest(list_distinct(label)) as name from tr) group by 1)"""
+
+
+@query("majority_multilabel_dummy", f"with {_MS} select doc_id, array_to_string(coalesce((select list(name order by name) from l, n where n > total / 2.0), []), '|') as y_pred from s where split = 'test'", ("v_multi",))
+def majority_multilabel_dummy(t):
+    out = op.majority_multilabel_dummy(*_split(t, t.v_multi))
+    return out.select("doc_id", F.array_join("y_pred", "|").alias("y_pred"))
+
+
+@query("uniform_multilabel_dummy", f"""with {_MS}, d as (select doc_id, name from s, l, n where split = 'test' and (l.n = total or {sql_hash_int('doc_id', 'name')} % 2 = 0))
+select doc_id, array_to_string(coalesce(list(name order by name) filter (name is not null), []), '|') as y_pred from (select doc_id from s where split = 'test') left join d using (doc_id) group by 1""", ("v_multi",))
+def uniform_multilabel_dummy(t):
+    train, test = _split(t, t.v_multi)
+    return op.uniform_multilabel_dummy(train, test, "doc_id").select("doc_id", F.array_join("y_pred", "|").alias("y_pred"))
+
+
 _P = "exp(logits[label + 1]) / list_sum(list_transform(logits, lambda x: exp(x)))"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="labelforge-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, for functions that tasks import: they needn't have it installed."""
+    context = spark.sparkContext
+    if not hasattr(context, "_labelforge"):
+        base = Path(tempfile.mkdtemp(prefix="labelforge-code-"))
+        root = Path(__file__).resolve().parent
+        name = shutil.make_archive(str(base / root.name), "zip", root.parent, root.name)
+        context.addPyFile(name)
+        context._labelforge = name

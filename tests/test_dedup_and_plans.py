@@ -89,3 +89,55 @@ def test_scan_reads_two_columns(spark):
     text = plan(spark, "claim_verdict")
     assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string>" in text
     assert "PushedFilters: [IsNotNull(c_mktsegment), EqualTo(c_mktsegment,BUILDING)" in plan(spark, "responses_in_set")
+
+
+def test_near_copies_with_a_template_piece(spark):
+    """A third of all texts share their first half, and most of these their length: pieces alone would pair them all."""
+    import random
+
+    rng = random.Random(4)
+    letters = "abcdeinorst"
+    texts = ["template of all notices " + "".join(rng.choices(letters, k=rng.choice([8, 9]))) for _ in range(250)]
+    texts += ["".join(rng.choices(letters, k=rng.choice([20, 33]))) for _ in range(250)]
+    for base in texts[::5]:
+        at = rng.randrange(len(base))
+        texts.append(base[:at] + rng.choice(letters) + base[at + rng.choice([0, 1, 2]) :])
+    texts = sorted(set(texts))
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "id int, g int, t string")
+    for k in (1, 2):
+        want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if abs(len(a) - len(b)) <= k and distance(a, b) <= k}
+        for hot in (8, 10_000):
+            got = dedup.edit_distance_pairs(df, "g", "id", "t", k, hot=hot)
+            assert {(r.a, r.b) for r in got.select("a", "b").collect()} == want
+    assert len(want) > 40
+
+
+def test_hot_digests_are_spread(spark, monkeypatch):
+    from labelforge.operators import attach
+
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise((F.col("id") % 9000).cast("string")).alias("t"), F.lit(None).cast("string").alias("p"))
+    got = dedup.entity_blind_copies(df, "t", "p", "id")
+    assert got.filter("n_copies = 10000").count() == 10_000 and got.count() == 30_000
+    keys = df.select(F.col("t").alias("k"), "id")
+    assert attach.frequent_keys(keys, ["k"]) == [spark.sql("select xxhash64('same')").first()[0]]
+    small = keys.select("k").distinct().withColumn("n", F.length("k"))
+    joined = attach.spread_join(keys, small, ["k"], salts=16).withColumn("part", F.spark_partition_id())
+    sizes = [r["count"] for r in joined.groupBy("part").count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 0.45 * 30_000
+    assert attach.spread_join(keys.limit(0), small, ["k"]).collect() == []
+
+
+def test_catalogue_in_parts(spark):
+    from labelforge.operators import attach, ranking
+
+    df = spark.range(30).select(F.col("id").alias("doc"), F.lit("q7").alias("query"))
+    values = spark.range(100).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("candidate"))
+    near = rows(attach.with_catalogue(df, values, "candidate"))
+    assert rows(attach.with_catalogue(df, values, "candidate", together=10, salts=3)) == near and len(near) == 3000
+    scored = attach.with_catalogue(df, values, "candidate").withColumn("label", (F.xxhash64("doc", "candidate") % 2).cast("int") % 2 * -1).withColumn("score", (F.abs(F.xxhash64("candidate", "doc")) % 5) / 5)
+    ranks = ranking.gold_ranks(scored, "doc")
+    assert "collect_list" not in ranks._jdf.queryExecution().executedPlan().toString()
+    local = scored.collect()
+    place = lambda r: (-r.label, -(1 - r.score if r.label == 0 else r.score), r.candidate)
+    want = {d: sum(place(r) <= place(next(x for x in local if x.doc == d and x.candidate == "q7")) for r in local if r.doc == d) for d in range(30)}
+    assert {r.doc: r["rank"] for r in ranks.collect()} == want

@@ -107,3 +107,27 @@ def test_attach_beyond_the_bound_is_the_same(skewed, spark):
     far = attach.attach_small(skewed, small, ["label"], max_rows=1, salts=4)
     assert rows(near) == rows(far) and near.filter("v = 3").count() == 2
     assert rows(attach.attach_small(skewed, small, ["label"], "inner", max_rows=1, salts=4)) == rows(near.filter("v is not null"))
+
+
+def test_quotas_over_three_hundred_thousand_classes(spark):
+    """Against the loops that the quotas stand for."""
+    sizes = spark.range(300_000).select(F.col("id").alias("label"), (1 + F.col("id") * 7919 % 13).alias("n"))
+    listed = sorted((r.n, r.label) for r in sizes.collect())
+    left, want = 1_000_003, {}
+    for i, (n, label) in enumerate(listed):
+        want[label] = min(left // (len(listed) - i), n)
+        left -= want[label]
+    assert {r.label: r.k for r in splits.water_filling_quotas(sizes, "label", 1_000_003).collect()} == want
+    total = sum(n for n, _ in listed)
+    exact = {label: n * 1_000_003 / total for n, label in listed}
+    rest = sorted(exact, key=lambda x: (-round(exact[x] - int(exact[x]), 9), x))
+    short = 1_000_003 - sum(map(int, exact.values()))
+    up = set(rest[:short])
+    got = {r.label: r.k for r in splits.proportional_quotas(sizes, "label", 1_000_003).collect()}
+    assert got == {label: min(n, int(exact[label]) + (label in up)) for n, label in listed}
+
+
+def test_sample_of_very_many_classes_is_not_refused(spark):
+    df = spark.range(450_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("label"))
+    assert splits.undersample(df, "id").count() == 300_001
+    assert splits.water_filling_sample(df, "id", 300_100).count() == 300_100
