@@ -1,18 +1,17 @@
 """Language and gibberish labels from letter-trigram profiles learned as a Spark job.
 
-Words are runs of letters of any script. To learn, words are cut into trigrams inside the task and counted map-side. To
-label, texts stay where they are: profiles of alphabets are small and go to the tasks after a check; past the bound (many
-languages, scripts of many signs) they meet the trigrams in a join that spreads frequent ones.
+Words are runs of letters of any script. Words are cut into trigrams inside the task and counted map-side. Profiles of
+alphabets are small and broadcast after a check; past the bound (many languages, scripts of many signs) they meet the
+trigrams in a join that spreads frequent ones.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.operators.attach import small_table, spread_join
+from labelforge.operators.attach import attach_small, null_safe_join, small_table, spread_join
+from labelforge.session import cut_lineage
 
 FLOOR = -12.0  # log probability of a trigram no profile knows
 NOISE_LETTERS = 0.5
@@ -46,69 +45,32 @@ def fit_profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> DataF
 def detect(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Add ``language``, ``score`` (mean log probability per trigram) and ``gibberish``; a text without words has neither.
 
-    Each text is scored where it is: profiles of a checked size go to every task as an array of trigrams with their scores. Only
-    profiles beyond that size meet exploded trigrams in a join (which then needs ``key`` to be unique).
+    Trigrams meet profiles of a checked size in the task that cut them, and leave it as one row of sums per ``key`` (which is
+    unique). Scores go back to the rows by a join that, up to a checked number of them, doesn't move the texts. Profiles beyond
+    that size meet the trigrams in a join that spreads frequent ones.
     """
     known = small_table(profiles)
-    if known is None:
-        scored = df.join(_joined_scores(df, profiles, key, text), key, "left")
-    else:
-        grams, names, scores = _score_table(known)
-        scored = df.withColumn("__l", _scorer(grams, names, scores)(_marked(text))).select(
-            *[F.col(f"`{c}`") for c in df.columns], F.col("__l.language").alias("language"), F.col("__l.score").alias("score")
-        )
+    scored = _joined_scores(df, profiles, key, text) if known is None else _broadcast_scores(df, known, key, text)
     letters = F.length(F.regexp_replace(F.col(text), r"[^\p{L}\s]", "")) / F.greatest(F.length(text), F.lit(1))
     gibberish = (
         F.when(F.coalesce(letters, F.lit(0.0)) < NOISE_LETTERS, "noise")
         .when(F.coalesce(F.col("score"), F.lit(FLOOR)) < SALAD_SCORE, "word salad").otherwise("clean")
     )
-    return scored.withColumn("gibberish", gibberish)
-
-
-def _marked(text: str):
-    """All words of a text, each between ^ and $, in one string; words hold letters only."""
-    words = _words(text)
-    return F.when(F.size(words) > 0, F.concat(F.lit("^"), F.array_join(words, "$^"), F.lit("$")))
-
-
-def _score_table(profiles: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Trigrams as sorted numbers, languages, and [trigram, language] scores with a last row for unknown trigrams."""
-    rows = profiles.select("gram", "lang", F.col("score").cast("double").alias("score")).toPandas()
-    names = sorted(x for x in rows["lang"].unique() if x is not None)
-    rows = rows[rows["lang"].notna() & (rows["gram"].str.len() == 3)]
-    codes = np.array([ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]) for g in rows["gram"]], np.int64)
-    grams, place = np.unique(codes, return_inverse=True)
-    scores = np.full((len(grams) + 1, max(1, len(names))), FLOOR)
-    scores[place, [names.index(x) for x in rows["lang"]]] = rows["score"].to_numpy()
-    return grams, names, scores
-
-
-def _scorer(grams: np.ndarray, names: list[str], scores: np.ndarray):
-    """A vectorised function of marked words; it holds the profiles, whose size is checked."""
-    end = ord("$")
-
-    @F.pandas_udf("language string, score double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"language": [None] * len(texts), "score": np.nan}, index=texts.index)
-        some = np.flatnonzero(texts.notna().to_numpy())
-        for at in range(0, len(some), 256):
-            here = some[at : at + 256]
-            parts = [np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.int64) for x in texts.iloc[here]]
-            c = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[:-2]
-            whole = (c[:-2] != end) & (c[1:-1] != end)  # inside one word, and so inside one text
-            codes, owner = (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[whole], owner[whole]
-            place = np.searchsorted(grams, codes)
-            place[place == len(grams)] = 0
-            place = np.where(grams[place] == codes, place, len(grams)) if len(grams) else np.zeros(len(codes), np.int64)
-            n = np.bincount(owner, minlength=len(parts))
-            means = np.stack([np.bincount(owner, scores[place, i], minlength=len(parts)) for i in range(scores.shape[1])], axis=1) / n[:, None]
-            best = scores.shape[1] - 1 - np.argmax(means[:, ::-1], axis=1)  # of equals the last name
-            out.iloc[here, 0] = [names[b] for b in best] if names else None
-            out.iloc[here, 1] = means[np.arange(len(parts)), best]
-        return out
-
-    return score
+    return attach_small(df, cut_lineage(scored), [key]).withColumn("gibberish", gibberish)
+
+
+def _broadcast_scores(df: DataFrame, profiles: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, language, score) with profiles of a checked size; a sum per language, all in one pass."""
+    names = [r[0] for r in profiles.select("lang").distinct().orderBy("lang").collect() if r[0] is not None]
+    if not names:
+        return df.select(key).limit(0).withColumn("language", F.lit("")).withColumn("score", F.lit(0.0))
+    one = profiles.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == n, F.col("score"))).alias(f"s{i}") for i, n in enumerate(names)])
+    cut = _explode_trigrams(df.select(key, F.explode(_words(text)).alias("word"))).select(key, "gram")
+    cut = null_safe_join(cut, F.broadcast(one), ["gram"], "left")
+    sums = cut.groupBy(key).agg(*[F.avg(F.coalesce(F.col(f"s{i}"), F.lit(FLOOR))).alias(f"s{i}") for i in range(len(names))])
+    each = [F.struct(F.col(f"s{i}").alias("score"), F.lit(n).alias("lang")) for i, n in enumerate(names)]
+    best = F.greatest(*each) if len(each) > 1 else each[0]
+    return sums.select(key, best.alias("b")).select(key, F.col("b.lang").alias("language"), F.col("b.score").alias("score"))
 
 
 def _joined_scores(df: DataFrame, profiles: DataFrame, key: str, text: str) -> DataFrame:

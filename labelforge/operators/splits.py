@@ -159,14 +159,17 @@ def resize(
 
 def truncate(
     df: DataFrame, key: str, max_size: int = TRAIN_CAP, policy: str = "balanced", stratify_on: str = "label",
-    label: str = "label", split: str = "split", seed: int | str = DEFAULT_SEED,
+    label: str = "label", split: str = "split", seed: int | str = DEFAULT_SEED, sizes: dict[str, int] | None = None,
 ) -> DataFrame:
     """Size policy for train and dev, used when train holds more than ``max_size`` rows; test is not touched.
 
+    ``sizes`` of train and dev are counted if they are not given.
+
     ``random``: under-sample the classes, then resize. ``weighted``: water-filling (dev only if too large).
     Any other name: resize.
     """
-    sizes = {r[split]: r["n"] for r in group_counts(df, [split]).collect()}
+    if sizes is None:
+        sizes = {r[split]: r["n"] for r in group_counts(df, [split]).collect()}
     if sizes.get("train", 0) <= max_size:
         return df
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.arrays import majority_vote
@@ -74,6 +74,19 @@ def stance_vote(predictions: DataFrame, key: str, stances: DataFrame, mode: str
     return mapped.groupBy(key).agg(best.alias("stance"))
 
 
+def majority_of(among: Column, flag: str = "is_positive") -> Column:
+    """Strictly more yes than no among some rows of a group; null where there are none."""
+    yes, no = F.count_if(among & F.col(flag)), F.count_if(among & ~F.col(flag))
+    return F.when(yes + no > 0, yes > no)
+
+
+def stance_of(among: Column, stance: str = "stance") -> Column:
+    """The most frequent stance among some rows of a group, Neutral on a tie; null where there are none."""
+    s, d, n = (F.count_if(among & (F.col(stance) == x)) for x in ("Support", "Denies", "Neutral"))
+    best = F.when((s > d) & (s > n), "Support").when((d > s) & (d > n), "Denies").otherwise("Neutral")
+    return F.when(F.count_if(among) > 0, best)
+
+
 def label_columns(predictions: DataFrame, key: str, tasks: Sequence[str], readable: DataFrame | None = None) -> DataFrame:
     """One column per task with its label, readable where ``readable(task, y_pred, value)`` knows it."""
     check_tasks(tasks, tasks)

@@ -8,7 +8,7 @@ from labelforge.functions.text import strip
 from labelforge.operators import requests as op
 from labelforge.operators.stats import token_usage
 from labelforge.plans import catalog
-from labelforge.plans.registry import query, sql_hash_int, sql_strip
+from labelforge.plans.registry import query, sql_hash_int, sql_strip, sql_text
 from labelforge.plans.views import READABLE
 from labelforge.sources import readers, writers
 
@@ -225,8 +225,19 @@ def unseen_files(t):
     return readers.unseen_files(listing, t.documents.filter("doc_id % 40 = 2").select(F.col("source").alias("file_name")))
 
 
-@query("restricted_catalogue")
+_SETTINGS = ", ".join(
+    "(" + ", ".join("null" if v is None else str(v).lower() if isinstance(v, bool) else sql_text(v) for v in (c.name, c.kind, c.stratify_on, c.balance, c.weighted_loss)) + ")"
+    for c in catalog.specs()
+)
+_TASKS = "[" + ", ".join(map(sql_text, catalog.NAMES)) + "]"
+
+
+@query("restricted_catalogue", f"""select name, kind, stratify_on, balance, weighted_loss, n, n_sources from (values {_SETTINGS}) c(name, kind, stratify_on, balance, weighted_loss)
+join (select ({_TASKS})[({sql_hash_int('doc_id')} % {len(catalog.NAMES)}) + 1] as name, count(*) as n, count(distinct source) as n_sources from documents group by 1) using (name)""")
 def restricted_catalogue(t):
-    """Task settings of the datasets that share their number with a document's language group."""
-    wanted = t.documents.select(F.element_at(F.array(*[F.lit(n) for n in catalog.NAMES]), (hash_int("doc_id") % len(catalog.NAMES) + 1).cast("int")).alias("name")).distinct()
-    return catalog.catalogue(t.spark).join(wanted, "name", "left_semi").select("name", "kind", "stratify_on", "balance", "weighted_loss")
+    """Settings of the tasks that documents belong to (by hash), with the documents and sources of each."""
+    names = F.array(*[F.lit(n) for n in catalog.NAMES])
+    task = F.element_at(names, (hash_int("doc_id") % len(catalog.NAMES) + 1).cast("int")).alias("name")
+    counts = t.documents.select(task, "source").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_sources"))
+    wanted = catalog.catalogue(t.spark).select("name", "kind", "stratify_on", "balance", "weighted_loss")
+    return wanted.join(counts, "name")

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import clean_text, normalise_hard, remove_phrase
+from labelforge.operators.attach import attach_small
 from labelforge.operators import baselines, cleaning, dedup, nested, splits, voting
 from labelforge.operators.language import detect
 from labelforge.operators.stats import value_counts
 from labelforge.plans import catalog
+from labelforge.session import cut_lineage
 from labelforge.sources.writers import write_splits
 
 Scored = Callable[[DataFrame], DataFrame]
@@ -131,7 +133,7 @@ def question_answers(raw: DataFrame, completed: DataFrame, question: str, answer
     """Answers that the completed set knows, de-duplicated and split, each with a drawn false answer of its split."""
     known = completed.select(F.col("answer").alias(answer)).distinct()
     unique = dedup.keep_first(raw.join(known, answer, "left_semi"), [question, answer], "id")
-    parts = splits.grouped_split(unique, "id")
+    parts = cut_lineage(splits.grouped_split(unique, "id"))
     out = []
     for name in ("train", "test", "dev"):
         drawn = splits.negative_answers(parts.filter(F.col("split") == name), "id", question, answer)
@@ -191,14 +193,18 @@ def prepare(
 ) -> DataFrame:
     """Clean, length filter, de-duplicate per split, balance and cap: the path of every task before training."""
     low = min_tokens or (cleaning.MIN_TOKENS if not spec.name.startswith("lobbymap") else 40)
-    kept = cleaning.length_filter(cleaning.measure(df), low)
+    # the texts are cleaned once; all that follows reads what is written here, and sizes are counted on the way
+    kept = cut_lineage(cleaning.length_filter(cleaning.measure(df), low))
+    seen = Observation()
     unique = dedup.keep_first(kept, ["split", *spec.inputs, spec.label], key)
     if spec.name == "climateFEVER_evidence":
         train = splits.downsample_class(unique.filter("split = 'train'"), key, *splits.EVIDENCE_DOWNSAMPLE)
         unique = train.unionByName(unique.filter("split <> 'train'"))
     if spec.kind == "multilabel":
         return unique
-    return splits.truncate(unique, key, max_size, spec.balance, spec.stratify_on or spec.label)
+    counted = unique.observe(seen, *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "dev")])
+    unique = cut_lineage(counted)
+    return splits.truncate(unique, key, max_size, spec.balance, spec.stratify_on or spec.label, sizes=seen.get)
 
 
 def annotate_and_write(df: DataFrame, dataset: str, key: str, profiles: DataFrame, path: str) -> DataFrame:
@@ -282,15 +288,18 @@ def report_columns(paragraphs: DataFrame, predictions: DataFrame, key: str) -> D
 
     ``predictions(key, task, y_pred)`` holds every classifier's label for every paragraph, of all files at once.
     """
+    spark = paragraphs.sparkSession
+    flags = {"climate": catalog.CLIMATE_TASKS, "environmental_claim": ["environmental_claims"]}
     named = catalog.TOPIC_TASKS + catalog.CHARACTERISTIC_TASKS[1:5]
-    labels = voting.label_columns(
-        _of(predictions, named, named), key, named, catalog.readable_labels(paragraphs.sparkSession)
-    )
-    parts = (climate_related(predictions, key), green_claims(predictions, key, ["environmental_claims"]), labels, stance(predictions, key))
-    out = paragraphs
-    for part in parts:
-        out = out.join(part, key, "left")
-    return out
+    used = sorted({*catalog.CLIMATE_TASKS, "environmental_claims", *named, *catalog.STANCE_TASKS})
+    rows = voting.positive_flags(_of(predictions, used, used), catalog.positives(spark, [t for tasks in flags.values() for t in tasks]))
+    rows = attach_small(rows, catalog.readable_labels(spark), ["task", "y_pred"])
+    rows = attach_small(rows, catalog.stance_labels(spark), ["task", "y_pred"])
+    columns = [voting.majority_of(F.col("task").isin(*tasks)).alias(name) for name, tasks in flags.items()]
+    columns += [F.min(F.when(F.col("task") == task, F.coalesce("value", "y_pred"))).alias(task) for task in named]
+    columns.append(voting.stance_of(F.col("task").isin(*catalog.STANCE_TASKS)).alias("stance"))
+    # one grouping of the predictions makes all columns
+    return paragraphs.join(rows.groupBy(key).agg(*columns), key, "left")
 
 
 def report_pages(paragraphs: DataFrame, order: str) -> DataFrame:

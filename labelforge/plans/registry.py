@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from labelforge.functions import text as tx
 
-MODULES = ("cleaning", "nesting", "copies", "splitting", "statistics", "voting", "models", "scoring", "evidence", "answers", "errors", "reports")
+MODULES = ("cleaning", "nesting", "copies", "splitting", "statistics", "voting", "models", "scoring", "evidence", "answers", "errors", "reports", "recipes")
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,6 @@ Every view exists twice, as a DataFrame and as SQL; derived labels come from the
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +17,6 @@ RING = {"de": "en", "en": "es", "es": "fr", "fr": "de"}
 STANCES = ["strongly_supporting", "supporting", "no_position_or_mixed_position", "not_supporting", "opposing"]
 READABLE = {"de": "Group A, German", "en": "Group A, English", "es": "Group B, Spanish", "fr": "Group B, French"}
 N_WORKERS = 8
-SMALL_FILE = 128 << 20
 
 
 def next_label(c: Column) -> Column:
@@ -58,12 +56,11 @@ class Tables:
     def texts(self) -> DataFrame:
         """``documents`` for queries that work hard on every text.
 
-        A test table is one file with one row group, which one task reads. Such a small table is spread over the
-        cores first; a large one has row groups for all of them and is not shuffled.
+        Where the scan has fewer tasks than the session has cores (a file of one row group is one task), rows are spread
+        over the cores first; a table in many files or row groups is not shuffled.
         """
-        path = f"{self.folder}/documents.parquet"
-        small = os.path.isfile(path) and os.path.getsize(path) < SMALL_FILE
-        return self.documents.repartition(self.spark.sparkContext.defaultParallelism) if small else self.documents
+        cores = self.spark.sparkContext.defaultParallelism
+        return self.documents.repartition(cores) if self.documents.rdd.getNumPartitions() < cores else self.documents
 
     @cached_property
     def v_task(self) -> DataFrame:

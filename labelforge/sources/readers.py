@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,12 +81,34 @@ def read_split_files(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame
 def read_question_files(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:
     """(text, label, Year, Company Name) from raw files of which each has one ``Question i`` column; label = i.
 
-    Files have different headers, so that they are read as text of their own header: the first question column a
-    file has decides its label.
+    Files have different headers: the first question column a file has decides its label. The headers of all files are read
+    in one job, and the files of one header by one read with its columns as schema. A header with a line break in a name
+    is read by the CSV reader itself.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
     paths = [path] if isinstance(path, str) else list(path)
-    return reduce(lambda a, b: a.unionByName(b), [question_rows(reader.csv(p)) for p in paths])
+    groups: dict[str, list[str]] = {}
+    for row in file_headers(spark, paths).collect():  # one row per file
+        groups.setdefault(row["header"], []).append(unquote(row["file"]))
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
+    parts = []
+    for header, files in sorted(groups.items()):
+        if header.count('"') % 2:
+            parts += [question_rows(reader.csv(f)) for f in files]
+            continue
+        names = next(csv.reader([header]))
+        once = [n if n not in names[:i] else f"{n}{i}" for i, n in enumerate(names)]
+        schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(once)])
+        parts.append(question_rows(reader.schema(schema).csv(files)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, header): the first line of every file, from one job. Lines of a file's first block are numbered in their order."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
+    )
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    return first.select("file", F.regexp_replace("header", "^\ufeff|\r$", "").alias("header"))
 
 
 def question_rows(raw: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def plan(spark, name):
 
 def test_every_query_has_sql_or_a_test():
     missing = (set(entry.queries()) - set(entry.oracle_sql())) & set(registry.QUERIES)
-    assert missing == {"bootstrap_f1_multinomial", "text_baseline", "query_onehot_baseline", "pair_baseline", "multilabel_baseline", "restricted_catalogue"}
+    assert missing == {"bootstrap_f1_multinomial", "text_baseline", "query_onehot_baseline", "pair_baseline", "multilabel_baseline"}
 
 
 @pytest.mark.parametrize("name", ["stratified_split", "time_split", "water_filling_sample", "prepared_label_shares", "clean_and_count", "keep_first_copy",
@@ -97,9 +97,9 @@ def test_near_copies_with_a_template_piece(spark):
 
     rng = random.Random(4)
     letters = "abcdeinorst"
-    texts = ["template of all notices " + "".join(rng.choices(letters, k=rng.choice([8, 9]))) for _ in range(250)]
-    texts += ["".join(rng.choices(letters, k=rng.choice([20, 33]))) for _ in range(250)]
-    for base in texts[::5]:
+    texts = ["template of all notices " + "".join(rng.choices(letters, k=rng.choice([8, 9]))) for _ in range(90)]
+    texts += ["".join(rng.choices(letters, k=rng.choice([20, 33]))) for _ in range(90)]
+    for base in texts[::3]:
         at = rng.randrange(len(base))
         texts.append(base[:at] + rng.choice(letters) + base[at + rng.choice([0, 1, 2]) :])
     texts = sorted(set(texts))
@@ -109,7 +109,7 @@ def test_near_copies_with_a_template_piece(spark):
         for hot in (8, 10_000):
             got = dedup.edit_distance_pairs(df, "g", "id", "t", k, hot=hot)
             assert {(r.a, r.b) for r in got.select("a", "b").collect()} == want
-    assert len(want) > 40
+    assert len(want) > 20
 
 
 def test_hot_digests_are_spread(spark, monkeypatch):
@@ -135,9 +135,9 @@ def test_catalogue_in_parts(spark):
     near = rows(attach.with_catalogue(df, values, "candidate"))
     assert rows(attach.with_catalogue(df, values, "candidate", together=10, salts=3)) == near and len(near) == 3000
     scored = attach.with_catalogue(df, values, "candidate").withColumn("label", (F.xxhash64("doc", "candidate") % 2).cast("int") % 2 * -1).withColumn("score", (F.abs(F.xxhash64("candidate", "doc")) % 5) / 5)
-    ranks = ranking.gold_ranks(scored, "doc")
-    assert "collect_list" not in ranks._jdf.queryExecution().executedPlan().toString()
     local = scored.collect()
+    ranks = ranking.gold_ranks(spark.createDataFrame(local), "doc")
+    assert "collect_list" not in ranks._jdf.queryExecution().executedPlan().toString()
     place = lambda r: (-r.label, -(1 - r.score if r.label == 0 else r.score), r.candidate)
     want = {d: sum(place(r) <= place(next(x for x in local if x.doc == d and x.candidate == "q7")) for r in local if r.doc == d) for d in range(30)}
     assert {r.doc: r["rank"] for r in ranks.collect()} == want

@@ -35,6 +35,20 @@ def test_question_files(spark, tmp_path):
     assert rows(df, "label") == [("x text", 2, 2020, "ACME"), ("y text", 7, 2020, "ACME")]
 
 
+def test_a_thousand_question_files_are_no_job_each(spark, tmp_path):
+    for k in range(1000):
+        extra = "Note," if k % 4 == 0 else ""
+        (tmp_path / f"f {k}.csv").write_text(f'{extra}Year,Company Name,Question {k % 3}\n' + ("x," if extra else "") + f'2020,"A, {k}","two\nlines {k}"\n')
+    tracker, group = spark.sparkContext.statusTracker(), "question-files"
+    spark.sparkContext.setJobGroup(group, group)
+    df = readers.read_question_files(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) <= 14  # headers, and listings of the files of six headers
+    got = rows(df, "Company Name")
+    assert len(got) == 1000 and sorted(got)[0][1] in (0, 1, 2)
+    assert {(r[0], r[1], r[3]) for r in got} == {(f"two\nlines {k}", k % 3, f"A, {k}") for k in range(1000)}
+
+
 def test_split_table_prunes_partitions(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "train"), (2, "b", "test")], "id int, label string, split string")
     for name in ("one", "two"):

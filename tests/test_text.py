@@ -69,3 +69,31 @@ def test_array_functions(spark):
     df = spark.createDataFrame([([0.0, 2.0, 1.0], ["b", "a", "a", "b", None], [None])], "l array<double>, v array<string>, w array<string>")
     r = df.select(arrays.argmax("l"), arrays.majority_vote("v"), arrays.majority_vote("w"), F.array_max(arrays.softmax("l")), arrays.sigmoid_flags("l")).first()
     assert r[0] == 1 and r[1] == "a" and r[2] is None and abs(r[3] - 0.66524096) < 1e-6 and r[4] == [0, 1, 1]
+
+
+def test_phrases_of_any_script_go(spark):
+    """Against a loop with the other engine's idea of case."""
+    import re
+
+    data = [("Äpfel sind äPFEL, Apfel nicht", "äpfel"), ("ЯБЛОКО яблоко ок", "Яблоко"), ("a.b axb A.B", "a.b"), ("東京都は東京", "東京"), ("x", ""), ("x", None), (None, "x"), ("$1 \\d 5", "$1"), ("é.😀! é.😀", "😀!")]
+    from labelforge.functions.text import remove_phrase
+
+    got = [r[0] for r in spark.createDataFrame(data, "t string, p string").select(remove_phrase("t", "p")).collect()]
+    for (t, p), g in zip(data, got):
+        assert g == (None if t is None else re.sub(re.escape(p), "", t, flags=re.I).strip() if p else t)
+
+
+def test_languages_by_broadcast_equal_the_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from labelforge.operators import language
+
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "собака и кошка", "ru"), (4, "1234 !!", None), (5, None, "en"), (6, "zzz qqq", "de")], "id long, text string, lang string")
+    profiles = language.fit_profiles(docs.filter("lang is not null"))
+    near = language.detect(docs, profiles, "id")
+    monkeypatch.setattr(language, "small_table", lambda df: None)
+    by_id = lambda df: {(r.id, r.language, r.gibberish): r.score for r in df.collect()}
+    a, b = by_id(near), by_id(language.detect(docs, profiles, "id"))
+    assert len(a) == 6
+    assert a.keys() == b.keys()
+    assert all(abs((a[k] or 0) - (b[k] or 0)) < 1e-9 for k in a)
