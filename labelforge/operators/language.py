@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.operators.attach import attach_small, null_safe_join, small_table, spread_join
-from labelforge.session import cut_lineage
+from labelforge.operators.attach import null_safe_join, small_table, spread_join
 
 FLOOR = -12.0  # log probability of a trigram no profile knows
 NOISE_LETTERS = 0.5
@@ -46,8 +45,8 @@ def detect(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") ->
     """Add ``language``, ``score`` (mean log probability per trigram) and ``gibberish``; a text without words has neither.
 
     Trigrams meet profiles of a checked size in the task that cut them, and leave it as one row of sums per ``key`` (which is
-    unique). Scores go back to the rows by a join that, up to a checked number of them, doesn't move the texts. Profiles beyond
-    that size meet the trigrams in a join that spreads frequent ones.
+    unique). Scores go back to the rows by a join on ``key``. Profiles beyond that size meet the trigrams in a join that
+    spreads frequent ones.
     """
     known = small_table(profiles)
     scored = _joined_scores(df, profiles, key, text) if known is None else _broadcast_scores(df, known, key, text)
@@ -56,7 +55,7 @@ def detect(df: DataFrame, profiles: DataFrame, key: str, text: str = "text") ->
         F.when(F.coalesce(letters, F.lit(0.0)) < NOISE_LETTERS, "noise")
         .when(F.coalesce(F.col("score"), F.lit(FLOOR)) < SALAD_SCORE, "word salad").otherwise("clean")
     )
-    return attach_small(df, cut_lineage(scored), [key]).withColumn("gibberish", gibberish)
+    return df.join(scored, key, "left").withColumn("gibberish", gibberish)
 
 
 def _broadcast_scores(df: DataFrame, profiles: DataFrame, key: str, text: str) -> DataFrame:
