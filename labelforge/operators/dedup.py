@@ -7,6 +7,7 @@ up a third of the table leaves one short row per task before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -137,17 +138,14 @@ def _bounds(parts: int, place: Column, length: Column) -> tuple[Column, Column]:
 
 
 def _piece_keys(texts: DataFrame, parts: int, shared: int) -> DataFrame:
-    """(g, id, len, i, piece, letters) of every choice of ``shared`` of ``parts`` pieces of each text: ``i`` names the choice."""
-    out = texts.select("g", "id", "len", "t", *LETTERS, F.explode(_choices(parts, shared)).alias("i"))
+    """(g, id, letters, piece) of every choice of ``shared`` of ``parts`` pieces of each text: ``piece`` is a hash of the length,
+    the choice and the pieces."""
+    out = texts.select("g", "id", "len", "t", "letters", F.explode(_choices(parts, shared)).alias("i"))
     pieces = []
     for c in range(shared):
         at, size = _bounds(parts, F.get("i", F.lit(c)), F.col("len"))
         pieces.append(F.substr("t", at + 1, size))
-    return out.withColumn("piece", _piece_hash(pieces)).drop("t")
-
-
-def _piece_hash(pieces: list[Column]) -> Column:
-    return F.xxhash64(*pieces)
+    return out.select("g", "id", "letters", F.xxhash64("len", "i", *pieces).alias("piece"))
 
 
 def _choices(parts: int, shared: int) -> Column:
@@ -158,7 +156,7 @@ def _piece_probes(texts: DataFrame, parts: int, shared: int, k: int) -> DataFram
     """The keys under which texts of the same or a smaller length, within ``k`` edits, may be found."""
     # A longer text pays for its extra length: with d extra characters the shift lies in [(d-k)/2, (d+k)/2].
     lengths = F.explode(F.sequence(F.greatest(F.col("own") - k, F.lit(0)), F.col("own"))).alias("len")
-    out = texts.withColumnRenamed("len", "own").select("g", "id", "t", *LETTERS, "own", lengths)
+    out = texts.withColumnRenamed("len", "own").select("g", "id", "t", "letters", "own", lengths)
     extra = F.col("own") - F.col("len")
     shifts = F.sequence(-F.floor((k - extra) / 2).cast("int"), F.floor((k + extra) / 2).cast("int"))
     out = out.select("*", F.explode(_choices(parts, shared)).alias("i"))
@@ -168,17 +166,23 @@ def _piece_probes(texts: DataFrame, parts: int, shared: int, k: int) -> DataFram
         out = out.withColumn("shift", F.explode(shifts)).withColumn(f"at{c}", at + F.col("shift")).withColumn(f"size{c}", size)
         out = out.filter((F.col(f"at{c}") >= 0) & (F.col(f"at{c}") + F.col(f"size{c}") <= F.col("own")))
         pieces.append(F.substr("t", F.col(f"at{c}") + 1, F.col(f"size{c}")))
-    probes = out.withColumn("piece", _piece_hash(pieces))
-    return probes.select("g", "id", "len", "i", "piece", *[F.col(c).alias(f"own_{c}") for c in LETTERS]).distinct()
+    # a text that shifts bring to one key twice gives a pair twice, which the pairs' distinct mends
+    return out.select("g", "id", F.col("letters").alias("own_letters"), F.xxhash64("len", "i", *pieces).alias("piece"))
+
+
+PIECE_KEY = ["g", "piece"]
 
 
-LETTERS = [f"n_{c}" for c in COUNTED]
-PIECE_KEY = ["g", "len", "i", "piece"]
+def _letter_counts(text: str, length: str) -> Column:
+    """The numbers of the counted letters, up to 255 each, as the bytes of one number."""
+    count = lambda c: F.least(F.col(length) - F.length(F.replace(F.col(text), F.lit(c), F.lit(""))), F.lit(255)).cast("bigint")
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c), 8 * i) for i, c in enumerate(COUNTED)])
 
 
 def _candidates(probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """Pairs (g, a, b) that share a key and whose letters differ by no more than ``k`` edits can make them."""
-    apart = sum((F.abs(F.col(c) - F.col(f"own_{c}")) for c in LETTERS), F.lit(0))
+    byte = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
+    apart = sum((F.abs(byte("letters", i) - byte("own_letters", i)) for i in range(len(COUNTED))), F.lit(0))
     keys = [c for c in index.columns if c in (*PIECE_KEY, "__block")]
     pairs = probes.withColumnRenamed("id", "long").join(index.withColumnRenamed("id", "short"), keys)
     pairs = pairs.filter((F.col("long") != F.col("short")) & (apart <= 2 * k))
@@ -215,8 +219,7 @@ def edit_distance_pairs(
         .select("g", "t", "copies", F.col("row.id").alias("id"), *[F.col(f"row.{c}").alias(c) for c in carry])
         .withColumn("len", F.length("t"))
     )
-    count = lambda c: F.col("len") - F.length(F.replace(F.col("t"), F.lit(c), F.lit("")))
-    texts = cut_lineage(texts.select("*", *[count(c).alias(n) for c, n in zip(COUNTED, LETTERS, strict=True)]))
+    texts = cut_lineage(texts.withColumn("letters", _letter_counts("t", "len")))
     index, probes = _piece_keys(texts, k + 1, 1), _piece_probes(texts, k + 1, 1, k)
     crowded = cut_lineage(index.groupBy(*PIECE_KEY).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot).drop("__n").withColumn("__hot", F.lit(True)))
     if crowded.isEmpty():
