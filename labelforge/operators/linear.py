@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from labelforge.session import ship
 
-MEMORY = 10  # pairs of steps that L-BFGS remembers
+MEMORY = 6  # pairs of steps that L-BFGS remembers, in single precision
 CELLS = 1 << 22  # products of a task at once
 SLICE = 1 << 18  # numbers of a piece of the gradient
 TOGETHER = 16  # tasks whose gradients are summed at once
@@ -161,7 +161,7 @@ def fit_linear(rows: DataFrame, width: int, targets: Targets, n: int, penalty: f
             break
         s, y = size * step, changed - slope
         if float((s * y).sum()) > 1e-12:
-            known = [*known[-MEMORY + 1 :], (s, y)]
+            known = [*known[-MEMORY + 1 :], (s.astype(np.float32), y.astype(np.float32))]
         w, now, slope = w + s, new, changed
     return w
 

@@ -7,7 +7,8 @@ from labelforge.functions.arrays import argmax, softmax, true_label_probability
 from labelforge.operators import baselines as op
 from labelforge.operators import metrics
 from labelforge.operators.scoring import Models, score_with
-from labelforge.operators.splits import hash_bucket_split
+from labelforge.operators.cuts import take_ranked
+from labelforge.operators.splits import TRAIN_CAP, hash_bucket_split, resize
 from labelforge.plans.registry import query, sql_hash_int
 
 
@@ -17,6 +18,13 @@ def _split(t, df):
     return parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split")
 
 
+def _capped(train, key="doc_id", label=None):
+    """At most the train cap of the evaluation, stratified by a label or else in hash order: the vocabulary is the cap's."""
+    if label is not None:
+        return resize(train, key, TRAIN_CAP, label)
+    return take_ranked(train, [], key, lambda n: F.least(n, F.lit(TRAIN_CAP)))
+
+
 _TF = f"""w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from documents), tf as (select doc_id, term, count(*) as tf from w group by all),
 d as (select term, count(*) as df from tf group by 1), n as (select count(*) as n from documents),
 x as (select doc_id, term, tf, df, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) as w from tf join d using (term), n)"""
@@ -36,7 +44,7 @@ def _report(df):
 def text_baseline(t):
     """Balanced regression on TF-IDF: language of a document from its text."""
     train, test = _split(t, t.texts.select("doc_id", "text", F.col("lang").alias("y_true")))
-    model = op.fit_baseline(train, "y_true")
+    model = op.fit_baseline(_capped(train, label="y_true"), "y_true")
     return _report(model.predict(test))
 
 
@@ -45,7 +53,7 @@ def query_onehot_baseline(t):
     """Quality of a document from its text and its source."""
     df = t.v_task.select("doc_id", "text", F.col("source").alias("query"), F.col("label").alias("y_true"))
     train, test = _split(t, df)
-    return _report(op.fit_baseline(train, "y_true", query="query", query_kind="onehot").predict(test))
+    return _report(op.fit_baseline(_capped(train, label="y_true"), "y_true", query="query", query_kind="onehot").predict(test))
 
 
 @query("pair_baseline")
@@ -56,7 +64,9 @@ def pair_baseline(t):
     pairs = t.v_pairs.withColumnsRenamed({"query": "question", "text": "answer", "pair_id": "doc_id"})
     drawn = hash_bucket_split(negative_answers(pairs, "doc_id"), "doc_id").filter("false_answer is not null")
     stacked = lambda s: stack_answers(drawn.filter(F.col("split") == s), "question", "answer", "false_answer").withColumn("y_true", F.col("label").cast("string")).drop("label")
-    return _report(op.fit_baseline(stacked("train"), "y_true", query="query").predict(stacked("test")))
+    train = stacked("train")
+    both = train.withColumn("row", F.xxhash64("query", "text", "y_true"))
+    return _report(op.fit_baseline(_capped(both, "row", "y_true").drop("row"), "y_true", query="query").predict(stacked("test")))
 
 
 @query("multilabel_baseline")
@@ -64,7 +74,7 @@ def multilabel_baseline(t):
     """Label lists from the text, one regression per label."""
     df = t.texts.select("doc_id", "text").join(t.v_multi, "doc_id")
     train, test = _split(t, df)
-    predicted = op.predict_multilabel(train, test, "doc_id")
+    predicted = op.predict_multilabel(_capped(train), test, "doc_id")
     both = test.select("doc_id", F.col("label").alias("y_true")).join(predicted, "doc_id")
     report = metrics.multilabel_report(both, classes=train.select(F.explode("label").alias("label")))
     return report.select("label", "tp", "support", "predicted", F.round("f1", 6).alias("f1"))
