@@ -34,9 +34,11 @@ class Targets:
 
 
 def sparse_parts(vector: str) -> tuple[Column, Column]:
-    """Indices and values of a sparse ML vector column, by its printed form."""
+    """Indices and values of an ML vector column, by its printed form; a dense vector has all indices."""
     shown = F.from_json(F.to_json(F.struct(F.col(vector).alias("x"))), "x struct<indices:array<int>,values:array<double>>")
-    return shown["x"]["indices"], shown["x"]["values"]
+    values = shown["x"]["values"]
+    every = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(shown["x"]["indices"], every), values
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

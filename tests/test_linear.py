@@ -81,3 +81,10 @@ def test_multilabel_fit_and_dummies(spark):
     drawn = [r.y_pred for r in baselines.uniform_multilabel_dummy(df, df, "id").collect()]
     assert len(drawn) == 80 and 20 < sum("a" in x for x in drawn) < 60
     assert {tuple(r.y_pred) for r in baselines.uniform_multilabel_dummy(always, df, "id").collect()} == {("z",)}
+
+
+def test_dense_and_sparse_vectors_read_alike(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense([0.0, 2.0, 1.0]),), (Vectors.sparse(3, [1], [2.0]),), (Vectors.sparse(3, [], []),)], ["x"])
+    assert [(r[0], r[1]) for r in df.select(*linear.sparse_parts("x")).collect()] == [([0, 1, 2], [0.0, 2.0, 1.0]), ([1], [2.0]), ([], [])]
