@@ -1,4 +1,4 @@
-"""Bag-of-words baselines on MLlib, TF-IDF weights as a relation, dummies, and training dynamics."""
+"""Bag-of-words baselines, TF-IDF weights as a relation and as MLlib vectors, dummies, and training dynamics."""
 
 from __future__ import annotations
 
@@ -7,12 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, Normalizer, OneHotEncoder, OneHotEncoderModel, RegexTokenizer, StringIndexer, VectorAssembler,
-)
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer
 from pyspark.ml.linalg import Vectors
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,7 +18,8 @@ from labelforge.functions.arrays import argmax, softmax
 from labelforge.functions.hashing import DEFAULT_SEED, hash_int
 from labelforge.functions.text import WORD_PATTERN, word_tokens
 from labelforge.operators.attach import attach_small, small_table, with_catalogue
-from labelforge.operators.linear import Targets, fit_linear, margins, sparse_parts
+from labelforge.operators.features import Space, feature_column, fit_space, margin_column, width
+from labelforge.operators.linear import Targets, fit_linear
 from labelforge.operators.running import running_totals
 from labelforge.operators.stats import class_weights, most_frequent
 from labelforge.session import cut_lineage
@@ -79,71 +78,51 @@ def with_text(df: DataFrame, text: str, name: str) -> DataFrame:
 
 @dataclass
 class Baseline:
-    """A fitted baseline: feature stages, weights and label names."""
+    """A fitted baseline: features, weights and label names."""
 
-    inputs: dict[str, str]
-    features: PipelineModel
+    spaces: list[Space]
     weights: np.ndarray
     labels: list[str]
 
-    def featurise(self, df: DataFrame) -> DataFrame:
-        """Add the feature column."""
-        for text, name in self.inputs.items():
-            df = with_text(df, text, name)
-        return self.features.transform(df)
-
     def predict(self, df: DataFrame, name: str = "y_pred") -> DataFrame:
         """Add the predicted label as text; of equally likely ones the first."""
-        ready = self.featurise(df).select(*[F.col(f"`{c}`") for c in df.columns], F.struct(*[c.alias(n) for c, n in zip(sparse_parts("features"), "iv", strict=True)]).alias("__f"))
-        scored = margins(ready, F.col("__f.i"), F.col("__f.v"), self.weights, "__m").drop("__f")
-        names = F.array(*map(F.lit, self.labels))
-        return scored.withColumn(name, F.get(names, argmax("__m"))).select(*[F.col(f"`{c}`") for c in df.columns], name)
+        kept = [F.col(f"`{c}`") for c in df.columns]
+        scored = df.select(*kept, margin_column(df.sparkSession, self.spaces, self.weights).alias("__m"))
+        return scored.select(*kept, F.get(F.array(*map(F.lit, self.labels)), argmax("__m")).alias(name))
 
 
 def fit_baseline(
     train: DataFrame, label: str = "label", text: str = "text", query: str | None = None, query_kind: str = "tfidf",
-    vocabulary: int = VOCABULARY, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE,
+    max_iter: int = MAX_ITER, tolerance: float = TOLERANCE,
 ) -> Baseline:
     """Balanced multinomial logistic regression on the text, with an optional query.
 
-    ``query_kind``: ``tfidf`` (own vocabulary) or ``onehot``. The penalty equals that of an unscaled loss with C = 1:
-    balanced weights sum to n, so that the strength is 1/n.
+    ``query_kind``: ``tfidf`` (own vocabulary) or ``onehot`` (a query that no train row has counts for nothing). Rows without
+    a label are not learned from. The penalty equals that of an unscaled loss with C = 1: balanced weights sum to n, so that
+    the strength is 1/n.
     """
-    inputs = {text: "text_features_raw"}
-    stages = list(fit_tfidf(train, text, "text_features", vocabulary).stages)
-    columns = ["text_features"]
-    if query is not None and query_kind == "tfidf":
-        inputs[query] = "query_features_raw"
-        stages += fit_tfidf(train, query, "query_features", vocabulary).stages
-        columns.append("query_features")
-    elif query is not None:
-        index = StringIndexer(inputCol=query, outputCol="query_index", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
-        onehot = OneHotEncoder(inputCol="query_index", outputCol="query_features", dropLast=True, handleInvalid="keep").fit(index.transform(train))
-        stages += [index, onehot]
-        columns.append("query_features")
-    stages.append(VectorAssembler(inputCols=columns, outputCol="features"))
-    features = PipelineModel(stages)
-
     named = train.withColumn("__y", F.col(label).cast("string")).filter("__y is not null")
+    named = named.select("__y", *[F.col(c) for c in dict.fromkeys([text, *([query] if query else [])])]).persist(StorageLevel.MEMORY_AND_DISK)
     counts = class_weights(named, "__y").select("__y", "weight").orderBy("__y").collect()  # one row per class
-    labels = [r["__y"] for r in counts]
+    labels, rows = [r["__y"] for r in counts], named.count()
+    spaces = [fit_space(named, text, rows)]
+    if query is not None:
+        spaces.append(fit_space(named, query, rows, whole=query_kind == "onehot"))
     place = F.array_position(F.array(*map(F.lit, labels)), F.col("__y")) - 1 if labels else F.lit(0)
-    shell = Baseline(inputs, features, np.zeros((1, len(labels))), labels)
-    i, v = sparse_parts("features")
-    ready = shell.featurise(named).select(i.alias("i"), v.alias("v"), F.array(place.cast("int")).alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = ready.count()
     balanced = np.array([float(r["weight"]) for r in counts])
-    targets = Targets(len(labels), True, balanced, balanced)
-    shell.weights = fit_linear(_few_tasks(ready, rows), feature_count(features), targets, rows, 1.0 / max(rows, 1), max_iter, tolerance)
-    ready.unpersist()
-    return shell
+    weights = _fit(named, spaces, F.array(place.cast("int")), Targets(len(labels), True, balanced, balanced), rows, max_iter, tolerance)
+    return Baseline(spaces, weights, labels)
 
 
-def feature_count(features: PipelineModel) -> int:
-    """Entries of the feature vector."""
-    return sum(len(s.getScalingVec()) for s in features.stages if isinstance(s, ElementwiseProduct)) + sum(
-        s.categorySizes[0] for s in features.stages if isinstance(s, OneHotEncoderModel)
-    )
+def _fit(named: DataFrame, spaces: Sequence[Space], y: Column, targets: Targets, rows: int, max_iter: int, tolerance: float) -> np.ndarray:
+    """Weights of the persisted rows, which are let go."""
+    x = feature_column(named.sparkSession, spaces)
+    ready = named.select(y.alias("y"), x.alias("x")).select("x.i", "x.v", "y").persist(StorageLevel.MEMORY_AND_DISK)
+    ready.count()
+    named.unpersist()
+    weights = fit_linear(_few_tasks(ready, rows), width(spaces), targets, rows, 1.0 / max(rows, 1), max_iter, tolerance)
+    ready.unpersist()
+    return weights
 
 
 def _few_tasks(ready: DataFrame, rows: int) -> DataFrame:
@@ -153,7 +132,7 @@ def _few_tasks(ready: DataFrame, rows: int) -> DataFrame:
 
 def predict_multilabel(
     train: DataFrame, test: DataFrame, key: str, labels: Sequence[str] | None = None, label: str = "label",
-    text: str = "text", vocabulary: int = VOCABULARY, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE,
+    text: str = "text", max_iter: int = MAX_ITER, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(key, y_pred list): balanced binary regressions of all train labels over shared TF-IDF features, in one fit.
 
@@ -161,31 +140,25 @@ def predict_multilabel(
     single fits, added up. A label that all or no rows have is answered without a fit. Repeated rows of ``test`` are answered
     one by one; a null list has no labels.
     """
-    lists = train.select(text, F.coalesce(F.array_distinct(label), F.array().cast("array<string>")).alias("__l"))
+    lists = train.select(text, F.coalesce(F.array_distinct(label), F.array().cast("array<string>")).alias("__l")).persist(StorageLevel.MEMORY_AND_DISK)
     names = lists.select(F.explode("__l").alias("name")) if labels is None else train.sparkSession.createDataFrame([(x,) for x in labels], "name string")
     seen = lists.select(F.explode("__l").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("ones"))
     # the vocabulary of labels, which a row of the weights holds anyway
     known = names.distinct().join(seen, "name", "left").fillna(0, ["ones"]).orderBy("name").collect()
     n = lists.count()
-    always = [r["name"] for r in known if r["ones"] == n]
+    always = F.array(*[F.lit(r["name"]) for r in known if r["ones"] == n]).cast("array<string>")
     fitted = {r["name"]: r["ones"] for r in known if 0 < r["ones"] < n}
-    features = fit_tfidf(train, text, "features", vocabulary)
-    i, v = sparse_parts("features")
+    if not fitted:
+        lists.unpersist()
+        return test.select(key, always.alias("y_pred"))
     every = F.array(*map(F.lit, fitted)).cast("array<string>")
     place = F.transform(F.array_intersect("__l", every), lambda x: (F.array_position(every, x) - 1).cast("int"))
-    ready = features.transform(with_text(lists, text, "features_raw")).select(i.alias("i"), v.alias("v"), place.alias("y"))
-    asked = features.transform(with_text(test.select(key, text), text, "features_raw")).select(key, i.alias("i"), v.alias("v"))
-    if not fitted:
-        return asked.select(key, F.array(*map(F.lit, always)).cast("array<string>").alias("y_pred"))
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    ready.count()
     ones = np.array(list(fitted.values()), float)
-    targets = Targets(len(fitted), False, n / (2 * ones), n / (2 * (n - ones)))
-    weights = fit_linear(_few_tasks(ready, n), feature_count(features), targets, n, 1.0 / n, max_iter, tolerance)
-    ready.unpersist()
-    scored = margins(asked, F.col("i"), F.col("v"), weights, "__m")
+    spaces = [fit_space(lists, text, n)]
+    weights = _fit(lists, spaces, place, Targets(len(fitted), False, n / (2 * ones), n / (2 * (n - ones))), n, max_iter, tolerance)
+    scored = test.select(key, margin_column(test.sparkSession, spaces, weights).alias("__m"))
     hits = F.transform(F.filter(F.arrays_zip(every.alias("name"), F.col("__m").alias("m")), lambda x: x["m"] > 0), lambda x: x["name"])
-    return scored.select(key, F.array_sort(F.concat(hits, F.array(*map(F.lit, always)).cast("array<string>"))).alias("y_pred"))
+    return scored.select(key, F.array_sort(F.concat(hits, always)).alias("y_pred"))
 
 
 def majority_multilabel_dummy(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:

@@ -41,12 +41,12 @@ def sparse_parts(vector: str) -> tuple[Column, Column]:
     return F.coalesce(shown["x"]["indices"], every), values
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All entries of a list column, and how many each row has."""
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def _pieces(sizes: np.ndarray, classes: int) -> Iterator[tuple[int, int]]:
+def row_pieces(sizes: np.ndarray, classes: int) -> Iterator[tuple[int, int]]:
     """Runs of rows whose entries x classes stay near ``CELLS``."""
     begin, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
@@ -58,7 +58,7 @@ def _pieces(sizes: np.ndarray, classes: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _margins(i: np.ndarray, v: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def row_margins(i: np.ndarray, v: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """[row, class]; the last row of ``weights`` is the constant's."""
     out = np.repeat(weights[-1:], len(sizes), axis=0)
     some = sizes > 0
@@ -84,13 +84,13 @@ def _task(batches: Iterator[pa.RecordBatch], weights: np.ndarray, targets: Targe
     """Loss and gradient of a task's rows (i, v, y)."""
     loss, slope, width = 0.0, np.zeros_like(weights), len(weights) - 1
     for batch in batches:
-        (i, ni), (v, _), (y, ny) = (_flat(batch.column(c)) for c in range(3))
+        (i, ni), (v, _), (y, ny) = (flat(batch.column(c)) for c in range(3))
         ei, ey = np.concatenate([[0], np.cumsum(ni)]), np.concatenate([[0], np.cumsum(ny)])
-        for a, b in _pieces(ni, targets.classes):
+        for a, b in row_pieces(ni, targets.classes):
             at, entries, sizes = i[ei[a] : ei[b]], v[ei[a] : ei[b]], ni[a:b]
             hit = np.zeros((b - a, targets.classes))
             hit[np.repeat(np.arange(b - a), ny[a:b]), y[ey[a] : ey[b]]] = 1
-            more, d = loss_and_slope(_margins(at, entries, sizes, weights), hit, targets)
+            more, d = loss_and_slope(row_margins(at, entries, sizes, weights), hit, targets)
             loss += more
             row = np.repeat(np.arange(b - a), sizes)
             for k in range(targets.classes):
@@ -123,9 +123,10 @@ def _evaluate(rows: DataFrame, weights: np.ndarray, targets: Targets) -> tuple[f
         for _ in range(2):  # by the square root of the tasks, then all
             parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(TOGETHER)) if _ == 0 else F.lit(0)).groupBy("slice", "part").applyInArrow(added, schema)
     loss, slope = 0.0, np.zeros(cells)
-    for r in parts.toArrow().to_pylist():
-        loss += r["loss"]
-        slope[r["slice"] : r["slice"] + piece] += np.frombuffer(r["g"], "<f8")
+    for batch in parts.toArrow().to_batches():
+        for at, more, g in zip(*(batch[c] for c in ("slice", "loss", "g")), strict=True):
+            loss += more.as_py()
+            slope[at.as_py() : at.as_py() + piece] += np.frombuffer(g.as_buffer(), "<f8")
     shared.destroy()
     return loss, slope.reshape(weights.shape)
 
@@ -182,25 +183,3 @@ def _direction(slope: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]]) ->
     for rho, a, s, y in reversed(used):
         q += (a - rho * float((y * q).sum())) * s
     return q
-
-
-def margins(df: DataFrame, i: Column, v: Column, weights: np.ndarray, name: str = "margins") -> DataFrame:
-    """Add the margins of all classes (array of doubles); the weights, as large as the model, go to every task once."""
-    ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(weights)
-    made, pieces = _margins, _pieces
-
-    def run(batches):
-        w = shared.value
-        for batch in batches:
-            i_, v_ = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            at, sizes = i_.flatten().to_numpy(zero_copy_only=False), np.diff(i_.offsets.to_numpy())
-            values, ends = v_.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
-            out = [made(at[ends[a] : ends[b]], values[ends[a] : ends[b]], sizes[a:b], w) for a, b in pieces(sizes, w.shape[1])]
-            flat = np.concatenate(out).reshape(-1) if out else np.zeros(0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * w.shape[1], pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=[*batch.schema.names[:-2], name])
-
-    wide = df.select("*", i.alias("__i"), v.alias("__v"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {name} array<double>"
-    return wide.mapInArrow(run, schema)

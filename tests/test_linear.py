@@ -1,10 +1,11 @@
 """The linear models against single fits, numeric gradients and the library's own regression."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from labelforge.operators import baselines, linear
+from labelforge.operators import baselines, features, linear
 
 
 def sparse_rows(spark, n, width, classes, one, seed=1):
@@ -88,3 +89,39 @@ def test_dense_and_sparse_vectors_read_alike(spark):
 
     df = spark.createDataFrame([(Vectors.dense([0.0, 2.0, 1.0]),), (Vectors.sparse(3, [1], [2.0]),), (Vectors.sparse(3, [], []),)], ["x"])
     assert [(r[0], r[1]) for r in df.select(*linear.sparse_parts("x")).collect()] == [([0, 1, 2], [0.0, 2.0, 1.0]), ([1], [2.0]), ([], [])]
+
+
+def test_hashed_features_are_the_weights_of_the_relation(spark):
+    data = [(1, "a cat sat on the mat", "q"), (2, "the cat the", None), (3, "dogs and the cats, and Çats", "r"), (4, None, "q"), (5, "", "q")]
+    df = spark.createDataFrame(data, "id int, text string, query string").repartition(2).cache()
+    spaces = [features.fit_space(df, "text", 5), features.fit_space(df, "query", 5, whole=True)]
+    got = {r.id: dict(zip(r.x.i, r.x.v)) for r in df.select("id", features.feature_column(spark, spaces).alias("x")).collect()}
+    first, place = len(spaces[0].terms), {}
+    for r in df.select("id", "query", F.xxhash64("query").alias("h")).collect():
+        at = first + int(np.searchsorted(spaces[1].terms, r.h))
+        assert got[r.id].pop(at) == 1.0
+        assert place.setdefault(r.query, at) == at
+    assert len(set(place.values())) == 3 and got[4] == got[5] == {}
+    for r in baselines.tfidf_weights(df, "id").withColumn("h", F.xxhash64("term")).collect():
+        assert abs(got[r.id].pop(int(np.searchsorted(spaces[0].terms, r.h))) - r.weight) < 1e-12
+    assert not any(got.values())
+    unseen = spark.createDataFrame([("zebra cat", "new")], "text string, query string")
+    x = unseen.select(features.feature_column(spark, spaces).alias("x")).first().x
+    assert len(x.i) == 1 and x.v == [1.0] and x.i[0] < first
+    assert df.limit(0).select(features.feature_column(spark, spaces).alias("x")).collect() == []
+    none = features.fit_space(df.limit(0), "text", 0)
+    assert unseen.select(features.margin_column(spark, [none], np.array([[1.0, 2.0]])).alias("m")).first().m == [1.0, 2.0]
+
+
+def test_margins_in_small_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = [(i, " ".join(f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 40)))) for i in range(50)]
+    df = spark.createDataFrame(data, "id int, text string").coalesce(1)
+    spaces = [features.fit_space(df, "text", 50)]
+    w = rng.normal(size=(features.width(spaces) + 1, 3))
+    rows = df.select("id", features.feature_column(spark, spaces).alias("x"), features.margin_column(spark, spaces, w).alias("m")).collect()
+    for r in rows:
+        assert np.allclose(np.array(r.x.v) @ w[r.x.i] + w[-1] if r.x.i else w[-1], r.m)
+    monkeypatch.setattr(linear, "CELLS", 60)
+    again = list(features._in_pieces([pa.array([[1] * (k % 50) for k in range(40)])]))
+    assert len(again) > 5 and sum(len(c[0]) for c in again) == 40
