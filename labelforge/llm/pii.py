@@ -10,6 +10,7 @@ classifier on the votes is fitted to the posteriors. Candidates it accepts becom
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -70,24 +71,61 @@ LABELERS = {
 PRIOR = 0.5
 
 
-def _found(text: Column, pattern: str, sign: str | None) -> Column:
-    """Array of (start, end, value) of the leftmost non-overlapping matches, in code points."""
+#: Code points of a block in which a candidate's context is looked up, and items that are gone through at a time.
+BLOCK, RUN = 512, 128
+SPAN = "struct<start:int,kind:int,end:int>"
+VOTED = "struct<start:int,kind:int,end:int,votes:int>"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _folded(items: Column, state: Column, state_type: str, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """The array that ``step`` makes while it goes through ``items``, in nearly linear time.
+
+    ``step`` sees the state and an item, and gives the next state, a condition, and what to append where it holds. Spark copies an
+    accumulator whole for each item, so that none may hold a long list: the states before runs of RUN items come first,
+    then every run makes its own list.
+    """
+
+    def appended(run: Column, first: Column) -> Column:
+        def merge(a: Column, x: Column) -> Column:
+            after, wanted, item = step(a["s"], x)
+            return F.struct(after.alias("s"), F.when(wanted, F.concat(a["out"], F.array(item))).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(run, F.struct(first.alias("s"), F.array().cast(f"array<{kind}>").alias("out")), merge, lambda a: a["out"])
+
+    def before(a: Column, run: Column) -> Column:
+        last = F.aggregate(run, a["s"], lambda s, x: step(s, x)[0])
+        return F.struct(last.alias("s"), F.concat(a["seen"], F.array(a["s"])).alias("seen"))
+
+    def through(runs: Column) -> Column:
+        zero = F.struct(state.alias("s"), F.array().cast(f"array<{state_type}>").alias("seen"))
+        return F.flatten(F.zip_with(runs, F.aggregate(runs, zero, before, lambda a: a["seen"]), appended))
+
+    firsts = lambda xs: F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(RUN))
+    return _bound(items, lambda xs: _bound(F.transform(firsts(xs), lambda i: F.slice(xs, i, RUN)), through))
+
+
+def _may(text: Column, pattern: str, sign: str | None) -> Column:
+    return (F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9]")) & text.rlike(pattern)
+
+
+def _found(text: Column, pattern: str, kind: str, made: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``made`` gives for start, end (code points) and value of each leftmost non-overlapping match: a condition, and the item."""
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    kind = "array<struct<start:int,end:int,value:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    parts = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("long"), hit.alias("hit")))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        return F.when(x["hit"].isNull(), s).otherwise(
-            F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
-        )
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        start = at + x["gap"]
+        end = start + F.coalesce(x["long"], F.lit(0))
+        good, item = made(start, end, x["hit"])
+        return end, x["hit"].isNotNull() & good, item
 
-    may = F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9]")
-    some = may & text.rlike(pattern)
-    return F.when(some, F.aggregate(parts, zero, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    return _folded(parts, F.lit(0), "int", kind, step)
 
 
 def _digits(x: Column) -> Column:
@@ -120,8 +158,8 @@ def _holds(kind: str, value: Column) -> Column:
 
 def _base_of(k: int, text: Column) -> Column:
     kind, pattern, sign = BASE[k]
-    good = F.filter(_found(text, pattern, sign), lambda x: _holds(kind, x["value"]))
-    return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
+    spans = _found(text, pattern, SPAN, lambda start, end, value: (_holds(kind, value), F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end"))))
+    return F.when(_may(text, pattern, sign), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -129,13 +167,20 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[_base_of(k, text) for k in range(len(BASE))]))
 
 
-def _votes(kind: str, text: Column, x: Column) -> Column:
+def _around(blocks: Column, start: Column, size: Column) -> Column:
+    """At most CONTEXT code points of a text in blocks: they lie in two of them."""
+    at = F.floor(start / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, at), F.lit("")), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+    return two.substr(start - at * BLOCK + 1, size)
+
+
+def _votes(kind: str, blocks: Column, start: Column, end: Column, value: Column) -> Column:
     """The labelers' votes as bits."""
-    before = text.substr(F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-    after = text.substr(x["end"] + 1, F.lit(CONTEXT))
+    before = _around(blocks, F.greatest(start - CONTEXT, F.lit(0)), F.least(start, F.lit(CONTEXT)))
+    after = _around(blocks, end, F.lit(CONTEXT))
     bits = F.lit(0)
     for i, (_, sort, pattern) in enumerate(LABELERS[kind]):
-        seen = x["value"].rlike(pattern)
+        seen = value.rlike(pattern)
         if sort == "context":
             seen = before.rlike(pattern) | (after.rlike(pattern) if not pattern.endswith("$") else F.lit(False))
         bits = bits + F.when(seen, 1 << i).otherwise(0)
@@ -144,10 +189,13 @@ def _votes(kind: str, text: Column, x: Column) -> Column:
 
 def _candidates_of(k: int, text: Column) -> Column:
     kind, pattern, sign = CANDIDATES[k - len(BASE)]
-    return F.transform(
-        _found(text, pattern, sign),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), _votes(kind, text, x).alias("votes")),
-    )
+
+    def spans(blocks: Column) -> Column:
+        item = lambda start, end, value: F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end"), _votes(kind, blocks, start, end, value).alias("votes"))
+        return _found(text, pattern, VOTED, lambda start, end, value: (F.lit(True), item(start, end, value)))
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(_may(text, pattern, sign), _bound(cut, spans)).otherwise(F.array().cast(f"array<{VOTED}>"))
 
 
 def candidate_spans(text: Column) -> Column:
@@ -216,7 +264,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
 
     A null text is empty and has no spans. Repeated rows each get their own, and null ids are kept. Spans are in order of
     start, then kind; an accepted candidate that overlaps a base span, or a better one (earlier kind, then earlier start), is
-    not added. Whole texts are searched; very long ones take time in proportion. No rows: no result.
+    not added. Whole texts are searched, in time that grows with their length and number of matches. No rows: no result.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = written(rows.select("doc_id", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("candidates")), "spans")
@@ -228,12 +276,36 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
             accepted += [k << 8 | v for v in range(1 << len(LABELERS[kind])) if model.probability(v) >= threshold]
     code = lambda c: F.shiftleft(c["kind"], 8) + c["votes"]
     good = F.filter("candidates", lambda c: F.array_contains(F.array(*[F.lit(a) for a in accepted]) if accepted else F.array().cast("array<int>"), code(c)))
-    clear = F.filter(good, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    plain = F.transform(clear, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    better = lambda a, b: (a["kind"] < b["kind"]) | ((a["kind"] == b["kind"]) & (a["start"] < b["start"]))
-    out = found.withColumn("extra", F.when(F.size("candidates") > 0, plain).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-    alone = F.filter("extra", lambda c: ~F.exists("extra", lambda b: better(b, c) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.select("doc_id", "base", F.array_sort(F.concat("base", alone)).alias("spans"))
+    plain = F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    clear = _clear(F.concat("base", plain), lambda kind: F.when(kind < len(BASE), 0).otherwise(len(BASE)))
+    spans = _clear(clear, lambda kind: F.when(kind < len(BASE), 0).otherwise(kind))
+    return found.select("doc_id", "base", F.when(F.size("candidates") > 0, F.array_sort(spans)).otherwise(F.col("base")).alias("spans"))
+
+
+def _clear(spans: Column, limit: Callable[[Column], Column]) -> Column:
+    """The spans that overlap none of a kind below ``limit(kind)``, by a sweep from the left and one from the right.
+
+    From the left, a span is overlapped by an earlier one if that kind's furthest end lies beyond its start; from the right,
+    if that kind's next start lies before its end.
+    """
+    far = (1 << 31) - 1
+    below = lambda s, x, fold: fold(F.slice(s, 1, F.greatest(limit(x["kind"]), F.lit(1))))
+    put = lambda s, x, v: F.transform(s, lambda old, i: F.when(i == x["kind"], v(old)).otherwise(old))
+    any_kind = lambda x: limit(x["kind"]) > 0
+
+    def right(s: Column, x: Column) -> tuple[Column, Column, Column]:
+        hit = any_kind(x) & (below(s, x, F.array_max) > x["start"])
+        item = F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), hit.cast("int").alias("votes"))
+        return put(s, x, lambda old: F.greatest(old, x["end"])), F.lit(True), item
+
+    def left(s: Column, x: Column) -> tuple[Column, Column, Column]:
+        hit = (x["votes"] == 1) | (any_kind(x) & (below(s, x, F.array_min) < x["end"]))
+        item = F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
+        return put(s, x, lambda old: F.least(old, x["start"])), ~hit, item
+
+    kinds = F.lit(len(KINDS))
+    forth = _folded(F.array_sort(spans), F.array_repeat(F.lit(-1), kinds), "array<int>", VOTED, right)
+    return _folded(F.reverse(forth), F.array_repeat(F.lit(far), kinds), "array<int>", SPAN, left)
 
 
 def joined(spans: str) -> Column:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelforge.llm import decontaminate, mixing, pii, quality, toxicity
 
@@ -252,3 +253,42 @@ def test_a_long_document_shuts_no_other_out_of_the_sample(spark, monkeypatch):
     assert seen == [(60, 30)]
     scores = net.score([t.encode() for _, t in rows[2:]])
     assert all((s > 0.5) == (i % 2 == 1) for s, (i, _) in zip(scores, rows[2:], strict=True))
+
+
+def test_pii_very_long_texts(spark):
+    """Hundreds of thousands of figures, and tens of thousands of spans, in one text."""
+    figures = "7, " * 300_000 + "4111 1111 1111 1111"
+    mails = "a@b.co " * 20_000
+    secrets = "é key=abc123abc123abc123 " * 5_000
+    docs = spark.createDataFrame([(1, figures), (2, mails), (3, secrets)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.base, r.spans) for r in pii.find(docs).collect()}
+    assert [tuple(x) for x in got[1][0]] == [(len(figures) - 19, 2, len(figures))] and got[1][0] == got[1][1]
+    assert [tuple(x) for x in got[2][0]] == [(7 * i, 0, 7 * i + 6) for i in range(20_000)] and got[2][0] == got[2][1]
+    k = pii.KINDS.index("secret")
+    assert got[3][0] == [] and [tuple(x) for x in got[3][1]] == [(25 * i + 6, k, 25 * i + 24) for i in range(5_000)]
+
+
+def test_pii_overlaps_by_brute_force(spark):
+    """Spans that overlap a base span go, then those that overlap one of an earlier kind, at every length of the list."""
+    rng = random.Random(4)
+    data = []
+    for i in range(60):
+        spans = []
+        for kind in range(len(pii.KINDS)):  # spans of one kind never overlap
+            at = rng.randrange(20)
+            for _ in range(rng.choice([0, 1, 5, 90])):
+                end = at + rng.randrange(1, 12)
+                spans.append((at, kind, end))
+                at = end + rng.randrange(0, 200)
+        rng.shuffle(spans)
+        data.append((i, spans))
+    df = spark.createDataFrame(data, f"id int, s array<{pii.SPAN}>")
+    base = len(pii.BASE)
+    first = pii._clear(F.col("s"), lambda kind: F.when(kind < base, 0).otherwise(base))
+    both = pii._clear(first, lambda kind: F.when(kind < base, 0).otherwise(kind))
+    got = {r.id: ([tuple(x) for x in r.a], [tuple(x) for x in r.b]) for r in df.select("id", F.array_sort(first).alias("a"), F.array_sort(both).alias("b")).collect()}
+    meets = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    for i, spans in data:
+        kept = [x for x in spans if x[1] < base or not any(y[1] < base and meets(x, y) for y in spans)]
+        alone = [x for x in kept if x[1] < base or not any(y[1] < x[1] and meets(x, y) for y in kept)]
+        assert got[i] == (sorted(kept), sorted(alone))
