@@ -200,3 +200,31 @@ def test_overlap_of_a_document_with_ten_thousand_tuples(spark):
             return total
         assert (got[facet].g, got[facet].s) == (len(a), len(b))
         assert abs(got[facet].r - 100 * weight(a, b) / len(a)) <= 0.1 and abs(got[facet].p - 100 * weight(b, a) / len(b)) <= 0.1
+
+
+def test_evidence_scores_are_the_same_by_document_and_spread(spark, monkeypatch):
+    """Both ways on the same tuples, with nulls and repeats; the tuples of a document are dealt out once, not once a facet."""
+    import random
+
+    rng = random.Random(3)
+    def side(n):
+        return [(rng.choice(["a", "b", "c", None]), rng.choice(["q", "r", None]), rng.choice(["x", "y"]), [rng.choice([0, 1, 2, 70, 70]) for _ in range(rng.choice([1, 2, 3]))]) for _ in range(n)]
+
+    schema = "document_id string, query string, stance string, pages array<int>"
+    gold, pred = spark.createDataFrame(side(40), schema), spark.createDataFrame(side(30), schema)
+    order = lambda: evidence.all_scores(gold, pred).orderBy("metric", "facet").collect()
+    whole = order()
+    monkeypatch.setattr(evidence, "DOCUMENT_TUPLES", 0)
+    spread = order()
+    assert len(whole) == 10
+    for a, b in zip(whole, spread):
+        assert a[:5] == b[:5] and all(abs(x - y) <= 0.1 for x, y in zip(a[5:], b[5:]))
+
+
+def test_tuples_of_evidence_go_to_more_tasks_as_they_grow(spark, monkeypatch):
+    """A fixed number of partitions let the memory of a task grow with the table."""
+    monkeypatch.setattr(evidence, "TUPLES_A_TASK", 10)
+    flat = spark.range(1000).selectExpr("cast(id as string) as document_id", "'q' as query", "'s' as stance", "array(1, 2) as pages")
+    scores = evidence.strict_scores(flat, flat)
+    assert "RepartitionByExpression [document_id" in scores._jdf.queryExecution().toString()
+    assert scores.filter("facet = 'all'").first().c == 1000
