@@ -228,3 +228,16 @@ def test_tuples_of_evidence_go_to_more_tasks_as_they_grow(spark, monkeypatch):
     scores = evidence.strict_scores(flat, flat)
     assert "RepartitionByExpression [document_id" in scores._jdf.queryExecution().toString()
     assert scores.filter("facet = 'all'").first().c == 1000
+
+
+def test_term_weights_go_to_more_tasks_as_texts_grow(spark, monkeypatch):
+    """A fixed number of partitions let the memory of a task grow with the texts; the weights stay the same."""
+    df = spark.range(60).selectExpr("id", "concat('alpha beta word', id % 7, ' word', id % 11) as text")
+    rows = lambda: sorted((r.id, r.term, r.tf, r.df, round(r.weight, 9)) for r in baselines.tfidf_weights(df, "id").collect())
+    before = rows()
+    monkeypatch.setattr(baselines, "LETTERS_A_TASK", 50)
+    monkeypatch.setattr(baselines, "TERMS_A_TASK", 10)
+    assert rows() == before and len(before) > 200
+    # the terms' tables are checkpoints whose partitions are those of the texts dealt out
+    dealt = baselines._dealt(df, 23.5, "id")
+    assert dealt.rdd.getNumPartitions() == max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
