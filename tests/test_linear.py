@@ -125,3 +125,16 @@ def test_margins_in_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(linear, "CELLS", 60)
     again = list(features._in_pieces([pa.array([[1] * (k % 50) for k in range(40)])]))
     assert len(again) > 5 and sum(len(c[0]) for c in again) == 40
+
+
+def test_the_driver_gets_one_gradient_whatever_the_tasks(spark, monkeypatch):
+    """It got one of every task; the sums are those of a single task, and the same again."""
+    rows, _, _ = sparse_rows(spark, 60, 7, 3, True)
+    targets, w, got = linear.Targets(3, True, np.ones(3), np.ones(3)), np.ones((8, 3)), []
+    frame = type(rows)
+    fetch = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda df: got.append(fetch(df)) or got[-1])
+    results = [linear._evaluate(rows.repartition(k), w, targets) for k in (1, 3, 3, 20)]
+    assert [t.num_rows for t in got] == [1, 1, 1, 1]
+    for loss, slope in results[1:]:
+        assert abs(loss - results[0][0]) < 1e-9 and np.max(np.abs(slope - results[0][1])) < 1e-9
