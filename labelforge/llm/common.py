@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -86,6 +87,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return what a task no longer needs to the system: its Python worker lives on, beside the JVM and other workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what it freed
+    if trim:
+        trim(0)
+
+
 def append_columns(docs: DataFrame, text: str, schema: str, per_batch: Callable[[list[bytes | None]], list[pa.Array]]) -> DataFrame:
     """``docs`` with the columns of ``schema`` ("name type, ..."), which ``per_batch`` makes from the texts of a batch.
 
@@ -102,5 +111,6 @@ def append_columns(docs: DataFrame, text: str, schema: str, per_batch: Callable[
         for batch in slices(batches):
             made = per_batch(batch.column(at).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+        give_back()
 
     return wide.mapInArrow(run, out)

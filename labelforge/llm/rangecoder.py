@@ -33,41 +33,43 @@ def order0(counts: np.ndarray) -> np.ndarray:
 
 
 class _Mixer:
-    """Predictions of all lanes and their tables. Ids, guesses and shares are unsigned 32-bit numbers."""
+    """Predictions of all lanes and their tables; row 0 is order 1, row 1 order 2. Ids, guesses and shares are unsigned 32-bit numbers."""
 
     def __init__(self, lanes: int):
-        self.base = [np.arange(lanes, dtype=np.int64) * c for c in CONTEXTS]
-        self.guess = [np.full(lanes * c, _NONE, np.uint32) for c in CONTEXTS]
-        self.earned = [np.empty((lanes, 4), np.uint32) for _ in CONTEXTS]
-        self.earned[0][:], self.earned[1][:] = (2000, 6000, 12_000, 24_000), (2000, 20_000, 30_000, 45_000)
-        self.earned = [e.ravel() for e in self.earned]
-        self.state = np.arange(lanes, dtype=np.uint32) * np.uint32(4)
+        self.base = np.array([np.arange(lanes) * c for c in CONTEXTS], np.int64)
+        self.base[1] += lanes * CONTEXTS[0]
+        self.guess = np.full(lanes * sum(CONTEXTS), _NONE, np.uint32)
+        self.earned = np.empty((2, lanes, 4), np.uint32)
+        self.earned[0], self.earned[1] = (2000, 6000, 12_000, 24_000), (2000, 20_000, 30_000, 45_000)
+        self.earned = self.earned.ravel()
+        self.state = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 4
         self.last = np.zeros(lanes, np.uint32)
         self.mixed = np.zeros(lanes, np.uint32)
+        self.context = np.empty((2, lanes), np.uint32)
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Guess of order 1 and of order 2, and their shares of the interval."""
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The guesses, and the shares of the interval of order 1 and of order 2."""
         hashed = self.last * np.uint32(0x9E3779B1)
-        self.at1 = self.base[0] + (hashed >> _SHIFTS[0])
-        self.at2 = self.base[1] + ((hashed + self.mixed) >> _SHIFTS[1])
+        np.right_shift(hashed, _SHIFTS[0], out=self.context[0])
+        np.right_shift(hashed + self.mixed, _SHIFTS[1], out=self.context[1])
         self.mixed = hashed * np.uint32(0x85EBCA6B)
-        self.e1, self.e2 = self.guess[0][self.at1], self.guess[1][self.at2]
-        self.c1, self.c2 = self.state + (self.e1 & _THREE), self.state + (self.e2 & _THREE)
-        g1, g2 = self.e1 >> _TWO, self.e2 >> _TWO
-        self.w1, self.w2 = self.earned[0][self.c1], self.earned[1][self.c2]
-        a2 = self.w2 * np.uint32(_TOTAL // 65536 * 7 // 8)
-        a1 = (((np.uint32(_TOTAL) - a2) >> np.uint32(10)) * self.w1 >> np.uint32(6)) * np.uint32(7) >> np.uint32(3)
-        a1 *= g1 != g2
-        return g1, g2, a1, a2
-
-    def learn(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        self.at = self.base + self.context
+        self.e = self.guess.take(self.at)
+        self.sure = self.e & _THREE
+        self.c = self.state + self.sure
+        g = self.e >> _TWO
+        self.w = self.earned.take(self.c)
+        a2 = self.w[1] * np.uint32(_TOTAL // 65536 * 7 // 8)
+        a1 = (((np.uint32(_TOTAL) - a2) >> np.uint32(10)) * self.w[0] >> np.uint32(6)) * np.uint32(7) >> np.uint32(3)
+        a1 *= g[0] != g[1]
+        return g, a1, a2
+
+    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
         """Reward or weaken the guesses by the id that came."""
-        new = x << _TWO
-        for k, at, e, hit, c, w in ((0, self.at1, self.e1, hit1, self.c1, self.w1), (1, self.at2, self.e2, hit2, self.c2, self.w2)):
-            sure = e & _THREE
-            # a guess that failed loses confidence, and at none gives way; _NONE has none
-            self.guess[k][at] = np.where(hit, e + (sure < 3), np.where(sure > 0, e - np.uint32(1), new))
-            self.earned[k][c] = w - (w >> np.uint32(5)) + np.where(hit, np.uint32(2031), np.uint32(3))
+        # a guess that failed loses confidence, and at none gives way; _NONE has none
+        failed = np.where(self.sure > 0, self.e - np.uint32(1), x << _TWO)
+        self.guess[self.at] = np.where(hit, self.e + (self.sure < _THREE), failed)
+        self.earned[self.c] = self.w - (self.w >> np.uint32(5)) + (hit * np.uint32(2028) + _THREE)
         self.last = x
 
 
@@ -110,59 +112,62 @@ def encode(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK) -> tuple[list[
     lanes = len(sizes)
     if not lanes:
         return [], np.zeros(0, np.uint32)
-    padded = np.zeros(lanes * block, np.uint32)
-    padded[: len(ids)] = ids
-    padded = np.ascontiguousarray(padded.reshape(lanes, block).T)
+    padded, full = np.zeros((block, lanes), np.uint32), len(ids) // block
+    padded[:, :full] = ids[: full * block].reshape(full, block).T
+    padded[: len(ids) - full * block, full:] = ids[full * block :, None]
     upto = np.concatenate([[0], np.cumsum(freq)]).astype(_U)
     mixer = _Mixer(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, _U(0xFFFFFFFFFFFFFFFF))
-    out = np.zeros((lanes, 3 * block + 8), ">u2")
-    place = np.zeros(lanes, np.int64)
-    row = np.arange(lanes)
+    width = 3 * block + 8
+    out = np.zeros(lanes * width, np.uint16)
+    first = np.arange(lanes, dtype=np.int64) * width
+    place = first.copy()
     ended = None
     for t in range(int(sizes.max())):
         x = padded[t]
-        g1, g2, a1, a2 = mixer.predict()
-        hit1, hit2 = g1 == x, g2 == x
-        start, size = _interval(x, hit1, hit2, a1, a2, upto)
+        g, a1, a2 = mixer.predict()
+        hit = g == x
+        start, size = _interval(x, hit[0], hit[1], a1, a2, upto)
         part = span >> _U(MIX_BITS)
         if t == sizes[-1]:
             ended = place[-1], low[-1]
         low += part * start
         span = part * size
         for need in _settle(low, span):
-            out[need, place[need]] = low[need] >> _U(48)
-            place[need] += 1
-        mixer.learn(x, hit1, hit2)
-    for k in range(4):
-        out[row, place + k] = (low >> _U(48 - 16 * k)).astype(np.uint16)
-    place += 4
+            at = place[need]
+            out[at] = low[need] >> _U(48)
+            place[need] = at + 1
+        mixer.learn(x, hit)
     if ended is not None:  # the last block is shorter: it ended there
-        place[-1] = ended[0] + 4
-        for k in range(4):
-            out[-1, ended[0] + k] = int(ended[1]) >> (48 - 16 * k) & 0xFFFF
+        place[-1], low[-1] = ended
+    for k in range(4):
+        out[place + k] = (low >> _U(48 - 16 * k)).astype(np.uint16)
+    place += 4 - first
+    out = out.reshape(lanes, width)
     sums = checksums(ids, block)
-    return [out[i, : place[i]].tobytes() for i in range(lanes)], sums
+    return [out[i, :n].astype(">u2").tobytes() for i, n in enumerate(place.tolist())], sums
 
 
 def _interval(x, hit1, hit2, a1, a2, upto):
     """Begin and size of the ids' intervals in the mix: order 2 first, then order 1, then order 0."""
     both = (a1 + a2).astype(_U)
     rest = _U(_TOTAL) - both
-    start = upto[x] * rest >> _U(ORDER0_BITS)
-    size = (upto[x + np.uint32(1)] * rest >> _U(ORDER0_BITS)) - start
+    x = x.astype(np.int64)
+    start = upto.take(x) * rest >> _U(ORDER0_BITS)
+    size = (upto.take(x + 1) * rest >> _U(ORDER0_BITS)) - start
     start += both
-    if hit1.any():
-        start, size = np.where(hit1, a2, start), np.where(hit1, a1, size)
-    if hit2.any():
-        start, size = np.where(hit2, _U(0), start), np.where(hit2, a2, size)
+    some = np.flatnonzero(hit1)
+    if len(some):
+        start[some], size[some] = a2[some], a1[some]
+    some = np.flatnonzero(hit2)
+    if len(some):
+        start[some], size[some] = _U(0), a2[some]
     return start, size
 
 
 def checksums(ids: np.ndarray, block: int) -> np.ndarray:
     """crc32 of each block's ids as little-endian 32-bit integers."""
-    raw = ids.astype("<u4")
-    return np.array([zlib.crc32(raw[i : i + block].tobytes()) for i in range(0, len(ids), block)], np.uint32)
+    return np.array([zlib.crc32(ids[i : i + block].astype("<u4").tobytes()) for i in range(0, len(ids), block)], np.uint32)
 
 
 def decode(blocks: list[bytes], sizes: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
@@ -181,26 +186,29 @@ def decode(blocks: list[bytes], sizes: np.ndarray, freq: np.ndarray) -> list[np.
     code = np.zeros(lanes, _U)
     for k in range(4):
         code = code << _U(16) | data[:, k].astype(_U)
-    place = np.full(lanes, 4, np.int64)
+    data = data.ravel()
+    place = np.arange(lanes, dtype=np.int64) * length + 4
+    final = place + length - 5
     most = int(np.max(sizes))
     out = np.zeros((most, lanes), np.uint32)
     last = np.uint32(len(freq) - 1)
     for t in range(most):
-        g1, g2, a1, a2 = mixer.predict()
+        g, a1, a2 = mixer.predict()
         part = span >> _U(MIX_BITS)
         v = np.minimum((code - low) // part, _U(_TOTAL - 1))
         both = (a1 + a2).astype(_U)
         in2, in1 = v < a2, v < both
         u = v - np.minimum(v, both)
-        x = slot[np.minimum(((u + _U(1) << _U(ORDER0_BITS)) - _U(1)) // (_U(_TOTAL) - both), _U((1 << ORDER0_BITS) - 1)).astype(np.int64)]
-        x = np.where(in2, g2, np.where(in1, g1, x))
+        x = slot.take(np.minimum(((u + _U(1) << _U(ORDER0_BITS)) - _U(1)) // (_U(_TOTAL) - both), _U((1 << ORDER0_BITS) - 1)).view(np.int64))
+        x = np.where(in2, g[1], np.where(in1, g[0], x))
         x = np.minimum(x, last)  # lanes whose block has ended read anything
         start, size = _interval(x, in1 & ~in2, in2, a1, a2, upto)
         low += part * start
         span = part * size
         for need in _settle(low, span):
-            code[need] = code[need] << _U(16) | data[need, np.minimum(place[need], length - 1)]
-            place[need] += 1
-        mixer.learn(x, g1 == x, g2 == x)
+            at = place[need]
+            code[need] = code[need] << _U(16) | data[np.minimum(at, final[need])]
+            place[need] = at + 1
+        mixer.learn(x, g == x)
         out[t] = x
-    return [out[: sizes[i], i] for i in range(lanes)]
+    return [out[:n, i] for i, n in enumerate(np.asarray(sizes).tolist())]

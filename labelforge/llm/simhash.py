@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import free_name, slices, texts, written
+from labelforge.llm.common import free_name, give_back, slices, texts, written
 
 BITS, SEED = 64, 42
 #: Members of a bucket that are compared with each other in one task; a larger bucket is split by further masks.
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
         for batch in slices(batches):
             made = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+        give_back()
 
     return texts(docs, key, text).mapInArrow(run, "doc_id long, fp long")
 
@@ -107,6 +108,7 @@ def _compare(lists: DataFrame, radius: int) -> DataFrame:
                     a.append(p)
                     b.append(q)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)) for v in (a, b)], names=["a", "b"])
+        give_back()
 
     return lists.mapInArrow(run, "a long, b long")
 

@@ -10,31 +10,34 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.llm import rangecoder
-from labelforge.llm.common import new_folder, texts
+from labelforge.llm.common import give_back, new_folder, texts
 
 MAGIC = b"LFIDS1\r\n"
 END_ID = 0
 #: Ids of a segment, which bounds the memory of writer and reader. A longer document goes over several segments.
-SEGMENT = 1 << 23
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 500_000
-
-#: New pieces that are encoded as one string.
-PIECES = 2000
+SEGMENT = 1 << 22
+#: Bytes of pieces and their ids that a worker remembers, and of texts that it encodes at a time.
+REMEMBERED, TOGETHER = 16 << 20, 9 << 20
+#: Rows that the JVM hands over at a time: with whole texts it would hold many megabytes beside its heap.
+ROWS = 500
+#: New pieces that are encoded as one string, and strings at a time.
+PIECES, STRINGS = 100, 100
 
 
 class Encoder:
-    """Ids of whole texts. Pieces between single blanks are encoded once and remembered; other texts go in whole.
+    """Ids of whole texts. Pieces between single blanks are encoded once and remembered, the last ones longest; other texts go in whole.
 
     The tokenizer's pattern always cuts before a blank that stands alone between two signs that aren't white space, and the
     blank goes with what follows. So the ids of " piece" don't depend on its neighbours, many new pieces can be encoded as
@@ -53,71 +56,132 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Place 0 is the odd pieces."""
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes, self.used, self.pieces = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 1
+        """The known pieces and, in the same order, the ids of " piece" for each; odd pieces have none."""
+        self.pieces, self.ids = pa.array([], pa.string()), _lists([], [])
 
     def whole(self, items: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: pa.StringArray) -> None:
         """Remember the ids of " piece" for each."""
-        plain = []
-        for piece in new:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                self.known[piece] = 0
-            else:
-                plain.append(piece)
-        groups = [plain[k : k + PIECES] for k in range(0, len(plain), PIECES)]
-        for group, ids in zip(groups, self.whole(["".join([" " + p for p in g]) for g in groups]), strict=True):
-            ids = np.array(ids, np.uint32)
+        plain = pc.and_(pc.equal(pc.utf8_trim_whitespace(new), new), pc.greater(pc.binary_length(new), 0)).to_numpy(zero_copy_only=False)
+        items, parts, sizes = new.filter(pa.array(plain)), [], []
+        for k in range(0, len(items), PIECES * STRINGS):
+            group = items[k : k + PIECES * STRINGS].to_pylist()
+            made = self.whole([" " + " ".join(group[i : i + PIECES]) for i in range(0, len(group), PIECES)])
+            ids = np.fromiter(chain.from_iterable(made), np.uint32)
             at = np.flatnonzero(self.begins[ids])
             if len(at) == len(group) and at[0] == 0:
-                sizes = np.diff(np.append(at, len(ids)))
+                parts.append(ids)
+                sizes.append(np.diff(np.append(at, len(ids))))
             else:  # a tokenizer of another pattern
-                each = self.whole([" " + p for p in group])
-                ids, sizes = np.array([x for e in each for x in e], np.uint32), np.array(list(map(len, each)))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            while self.pieces + len(group) > len(self.starts):
-                self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
-            self.flat[self.used : self.used + len(ids)] = ids
-            place = slice(self.pieces, self.pieces + len(group))
-            self.starts[place], self.sizes[place] = self.used + np.cumsum(sizes) - sizes, sizes
-            self.known.update(zip(group, range(self.pieces, self.pieces + len(group)), strict=True))
-            self.used, self.pieces = self.used + len(ids), self.pieces + len(group)
-
-    def encode(self, items: list[str | None]) -> list[np.ndarray]:
+                made = self.whole([" " + p for p in group])
+                parts.append(np.fromiter(chain.from_iterable(made), np.uint32))
+                sizes.append(np.array(list(map(len, made))))
+        counts = np.zeros(len(new), np.int64)
+        counts[plain] = np.concatenate([np.zeros(0, np.int64), *sizes])
+        self.pieces, self.ids = pa.concat_arrays([self.pieces, new]), pa.concat_arrays([self.ids, _lists(counts, np.concatenate([np.zeros(0, np.uint32), *parts]))])
+
+    def places(self, pieces: pa.StringArray) -> np.ndarray:
+        """The place of each piece among the known ones; new ones are learned first."""
+        coded = pieces.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.pieces).fill_null(-1).to_numpy()
+        new = found < 0
+        if new.any():
+            found = found.copy()
+            found[new] = len(self.pieces) + np.arange(new.sum())
+            self.learn(coded.dictionary.filter(pa.array(new)))
+        return found[coded.indices.to_numpy()]
+
+    def encode(self, items: list[str | None] | pa.StringArray) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        cuts = [(text or "").split(" ") for text in items]
-        heads = [np.array(ids, np.uint32) for ids in self.whole([c[0] for c in cuts])]
-        new: set[str] = set()
-        for c in cuts:
-            del c[0]
-            new.update(c)
-        self.learn(list(new - self.known.keys()))
-        counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64, int(counts.sum()))
-        sizes = self.sizes[place]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[place] - upto[:-1], sizes)]
-        ends = np.cumsum(counts)
-        odd = np.zeros(len(cuts), bool)
-        odd[np.searchsorted(ends, np.flatnonzero(place == 0), side="right")] = True
-        odd |= [bool(c) and bool(t) and t.split(" ", 1)[0][-1:].isspace() for c, t in zip(cuts, items, strict=True)]
-        out = [np.concatenate([h, ids[upto[e - n] : upto[e]]]) for h, e, n in zip(heads, ends.tolist(), counts.tolist(), strict=True)]
-        again = np.flatnonzero(odd).tolist()
-        for i, x in zip(again, self.whole([items[i] for i in again]), strict=True):
+        items = items if isinstance(items, pa.Array) else pa.array(items, pa.string())
+        if not len(items):
+            return []
+        cut = pc.split_pattern(items.fill_null(""), " ")
+        begins = cut.offsets.to_numpy()
+        begins, counts, flat = begins[:-1] - begins[0], np.diff(begins), cut.flatten()
+        is_head = np.zeros(len(flat), bool)
+        is_head[begins] = True
+        heads = flat.take(pa.array(begins))
+        place = np.empty(len(flat), np.int32)
+        place[~is_head] = self.places(flat.filter(pa.array(~is_head)))
+        place[begins] = len(self.pieces) + np.arange(len(items))
+        first = self.whole(heads.to_pylist())
+        known = pa.concat_arrays([self.ids, _lists(list(map(len, first)), np.fromiter(chain.from_iterable(first), np.uint32))])
+        found = known.take(pa.array(place))
+        upto = found.offsets.to_numpy()
+        ids, upto = found.flatten().to_numpy(), upto - upto[0]
+        odd = (counts > 1) & pc.not_equal(pc.utf8_rtrim_whitespace(heads), heads).to_numpy(zero_copy_only=False)
+        odd[np.searchsorted(begins, np.flatnonzero((np.diff(upto) == 0) & ~is_head), side="right") - 1] = True
+        out = [ids[a:b] for a, b in zip(upto[begins].tolist(), upto[begins + counts].tolist(), strict=True)]
+        again = np.flatnonzero(odd)
+        for i, x in zip(again.tolist(), self.whole(items.take(pa.array(again)).to_pylist()), strict=True):
             out[i] = np.array(x, np.uint32)
+        if self.pieces.nbytes + self.ids.nbytes > REMEMBERED:
+            last = np.unique(place[~is_head])
+            self.pieces, self.ids = self.pieces.take(pa.array(last)), self.ids.take(pa.array(last))
+            if self.pieces.nbytes + self.ids.nbytes > REMEMBERED:
+                self.forget()
         return out
 
 
+def _lists(sizes, ids) -> pa.ListArray:
+    """Lists of these sizes, end to end."""
+    upto = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=upto[1:])
+    return pa.ListArray.from_arrays(pa.array(upto), pa.array(ids, pa.uint32()))
+
+
+def _few(data: pa.Array, most: int = TOGETHER) -> Iterator[pa.StringArray]:
+    """Texts of a batch in slices of about equal size, of ``most`` bytes or one longer text at most, as strings."""
+    upto = np.cumsum(pc.binary_length(data).to_numpy())
+    parts = -(-int(upto[-1]) // most) if len(data) else 0
+    place = (upto - 1) * parts // max(1, int(upto[-1])) if parts else upto
+    edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(data)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        part = data[a:b]
+        try:
+            yield part.cast(pa.string())
+        except pa.ArrowInvalid:  # not UTF-8
+            yield pa.array([str(x, "utf-8", "replace") for x in part.to_pylist()], pa.string())
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = TOGETHER) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (columns 0 and 2) of several batches, up to ``least`` bytes and the batch that goes beyond."""
+    some, size = [], 0
+    for batch in batches:
+        some.append((batch.column(0), batch.column(2)))
+        size += batch.nbytes
+        if size >= least:
+            yield tuple(map(pa.concat_arrays, zip(*some, strict=True)))
+            some, size = [], 0
+    if some:
+        yield tuple(map(pa.concat_arrays, zip(*some, strict=True)))
+
+
+@contextmanager
+def _conf(spark, key: str, value: int) -> Iterator[None]:
+    """The setting while a job runs, then the one before."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pack_segment(docs: list[int | None], lengths: list[int], ids: np.ndarray, block: int = rangecoder.BLOCK) -> bytes:
     """One segment. lengths: ids that each document has here (a document that goes on has its id in the next one again)."""
-    alphabet, x = np.unique(ids, return_inverse=True)
-    freq = rangecoder.order0(np.bincount(x, minlength=len(alphabet))) if len(ids) else np.zeros(0, np.int64)
+    counts = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)  # as long as the vocabulary
+    for k in range(0, len(ids), 1 << 20):
+        counts += np.bincount(ids[k : k + (1 << 20)], minlength=len(counts))
+    alphabet = np.flatnonzero(counts)
+    freq = rangecoder.order0(counts[alphabet]) if len(ids) else np.zeros(0, np.int64)
+    place, x = np.zeros(len(counts), np.uint32), np.empty(len(ids), np.uint32)
+    place[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+    for k in range(0, len(ids), 1 << 20):
+        x[k : k + (1 << 20)] = place[ids[k : k + (1 << 20)]]
     blocks, sums = rangecoder.encode(x, freq, block)
     arrays = [
         np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "<i8"), np.array(lengths, "<i8"),
@@ -180,44 +244,52 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
         fs.create_dir(root, recursive=True)
         path = f"part-{part:06d}-{context.taskAttemptId() if context else 0}.ids"
         encoder, n_docs, n_ids, size = None, 0, 0, 0
-        names, lengths, parts, held = [], [], [], 0
+        names, lengths, parts, held, end = [], [], [], 0, np.array([end_id], np.uint32)
         with fs.open_output_stream(f"{root}/{path}") as sink:
 
             def flush():
                 nonlocal names, lengths, parts, held, size
                 if names:
-                    data = pack_segment(names, lengths, np.concatenate(parts))
+                    ids, parts = np.concatenate(parts), []
+                    data = pack_segment(names, lengths, ids)
                     sink.write(data)
                     size += len(data)
-                    names, lengths, parts, held = [], [], [], 0
+                    names, lengths, held = [], [], 0
 
-            for batch in batches:
+            for keys, data in _gathered(batches):
                 encoder = encoder or _encoder(tokenizer)
-                ids, raw = batch.column(0).to_pylist(), batch.column(2)
-                for k in range(0, len(ids), 256):
-                    made = encoder.encode([str(b, "utf-8", "replace") for b in raw[k : k + 256].to_pylist()])
-                    for doc, x in zip(ids[k : k + 256], made, strict=True):
-                        x = np.append(x, np.uint32(end_id))
+                keys = iter(keys.to_pylist())
+                for few in _few(data):
+                    made = encoder.encode(few)
+                    sizes = [len(x) + 1 for x in made]
+                    flat, begin, at = np.concatenate([np.zeros(0, np.uint32), *(y for x in made for y in (x, end))]), 0, 0
+                    del made
+                    for n in sizes:
+                        doc = next(keys)
                         n_docs += 1
-                        n_ids += len(x)
-                        while len(x):
-                            piece, x = x[: segment - held], x[segment - held :]
+                        n_ids += n
+                        while n:
+                            here = min(n, segment - held)
+                            n, held, at = n - here, held + here, at + here
                             names.append(doc)
-                            lengths.append(len(piece) if not len(x) else -len(piece))  # below 0: it goes on
-                            parts.append(piece)
-                            held += len(piece)
+                            lengths.append(here if not n else -here)  # below 0: it goes on
                             if held == segment:
+                                parts.append(flat[begin:at])
+                                begin = at
                                 flush()
+                    parts.append(flat[begin:])
+                    del flat
             flush()
-        if encoder:
-            encoder.forget()  # a worker lives on after the task
+        data = few = None
+        give_back()
         if n_docs:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part]), "path": [f"{folder}/{path}"], "bytes": pa.array([size]), "n_docs": pa.array([n_docs]), "n_ids": pa.array([n_ids])})
         else:
             fs.delete_file(f"{root}/{path}")
 
     schema = "part long, path string, bytes long, n_docs long, n_ids long"
-    made = rows.mapInArrow(run, schema).toArrow()  # one row per file
+    with _conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS):
+        made = rows.mapInArrow(run, schema).toArrow()  # one row per file
     return spark.createDataFrame(made, schema).orderBy("part") if made.num_rows else spark.createDataFrame([], schema)
 
 
@@ -225,7 +297,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(path: str) -> Encoder:
-    """One tokenizer for all tasks of a worker; what it remembers of a task's texts goes with the task."""
+    """One tokenizer for all tasks of a worker, which remembers pieces from one task to the next."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -263,6 +335,7 @@ def read(spark, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         if rows:
                             made = list(zip(*rows, strict=True))
                             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if i < 4 else pa.list_(pa.int64())) for i, c in enumerate(made)], names=names)
+        give_back()
 
     rows = spark.createDataFrame(bases, "path string, bytes long, base long")
     return rows.repartition(len(bases), "path").mapInArrow(run, schema)

@@ -81,6 +81,61 @@ def test_ids_are_those_of_the_library():
     assert any(50256 in g.tolist() for g in got)
 
 
+def test_pieces_at_any_white_space():
+    encoder = tokens.Encoder(tokens.public_tokenizer())
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace() or chr(c) in "\u180e\u200b\ufeff"]
+    many = [t for c in spaces for t in (f"a {c}b", f"a{c} b", f"{c} a b", f"a b{c}", f"a {c} b", c, f"x{c}y z")]
+    for _ in range(2):  # again, from what is remembered
+        assert [x.tolist() for x in encoder.encode(many)] == [list(x) for x in encoder.whole(many)]
+
+
+def test_an_encoder_remembers_little_and_a_segment_takes_little():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    encoder = tokens.Encoder(tokens.public_tokenizer())
+    texts = [" ".join(f"w{i:x}q{j:x}" for j in range(2000)) for i in range(150)]  # 300 000 pieces
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for k in range(0, 150, 10):
+        encoder.encode(texts[k : k + 10])
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert kept < 25e6
+    ids = np.random.default_rng(1).integers(0, 5000, 1 << 20).astype(np.uint32)
+    tracemalloc.start()
+    tokens.pack_segment([1], [len(ids)], ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 26 * len(ids)
+
+
+def test_texts_are_cut_into_slices_by_bytes():
+    import pyarrow as pa
+
+    data = [b"x" * n for n in (3, 0, 50, 1, 1, 9, 0)] + [b"\xff a", b""]
+    for most in (1, 7, 1000):
+        parts = [p.to_pylist() for p in tokens._few(pa.array(data, pa.binary()), most)]
+        assert [t for p in parts for t in p] == [str(d, "utf-8", "replace") for d in data]
+        assert all(sum(map(len, p)) <= max(most, 50) + most for p in parts)
+    assert sum(map(len, tokens._few(pa.array([], pa.binary())))) == 0 and len(list(tokens._few(pa.array([b"", b""])))) == 1
+
+
+def test_batches_are_gathered_and_settings_are_given_back(spark):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k, None], "tie": [0, 0], "data": [b"x" * k, None]}) for k in range(9)]
+    for least in (1, 60, 1 << 20):
+        made = [(k, d) for keys, data in tokens._gathered(iter(batches), least) for k, d in zip(keys.to_pylist(), data.to_pylist(), strict=True)]
+        assert made == [x for k in range(9) for x in ((k, b"x" * k), (None, None))]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), tokens._conf(spark, key, 7):
+        assert spark.conf.get(key) == "7" and 1 // 0
+    assert spark.conf.get(key) == before
+
+
 def want_tokens(rows):
     encoder, at, out = tokens.Encoder(tokens.public_tokenizer()), 0, []
     for d, t in rows:
