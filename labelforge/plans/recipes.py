@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import clean_text, normalise_hard, remove_phrase
-from labelforge.operators.attach import attach_small
+from labelforge.operators.attach import attach_small, null_safe_join, small_table
 from labelforge.operators import baselines, cleaning, dedup, nested, splits, voting
 from labelforge.operators.language import detect
 from labelforge.operators.stats import value_counts
@@ -295,11 +296,33 @@ def report_columns(paragraphs: DataFrame, predictions: DataFrame, key: str) -> D
     rows = voting.positive_flags(_of(predictions, used, used), catalog.positives(spark, [t for tasks in flags.values() for t in tasks]))
     rows = attach_small(rows, catalog.readable_labels(spark), ["task", "y_pred"])
     rows = attach_small(rows, catalog.stance_labels(spark), ["task", "y_pred"])
+    rows = rows.withColumn("__label", F.when(F.col("task").isin(*named), F.coalesce("value", F.col("y_pred").cast("string")))).drop("value", "y_pred")
+    codes = _label_codes(rows, "__label")
+    if codes is not None:
+        rows = null_safe_join(rows, F.broadcast(codes), ["__label"], "left").drop("__label").withColumnRenamed("__code", "__label")
     columns = [voting.majority_of(F.col("task").isin(*tasks)).alias(name) for name, tasks in flags.items()]
-    columns += [F.min(F.when(F.col("task") == task, F.coalesce("value", "y_pred"))).alias(task) for task in named]
+    columns += [F.min(F.when(F.col("task") == task, F.col("__label"))).alias(task) for task in named]
     columns.append(voting.stance_of(F.col("task").isin(*catalog.STANCE_TASKS)).alias("stance"))
     # one grouping of the predictions makes all columns
-    return paragraphs.join(rows.groupBy(key).agg(*columns), key, "left")
+    made = rows.groupBy(key).agg(*columns)
+    if codes is not None:
+        for task in named:
+            label = codes.select(F.col("__label").alias("__name"), F.col("__code").alias(task))
+            made = made.join(F.broadcast(label), task, "left").drop(task).withColumnRenamed("__name", task)
+        made = made.select(key, *flags, *named, "stance")
+    return paragraphs.join(made, key, "left")
+
+
+def _label_codes(rows: DataFrame, label: str) -> DataFrame | None:
+    """(label, __code) of all labels, numbered in their order, or ``None`` when they are many.
+
+    A group's least label is that of the least code; a grouping whose results are all numbers needn't sort its rows.
+    """
+    found = small_table(rows.select(label).filter(F.col(label).isNotNull()).distinct())
+    if found is None:
+        return None
+    names = sorted((r[0] for r in found.collect()), key=lambda x: x.encode())  # bounded by small_table
+    return rows.sparkSession.createDataFrame(pa.table({label: pa.array(names, pa.string()), "__code": pa.array(range(len(names)), pa.int32())}))
 
 
 def report_pages(paragraphs: DataFrame, order: str) -> DataFrame:

@@ -141,3 +141,22 @@ def test_catalogue_in_parts(spark):
     place = lambda r: (-r.label, -(1 - r.score if r.label == 0 else r.score), r.candidate)
     want = {d: sum(place(r) <= place(next(x for x in local if x.doc == d and x.candidate == "q7")) for r in local if r.doc == d) for d in range(30)}
     assert {r.doc: r["rank"] for r in ranks.collect()} == want
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_report_columns_group_numbers(spark, monkeypatch, many):
+    """Labels beyond the catalogue, repeated rows of a task, texts without predictions; and no sort of all predictions."""
+    from labelforge.plans import catalog, recipes
+
+    if many:
+        monkeypatch.setattr(recipes, "small_table", lambda df: None)
+    named = catalog.TOPIC_TASKS + catalog.CHARACTERISTIC_TASKS[1:5]
+    said = [(1, named[0], "zz"), (1, named[0], "\u00e9"), (1, named[0], None), (2, named[0], "\uffff"), (2, named[0], "\U0001f600"), (2, named[1], "own"), (3, "climate_detection", "yes")]
+    predictions = spark.createDataFrame(said, "key long, task string, y_pred string")
+    texts = spark.createDataFrame([(k, f"t{k}") for k in range(1, 5)], "key long, text string")
+    found = recipes.report_columns(texts, predictions, "key")
+    assert found.columns == ["key", "text", "climate", "environmental_claim", *named, "stance"]
+    got = {r.key: (r.text, r[named[0]], r[named[1]], r.climate) for r in found.collect()}
+    assert got == {1: ("t1", "zz", None, None), 2: ("t2", "\uffff", "own", None), 3: ("t3", None, None, True), 4: ("t4", None, None, None)}
+    if not many:
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
