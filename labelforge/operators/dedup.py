@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import accumulate, combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,25 +152,41 @@ def _choices(parts: int, shared: int) -> Column:
     return F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(parts), shared)])
 
 
+def _shifted(parts: int, shared: int, k: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
+    """(extra length, choice, its pieces' shifts) under which every text within ``k`` = parts - shared edits is found.
+
+    Cut the longer text where the edits cut it, one part for each piece. Before the first piece up to which there are fewer
+    edits than pieces stand as many edits as pieces, and none in it; the same holds again for the pieces behind it. So the
+    chosen pieces shift by no more than the number of pieces left out before them, and the last leaves no more than are left out behind.
+    """
+    out = []
+    for extra in range(k + 1):
+        for choice in combinations(range(parts), shared):
+            gaps = [choice[0], *(b - a - 1 for a, b in zip(choice, choice[1:], strict=False))]
+            for moves in product(*(range(-g, g + 1) for g in gaps)):
+                if abs(extra - sum(moves)) <= parts - 1 - choice[-1]:
+                    out.append((extra, choice, tuple(accumulate(moves))))
+    return out
+
+
 def _piece_probes(texts: DataFrame, parts: int, shared: int, k: int) -> DataFrame:
     """The keys under which texts of the same or a smaller length, within ``k`` edits, may be found."""
-    # A longer text pays for its extra length: with d extra characters the shift lies in [(d-k)/2, (d+k)/2].
-    lengths = F.explode(F.sequence(F.greatest(F.col("own") - k, F.lit(0)), F.col("own"))).alias("len")
-    out = texts.withColumnRenamed("len", "own").select("g", "id", "t", "letters", "own", lengths)
-    extra = F.col("own") - F.col("len")
-    shifts = F.sequence(-F.floor((k - extra) / 2).cast("int"), F.floor((k + extra) / 2).cast("int"))
-    out = out.select("*", F.explode(_choices(parts, shared)).alias("i"))
-    pieces = []
+    ints = lambda x: F.array(*map(F.lit, x))
+    ways = F.array(*[F.struct(F.lit(e).alias("extra"), ints(i).alias("i"), ints(s).alias("s")) for e, i, s in _shifted(parts, shared, k)])
+    out = texts.withColumnRenamed("len", "own").select("g", "id", "t", "letters", "own", F.explode(ways).alias("way"))
+    out = out.select("g", "id", "t", "letters", "own", "way.i", "way.s", (F.col("own") - F.col("way.extra")).alias("len")).filter("len >= 0")
+    pieces, inside = [], F.lit(True)
     for c in range(shared):
-        at, size = _bounds(parts, F.get("i", F.lit(c)), F.col("len"))
-        out = out.withColumn("shift", F.explode(shifts)).withColumn(f"at{c}", at + F.col("shift")).withColumn(f"size{c}", size)
-        out = out.filter((F.col(f"at{c}") >= 0) & (F.col(f"at{c}") + F.col(f"size{c}") <= F.col("own")))
-        pieces.append(F.substr("t", F.col(f"at{c}") + 1, F.col(f"size{c}")))
+        begin, size = _bounds(parts, F.get("i", F.lit(c)), F.col("len"))
+        at = begin + F.get("s", F.lit(c))
+        inside &= (at >= 0) & (at + size <= F.col("own"))
+        pieces.append(F.substr("t", at + 1, size))
     # a text that shifts bring to one key twice gives a pair twice, which the pairs' distinct mends
-    return out.select("g", "id", F.col("letters").alias("own_letters"), F.xxhash64("len", "i", *pieces).alias("piece"))
+    return out.filter(inside).select("g", "id", F.col("letters").alias("own_letters"), F.xxhash64("len", "i", *pieces).alias("piece"))
 
 
-PIECE_KEY = ["g", "piece"]
+#: The number first: joins sort by it, and by a name of few values only among equal numbers.
+PIECE_KEY = ["piece", "g"]
 
 
 def _letter_counts(text: str, length: str) -> Column:
@@ -183,7 +199,7 @@ def _candidates(probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """Pairs (g, a, b) that share a key and whose letters differ by no more than ``k`` edits can make them."""
     byte = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
     apart = sum((F.abs(byte("letters", i) - byte("own_letters", i)) for i in range(len(COUNTED))), F.lit(0))
-    keys = [c for c in index.columns if c in (*PIECE_KEY, "__block")]
+    keys = [c for c in (*PIECE_KEY, "__block") if c in index.columns]
     pairs = probes.withColumnRenamed("id", "long").join(index.withColumnRenamed("id", "short"), keys)
     pairs = pairs.filter((F.col("long") != F.col("short")) & (apart <= 2 * k))
     return pairs.select("g", F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b"))
@@ -203,8 +219,8 @@ def edit_distance_pairs(
 ) -> DataFrame:
     """All unordered pairs of different texts of a group within ``max_distance`` edits: exact, without all pairs.
 
-    Cut a text into ``max_distance + 1`` pieces: a text within that many edits leaves one piece whole, at a place
-    shifted by at most the distance. So candidates come from an equi-join on (group, length, piece number, piece)
+    Cut a text into ``max_distance + 1`` pieces: a text within that many edits leaves one piece whole, at one of the few
+    places that :func:`_shifted` names. So candidates come from an equi-join on (group, length, piece number, piece)
     and only they are measured. A piece of more than ``hot`` texts (a template) is no key: its texts are cut into one piece
     more, of which two are whole, and meet on both. What then still has more than ``hot`` texts is compared in blocks, so that
     no task holds all pairs of a key. Before texts are fetched, the numbers of some letters must be near enough. Copies
@@ -212,10 +228,12 @@ def edit_distance_pairs(
     operators), so that a group of copies cannot multiply. Null texts take no part.
     """
     k = max_distance
+    # the least number alone is hashed; a struct makes Spark sort all texts
+    first = F.min(F.struct(F.col(key).alias("id"), *carry)) if carry else F.struct(F.min(key).alias("id"))
     texts = (
         df.filter(F.col(text).isNotNull())
         .groupBy(F.col(group).alias("g"), F.col(text).alias("t"))
-        .agg(F.min(F.struct(F.col(key).alias("id"), *carry)).alias("row"), F.count(F.lit(1)).alias("copies"))
+        .agg(first.alias("row"), F.count(F.lit(1)).alias("copies"))
         .select("g", "t", "copies", F.col("row.id").alias("id"), *[F.col(f"row.{c}").alias(c) for c in carry])
         .withColumn("len", F.length("t"))
     )

@@ -112,6 +112,33 @@ def test_near_copies_with_a_template_piece(spark):
     assert len(want) > 20
 
 
+def test_near_copies_need_few_probes(spark):
+    """A text within k edits is found under few shifts: 12 keys of one piece and 27 of two, for two edits."""
+    df = spark.createDataFrame([("g", 1, "abcdefghijklmnopqrst", 20, 0)], "g string, id int, t string, len int, letters long")
+    assert dedup._piece_probes(df, 3, 1, 2).count() == 12
+    assert dedup._piece_probes(df, 4, 2, 2).count() == 27
+
+
+def test_near_copies_of_short_and_repetitive_texts(spark):
+    """All texts of up to six of two letters, against brute force, with and without crowded pieces."""
+    texts = ["".join(x) for n in range(7) for x in itertools.product("ab", repeat=n)]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "id int, g int, t string")
+    near = {(i, j): distance(a, b) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if abs(len(a) - len(b)) <= 3}
+    for k in (1, 2, 3):
+        for hot in (4, 10_000):
+            got = dedup.edit_distance_pairs(df, "g", "id", "t", k, hot=hot)
+            assert {(r.a, r.b): r.distance for r in got.collect()} == {p: d for p, d in near.items() if d <= k}
+
+
+def test_near_copies_normalise_once_and_sort_no_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df, cut=dedup.cut_lineage: seen.append(df) or cut(df))
+    entry.queries()["near_copy_paragraphs"](spark, FOLDER)
+    text = seen[0]._jdf.queryExecution().executedPlan().toString()
+    text = text.split("Initial Plan")[-1]
+    assert text.count("lower(") == 1 and "SortAggregate" not in text
+
+
 def test_hot_digests_are_spread(spark, monkeypatch):
     from labelforge.operators import attach
 
