@@ -6,7 +6,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -54,10 +54,13 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: what follows doesn't recompute it, nor loses it with an executor."""
+def written(df: DataFrame, what: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written to the shared folder and read again: what follows doesn't recompute it, nor loses it with an executor.
+
+    A filter on the columns ``by`` reads only the folders of its values.
+    """
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -325,12 +325,22 @@ def _lessons(rows: DataFrame, head, sample: int | None, shard: int) -> DataFrame
             made = [inp[np.array([get(w, -1) for w in tokens_of(x)], np.int64)].tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "inputs"])
 
-    shards = max(1, -(-head.value.total // (ROUNDS * shard)))
+    shards = _shards(head.value, shard)
     made = rows.mapInArrow(run, "doc_id long, inputs binary").withColumn("lot", F.xxhash64("doc_id", "inputs"))
     if sample is not None:
         made = made.orderBy("lot").limit(sample)
     part = F.pmod(F.xxhash64("lot"), F.lit(ROUNDS * shards))
-    return written(made.select((part % ROUNDS).cast("int").alias("round"), F.floor(part / ROUNDS).cast("int").alias("shard"), "lot", "inputs"), "lessons")
+    return written(made.select((part % ROUNDS).cast("int").alias("round"), F.floor(part / ROUNDS).cast("int").alias("shard"), "lot", "inputs"), "lessons", ["round"])
+
+
+def _shards(head: Head, shard: int) -> int:
+    """Shards of a round."""
+    return max(1, -(-head.total // (ROUNDS * shard)))
+
+
+def _round(lessons: DataFrame, k: int, shards: int) -> DataFrame:
+    """The lessons of one round, read alone, with as many tasks as shards: by their bytes they'd share a few tasks, and cores wait."""
+    return lessons.filter(F.col("round") == k).repartition(shards, "shard")
 
 
 def _lesson(head, before, seed: int, k: int, begin: float, end: float):
@@ -367,7 +377,7 @@ def learned(rows: DataFrame, head, epochs: int = EPOCHS, sample: int | None = No
     for k in range(epochs * ROUNDS):
         before, span = context.broadcast(net.packed()), (k / (epochs * ROUNDS), (k + 1) / (epochs * ROUNDS))
 
-        each = lessons.filter(F.col("round") == k % ROUNDS).groupBy("shard").applyInArrow(_lesson(head, before, seed, k, *span), "shard int, n long, net binary")
+        each = _round(lessons, k % ROUNDS, _shards(head.value, shard)).groupBy("shard").applyInArrow(_lesson(head, before, seed, k, *span), "shard int, n long, net binary")
         got = each.groupBy(F.col("shard") % SUMS).applyInArrow(_mean, "n long, net binary").toArrow().sort_by([("n", "ascending"), ("net", "ascending")])  # bounded by SUMS
         n = got["n"].to_numpy()
         if len(n):

@@ -311,6 +311,21 @@ def test_shards_are_averaged_and_none_is_lost(spark):
     assert after > lm.Network(head.value).score(head.value, ranks).sum()
 
 
+def test_a_round_reads_its_own_lessons_in_as_many_tasks_as_shards(spark, monkeypatch):
+    docs = lm.texts(spark.createDataFrame([(i, t) for i, t in enumerate(chains(random.Random(9), 300))], "doc_id long, text string"))
+    head = spark.sparkContext.broadcast(lm.head_of(lm.count_words(docs)))
+    seen = []
+    monkeypatch.setattr(lm, "_round", lambda *a, made=lm._round: seen.append((made(*a), a)) or seen[-1][0])
+    lm.learned(docs, head, epochs=1, shard=500)
+    shards = lm._shards(head.value, 500)
+    assert shards > 5 and len(seen) == lm.ROUNDS
+    assert sum(d.count() for d, _ in seen) == 300
+    for d, (lessons, k, n) in seen:
+        assert n == shards and d.rdd.getNumPartitions() == shards
+        assert lessons.filter(F.col("round") == k).count() == d.count()
+        assert "PartitionFilters: [isnotnull(round" in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_huge_document_shuts_out_no_other(spark):
     huge = " ".join([c * (1 << 20) for c in "abcdefghi"])
     made = spark.createDataFrame([(huge,)], "text string").crossJoin(spark.range(100).selectExpr("id as doc_id"))
