@@ -339,8 +339,8 @@ def _shards(head: Head, shard: int) -> int:
 
 
 def _round(lessons: DataFrame, k: int, shards: int) -> DataFrame:
-    """The lessons of one round, read alone, with as many tasks as shards: by their bytes they'd share a few tasks, and cores wait."""
-    return lessons.filter(F.col("round") == k).repartition(shards, "shard")
+    """The lessons of one round, read alone, with a task for each shard: by their bytes or hashes some would share a task, and cores wait."""
+    return lessons.filter(F.col("round") == k).repartitionById(shards, F.col("shard"))
 
 
 def _lesson(head, before, seed: int, k: int, begin: float, end: float):

@@ -322,6 +322,7 @@ def test_a_round_reads_its_own_lessons_in_as_many_tasks_as_shards(spark, monkeyp
     assert sum(d.count() for d, _ in seen) == 300
     for d, (lessons, k, n) in seen:
         assert n == shards and d.rdd.getNumPartitions() == shards
+        assert d.select("shard", F.spark_partition_id().alias("p")).distinct().filter("shard <> p").count() == 0
         assert lessons.filter(F.col("round") == k).count() == d.count()
         assert "PartitionFilters: [isnotnull(round" in d._jdf.queryExecution().executedPlan().toString()
 
