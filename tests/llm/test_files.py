@@ -366,6 +366,25 @@ def test_state_is_carried_and_documents_dont_mix():
         assert got == pytest.approx(want, rel=1e-4)
 
 
+def test_equal_documents_are_dealt_to_all_lanes(monkeypatch):
+    words = [b"\n", *(f"w{i}".encode() for i in range(1500))]
+    head = lm.Head(words, np.arange(len(words), 0, -1), 10_000_000, 5000, 700)
+    net, seen, step = lm.Network(head), [], lm.Network.step
+    docs = [np.arange(i, i + 10, dtype=np.int32) for i in range(2 * lm.LANES)]
+    alone = [net.score(head, [d])[0] for d in (docs[0], docs[-1])]
+    monkeypatch.setattr(lm.Network, "step", lambda *a: seen.append(1) or step(*a))
+    assert net.score(head, docs)[[0, -1]] == pytest.approx(alone, rel=1e-4)
+    assert len(seen) == 20
+
+
+def test_sums_by_key():
+    rng = np.random.default_rng(5)
+    keys, rows = rng.choice([*[3] * 90, *range(40), 49], 700), rng.normal(size=(700, 6))
+    want = np.zeros((50, 6))
+    np.add.at(want, keys, rows)
+    assert np.allclose(lm._sums(keys, rows, 50), want)
+
+
 def test_probabilities_sum_to_one():
     words = [b"\n", *(f"w{i}".encode() for i in range(3000))]
     head = lm.Head(words, np.arange(len(words), 0, -1), 10_000_000, 5000, 700)
