@@ -377,6 +377,21 @@ def test_equal_documents_are_dealt_to_all_lanes(monkeypatch):
     assert len(seen) == 20
 
 
+def test_windows_share_their_arrays():
+    words = [b"\n", *(f"w{i}".encode() for i in range(1100))]
+    head = lm.Head(words, np.arange(len(words), 0, -1), 10_000_000, 5000, 700)
+    net, rng, room, held = lm.Network(head), np.random.default_rng(6), [], None
+    h = hr = np.zeros((3, lm.HIDDEN), np.float32)
+    for steps in (6, 6, 2):
+        word, fresh = rng.integers(-1, 40, size=(steps, 3)), rng.random((steps, 3)) < 0.2
+        given = head.inp[rng.integers(0, 40, size=(steps, 3))], head.cls[word], word, fresh
+        loss, grads, h = net.learn(*given, h)
+        loss_r, grads_r, hr = net.learn(*given, hr, room)
+        held = held or list(map(id, room))
+        assert list(map(id, room)) == held and len(room) == 6
+        assert loss == loss_r and np.array_equal(h, hr) and all(np.array_equal(grads[k], grads_r[k]) for k in net.NAMES)
+
+
 def test_sums_by_key():
     rng = np.random.default_rng(5)
     keys, rows = rng.choice([*[3] * 90, *range(40), 49], 700), rng.normal(size=(700, 6))
