@@ -138,3 +138,44 @@ def test_the_driver_gets_one_gradient_whatever_the_tasks(spark, monkeypatch):
     assert [t.num_rows for t in got] == [1, 1, 1, 1]
     for loss, slope in results[1:]:
         assert abs(loss - results[0][0]) < 1e-9 and np.max(np.abs(slope - results[0][1])) < 1e-9
+
+
+def test_lone_features_are_fitted_as_one(spark, monkeypatch):
+    """A row's features that no other row has share one weight; the model is that of all features."""
+    rng, data = np.random.default_rng(4), []
+    for r in range(90):
+        at = np.concatenate([np.sort(rng.choice(8, rng.integers(0, 4), replace=False)), 8 + 3 * r + np.arange(r % 4)])
+        data.append((at.tolist(), (rng.random(len(at)) + 0.1).tolist(), np.flatnonzero(rng.random(3) < 0.5).tolist()))
+    rows, width = spark.createDataFrame(data, "i array<int>, v array<double>, y array<int>").repartition(3).cache(), 300
+    alone = np.bincount([x for r in data for x in r[0]], minlength=width) == 1
+    targets = linear.Targets(3, False, np.ones(3), np.full(3, 0.7))
+    plain = linear.fit_linear(rows, width, targets, 90, 1 / 90, 1000, 1e-4)
+    blocks = linear.pack(rows, linear.CELLS // 20, alone)  # small blocks
+    assert len(blocks.parts) == 3 and sum(len(sizes) for _, sizes in blocks.parts) > 6 and len(blocks.lone["lone"]) == alone.sum()
+    assert sorted((p, k) for t in blocks.deal(2).tasks for p, ks in t.items() for k in ks) == sorted((p, k) for p, sizes in blocks.parts for k in range(len(sizes)))
+    sizes, evaluate = [], linear._evaluate
+    monkeypatch.setattr(linear, "_evaluate", lambda rows, w, *more: sizes.append(len(w)) or evaluate(rows, w, *more))
+    joint = linear.fit_linear(blocks, width, targets, 90, 1 / 90, 1000, 1e-4)
+    assert np.max(np.abs(joint - plain)) < 1e-6 and np.any(joint[:-1][alone] != 0)
+    assert set(sizes) == {width - alone.sum() + sum(r % 4 > 0 for r in range(90)) + 1}
+    folder = linear.pafs.FileSystem.from_uri(blocks.folder)
+    blocks.drop()
+    assert folder[0].get_file_info(folder[1]).type == linear.pafs.FileType.NotFound
+
+
+def test_regression_queries_learn_from_all_train_rows(spark, monkeypatch):
+    """They learned from 10 000 rows at most."""
+    from types import SimpleNamespace
+
+    from labelforge.operators.splits import hash_bucket_split
+    from labelforge.plans import models_queries
+
+    docs = spark.range(13_000).withColumnRenamed("id", "doc_id")
+    docs = docs.select("doc_id", F.format_string("word number %d", F.col("doc_id") % 7).alias("text"), F.lit("here").alias("source"))
+    task = docs.withColumn("label", (F.col("doc_id") % 2).cast("string"))
+    tables = SimpleNamespace(texts=docs, v_task=task, v_multi=task.select("doc_id", F.array("label").alias("label")))
+    rows, many = [], baselines.predict_multilabel
+    monkeypatch.setattr(baselines, "predict_multilabel", lambda train, *a, **b: rows.append(train.count()) or many(train, *a, **b, max_iter=1))
+    assert models_queries.multilabel_baseline(tables).count() == 2
+    train = hash_bucket_split(docs, "doc_id").filter("split = 'train'").count()
+    assert train > 10_000 and rows == [train]
