@@ -174,8 +174,9 @@ def test_regression_queries_learn_from_all_train_rows(spark, monkeypatch):
     docs = docs.select("doc_id", F.format_string("word number %d", F.col("doc_id") % 7).alias("text"), F.lit("here").alias("source"))
     task = docs.withColumn("label", (F.col("doc_id") % 2).cast("string"))
     tables = SimpleNamespace(texts=docs, v_task=task, v_multi=task.select("doc_id", F.array("label").alias("label")))
-    rows, many = [], baselines.predict_multilabel
+    rows, fit, many = [], baselines.fit_baseline, baselines.predict_multilabel
+    monkeypatch.setattr(baselines, "fit_baseline", lambda train, *a, **b: rows.append(train.count()) or fit(train, *a, **b, max_iter=1))
     monkeypatch.setattr(baselines, "predict_multilabel", lambda train, *a, **b: rows.append(train.count()) or many(train, *a, **b, max_iter=1))
-    assert models_queries.multilabel_baseline(tables).count() == 2
+    assert models_queries.multilabel_baseline(tables).count() == 2 and models_queries.query_onehot_baseline(tables).count() == 1
     train = hash_bucket_split(docs, "doc_id").filter("split = 'train'").count()
-    assert train > 10_000 and rows == [train]
+    assert train > 10_000 and rows == [train, train]
