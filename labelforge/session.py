@@ -26,15 +26,26 @@ def local_session(app: str, cpus: int | str = 8, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, placed: bool = False) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``, so that it lies on storage every
     executor can read and a lost executor costs no recomputation. Only a local session without it gets one of
     its own; a cluster without it is an error.
+
+    ``placed``: what reads the rows knows by which key they were dealt out, and need not shuffle them by it again. An adaptive
+    plan does not tell that of its rows, so that the writing plan is fixed before it runs.
     """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not placed:
+        return df.checkpoint(eager=True)
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    adaptive = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(name, adaptive)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

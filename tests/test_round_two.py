@@ -1,5 +1,7 @@
 """Complete negative draws, vocabulary-wide scores, quoted lists, partition overwrites, and plans without sorted texts."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,47 @@ def test_duplicates_are_found_without_sorting_texts(spark):
     assert counts == {"t": (5, 4, 2), "l": (5, 4, 3)}
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_term_weights_of_odd_rows(spark, monkeypatch, most):
+    """Null keys are one document, rows of one key are one, null and empty texts only count; with and without common terms apart."""
+    small = baselines.small_table
+    monkeypatch.setattr(baselines, "small_table", lambda df: small(df, most))
+    rows = [(i, f"all {'even' if i % 2 == 0 else 'odd'} word{i // 2} word{i // 2} own{i}") for i in range(1500)]
+    rows += [(3, "all again own3"), (None, "all null own1"), (None, "null"), (7000, None), (7001, ""), (7002, "a . !"), (7003, "all")]
+    words = {}
+    for key, text in rows:
+        for w in (text or "").split():
+            if len(w) > 1:
+                words.setdefault(key, {}).setdefault(w, 0)
+                words[key][w] += 1
+    df_of = {}
+    for terms in words.values():
+        for w in terms:
+            df_of[w] = df_of.get(w, 0) + 1
+    want = []
+    for key, terms in words.items():
+        w = {t: tf * (math.log((1 + len(rows)) / (1 + df_of[t])) + 1) for t, tf in terms.items()}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        want += [(key, t, tf, df_of[t], round(w[t] / length, 9)) for t, tf in terms.items()]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = [(r.id, r.term, r.tf, r.df, round(r.weight, 9)) for r in baselines.tfidf_weights(df, "id").collect()]
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_term_rows_stay_with_their_documents(spark, monkeypatch):
+    """All rows of terms were shuffled by document at the end, and those of all but common terms by term before."""
+    monkeypatch.setattr(baselines, "LETTERS_A_TASK", 2000)
+    df = spark.range(3000).selectExpr("id", "concat('all rare', id div 3, ' own', id) as text")
+    weights = baselines.tfidf_weights(df, "id")
+    assert weights.filter("term like 'rare%' and df = 3").count() == 3000
+    whole = weights._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("Exchange shufflepartitionidpassthrough") == 1 and "Exchange hashpartitioning" not in whole
+    written = baselines.cut_lineage(df.repartition(4, "id"), placed=True).groupBy("id").count()
+    assert "Exchange" not in written._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_words_of_other_scripts(spark):
     df = spark.createDataFrame([(1, "Привет мир привет", "ru"), (2, "hello world", "en"), (3, "мир", "ru")], "doc_id long, text string, lang string")
     terms = {(r.doc_id, r.term) for r in baselines.tfidf_weights(df, "doc_id").collect()}
