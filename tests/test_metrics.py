@@ -221,6 +221,29 @@ def test_evidence_scores_are_the_same_by_document_and_spread(spark, monkeypatch)
         assert a[:5] == b[:5] and all(abs(x - y) <= 0.1 for x, y in zip(a[5:], b[5:]))
 
 
+def test_tuples_of_evidence_are_made_once(spark):
+    """Sizes and sums each made all tuples again, and counted documents in the tasks that made them."""
+    flat = spark.range(200).selectExpr("id % 50 as document_id", "'q' as query", "'s' as stance", "array(int(id)) as pages")
+    scores = evidence.document_scores(flat, flat.filter("document_id < 40"))
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan and "LogicalRDD" in plan
+    assert [tuple(r)[1:5] for r in scores.orderBy("facet").collect()] == [("page", 200, 160, 160), ("query", 50, 40, 40), ("stance", 50, 40, 40)]
+
+
+@pytest.mark.parametrize("most", [64, 1, 0])
+def test_document_scores_of_odd_tuples(spark, monkeypatch, most):
+    """Null documents, values and pages are values, repeated tuples count once, tuples without pages don't; spread or not."""
+    monkeypatch.setattr(evidence, "DOCUMENT_TUPLES", most)
+    schema = "document_id string, query string, stance string, pages array<int>"
+    g = [("a", "q", "s", [1, 2]), ("a", "q", "s", [1, 2]), ("a", None, "s", [2, None]), ("b", "q", None, []), ("c", "q", "t", None), (None, "q", "s", [3])]
+    p = [("a", "q", "t", [2, 2]), (None, "q", "s", [3]), (None, None, None, [4]), ("d", "q", "s", [1])]
+    sets = lambda rows, f: {(d, x) for d, q, s, pages in rows if pages for x in {"page": pages, "query": [q], "stance": [s]}[f]}
+    scores = evidence.document_scores(spark.createDataFrame(g, schema), spark.createDataFrame(p, schema))
+    for r in scores.collect():
+        x, y = sets(g, r.facet), sets(p, r.facet)
+        assert (r.g, r.s, r.c) == (len(x), len(y), len(x & y)), r.facet
+
+
 def test_tuples_of_evidence_go_to_more_tasks_as_they_grow(spark, monkeypatch):
     """A fixed number of partitions let the memory of a task grow with the table."""
     monkeypatch.setattr(evidence, "TUPLES_A_TASK", 10)
