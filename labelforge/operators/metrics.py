@@ -336,12 +336,14 @@ def bootstrap_multilabel_f1(
     df = df.crossJoin(known)
     t, p = (F.array_sort(F.array_intersect(F.array_distinct(c), F.col("__known"))) for c in (y_true, y_pred))
     u = hash_int("draw", key, seed=seed) / F.lit(float(2**32))
-    weight = steps_below(u, poisson_steps())
+    steps = poisson_steps()
     # Rows with the same two lists are alike; only their number matters per draw.
     # The lists are made before the rows are repeated: in one projection they would be made again for every draw.
     rows = df.select(key, t.alias("t"), p.alias("p"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    kinds = rows.withColumn("w", weight).filter("w > 0").groupBy("draw", "t", "p").agg(F.sum("w").alias("w"))
+    # A row is left out by the first step alone, as a filter makes the hash again for each comparison. Kinds are asked for their
+    # weight, too, so that both that read them need the same sums, which are made once.
+    kinds = rows.filter(u >= steps[0]).groupBy("draw", "t", "p").agg(F.sum(steps_below(u, steps)).alias("w")).filter("w > 0")
     one = kinds.select("draw", "w", "t", "p", F.explode(F.array_union("t", "p")).alias("label"))
     in_t = F.array_contains("t", F.col("label")).cast("bigint") * F.col("w")
     in_p = F.array_contains("p", F.col("label")).cast("bigint") * F.col("w")

@@ -1,7 +1,9 @@
 """Complete negative draws, vocabulary-wide scores, quoted lists, partition overwrites, and plans without sorted texts."""
 
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,38 @@ def test_multilabel_scores_over_the_vocabulary(spark):
     assert got.upper <= 1 / 3 + 1e-9 and got.draws < 100  # draws of one gold list are left out
 
 
+def test_multilabel_bootstrap_of_odd_rows(spark):
+    """Null keys and lists, empty lists, repeated keys and labels, against the same sums in Python."""
+    rows = [(i, ["a", "b"][: i % 3], ["b", "c", "b"][: i % 4]) for i in range(12)]
+    rows += [(3, ["a"], ["a"]), (3, ["a"], ["a"]), (None, ["d"], ["d", None]), (50, None, ["a"]), (51, ["b", "a"], None), (52, [], [])]
+    steps, known, scores = metrics.poisson_steps(), ["a", "b", "c", "d"], []
+    for draw in range(40):
+        sums, golds = {x: [0, 0] for x in known}, set()
+        for key, t, p in rows:
+            name = f"42|{draw}" if key is None else f"42|{draw}|{key}"
+            w = sum(int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2**32 >= e for e in steps)
+            golds |= {tuple(sorted({*t}))} if w and t is not None else set()
+            for x in known if t is not None and p is not None else ():
+                sums[x][0] += 2 * w * (x in t and x in p)
+                sums[x][1] += w * ((x in t) + (x in p))
+        if len(golds) > 1:
+            scores.append(sum(a / b for a, b in sums.values() if b) / len(known))
+    df = spark.createDataFrame(rows, "id long, y_true array<string>, y_pred array<string>")
+    got = metrics.bootstrap_multilabel_f1(df, "id", draws=40).first()
+    want = np.quantile(scores, [0.025, 0.975])
+    assert got.draws == len(scores) and abs(got.lower - want[0]) < 1e-9 and abs(got.upper - want[1]) < 1e-9
+
+
+def test_multilabel_bootstrap_makes_its_hashes_in_one_pass(spark):
+    """A filter of rows by their weight made twelve hashes of each, and the check of gold lists made all of them again."""
+    df = spark.range(60).selectExpr("id", "array(string(id % 3)) as y_true", "array(string(id % 4)) as y_pred")
+    interval = metrics.bootstrap_multilabel_f1(df, "id", draws=20)
+    interval.collect()
+    plan = interval._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    filters = [x.count("md5(") for x in plan.splitlines() if "Filter" in x and "md5(" in x]
+    assert filters == [1] and "ReusedExchange [draw" in plan
+
+
 def test_bootstrap_in_parts_is_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, "ab"[i % 2], "abb"[i % 3]) for i in range(90)], "id long, y_true string, y_pred string")
     whole = metrics.bootstrap_f1(df, draws=60).first()
